@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, tokens
+from . import exact_dedup, language, neighbours, packing, pii, secrets, token_files, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             tokens.op1_bpe_round_trip,
+            secrets.op3_secrets,
+            pii.op4_pii,
+            language.op5_language_id,
+            neighbours.op6_nearest,
+            packing.op7_packing,
             exact_dedup.op8_exact_dedup,
             tokens.op9_token_counts,
+            token_files.op10_token_files,
         )
     }
 
