@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, join_small, stored
+from .common import documents, stored
 
 FIRST_DIGIT, GROWTH = 64, 16  # bytes of the first digit; each next digit is so many times wider
 
@@ -45,7 +45,7 @@ def exact_dedup(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> Da
             .withColumn("child", F.monotonically_increasing_id())
         )
         groups = stored(groups)
-        split = join_small(todo, groups, ["node", "digit", "ended"], "left", F.octet_length("digit") + 64)
+        split = todo.join(groups.hint("merge"), ["node", "digit", "ended"], "left")  # hot keys are split by adaptive execution
         own = F.col("n").isNull()
         out = split.filter(own | F.col("ended")).select(
             "kept_columns.*",
