@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, packing, pii, secrets, token_files, tokens
+from . import exact_dedup, language, neighbours, ngram_join, packing, pii, secrets, token_files, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             tokens.op1_bpe_round_trip,
+            ngram_join.op2_ngram_join,
             secrets.op3_secrets,
             pii.op4_pii,
             language.op5_language_id,
