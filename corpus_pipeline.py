@@ -1,8 +1,75 @@
-"""A corpus pipeline: five operators in turn, from documents to packed sequences."""
+"""A corpus pipeline: five operators in turn, from documents to packed sequences.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs.  All but the last return the columns of docs.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import exact_dedup, language, ngram_join, packing, pii
+from quillspark.llm.common import join_small, stored, vocabulary
+
+ROW = "__row"
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose number in the scan is not among the dropped ones."""
+    gone = stored(dropped.select(ROW))
+    return join_small(docs.withColumn(ROW, F.monotonically_increasing_id()), gone, [ROW], "left_anti", 24).drop(ROW)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough confidence; those without a letter go."""
+    columns = docs.columns
+    return language.identify(docs, language.fitted(docs)).filter("accepted").select(*columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one of smallest doc_id."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", ROW])
+    return _without(docs, found.filter("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of documents linked by five-word shingles at a similarity
+    of 0.8 or more: the one of smallest doc_id."""
+    found = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80)
+    return _without(docs, found.filter("not stays").withColumnRenamed("row", ROW))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind."""
+    masked = pii.mask_pii(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # SQL cannot express the language model or the tokenizer
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each gives is written to the shared folder and read
+    again, so no stage is computed twice and lost executors cost one stage at most."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
