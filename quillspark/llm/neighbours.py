@@ -100,7 +100,7 @@ def usable(df: DataFrame, vec_col: str) -> DataFrame:
 def fit(df: DataFrame, vec_col: str, rows: int = SAMPLE_ROWS) -> Codebooks:
     """Code books of the rows whose vector hashes lowest, at most ``rows``."""
     found = df.select(vec_col, F.xxhash64(vec_col).alias("h")).orderBy("h").limit(rows).collect()
-    return Codebooks(np.array([r[0] for r in found], np.float64).reshape(len(found), -1))
+    return Codebooks(np.array([r[0] for r in found], np.float64).reshape(len(found), len(found[0][0]) if found else 0))
 
 
 def build_index(df: DataFrame, books: Codebooks, vec_col: str, code_col: str = "code") -> DataFrame:
