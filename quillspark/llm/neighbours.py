@@ -37,7 +37,7 @@ class Codebooks:
 
     def split(self, x: np.ndarray) -> np.ndarray:
         pad = -x.shape[1] % self.sub
-        return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, self.sub)
+        return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), (x.shape[1] + pad) // self.sub, self.sub)
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes (rows x subspaces): nearest centres, then coordinate descent on the
