@@ -13,6 +13,8 @@ by one column a round.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import json
 from collections.abc import Callable, Iterable
 
@@ -246,6 +248,18 @@ def decode(ids: np.ndarray, table) -> bytes:
     return flat[pos].tobytes()
 
 
+@contextlib.contextmanager
+def no_gc():
+    """Large caches of strings hold no cycles; scanning them over and over is waste."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Chunks:
     """Turns texts into per-text values through bounded caches of shorter pieces.
 
@@ -260,7 +274,7 @@ class Chunks:
     the next; memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[Iterable], object], room: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[Iterable], object], room: int = 450_000):
         self.encode, self.join, self.room = encode, join, room
         self.pattern = split_pattern()
         self.cache: dict[str, object] = {}  # of chunks, without their space
@@ -304,6 +318,10 @@ class Chunks:
 
     def values(self, texts: list[str]) -> list:
         """One joined value for each text."""
+        with no_gc():
+            return self._values(texts)
+
+    def _values(self, texts: list[str]) -> list:
         if len(self.cache) > self.room:
             self.cache, self.old = {}, self.cache
         if len(self.pieces) > self.room:
