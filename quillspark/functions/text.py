@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from . import vocab
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it may name many times: bound once, so that nested functions
+    don't multiply the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def escape_like(value: str) -> str:
     """A string whose LIKE wildcards stand for themselves."""
     return re.sub(r"([\\%_])", r"\\\1", value or "")
@@ -83,38 +90,41 @@ def last_end(text: Column, endings: tuple[str, ...]) -> Column:
 def smart_truncate(text: Column, limit: int) -> Column:
     """Collapses white space and shortens to ``limit``: after the last sentence ending, else
     at the last space, in either case not in the first third; else with an ellipsis."""
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    head, least = F.substring(clean, 1, limit), max(20, limit // 3)
-    cut = last_end(head, vocab.CUT_ENDINGS)
-    space = F.when(F.locate(" ", F.reverse(head)) > 0, F.length(head) - F.locate(" ", F.reverse(head))).otherwise(-1)
-    return (
-        F.when(F.length(clean) <= limit, clean)
-        .when(cut >= least, F.trim(F.left(head, cut)))
-        .when(space >= least, F.concat(F.rtrim(F.left(head, space)), F.lit("…")))
-        .otherwise(F.concat(F.rtrim(head), F.lit("…")))
-    )
+    least = max(20, limit // 3)
+
+    def cut(clean: Column) -> Column:
+        return F.when(F.length(clean) <= limit, clean).otherwise(let(F.substring(clean, 1, limit), shorten))
+
+    def shorten(head: Column) -> Column:
+        return let(F.struct(head.alias("head"), last_end(head, vocab.CUT_ENDINGS).alias("end"), (F.length(head) - F.locate(" ", F.reverse(head))).alias("space")), choose)
+
+    def choose(x: Column) -> Column:
+        return (
+            F.when(x["end"] >= least, F.trim(F.left(x["head"], x["end"])))
+            .when((x["space"] >= least) & (x["space"] < F.length(x["head"])), F.concat(F.rtrim(F.left(x["head"], x["space"])), F.lit("…")))
+            .otherwise(F.concat(F.rtrim(x["head"]), F.lit("…")))
+        )
+
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), cut)
 
 
 def snippet(*parts: Column, limit: int = 220) -> Column:
     """The parts joined and shortened after a sentence ending, else with an ellipsis."""
-    joined = join_parts(*parts)
-    head = F.substring(joined, 1, limit)
-    cut = last_end(head, vocab.SNIPPET_ENDINGS)
-    return (
-        F.when(joined == "", F.lit(vocab.NO_SUMMARY))
-        .when(F.length(joined) <= limit, joined)
-        .when(cut >= 40, F.trim(F.left(head, cut)))
-        .otherwise(F.concat(F.rtrim(head), F.lit("…")))
-    )
+    def cut(joined: Column) -> Column:
+        head = F.substring(joined, 1, limit)
+        shorter = let(
+            F.struct(head.alias("head"), last_end(head, vocab.SNIPPET_ENDINGS).alias("end")),
+            lambda x: F.when(x["end"] >= 40, F.trim(F.left(x["head"], x["end"]))).otherwise(F.concat(F.rtrim(x["head"]), F.lit("…"))),
+        )
+        return F.when(joined == "", F.lit(vocab.NO_SUMMARY)).when(F.length(joined) <= limit, joined).otherwise(shorter)
+
+    return let(join_parts(*parts), cut)
 
 
 def ensure_terminal(text: Column) -> Column:
     """Adds an ellipsis to a text that doesn't end as a sentence does."""
-    clean = F.trim(F.coalesce(text, F.lit("")))
-    ends = F.lit(False)
-    for t in vocab.TERMINALS:
-        ends = ends | F.endswith(clean, F.lit(t))
-    return F.when((clean == "") | ends, clean).otherwise(F.concat(clean, F.lit("…")))
+    ends = "(" + "|".join(map(re.escape, vocab.TERMINALS)) + ")$"
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda clean: F.when((clean == "") | clean.rlike(ends), clean).otherwise(F.concat(clean, F.lit("…"))))
 
 
 def preview(text: Column, words: int = 20) -> Column:
@@ -124,10 +134,13 @@ def preview(text: Column, words: int = 20) -> Column:
 
 def quote_overlaps(quote: Column, snippets: Column, run: int = 8) -> Column:
     """Whether a snippet holds any ``run`` consecutive characters of the quote."""
-    clean = F.trim(F.coalesce(quote, F.lit("")))
-    starts = F.sequence(F.lit(1), F.length(clean) - (run - 1))
-    found = F.exists(starts, lambda i: F.exists(snippets, lambda s: F.contains(s, F.substring(clean, i, F.lit(run)))))
-    return F.when(F.length(clean) < run, F.lit(False)).otherwise(F.coalesce(found, F.lit(False)))
+
+    def test(clean: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(clean) - (run - 1))
+        found = F.exists(starts, lambda i: F.exists(snippets, lambda s: F.contains(s, F.substring(clean, i, F.lit(run)))))
+        return F.when(F.length(clean) < run, F.lit(False)).otherwise(F.coalesce(found, F.lit(False)))
+
+    return let(F.trim(F.coalesce(quote, F.lit(""))), test)
 
 
 def sentences(text: Column, least: int = 12) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classify, clean, grounding, tfidf
+from ..operators import classify, clean, grounding, issues, quiz, tfidf
 from ..operators.textrank import key_sentences
 from ..sources.html import html_text
 from ..sources.tables import table
+from . import answers
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +122,57 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text(table(spark, d, "pages"), "html").select("page_id", "url", "text")
 
 
+def device_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by weighted substring hits of a query's words."""
+    docs = table(spark, d, "documents")
+    found = issues.weighted_search(docs, "en the Tion", F.col("source"), F.col("lang"), F.col("text"), "doc_id", 20)
+    return found.select("doc_id", "score")
+
+
+def issue_graph(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" 영장 자백")).otherwise(F.lit(" 고의"))))
+    direct = issues.direct_issues(F.col("text"))
+    return docs.select("doc_id", F.array_join(direct, ",").alias("direct"), F.array_join(issues.related_issues(direct), ",").alias("related"), issues.category(direct).alias("category"))
+
+
+def merged_pages(spark: SparkSession, d: str) -> DataFrame:
+    return clean.merge_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+def quiz_items(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).withColumn("words", F.slice(F.array_distinct(X.tokenize(F.col("text"))), 1, 5))
+    return answers.summarize(docs, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "text", "words")
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("2024도"), F.col("doc_id").cast("string")).alias("case_number"),
+        F.col("source").alias("case_name"),
+        F.col("lang").alias("subject"),
+        F.substring(text, 1, 200).alias("issue_summary"),
+        F.substring(text, 201, 200).alias("holding_summary"),
+        F.substring(text, 401, 200).alias("exam_points"),
+        F.timestamp_seconds("doc_id").alias("updated_at"),
+    )
+
+
+def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for intent in ("summary", "compare", "qa", "quiz"):
+        one = answers.answer(_cases(spark, d), "2024도7", intent).withColumn("intent", F.lit(intent))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def extraction(spark: SparkSession, d: str) -> DataFrame:
+    return answers.extract(_docs(spark, d), "doc_id", "text")
+
+
+def signal_retention(spark: SparkSession, d: str) -> DataFrame:
+    return answers.retention(table(spark, d, "benchmark"), "item_id", "text")
+
+
 TOKENS = """t AS (SELECT doc_id AS doc, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1) AS ws FROM documents),
         k AS (SELECT doc, len(ws) AS len, unnest(ws) AS term FROM t),
         c AS (SELECT doc, len, term, count(*) AS n FROM k GROUP BY ALL),
@@ -131,7 +183,21 @@ ASKED = f"""q0 AS (SELECT list_filter(string_split_regex('{QUERY}', '\\s+'), lam
         q1 AS (SELECT len(ws) AS len, unnest(ws) AS term FROM q0), q2 AS (SELECT term, count(*) / any_value(len) AS tf FROM q1 GROUP BY term),
         q AS (SELECT term, tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS weight FROM q2 JOIN f USING (term))"""
 
+HITS = " + ".join(
+    f"CASE WHEN contains(lower({column}), '{word}') THEN {weight} ELSE 0 END"
+    for column, word, weight in [
+        ("source", "en the tion", 5),
+        ("text", "en the tion", 2),
+        *[(c, t, w) for t in ("en", "the", "tion") for c, w in (("source", 3), ("lang", 2), ("text", 1))],
+    ]
+)
 SQL = {
+    "device_search": f"WITH s AS (SELECT doc_id, ({HITS})::DOUBLE AS score FROM documents) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20",
+    "issue_graph": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '영장,자백' ELSE '고의' END AS direct,
+        CASE WHEN doc_id % 2 = 0 THEN '압수수색,체포,사후영장,보강증거,임의성,증거능력' ELSE '과실,구성요건' END AS related,
+        CASE WHEN doc_id % 2 = 0 THEN '형사소송법' ELSE '형법' END AS category FROM documents""",
+    "legal_signals": r"""SELECT doc_id, (len(regexp_extract_all(text, '\d{2,4}\s*[가-힣]{1,3}\s*\d+')) + len(regexp_extract_all(text, '\d{4}\s*[.년]\s*\d{1,2}\s*[.월]\s*\d{1,2}\s*[.일]?'))
+        + len(regexp_extract_all(text, '제\s*\d+\s*조')) + len(regexp_extract_all(text, '대법원|헌법재판소|고등법원|지방법원|가정법원|행정법원|특허법원')))::BIGINT AS signals FROM documents""",
     "token_counts": f"WITH {TOKENS} SELECT doc, term, n FROM c",
     "doc_frequency": f"WITH {TOKENS} SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM f",
     "tfidf_weights": f"WITH {TOKENS} SELECT doc, term, round(weight, 6) AS weight FROM w",
@@ -154,5 +220,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention)
 }

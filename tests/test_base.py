@@ -98,9 +98,9 @@ def test_focus_and_weights(spark):
 
 
 def test_clean_lines(spark):
-    text = "제목 줄입니다\n12:30\n- 3 -\n제목  줄입니다\n짧다\n짧다\nhttps://x.y\n끝"
+    text = "제목 줄입니다\n12:30\n- 3 -\n제목  줄입니다\n짧다\n짧다\nhttps://x.y\n끝입니다\n끝"
     docs = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
-    assert {r.id: r.text for r in clean.clean_lines(docs, "id", "text").collect()} == {1: "제목 줄입니다\n짧다\n짧다\n끝", 2: ""}
+    assert {r.id: r.text for r in clean.clean_lines(docs, "id", "text").collect()} == {1: "제목 줄입니다\n짧다\n짧다\n끝입니다", 2: ""}
 
 
 def test_grounding(spark):
@@ -177,3 +177,58 @@ def test_daily_stream_as_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = study.daily_rollup(events, F.to_date("ts"), F.col("event_type") != "error", "user_id")
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted((r.user_id, r.day, r.solved, r.correct) for r in want.collect())
+
+
+def test_issue_graph(spark):
+    from quillspark.operators import issues
+
+    direct = one(spark, issues.direct_issues(F.col("t")), t="자백과 영장 없는 압수수색")
+    assert direct == ["영장", "압수수색", "자백"]
+    related = one(spark, issues.related_issues(issues.direct_issues(F.col("t"))), t="자백과 영장 없는 압수수색")
+    assert related == ["체포", "사후영장", "증거능력", "위법수집증거", "보강증거", "임의성"]
+    assert one(spark, issues.category(issues.direct_issues(F.col("t"))), t="고의 과실 자백") == "형법"
+    assert one(spark, issues.category(issues.direct_issues(F.col("t"))), t="없음") == "일반"
+    records = spark.createDataFrame([("영장 영장",), ("영장 자백",), (None,)], "t string")
+    assert [(r.term, r.n) for r in issues.weak_keywords(records, F.col("t"), 2).collect()] == [("영장", 2), ("자백", 1)]
+
+
+def test_merge_pages(spark):
+    pages = [
+        ("a", 1, "공통 머리글 줄\n원심은 피고인의 행위가 위법하다고 보아 이를"),
+        ("a", 2, "공통 머리글 줄\n12 / 30\n유죄로 인정하였다.\n끝"),  # one character: noise
+        ("a", 3, "대법원 2020. 1. 2. 선고 2019도123\n전원합의체 판결"),
+        ("b", 1, None),
+    ]
+    got = {r.doc: r.text for r in clean.merge_pages(spark.createDataFrame(pages, "doc string, page int, text string"), "doc", "page", "text").collect()}
+    assert got["a"] == "대법원 2020. 1. 2. 선고 2019도123\n전원합의체 판결 공통 머리글 줄\n원심은 피고인의 행위가 위법하다고 보아 이를 유죄로 인정하였다."
+    assert got["b"] == ""
+    assert not clean.joins("판결하였다", "이를 본다") and not clean.joins("어떤 것이", "[1] 항목") and clean.joins("어떤 것을", "본다는 것")
+
+
+def test_quiz(spark):
+    from quillspark.operators import quiz
+
+    assert one(spark, quiz.negate(F.col("t")), t="이는 죄에 해당한다. 해당한다") == "이는 죄에 해당하지 않는다. 해당한다"
+    assert one(spark, quiz.negate(F.col("t")), t="아무것도") is None
+    lines = F.array(F.lit("첫 문장은 그대로 옳다."), F.lit("둘째는 적용된다."), F.lit("셋째 문장이다."), F.lit("넷째 문장이다."))
+    items = one(spark, quiz.quiz_items(lines, F.array(F.lit("고의")), 4), t="")
+    assert [i.answer for i in items] == [True, False, True, False]
+    assert items[1].statement == "둘째는 적용되지 않는다." and "고의 와 무관한" in items[3].statement
+    assert len(one(spark, quiz.quiz_items(F.array().cast("array<string>"), F.array(F.lit("고의")), 4), t="")) == 1
+
+
+def test_grounded_answer(spark):
+    from quillspark.plans import answers
+
+    rows = [
+        ("2020도1", "가 사건", "형법", "위법성이 문제이다.", "고의가 인정된다.", None, dt.datetime(2024, 1, 1)),
+        ("2021도2", "나 사건", "형법", "위법성이 문제이다.", None, "시험", dt.datetime(2024, 1, 2)),
+    ]
+    cases = spark.createDataFrame(rows, "case_number string, case_name string, subject string, issue_summary string, holding_summary string, exam_points string, updated_at timestamp")
+    got = answers.answer(cases, "위법성이 문제이다", "summary").first()
+    assert got.answer.startswith("[2021도2] 나 사건") and len(got.citations) == 2 and got.safety_flags == []
+    assert answers.answer(cases, "2020도1", "summary").first().answer == "[2020도1] 가 사건 사건은 위법성이 문제이다. 쟁점에 대해 고의가 인정된다. 라고 판단한 판례이다."
+    none = answers.answer(cases, "없는 말", "qa").first()
+    assert none.safety_flags == ["insufficient_evidence"] and none.citations == []
+    with pytest.raises(ValueError, match="two characters"):
+        answers.answer(cases, " a ", "qa")
