@@ -39,7 +39,7 @@ class Words:
     drops white space: a text is the sequence of its white-space separated chunks, so
     each distinct chunk goes through the library once, in a cache of bounded size."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 450_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,6 +51,10 @@ class Words:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def values(self, texts: list[str]) -> list[bytes]:
+        with bpe.no_gc():
+            return self._values(texts)
+
+    def _values(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.room:
             self.cache, self.old = {}, self.cache
         # str.split() also splits at the four separators that the library keeps
@@ -58,25 +62,35 @@ class Words:
         need: set[str] = set()
         for parts in split:
             need.update(parts or ())
-        cache, words, pairs = self.cache, set(), []
+        cache, words, pairs, same = self.cache, set(), [], []
         for part in need.difference(cache):
             value = self.old.get(part)
             if value is not None:
                 cache[part] = value
                 continue
             core = part.rstrip(".,;:!?")
-            if len(core) < len(part) and core.isalpha():  # a word, then a run of marks
-                pairs.append((part, core, part[len(core) :]))
-                words.update(x for x in pairs[-1][1:] if x not in cache)
+            if core.isalpha():  # a word, perhaps with a run of marks after it
+                low = core.lower() if core.isascii() else core  # the library lowers it as well
+                if low not in cache:
+                    words.add(low)
+                if len(core) < len(part):
+                    marks = part[len(core) :]
+                    pairs.append((part, low, marks))
+                    if marks not in cache:
+                        words.add(marks)
+                elif low != part:
+                    same.append((part, low))
             else:
                 words.add(part)
         todo = sorted(words, key=len)
         cache.update(zip(todo, self.encode(todo), strict=True))
-        for part, core, marks in pairs:
-            cache[part] = cache[core] + cache[marks]
+        for part, low in same:
+            cache[part] = cache[low]
+        for part, low, marks in pairs:
+            cache[part] = cache[low] + cache[marks]
         get = cache.__getitem__
         out = [self.encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for p in need:
+        for p in (*need, *words):
             if len(p) > bpe.KEEP_CHARS:
                 cache.pop(p, None)
         return out
