@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
+from ..functions.taxonomy import SUBJECT_HINTS, TAXONOMY, WEIGHTS
 
 
 def study_domain(text: Column, keywords: Column | None = None) -> Column:
@@ -74,15 +75,28 @@ def keyphrases(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
 
 
 # ---- weighted classification -------------------------------------------------------------------
-def weighted_class(text: Column, weights: dict[str, dict[str, float]]) -> Column:
+def study_class(text: Column, keywords: Column | None = None) -> Column:
+    """The weighted class of a text and its keywords. Forms like "in the constitution's sense"
+    don't count for constitutional law; where the code of criminal procedure is named, the
+    criminal code only counts in front of an article, a general or a special part."""
+    words = F.array_join(keywords, " ") if keywords is not None else F.lit("")
+    corpus = F.concat(F.coalesce(text, F.lit("")), F.lit(" "), words)
+    corpus = F.regexp_replace(F.regexp_replace(corpus, "헌법재판소", "\u0001"), "헌법상|헌법적", " ")
+    corpus = F.regexp_replace(corpus, "\u0001", "헌법재판소")
+    special = corpus.rlike("형법(제|상|총칙|각칙)") | ~F.contains(corpus, F.lit("형사소송법"))
+    return X.let(F.struct(corpus.alias("text"), special.alias("special")), lambda x: weighted_class(x["text"], WEIGHTS, {"형법": x["special"]}))
+
+
+def weighted_class(text: Column, weights: dict[str, dict[str, float]], only_if: dict[str, Column] | None = None) -> Column:
     """Class of the largest sum of weights of its hints in the text, with the confidence
     best / (best + second + 0.1) and the runner-up where that is below 0.7; below a sum of
-    2 the general class. Ties go to the name first in the alphabet."""
+    2 the general class. Ties go to the name first in the alphabet. Hints in ``only_if``
+    also need their condition."""
     rows = []
     for name in sorted(weights):
         total = F.lit(0.0)
         for hint, w in weights[name].items():
-            total = total + F.when(F.contains(text, F.lit(hint)), float(w)).otherwise(0.0)
+            total = total + F.when(F.contains(text, F.lit(hint)) & (only_if or {}).get(hint, F.lit(True)), float(w)).otherwise(0.0)
         rows.append(F.struct((-total).alias("minus"), F.lit(name).alias("name")))
     ranked = F.array_sort(F.array(*rows))
 
@@ -96,3 +110,37 @@ def weighted_class(text: Column, weights: dict[str, dict[str, float]]) -> Column
         )
 
     return F.get(F.transform(F.array(ranked), read), F.lit(0))
+
+
+# ---- taxonomy --------------------------------------------------------------------------------------
+def _best_label(text: Column, labels: list[str]) -> Column:
+    """The label with the most signs in the text: 2 for itself, 1 for its first two characters;
+    of equals the first; empty without a sign."""
+    score = lambda x: F.when(F.contains(text, F.lit(x)), 2).otherwise(0) + F.when(F.contains(text, F.lit(x[:2])), 1).otherwise(0)
+    scores = F.array(*map(score, labels))
+    return X.let(scores, lambda s: F.when(F.array_max(s) > 0, F.get(F.array(*map(F.lit, labels)), F.array_position(s, F.array_max(s)) - 1)).otherwise(F.lit("")))
+
+
+def _lower(text: Column, subject: str, tree: dict[str, list[str]]) -> Column:
+    """The path from a subject down."""
+
+    def down(category: Column) -> Column:
+        out = F.when(category == "", F.lit(subject))
+        for name, leaves in tree.items():
+            out = out.when(category == name, F.concat_ws(" > ", F.lit(subject), F.lit(name), F.nullif(_best_label(text, leaves), F.lit(""))))
+        return out
+
+    return X.let(_best_label(text, list(tree)), down)
+
+
+def taxonomy_path(text: Column) -> Column:
+    """subject > category > leaf of the first 220 characters, as far down as there are signs; empty
+    for texts below 8 characters or without a subject."""
+
+    def path(t: Column) -> Column:
+        out = F.when(F.length(t) < 8, F.lit(""))
+        for subject, hints in SUBJECT_HINTS.items():
+            out = out.when(X.has_hint(t, hints), _lower(t, subject, TAXONOMY[subject]))
+        return out.otherwise(F.lit(""))
+
+    return X.let(F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, 220), path)

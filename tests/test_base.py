@@ -232,3 +232,43 @@ def test_grounded_answer(spark):
     assert none.safety_flags == ["insufficient_evidence"] and none.citations == []
     with pytest.raises(ValueError, match="two characters"):
         answers.answer(cases, " a ", "qa")
+
+
+def test_judgment(spark):
+    from quillspark.operators import judgment
+
+    text = (
+        "【판시사항】\n[1] 영장 없는 압수의 적법 여부(소극) / 그 증거의 증거능력 유무(한정 적극)\n[2] 자백의 임의성(적극)\n"
+        "[판결요지] 짧다\n【판결요지】\n[1] [다수의견] 위법하다고 본다. [대법관 가의 반대의견] 적법하다.\n[2] 임의성이 있다.\n"
+        "<참조조문> 형사 소송법 제308조, 헌법 제12조\n참조판례\n대법원 2012도 1234 판결, 2012도1234, 2010헌마5\n이 유\n끝"
+    )
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "【요지】\n○ (쟁점①) 무효인지(적극) - 무효라고 보아야 한다\n○ 짧음")], "id long, text string")
+    got = {r.id: r for r in judgment.parse_judgments(docs, "id", "text").collect()}
+    r = got[1]
+    assert r.issues == ["영장 없는 압수의 적법 여부(소극)", "그 증거의 증거능력 유무(한정 적극)", "자백의 임의성(적극)"]
+    assert r.polarities == ["negative", "limited_positive", "positive"]
+    assert [(h.issue_no, h.opinion) for h in r.holdings] == [(1, "majority"), (1, "dissent"), (2, "unspecified")]
+    assert r.acts == ["형사소송법", "헌법"] and r.has_reasoning and r.has_opinions
+    assert got[2].issues == [] and got[2].statutes == ""
+    assert got[3].issues == ["무효라고 보아야 한다"] and got[3].polarities == ["positive"]
+
+
+@pytest.mark.parametrize(
+    ("text", "path"),
+    [
+        ("짧다", ""),
+        ("피고인이 타인의 지갑을 절도한 사건이다", "형법 > 재산범죄 > 절도"),
+        ("수사기관이 영장 없이 압수한 것의 효력", "형사소송법 > 압수·수색 > 영장집행"),
+        ("아무 관련이 없는 문장입니다", ""),
+        ("공판 절차에 관한 긴 문장입니다", "형사소송법"),
+    ],
+)
+def test_taxonomy(spark, text, path):
+    assert one(spark, classify.taxonomy_path(F.col("t")), t=text) == path
+
+
+def test_study_class(spark):
+    got = one(spark, classify.study_class(F.col("t")), t="형사소송법상 형법 문제")
+    assert got.name == "criminal_procedure"
+    assert one(spark, classify.study_class(F.col("t")), t="형사소송법 및 형법제1조의 고의").name == "criminal_law"
+    assert one(spark, classify.study_class(F.col("t")), t="헌법상 헌법적").name == "general"
