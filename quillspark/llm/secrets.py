@@ -65,7 +65,7 @@ ALPHABETS = {
 MIXED = {  # what a token of each encoding must look like, in the order they are tried
     "hex": r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$",
     "base32": r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$",
-    "base36": r"^(?=(.*[0-9]){2})(?=.*[a-z])([a-z0-9]+|[A-Z0-9]+)$",
+    "base36": r"^(?=[^0-9]*[0-9][^0-9]*[0-9])(?=.*[A-Za-z])([a-z0-9]+|[A-Z0-9]+)$",
     "base64": r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*$",
 }
 
