@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classify, clean, grounding, issues, quiz, tfidf
+from ..operators import classify, clean, grounding, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
 from ..sources.html import html_text
 from ..sources.tables import table
@@ -173,6 +173,28 @@ def signal_retention(spark: SparkSession, d: str) -> DataFrame:
     return answers.retention(table(spark, d, "benchmark"), "item_id", "text")
 
 
+def _korean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a Korean line in front, by doc_id: the driver's texts have none."""
+    lines = ("피고인이 타인의 지갑을 절도한 사건이다.", "수사기관이 영장 없이 압수한 것의 효력.", "표현의 자유 제한은 위헌이다.")
+    return _docs(spark, d).withColumn("text", F.concat(F.get(F.array(*map(F.lit, lines)), (F.col("doc_id") % 3).cast("int")), F.lit("\n"), F.col("text")))
+
+
+def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _korean(spark, d).select("doc_id", classify.taxonomy_path(F.col("text")).alias("path"))
+
+
+def study_classes(spark: SparkSession, d: str) -> DataFrame:
+    found = _korean(spark, d).select("doc_id", classify.study_class(F.col("text")).alias("c"))
+    return found.select("doc_id", F.col("c.name").alias("class"), F.round("c.confidence", 4).alias("confidence"), F.col("c.runner_up").alias("runner_up"))
+
+
+def judgment_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Structure of documents with section marks put around their parts."""
+    t = F.col("text")
+    marked = F.concat(F.lit("【판시사항】\n[1] "), F.substring(t, 1, 60), F.lit("(적극)\n【판결요지】\n[1] [다수의견] "), F.substring(t, 61, 100), F.lit("\n【참조조문】 형법 제1조\n【이 유】\n"), t)
+    return judgment.parse_judgments(_docs(spark, d).withColumn("text", marked), "doc_id", "text")
+
+
 TOKENS = """t AS (SELECT doc_id AS doc, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1) AS ws FROM documents),
         k AS (SELECT doc, len(ws) AS len, unnest(ws) AS term FROM t),
         c AS (SELECT doc, len, term, count(*) AS n FROM k GROUP BY ALL),
@@ -196,6 +218,7 @@ SQL = {
     "issue_graph": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '영장,자백' ELSE '고의' END AS direct,
         CASE WHEN doc_id % 2 = 0 THEN '압수수색,체포,사후영장,보강증거,임의성,증거능력' ELSE '과실,구성요건' END AS related,
         CASE WHEN doc_id % 2 = 0 THEN '형사소송법' ELSE '형법' END AS category FROM documents""",
+    "taxonomy_paths": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '형법 > 재산범죄 > 절도' WHEN 1 THEN '형사소송법 > 압수·수색 > 영장집행' ELSE '헌법 > 위헌심사 > 위헌' END AS path FROM documents""",
     "legal_signals": r"""SELECT doc_id, (len(regexp_extract_all(text, '\d{2,4}\s*[가-힣]{1,3}\s*\d+')) + len(regexp_extract_all(text, '\d{4}\s*[.년]\s*\d{1,2}\s*[.월]\s*\d{1,2}\s*[.일]?'))
         + len(regexp_extract_all(text, '제\s*\d+\s*조')) + len(regexp_extract_all(text, '대법원|헌법재판소|고등법원|지방법원|가정법원|행정법원|특허법원')))::BIGINT AS signals FROM documents""",
     "token_counts": f"WITH {TOKENS} SELECT doc, term, n FROM c",
@@ -220,5 +243,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, taxonomy_paths, study_classes, judgment_structure)
 }
