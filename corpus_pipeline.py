@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language, ngram_join, packing, pii
-from quillspark.llm.common import join_small, stored, vocabulary
+from quillspark.llm.common import join_small, scratch, stored, vocabulary
 
 ROW = "__row"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose number in the scan is not among the dropped ones."""
-    gone = stored(dropped.select(ROW))
     return join_small(docs.withColumn(ROW, F.monotonically_increasing_id()), gone, [ROW], "left_anti", 24).drop(ROW)
 
 
@@ -32,15 +31,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one of smallest doc_id."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", ROW])
-    return _without(docs, found.filter("not kept"))
+    with scratch(spark) as keep:
+        found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", ROW])
+        gone = keep(found.filter("not kept").select(ROW))
+    return _without(docs, gone)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked by five-word shingles at a similarity
     of 0.8 or more: the one of smallest doc_id."""
-    found = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80)
-    return _without(docs, found.filter("not stays").withColumnRenamed("row", ROW))
+    with scratch(spark) as keep:
+        found = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80)
+        gone = keep(found.filter("not stays").select(F.col("row").alias(ROW)))
+    return _without(docs, gone)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,20 +31,49 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []  # folders written inside each open scratch()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts lineage, and
     what is read back survives the loss of executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a stored table that is no longer needed."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside, tables may be stored freely; at the end all are deleted but those that
+    ``keep`` has written, so that only results take room."""
+    _scopes.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        kept.append(_scopes[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for folder in _scopes.pop():
+            _delete(spark, folder)
+        if _scopes:
+            _scopes[-1] += kept
 
 
 def with_columns(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, join_small, stored
+from .common import documents, drop_stored, join_small, scratch, stored
 from .components import components
 
 CELLS = 1 << 22  # of the sketch: 8 MB, whatever the input
@@ -223,9 +223,12 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     shared = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     between = over.select("row", F.min("row").over(shared).alias("b")).filter("row > b").distinct()
     within = scan.select("row", F.explode("firsts").alias("b"))
-    block = stored(components(between.unionByName(within).select(F.col("row").alias("a"), "b")))
+    with scratch(df.sparkSession) as keep:
+        block = keep(components(between.unionByName(within).select(F.col("row").alias("a"), "b")))
     block = stored(block.unionByName(block.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
-    sized = join_small(scan.select("row", "n_shingles", "k1", "k2"), block, ["row"], "inner", 48)
+    fat, scan = scan, stored(scan.select("row", "n_shingles", "k1", "k2"))
+    drop_stored(fat)  # the signatures are most of it
+    sized = join_small(scan, block, ["row"], "inner", 48)
     sized = join_small(sized, copies, ["k1", "k2"], "left", 64).filter("first is null or first = row")
     sizes = sized.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("total") / block_shingles).cast("int")))
@@ -244,10 +247,11 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
         others = join_small(big.filter("row != pivot"), stored(known), ["row"], "left_anti", 24)
         asked = others.withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
         links = links.unionByName(star).unionByName(_search(index.unionByName(asked), n, percent))
-    groups = components(links)
+    with scratch(df.sparkSession) as keep:
+        groups = keep(components(links))
     drop_stored(texts)
     # every row: its copies' first row, that row's group
-    mine = join_small(scan.select("row", "n_shingles", "k1", "k2"), copies, ["k1", "k2"], "left", 64)
+    mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
     mine = mine.select("row", "n_shingles", F.coalesce("first", "row").alias("id"))
     mine = join_small(mine, groups, ["id"], "left", 48)
     rooted = mine.select("row", "n_shingles", F.coalesce("root", "id").alias("root"))
