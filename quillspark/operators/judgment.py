@@ -54,7 +54,7 @@ def sections(text: str) -> dict[str, str]:
     """Bodies by section name; of repeated sections the longest."""
     marks = list(_MARKER.finditer(text))
     found: dict[str, str] = {}
-    for m, stop in zip(marks, [*(m.start() for m in marks[1:]), len(text)], strict=True):
+    for m, stop in zip(marks, [*(m.start() for m in marks[1:]), len(text)]):
         name, body = re.sub(r"[\s:：【】\[\]〔〕<>]", "", m[0]), text[m.end() : stop]
         if len(body) > len(found.get(name, "")) or name not in found:
             found[name] = body

@@ -175,8 +175,8 @@ def signal_retention(spark: SparkSession, d: str) -> DataFrame:
 
 def _korean(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a Korean line in front, by doc_id: the driver's texts have none."""
-    lines = ("피고인이 타인의 지갑을 절도한 사건이다.", "수사기관이 영장 없이 압수한 것의 효력.", "표현의 자유 제한은 위헌이다.")
-    return _docs(spark, d).withColumn("text", F.concat(F.get(F.array(*map(F.lit, lines)), (F.col("doc_id") % 3).cast("int")), F.lit("\n"), F.col("text")))
+    lines = ("피고인이 타인의 지갑을 절도한 사건이다.", "수사기관이 영장 없이 압수한 것의 효력.", "표현의 자유 제한은 위헌이다.", "재산범죄 가운데 절도의 미수.")
+    return _docs(spark, d).withColumn("text", F.concat(F.get(F.array(*map(F.lit, lines)), (F.col("doc_id") % len(lines)).cast("int")), F.lit("\n"), F.col("text")))
 
 
 def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,8 @@ SQL = {
     "issue_graph": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '영장,자백' ELSE '고의' END AS direct,
         CASE WHEN doc_id % 2 = 0 THEN '압수수색,체포,사후영장,보강증거,임의성,증거능력' ELSE '과실,구성요건' END AS related,
         CASE WHEN doc_id % 2 = 0 THEN '형사소송법' ELSE '형법' END AS category FROM documents""",
-    "taxonomy_paths": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '형법 > 재산범죄 > 절도' WHEN 1 THEN '형사소송법 > 압수·수색 > 영장집행' ELSE '헌법 > 위헌심사 > 위헌' END AS path FROM documents""",
+    "taxonomy_paths": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '형법' WHEN 1 THEN '형사소송법 > 압수·수색 > 영장집행'
+        WHEN 2 THEN '헌법 > 위헌심사 > 위헌' ELSE '형법 > 재산범죄 > 절도' END AS path FROM documents""",
     "legal_signals": r"""SELECT doc_id, (len(regexp_extract_all(text, '\d{2,4}\s*[가-힣]{1,3}\s*\d+')) + len(regexp_extract_all(text, '\d{4}\s*[.년]\s*\d{1,2}\s*[.월]\s*\d{1,2}\s*[.일]?'))
         + len(regexp_extract_all(text, '제\s*\d+\s*조')) + len(regexp_extract_all(text, '대법원|헌법재판소|고등법원|지방법원|가정법원|행정법원|특허법원')))::BIGINT AS signals FROM documents""",
     "token_counts": f"WITH {TOKENS} SELECT doc, term, n FROM c",
@@ -226,14 +227,14 @@ SQL = {
     "tfidf_weights": f"WITH {TOKENS} SELECT doc, term, round(weight, 6) AS weight FROM w",
     "similar_docs": f"""WITH {TOKENS}, q AS (SELECT term, weight FROM w WHERE doc = 0),
         s AS (SELECT w.doc, sum(w.weight * q.weight) AS dot FROM w JOIN q USING (term) GROUP BY w.doc),
-        r AS (SELECT doc_id AS doc, coalesce(dot / (norm * (SELECT sqrt(sum(weight * weight)) FROM q)), 0.0) AS sim
+        r AS (SELECT doc_id AS doc, round(coalesce(dot / (norm * (SELECT sqrt(sum(weight * weight)) FROM q)), 0.0), 9) AS sim
               FROM documents LEFT JOIN s ON s.doc = doc_id LEFT JOIN m ON m.doc = doc_id WHERE doc_id <> 0)
         SELECT doc, round(sim, 4) AS similarity, row_number() OVER (ORDER BY sim DESC, doc) AS rank FROM r ORDER BY sim DESC, doc LIMIT 10""",
     "search_by_query": f"""WITH {TOKENS}, {ASKED},
-        r AS (SELECT w.doc, sum(w.weight * q.weight) / (any_value(norm) * (SELECT sqrt(sum(weight * weight)) FROM q)) AS sim FROM w JOIN q USING (term) JOIN m ON m.doc = w.doc GROUP BY w.doc)
+        r AS (SELECT w.doc, round(sum(w.weight * q.weight) / (any_value(norm) * (SELECT sqrt(sum(weight * weight)) FROM q)), 9) AS sim FROM w JOIN q USING (term) JOIN m ON m.doc = w.doc GROUP BY w.doc)
         SELECT doc, round(sim, 4) AS similarity FROM r ORDER BY sim DESC, doc LIMIT 10""",
     "euclid_rank": f"""WITH {TOKENS}, {ASKED}, s AS (SELECT w.doc, sum(w.weight * q.weight) AS dot FROM w JOIN q USING (term) GROUP BY w.doc),
-        r AS (SELECT doc_id AS doc, sqrt(greatest(coalesce(norm * norm, 0) + (SELECT sum(weight * weight) FROM q) - 2 * coalesce(dot, 0), 0)) AS x
+        r AS (SELECT doc_id AS doc, round(sqrt(greatest(coalesce(norm * norm, 0) + (SELECT sum(weight * weight) FROM q) - 2 * coalesce(dot, 0), 0)), 9) AS x
               FROM documents LEFT JOIN m ON m.doc = doc_id LEFT JOIN s ON s.doc = doc_id)
         SELECT doc, round(x, 6) AS distance FROM r ORDER BY x, doc LIMIT 10""",
     "embedding_cosine": """

@@ -257,7 +257,8 @@ def test_judgment(spark):
     ("text", "path"),
     [
         ("짧다", ""),
-        ("피고인이 타인의 지갑을 절도한 사건이다", "형법 > 재산범죄 > 절도"),
+        ("피고인이 타인의 지갑을 절도한 사건이다", "형법"),
+        ("재산범죄 가운데 절도의 미수", "형법 > 재산범죄 > 절도"),
         ("수사기관이 영장 없이 압수한 것의 효력", "형사소송법 > 압수·수색 > 영장집행"),
         ("아무 관련이 없는 문장입니다", ""),
         ("공판 절차에 관한 긴 문장입니다", "형사소송법"),
