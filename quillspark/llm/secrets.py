@@ -126,13 +126,14 @@ def randomness(token: Column) -> Column:
     return F.when(name.isNotNull(), F.get(one, F.lit(0)))
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans", rate: float = RATE) -> DataFrame:
+def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans", rate: float = RATE, columns: list[str] | None = None) -> DataFrame:
     """Adds the spans of secrets in each whole text: (start, kind_no, end, kind, base), by
     start and then kind; positions in code points, end exclusive.
 
     Null and empty texts have none (an empty array); repeated rows stay; other columns pass
     through, one named ``spans_col`` is replaced. The scan's spans and p-values are
-    written once to the shared folder, since the decision needs all of them.
+    written once to the shared folder, since the decision needs all of them; ``columns``
+    names those to pass through, if not all are needed: what is not named isn't written.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(
@@ -142,8 +143,8 @@ def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans"
             spans(text, HEX_LONG, "hex", LEAST["hex"]),
         )
     )
-    rest = [c for c in df.columns if c.lower() not in (spans_col.lower(), text_col.lower())]
-    scanned = df.select(*rest, F.col(text_col), base.alias("__base"), spans(text, TOKEN, "random").alias("__tokens"))
+    rest = [c for c in (df.columns if columns is None else columns) if c.lower() != spans_col.lower()]
+    scanned = df.select(*rest, base.alias("__base"), spans(text, TOKEN, "random").alias("__tokens"))
     free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     tested = F.transform(free, lambda t: F.struct(t["start"], t["kind_no"], t["end"], t["kind"], randomness(t["value"]).alias("p")))
     binned = F.transform(
@@ -158,11 +159,11 @@ def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans"
         ),
     )
     keep_base = F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(True).alias("base")))
-    table = stored(scanned.select(*rest, text_col, keep_base.alias("__base"), binned.alias("__tokens")))
+    table = stored(scanned.select(*rest, keep_base.alias("__base"), binned.alias("__tokens")))
     limits = ordinary_from(table.select(F.explode("__tokens").alias("t")).select("t.lengths", "t.bin"), rate)
     chosen = F.filter("__tokens", lambda t: ~_rejected(t, limits))
     added = F.transform(chosen, lambda t: F.struct(t["start"], t["kind_no"], t["end"], t["kind"], F.lit(False).alias("base")))
-    return table.select(*rest, text_col, F.array_sort(F.concat("__base", added)).alias(spans_col)).select(*[c for c in df.columns if c.lower() != spans_col.lower()], spans_col)
+    return table.select(*rest, F.array_sort(F.concat("__base", added)).alias(spans_col))
 
 
 def _rejected(token: Column, limits: dict[int, int]) -> Column:
@@ -195,7 +196,7 @@ def span_string(spans: Column) -> Column:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"), columns=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
     counts = [count_of(base, k).alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
