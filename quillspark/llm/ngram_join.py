@@ -1,13 +1,12 @@
 """N-gram Jaccard join: documents whose word-shingle sets are similar, and their groups.
 
-1. A sketch counts in how many rows each shingle (hashed to one of CELLS cells) is: a
-   table of fixed size. Any order of all shingles would do for what follows; by this
-   one, shingles of common passages come last.
-2. A pass over the texts gives each row its set's size, a 128-bit key of the set and its
-   prefix: if sets must share ``a`` of a set's ``n`` shingles to link, then linked sets
-   share one of their first n - a + 1 shingles in the order of the sketch (prefix filter).
-   A task passes on one row for each such shingle and links the other rows that have it
-   to that one, so no shingle is hot.
+1. A pass over the texts gives each row its set's size, a 128-bit key of the set and
+   signatures: linked sets of at most m shingles differ in at most h of them, h known from
+   m, so if hashing deals the shingles into p > h parts, they agree in p - h parts or more.
+   A set's signatures are hashes of its h + 1 fullest parts; linked sets share one of
+   them. Unlike a single shingle, the shingles of a whole part are seldom shared by chance.
+2. A task passes on one row for each signature and links the other rows that have it to
+   that one, so no signature is hot.
 3. Connected rows form blocks: a superset of the groups.
 4. Within blocks a T-occurrence search finds the links exactly: of the inverted lists of
    a query's shingles, the short ones are merged and counted, the long ones are probed by
@@ -24,16 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_stored, join_small, scratch, stored
 from .components import components
 
-CELLS = 1 << 22  # of the sketch: 8 MB, whatever the input
-SLICES = 64  # rows in which a task passes on its sketch
-BAND = 2.0  # largest against smallest size of a band
 FLUSH_ROWS = 4096  # rows whose signatures a task compares before it passes them on
 BLOCK_SHINGLES = 2_000_000  # shingles of a block that one task searches (16 MB)
 
@@ -83,13 +78,20 @@ def bands(ratio: float) -> Iterator[tuple[int, int]]:
 
 
 class Signatures:
-    """The prefix of a set, for links of similarity ``percent`` / 100 or more: hashes of its
-    shingles, each with the band of sizes in which it is looked for."""
+    """Hashes of parts of a set, one of which any set linked with it at ``percent`` / 100
+    or more has too.
+
+    Sizes lie in bands, and a set is looked for in its own and in the next if a linked set
+    can be there. Linked sets of at most m shingles differ in at most
+    h = 2 m (100 - percent) / (100 + percent). Of p parts at least p - h agree; each set
+    leaves out its p - h - 1 lowest in one order of all parts (fewest shingles first), so
+    the highest part that agrees is left in by both.
+    """
 
-    def __init__(self, percent: int, counts: np.ndarray):
-        self.percent, self.counts = percent, counts
+    def __init__(self, percent: int):
+        self.percent = percent
         self.made: list[tuple[int, int]] = []
-        self.more = bands(max(BAND, 100 / percent))  # so that linked sizes are at most one band apart
+        self.more = bands(100 / percent)  # so that linked sizes are at most one band apart
 
     def bands_of(self, size: int) -> list[int]:
         """The band of the size, and the next if a linked set can be in it."""
@@ -98,42 +100,19 @@ class Signatures:
         at = next(i for i, (lo, hi) in enumerate(self.made) if lo <= size <= hi)
         return [at] + ([at + 1] if 100 * size >= self.percent * self.made[at + 1][0] else [])
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        least = -(-self.percent * len(s) // 100)
-        size = len(s) - least + 1
-        rank = (self.counts[s % np.uint64(CELLS)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
-        prefix = s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
-        return np.concatenate([mix(prefix ^ np.uint64(band)) for band in self.bands_of(len(s))]).view(np.int64)
-
+    def parts(self, s: np.ndarray, band: int) -> np.ndarray:
+        differ = 2 * self.made[band][1] * (100 - self.percent) // (100 + self.percent)
+        p = differ + 1 + differ // 8
+        part = (s % np.uint64(p)).astype(np.int64)
+        size = np.bincount(part, minlength=p)
+        some = size > 0
+        sums = np.zeros(p, np.uint64)
+        sums[some] = np.add.reduceat(mix(s)[np.argsort(part, kind="stable")], (np.cumsum(size) - size)[some])
+        hashes = mix(sums ^ mix(np.arange(p, dtype=np.uint64) + np.uint64((band + 1) << 40)))
+        return hashes[np.lexsort((hashes, size))[p - differ - 1 :]]
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Rows that hold a shingle, by the shingle's cell, up to 65535."""
-    schema = "slice int, counts binary"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingles(n), np.zeros(CELLS, np.uint32)
-        for b in batches:
-            for text in b.column(0):
-                np.add.at(counts, (shingles(text.as_py()) % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
-        if counts.any():
-            yield packed(list(enumerate(np.split(counts, SLICES))))
-
-    def packed(parts) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([z.compress(c.tobytes()) for _, c in parts], pa.binary())], names=["slice", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
-        total = np.zeros(CELLS // SLICES, np.uint64)
-        for part in table.column("counts"):
-            total += np.frombuffer(unzip.decompress(part.as_py()), np.uint32)
-        return pa.Table.from_batches([packed([(table.column("slice")[0].as_py(), np.minimum(total, 65535).astype(np.uint32))])])
-
-    unzip = zstandard.ZstdDecompressor()
-    counts = np.zeros((SLICES, CELLS // SLICES), np.uint16)
-    for row in docs.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():
-        counts[row["slice"]] = np.frombuffer(unzip.decompress(bytes(row["counts"])), np.uint32)
-    return counts.reshape(-1)
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.parts(s, band) for band in self.bands_of(len(s))]).view(np.int64)
 
 
 # ---- search within a block -----------------------------------------------------------
@@ -214,8 +193,7 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     are ignored. ``df`` must be a stable table, scanned more than once in the same way.
     """
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = df.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    scan = stored(_signed(docs.select("row", "text"), n, percent, counts))
+    scan = stored(_signed(docs.select("row", "text"), n, percent))
     copies = scan.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stored(copies.select("k1", "k2", "first"))
     # blocks: rows that share a signature in a task, and rows that stand for a signature in several
@@ -267,13 +245,13 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     )
 
 
-def _signed(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
+def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """For each row: size and key of its set, the signatures it stands for (the first in its
     part of a task to have them) and the rows that stand for its others."""
     schema = "row long, n_shingles long, k1 long, k2 long, signatures array<long>, firsts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sign = Shingles(n), Signatures(percent, counts.value)
+        shingles, sign = Shingles(n), Signatures(percent)
         seen: list[np.ndarray] = []
         facts: list[tuple[int, int, int, int]] = []
 
