@@ -15,7 +15,7 @@ SAMPLE_ROWS = 8192  # bound of the sample that the code books are fitted on
 ETA = 4.0  # weight of the residual parallel to the vector against the rest of it
 CHUNK = 4096  # vectors scanned together
 BLOCK = 1024  # queries scanned together
-RERANK = 128  # candidates of a chunk that are measured exactly, for each query
+RERANK = 128  # candidates of a chunk that are measured first, for each query
 
 
 class Codebooks:
@@ -83,9 +83,14 @@ class Codebooks:
         even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return (even[:, ::2] << 4 | even[:, 1::2]).astype(np.uint8)
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The centres that packed codes stand for: rows x subspaces x sub."""
+        codes = np.stack([packed >> 4, packed & 15], -1).reshape(len(packed), -1)[:, : len(self.centres)]
+        return self.centres[np.arange(len(self.centres)), codes]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of queries with two centres at once: queries x bytes x 256."""
-        one = np.einsum("qjd,jkd->qjk", self.split(queries), self.centres).astype(np.float32)
+        one = np.einsum("qjd,jkd->qjk", self.split(queries), self.centres)
         if one.shape[1] % 2:
             one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, 256)
@@ -128,10 +133,12 @@ def search(index: DataFrame, queries: DataFrame, books: Codebooks, id_col: str,
     query_id, rank, vec_id, score; ties go to the smaller id.
 
     Queries are gathered into blocks of BLOCK rows; every part of the index meets each
-    block once (an equi-join on the block's number). In a task, a scan of code
-    tables estimates the inner product of query and vector, less half the vector's
-    square, which ranks as the distance does; the best RERANK of each chunk are measured
-    exactly on the vectors themselves, and only ``k`` rows a chunk leave the task.
+    block once (an equi-join on the block's number). In a task, a scan of code tables
+    gives the distance of query and quantised vector; less the vector's own distance to
+    its quantised form it is never above the true one. The RERANK rows of each chunk with
+    the lowest bound are measured on the vectors themselves, then all others whose bound
+    isn't above the ``k``-th distance found: the result is that of brute force. Only ``k``
+    rows a chunk leave the task.
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query"))
     size = max(1, -(-q.count() // BLOCK))
@@ -176,23 +183,44 @@ def pieces_of(index: DataFrame, parts: int) -> int:
 
 
 def _scan(qi, qv, vi, v, codes, books: Codebooks, k: int) -> pa.RecordBatch:
-    half = ((v**2).sum(1) / 2).astype(np.float32)
+    decoded = books.decode(codes)
+    far = np.sqrt(((books.split(v) - decoded) ** 2).sum((1, 2)))  # of each vector from its quantised form
+    square = (decoded**2).sum((1, 2))
     out: list[tuple] = []
     for lo in range(0, len(qi), 16):
-        tables = books.tables(qv[lo : lo + 16])
-        estimate = np.repeat(-half[None], len(tables), 0)
+        q = qv[lo : lo + 16]
+        tables = books.tables(q)
+        inner = np.zeros((len(q), len(vi)))
         for j in range(codes.shape[1]):
-            estimate += tables[:, j, codes[:, j]]
-        for i in range(len(tables)):
-            near = np.arange(len(vi)) if len(vi) <= RERANK else np.argpartition(-estimate[i], RERANK)[:RERANK]
-            near = near[vi[near] != qi[lo + i]]
-            distance = np.sqrt(((v[near] - qv[lo + i]) ** 2).sum(1))
+            inner += tables[:, j, codes[:, j]]
+        sums = (q**2).sum(1)[:, None] + square
+        # a little less than the bound, for the rounding of the sums
+        lower = np.sqrt(np.maximum(sums * (1 - 1e-12) - 2 * inner, 0)) - far * (1 + 1e-9) - 1e-9 * np.sqrt(sums)
+        for i in range(len(q)):
+            lower[i, vi == qi[lo + i]] = np.inf
+            near, distance = _nearest(q[i], v, lower[i], k)
             order = np.lexsort((vi[near], distance))[:k]
             out.append((np.full(len(order), qi[lo + i]), vi[near][order], distance[order]))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
 
+def _nearest(q: np.ndarray, v: np.ndarray, lower: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold the ``k`` nearest and all that tie with them, and their distances:
+    every row whose lower bound doesn't exclude it is measured (infinite: never)."""
+    measure = lambda rows: np.sqrt(((v[rows] - q) ** 2).sum(1))
+    first = np.arange(len(v)) if len(v) <= RERANK else np.argpartition(lower, RERANK)[:RERANK]
+    first = first[lower[first] < np.inf]
+    distance = measure(first)
+    if len(v) <= RERANK:
+        return first, distance
+    reach = np.partition(distance, k - 1)[k - 1] if len(first) >= k else np.finfo(float).max
+    more = lower <= reach
+    more[first] = False
+    rest = np.flatnonzero(more)
+    return np.concatenate([first, rest]), np.concatenate([distance, measure(rest)])
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "embedding")
     books = fit(vectors, "embedding")

@@ -106,6 +106,26 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits / 150 >= 0.9
 
 
+@pytest.mark.parametrize("dims", [5, 32])
+def test_neighbours_of_a_full_chunk_with_a_hot_cluster(dims):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(neighbours.CHUNK, dims)).astype(np.float32).astype(float)
+    ids = rng.permutation(len(v)) + 100
+    v[:1400] = v[0]  # one hot vector
+    v[1400:2800] = v[1400] + rng.normal(size=(1400, dims)) * 1e-3  # one dense cluster
+    books = neighbours.Codebooks(v[rng.permutation(len(v))[:1000]])
+    codes = books.pack(books.encode(v))
+    asked = np.r_[0:1400:100, 1400:2800:100, 2800:4096:100]
+    got = neighbours._scan(ids[asked], v[asked], ids, v, codes, books, 10).to_pandas()
+    for a in asked:
+        d = np.sqrt(((v - v[a]) ** 2).sum(1))
+        d[a] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        mine = got[got.query_id == ids[a]]
+        assert mine.vec_id.tolist() == ids[want].tolist()
+        assert mine.score.tolist() == d[want].tolist()
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     books = neighbours.fit(none, "embedding")
