@@ -16,6 +16,12 @@ BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4)  # lengths of the hashed subwords, in bytes, of a word between two marks
 WIDTH = 16
 UNKNOWN = "und"
+PIECES = (1, 3, 10, 30, 100, 300)  # words of the held-back pieces that calibrate, besides whole texts
+EDGES = (16, 64, 256, 1024, 4096)  # numbers of subwords at which a class of lengths begins
+CLASS_ROWS = 50  # a class of fewer pieces is calibrated on all of them
+ALPHA = 0.002  # share of the right pieces that rejection loses
+ERROR = 0.01  # wrong pieces among the accepted, as far as losing no more than LOST of the right gives it
+LOST = 0.01
 
 
 # ---- features -----------------------------------------------------------------------
@@ -47,33 +53,73 @@ def has_letter(word: str) -> bool:
 # ---- training --------------------------------------------------------------------------
 class Model:
     """Class scores of each bucket (embedding times softmax weights), bias, temperature
-    and the confidence below which a prediction is rejected."""
+    and, for each class of lengths, the confidence below which a prediction is rejected."""
 
-    def __init__(self, langs, scores, bias, temperature, threshold):
-        self.langs, self.scores, self.bias, self.temperature, self.threshold = langs, scores, bias, temperature, threshold
+    def __init__(self, langs, scores, bias, temperature):
+        self.langs, self.scores, self.bias, self.temperature = langs, scores, bias, temperature
+        self.thresholds = np.zeros(len(EDGES) + 1)
 
     def probabilities(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
         z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def accepts(self, score: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return score >= self.thresholds[np.searchsorted(EDGES, count, "right")]
+
+    def calibrate(self, texts: list[tuple[list[str], int]], rng: np.random.Generator) -> None:
+        """Thresholds of the predicted language's probability, from pieces of texts (words,
+        language) of all lengths."""
+        total, count, y = [], [], []
+        for words, lang in texts:
+            for size in {min(k, len(words)) for k in (*PIECES, len(words))} - {0}:
+                at = rng.integers(len(words) - size + 1)
+                buckets, _ = subwords(words[at : at + size])
+                total.append(self.scores[buckets].sum(axis=0, dtype=np.float64))
+                count.append(len(buckets))
+                y.append(lang)
+        if not y:
+            return
+        count = np.array(count)
+        p = self.probabilities(np.stack(total), count)
+        score, right = p.max(axis=1), p.argmax(axis=1) == np.array(y)
+        kind = np.searchsorted(EDGES, count, "right")
+        for c in range(len(self.thresholds)):
+            mine = kind == c if (kind == c).sum() >= CLASS_ROWS else np.ones(len(kind), bool)
+            self.thresholds[c] = threshold(score[mine], right[mine]) - 1e-6  # rounding of the sums
+
+
+def threshold(score: np.ndarray, right: np.ndarray) -> float:
+    """The ALPHA quantile of the right scores; more, if more than ERROR of what it accepts
+    is wrong, up to the LOST quantile. With no right score nothing is accepted."""
+    if not right.any():
+        return np.inf
+    low, high = (float(np.quantile(score[right], a)) for a in (ALPHA, LOST))
+    for t in np.append(np.unique(score[(score > low) & (score < high)]), high):
+        if (~right[score >= low]).mean() <= ERROR:
+            break
+        low = float(t)
+    return low
+
 
-def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate: float = 0.5, alpha: float = 0.0005) -> Model:
+def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate: float = 0.5) -> Model:
     """Stochastic gradient descent on labelled texts; every fifth text only calibrates.
 
     Whole texts are used, cut into segments of some words, so that short documents are
-    seen as well. The temperature minimises the loss on the calibration part; the
-    rejection threshold is the ``alpha`` quantile there of the probability of the true
-    language, so that about one in 1/alpha right documents falls below it, and at most the
-    chance level of 1 in number of languages plus a tenth.
+    seen as well. The temperature minimises the loss on the calibration part, and the
+    rejection thresholds come from pieces of it (see ``threshold``). Fewer than five texts
+    leave none for it: then those that the model is fitted on calibrate.
     """
     rng = np.random.default_rng(5)
     langs = sorted({lang for _, lang in rows})
     if not langs:
-        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
+        return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0)
     samples: list[list[tuple[np.ndarray, int]]] = [[], []]
+    whole: list[tuple[list[str], int]] = []
     for number, (text, lang) in enumerate(rows):
         words = [w for w in text.lower().split() if has_letter(w)]
+        if number % 5 == 4 or len(rows) < 5:
+            whole.append((words, langs.index(lang)))
         for k in range(0, len(words), segment):
             buckets, _ = subwords(words[k : k + segment])
             samples[number % 5 == 4].append((buckets, langs.index(lang)))
@@ -98,7 +144,7 @@ def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate:
         bias -= lr * 0.1 * p
         np.subtract.at(emb, buckets, lr * back / len(buckets) * 4)
     scores = emb @ out
-    model = Model(langs, scores.astype(np.float32), bias, 1.0, 0.0)
+    model = Model(langs, scores.astype(np.float32), bias, 1.0)
     if hold:
         total = np.stack([scores[b].sum(axis=0) for b, _ in hold])
         count, y = np.array([len(b) for b, _ in hold]), np.array([y for _, y in hold])
@@ -108,8 +154,7 @@ def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate:
             return -np.log(model.probabilities(total, count)[np.arange(len(y)), y] + 1e-12).mean()
 
         model.temperature = min((2.0**k for k in np.arange(-4, 4.25, 0.25)), key=loss)
-        true = model.probabilities(total, count)[np.arange(len(y)), y]
-        model.threshold = float(min(np.quantile(true, alpha), 1 / len(langs) + 0.1))
+    model.calibrate(whole, rng)
     return model
 
 
@@ -165,7 +210,7 @@ def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds lang_pred, score (probability of it) and accepted (score not below the
-    calibrated threshold). Texts that are null or have no letter give ``und``, 0.0 and
+    threshold calibrated for texts of that length). Texts that are null or have no letter give ``und``, 0.0 and
     false. Only the text decides. Other columns pass through; those of the same names
     are replaced; repeated rows stay; an empty table gives none.
     """
@@ -181,7 +226,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             best = p.argmax(axis=1)
             score = np.where(letter, p[np.arange(len(best)), best], 0.0)
             names = [scorer.model.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-            return [pa.array(names, pa.string()), pa.array(score), pa.array(letter & (score >= scorer.model.threshold))]
+            return [pa.array(names, pa.string()), pa.array(score), pa.array(letter & scorer.model.accepts(score, count))]
 
         return run
 

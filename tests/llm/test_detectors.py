@@ -86,6 +86,21 @@ def test_language(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA), nothing).count() == 0
 
 
+def test_language_rejects_unlearned_languages_and_junk(spark):
+    words = {"en": "the of and is house water", "fr": "le la les est maison eau", "de": "der die das ist haus wasser"}
+    rng = np.random.default_rng(6)
+    made = lambda k, n: " ".join(rng.choice(k.split(), n))
+    rows = [(i, made(words[("en", "fr", "de")[(i + (i % 25 == 0)) % 3]], 30), ("en", "fr", "de")[i % 3], "s", 1) for i in range(900)]  # one in 25 mislabelled
+    model = language.fitted(spark.createDataFrame(rows, SCHEMA))
+    junk = lambda: " ".join("".join(rng.choice(list("bcdfgjkqvxz0123456789"), 9)) for _ in range(30))
+    asked = {"unlearned": [made("kuuma joki talvi pimeys ruoka lumi", 30) for _ in range(100)], "junk": [junk() for _ in range(100)], "learned": [made(words[k], 30) for k in words for _ in range(40)]}
+    share = {}
+    for name, texts in asked.items():
+        found = language.identify(spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], SCHEMA), model).collect()
+        share[name] = np.mean([r.accepted for r in found])
+    assert share["unlearned"] <= 0.1 and share["junk"] <= 0.1 and share["learned"] >= 0.9, share
+
+
 def test_neighbours_recall_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, 12)).astype(np.float32)
