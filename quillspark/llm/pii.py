@@ -38,6 +38,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -90,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field ------------------------------------------------------------------------
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
 MAX_TOKENS = 16  # of a segment
-REACH = 64  # characters of context kept around a token that a segment must hold
+REACH = 64  # half the characters in which the tokens ahead of an anchor are first looked for
 MARGIN = 2.0  # log-odds that an added span needs over being no span
 
 # --- fixed values: words that announce a kind ------------------------------------------
@@ -107,7 +108,7 @@ N_FEATURES = 26
 def _features(kind: int, words: list[str], seg: str, before: list[str], left: str, right: str) -> list[int] | None:
     """Numbers of the features of a whole segment for a kind; None if it cannot be one."""
     digits = NOT_DIGIT.sub("", seg)
-    groups = [w for w in words if w.isdigit()]
+    groups = [w for w in words if DIGIT.match(w)]
     marks = {w for w in words if not w.isalnum()}
     f = [0]
     if kind == 0:
@@ -163,18 +164,20 @@ def _candidates(text: str, tokens: list[tuple[str, int, int]]):
     for i, (w, start, _) in enumerate(tokens):
         if not (w.isalnum() or w in "(+"):
             continue
-        digits, has_at, letters = 0, False, False
+        digits, ats, at, dotted, letters = 0, 0, i, False, False
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             if j > i and tokens[j][1] - tokens[j - 1][2] > 1 or "\n" in text[tokens[j - 1][2] : tokens[j][1]] and j > i:
                 break
             t = words[j]
             digits += len(t) if t.isdigit() else 0
-            has_at |= lows[j] in AT
+            if lows[j] in AT:
+                ats, at = ats + 1, j
+            dotted |= lows[j] in DOT and i < at < j - 1
             letters |= t.isalpha()
             if digits > 19 and not letters:
                 break
             end = tokens[j][2]
-            kinds = ([0] if has_at and j > i + 3 else []) + ([1] if j == i + 6 and not letters else []) + ([2, 3] if digits >= 7 and not letters else [])
+            kinds = ([0] if dotted and ats == 1 and at < j - 2 and lows[j].isalpha() and lows[i].isalnum() else []) + ([1] if j == i + 6 and not letters else []) + ([2, 3] if digits >= 7 and not letters else [])
             for k in kinds:
                 f = _features(k, words[i : j + 1], text[start:end], lows[max(0, i - 3) : i], text[start - 1 : start], text[end : end + 1])
                 if f:
@@ -301,7 +304,48 @@ def trained(examples: int = 900, rounds: int = 6, rate: float = 0.3) -> np.ndarr
 
 
 # ---- both together -------------------------------------------------------------------------
-ANCHOR = re.compile(r"[0-9][0-9 ().\-/+]{5,}[0-9]|@| at [^\n]{1,40} dot ")
+# what every segment holds: an at before a dot, or in one run of numbers and marks (with at
+# most one character between two tokens) seven digits or four dotted numbers
+ANCHOR = re.compile(r"@|(?<![^\W\d_])[aA][tT](?![^\W\d_])|[0-9](?:(?:[^\S\n]|(?![0-9])\d)?[0-9()+\-./])*")
+DOTTED = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+BEFORE = MAX_TOKENS + 2  # tokens ahead of an anchor that a segment with it looks at
+
+
+def _back(text: str, at: int, floor: int) -> int:
+    """Where the BEFORE tokens ahead of a position start, or more of them; ``floor`` at least."""
+    size = 2 * REACH
+    while True:
+        lo = max(floor, at - size)
+        while lo > floor and not text[lo - 1].isspace():
+            lo -= 1
+        if lo == floor or sum(1 for _ in TOKEN.finditer(text, lo, at)) >= BEFORE:
+            return lo
+        size = 2 * (at - lo)
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Disjoint parts of a text, ending at tokens, that hold every segment that can be an
+    entity with the tokens its features look at."""
+    out: list[tuple[int, int]] = []
+    for m in ANCHOR.finditer(text):
+        word = m[0] == "@" or m[0][0] in "aA"
+        if not word and sum(map(len, DIGITS.findall(m[0]))) < 7 and not DOTTED.search(m[0]):
+            continue
+        hi, dot = m.end(), False
+        for n, t in enumerate(TOKEN.finditer(text, m.end())):
+            if n == MAX_TOKENS:
+                break
+            hi = t.end()
+            dot |= t[0].lower() in DOT
+        if word and not dot:
+            continue
+        floor = out[-1][1] if out else 0
+        lo = _back(text, m.start(), floor) if m.start() > floor else floor
+        if out and lo <= floor:
+            out[-1] = out[-1][0], max(hi, floor)
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def find_spans(text: str, weights: np.ndarray) -> list[dict]:
@@ -309,20 +353,7 @@ def find_spans(text: str, weights: np.ndarray) -> list[dict]:
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
     found = [(s, KINDS.index(k), e, True) for k, s, e in base]
-    if not ("@" in text or " dot " in text or DIGIT.search(text)):
-        return []
-    stretches: list[list[int]] = []
-    for m in ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        while lo > 0 and not text[lo - 1].isspace() and m.start() - lo < 2 * REACH:
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace() and hi - m.end() < 2 * REACH:
-            hi += 1
-        if stretches and lo <= stretches[-1][1]:
-            stretches[-1][1] = max(hi, stretches[-1][1])
-        else:
-            stretches.append([lo, hi])
-    for lo, hi in stretches:
+    for lo, hi in stretches(text):
         for kind, s, e in decode_spans(text, weights, lo, hi):
             if not any(s < b and a < e for a, b in taken):
                 found.append((s, KINDS.index(kind), e, False))
@@ -334,8 +365,8 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
     points (end exclusive), and whether a base pattern gave it; by start, then kind.
 
     Null and empty texts have none (an empty array). Very long texts are searched as a
-    whole: the field only looks at stretches around digits or @, outside of which no
-    segment can be an entity. Repeated rows stay; other columns pass through; one named
+    whole: the field only looks at stretches around anchors (see ANCHOR), outside of which
+    no segment can be an entity. Repeated rows stay; other columns pass through; one named
     ``spans_col`` is replaced.
     """
     weights = trained()

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -41,6 +42,38 @@ def test_pii_field_adds_spans(text, found):
     assert [s["kind"] for s in pii.find_spans(text, pii.trained()) if not s["base"]] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("write to john [at] mail [dot] com today", "email"),
+        ("write to john (at) mail (dot) com today", "email"),
+        ("write to john AT mail DOT com today", "email"),
+        ("call 415\u00a0555\u00a00134 now", "phone"),
+        ("call 415\t555\t0134 now", "phone"),
+    ],
+)
+def test_pii_anchors_of_other_forms(text, kind):
+    whole = pii.decode_spans(text, pii.trained(), 0, len(text))
+    got = [(s["kind"], s["start"], s["end"]) for s in pii.find_spans(text, pii.trained()) if not s["base"]]
+    assert got == whole
+    assert pii.stretches(text) and (kind != "email" or [k for k, _, _ in whole] == [kind])
+
+
+def test_pii_around_anchors_as_the_whole_text():
+    rng = random.Random(12)
+    weights = np.where(pii.trained() == 0, 0, pii.trained() + 0.5)  # more segments pass
+    bits = ["at", "AT", "@", "dot", "DOT", ".", "[", "]", "(", ")", " ", " ", " ", " ", "\t", "\u00a0", "\n", "  ", "-", "+", "/", "_", "john", "mail", "com", "tel", "x" * 70, "\u0663", "\u00b2", "1", "42", "415", "5550134", "4111 1111 1111 1111", "10.2.3.4", "café"]
+    some = 0
+    for n in range(1500):
+        text = "".join(rng.choice(bits) + rng.choice(("", " ")) for _ in range(rng.randint(1, 120)))
+        if n % 3 == 0:
+            text = " ".join(pii._example(rng)[0].replace(*rng.choice(((" at ", " [at] "), (" dot ", " (DOT) "), (" ", "\u00a0"), ("-", "\t")))) for _ in range(4))
+        whole = pii.decode_spans(text, weights, 0, len(text))
+        assert [x for lo, hi in pii.stretches(text) for x in pii.decode_spans(text, weights, lo, hi)] == whole, text
+        some += len(whole)
+    assert some > 500
+
+
 def test_pii_emails_as_the_pattern():
     for text in ("a@b@c.com x.y+z@d-e.org.", "@a.b", "a@b", "a@b.", "q@w.e@r.t", "..@x.y", "é.a@b.c"):
         assert [m.span() for m in pii._emails(text)] == [m.span() for m in pii.EMAIL.finditer(text)]
