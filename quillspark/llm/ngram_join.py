@@ -13,7 +13,8 @@
    binary search for what can still reach the overlap (DivideSkip).
 5. Blocks too large for one task are first compared with one of their documents; what is
    linked with it is one group already, and only the others are searched for, in
-   every part of the block.
+   every part of the block. The others are dealt out too: a task holds one part of the
+   block and one of the others.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import documents, drop_stored, join_small, scratch, stored
 from .components import components
 
 FLUSH_ROWS = 4096  # rows whose signatures a task compares before it passes them on
+DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
 BLOCK_SHINGLES = 2_000_000  # shingles of a block that one task searches (16 MB)
 
 
@@ -85,7 +87,10 @@ class Signatures:
     can be there. Linked sets of at most m shingles differ in at most
     h = 2 m (100 - percent) / (100 + percent). Of p parts at least p - h agree; each set
     leaves out its p - h - 1 lowest in one order of all parts (fewest shingles first), so
-    the highest part that agrees is left in by both.
+    the highest part that agrees is left in by both. Empty parts have no signature: where
+    more than h parts aren't empty, one of these agrees. Sets of fewer are dealt out again
+    by another hash, at most DEALS times, and after that sign with their h + 1 first
+    shingles in one order of all, of which linked sets share one.
     """
 
     def __init__(self, percent: int):
@@ -100,16 +105,22 @@ class Signatures:
         at = next(i for i, (lo, hi) in enumerate(self.made) if lo <= size <= hi)
         return [at] + ([at + 1] if 100 * size >= self.percent * self.made[at + 1][0] else [])
 
-    def parts(self, s: np.ndarray, band: int) -> np.ndarray:
+    def parts(self, s: np.ndarray, band: int, deal: int = 0) -> np.ndarray:
         differ = 2 * self.made[band][1] * (100 - self.percent) // (100 + self.percent)
+        mark = np.uint64(((band + 1) << 40) + (deal << 32))
+        if deal == DEALS:
+            return mix(np.sort(mix(s))[: differ + 1] ^ mix(np.array([mark])))
         p = differ + 1 + differ // 8
-        part = (s % np.uint64(p)).astype(np.int64)
+        dealt = mix(s ^ np.uint64(deal << 32)) if deal else s
+        part = (dealt % np.uint64(p)).astype(np.int64)
         size = np.bincount(part, minlength=p)
         some = size > 0
         sums = np.zeros(p, np.uint64)
         sums[some] = np.add.reduceat(mix(s)[np.argsort(part, kind="stable")], (np.cumsum(size) - size)[some])
-        hashes = mix(sums ^ mix(np.arange(p, dtype=np.uint64) + np.uint64((band + 1) << 40)))
-        return hashes[np.lexsort((hashes, size))[p - differ - 1 :]]
+        hashes = mix(sums ^ mix(np.arange(p, dtype=np.uint64) + mark))
+        kept = np.lexsort((hashes, size))[p - differ - 1 :]
+        found = hashes[kept[some[kept]]]
+        return found if some.sum() > differ else np.concatenate([found, self.parts(s, band, deal + 1)])
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         return np.concatenate([self.parts(s, band) for band in self.bands_of(len(s))]).view(np.int64)
@@ -210,7 +221,7 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     sized = join_small(sized, copies, ["k1", "k2"], "left", 64).filter("first is null or first = row")
     sizes = sized.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("total") / block_shingles).cast("int")))
-    members = join_small(sized.select("row", "block"), sizes.select("block", "parts", "pivot"), ["block"], "inner", 64)
+    members = join_small(sized.select("row", "block", "n_shingles"), sizes.select("block", "parts", "pivot"), ["block"], "inner", 64)
     members = stored(members)
     texts = stored(join_small(docs.select("row", "text"), members, ["row"], "inner", 72))
     links = _search(texts.filter("parts = 1").withColumns({"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}), n, percent)
@@ -223,8 +234,15 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
         star = stored(_search(index.unionByName(pivot), n, percent))
         known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
         others = join_small(big.filter("row != pivot"), stored(known), ["row"], "left_anti", 24)
-        asked = others.withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
-        links = links.unionByName(star).unionByName(_search(index.unionByName(asked), n, percent))
+        others = stored(others)
+        shares = stored(others.groupBy("block").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("shares")))
+        # cells of one part of the block and one share of the others
+        every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+        held = join_small(index, shares, ["block"], "inner", 16).withColumn("share", every_share)
+        asked = join_small(others, shares, ["block"], "inner", 16).withColumns({"query": F.lit(True), "index": F.lit(False)})
+        asked = asked.withColumn("part", everywhere).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).cast("int"))
+        cells = held.unionByName(asked).withColumn("part", F.col("part").cast("long") * F.col("shares") + F.col("share"))
+        links = links.unionByName(star).unionByName(_search(cells, n, percent))
     with scratch(df.sparkSession) as keep:
         groups = keep(components(links))
     drop_stored(texts)

@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,48 @@ def test_ngram_groups_against_brute_force(spark, tmp_path, n, percent, room):
     assert sum(r.stays for r in got) == groups
 
 
+def test_large_blocks_are_searched_in_bounded_cells(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    words, texts = [f"w{k}" for k in range(60)], []
+    for i in range(150):  # copies that drift away from the first
+        words[rng.integers(60)] = f"d{i}"
+        texts.append(" ".join(words))
+    docs = stable(spark, tmp_path, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA))
+    room, cells, search = 900, [], ngram_join._search
+
+    def watched(rows, n, percent):
+        size = F.size(F.split("text", " ")) * F.when(F.col("index") | F.col("query"), 1)
+        cells.extend(r.s for r in rows.groupBy("block", "part").agg(F.sum(size).alias("s")).collect())
+        return search(rows, n, percent)
+
+    monkeypatch.setattr(ngram_join, "_search", watched)
+    got = ngram_join.ngram_groups(docs, "doc_id", n=3, percent=80, block_shingles=room).collect()
+    want, _ = brute(docs.collect(), 3, 80)
+    assert Counter((r.doc_id, r.component, r.n_shingles) for r in got) == want
+    assert len(cells) > 20 and max(cells) <= 4 * room
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_signature(percent):
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sign = ngram_join.Signatures(percent)
+    for size in range(1, 75):
+        for _ in range(40):
+            a = np.unique(draw(size))
+            b = np.union1d(a[rng.random(size) > rng.choice((0.05, 0.15, 0.3))], draw(rng.integers(0, 2 + size // 4)))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert np.intersect1d(sign(a), sign(b)).size
+
+
+def test_short_unlinked_sets_share_no_signature():
+    rng = np.random.default_rng(8)
+    sign = ngram_join.Signatures(80)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(2, 40)).astype(np.uint64)) for _ in range(3000)]
+    assert max(Counter(x for s in sets for x in np.unique(sign(s)).tolist()).values()) == 1
+
+
 def test_ngram_groups_of_nothing(spark, tmp_path):
     assert ngram_join.ngram_groups(stable(spark, tmp_path, spark.createDataFrame([], SCHEMA)), "doc_id").count() == 0
 
