@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -72,13 +72,24 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
-    """0.65 cosine + 0.25 token overlap + 0.10 share of hint words, kept above 0.30."""
+    """Items like the first one: 0.65 cosine of tf-idf weights + 0.25 token overlap + 0.10
+    share of the first one's issues, kept above 0.30."""
     b = table(spark, d, "benchmark")
-    first = b.orderBy("item_id").first()["text"]
-    mine = F.array_distinct(X.tokenize(F.lit(first)))
-    jac = tfidf.jaccard(F.array_distinct(X.tokenize(F.col("text"))), mine)
-    score = tfidf.blend(jac, jac, F.when(jac > 0.5, 1.0).otherwise(0.0))
-    return b.select("item_id", F.round(score, 6).alias("score")).filter("score > 0.30")
+    return _blended(b, b.orderBy("item_id").first())
+
+
+def _blended(b: DataFrame, first: Row | None) -> DataFrame:
+    own, text = (first["item_id"], first["text"]) if first else (None, None)
+    postings = tfidf.weights(b, "item_id", "text")
+    scored = tfidf.dots(postings, postings.filter(F.col("doc") == F.lit(own))).withColumnRenamed("doc", "item_id")
+    norm = postings.filter(F.col("doc") == F.lit(own)).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).first()[0] or 0.0
+    cos = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.lit(norm)), F.lit(0.0))
+    jac = tfidf.jaccard(F.array_distinct(X.tokenize(F.col("text"))), F.array_distinct(X.tokenize(F.lit(text))))
+    asked = issues.direct_issues(F.lit(text))
+    hits = F.size(F.array_intersect(issues.direct_issues(F.col("text")), asked))
+    issue = F.coalesce(F.try_divide(hits.cast("double"), F.size(asked).cast("double")), F.lit(0.0))
+    score = F.round(tfidf.steady(tfidf.blend(cos, jac, issue)), 6)
+    return b.join(scored, "item_id", "left").select("item_id", score.alias("score")).filter("score > 0.30")
 
 
 def smart_truncated(spark: SparkSession, d: str) -> DataFrame:

@@ -273,3 +273,25 @@ def test_study_class(spark):
     assert got.name == "criminal_procedure"
     assert one(spark, classify.study_class(F.col("t")), t="형사소송법 및 형법제1조의 고의").name == "criminal_law"
     assert one(spark, classify.study_class(F.col("t")), t="헌법상 헌법적").name == "general"
+
+
+def test_blended_against_brute_force(spark):
+    from quillspark.plans.text import _blended
+
+    texts = ["절도 고의 alpha beta gamma", "alpha alpha alpha alpha zeta eta theta iota", "절도 사건 alpha beta", "고의 절도 alpha beta gamma", "nothing like it", None, "절도"]
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    tokens = [[w for w in (t or "").split() if len(w) > 1 and w not in vocab.STOPWORDS] for t in texts]
+    idf = {w: np.log((len(texts) + 1) / (sum(w in t for t in tokens) + 1)) + 1 for t in tokens for w in t}
+    weights = [{w: t.count(w) / len(t) * idf[w] for w in t} for t in tokens]
+    norm = [np.sqrt(sum(x * x for x in w.values())) for w in weights]
+    want = {}
+    for i, t in enumerate(tokens):
+        cos = sum(x * weights[0].get(w, 0) for w, x in weights[i].items()) / (norm[i] * norm[0]) if norm[i] else 0.0
+        jac = len(set(t) & set(tokens[0])) / len(set(t) | set(tokens[0]))
+        hits = sum(k in (texts[i] or "") for k in ("절도", "고의")) / 2
+        score = 0.65 * cos + 0.25 * jac + 0.10 * hits
+        if score > 0.30:
+            want[i] = round(score, 6)
+    got = {r.item_id: r.score for r in _blended(b, b.orderBy("item_id").first()).collect()}
+    assert got.keys() == want.keys() and 1 < len(want) < len(texts)
+    assert all(abs(got[i] - want[i]) < 2e-6 for i in want)
