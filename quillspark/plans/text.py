@@ -155,15 +155,21 @@ def quiz_items(spark: SparkSession, d: str) -> DataFrame:
     return answers.summarize(docs, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "text", "words")
 
 
-def _cases(spark: SparkSession, d: str) -> DataFrame:
+OVERLAP = 79  # characters; a question is searched by at most one more
+
+
+def _cases(docs: DataFrame) -> DataFrame:
+    """Whole texts as cases: each third is a field, and reaches into the next so far that
+    a question that crosses their border is found."""
     text = F.col("text")
-    return table(spark, d, "documents").select(
+    third = F.ceil(F.length(text) / 3).cast("int")
+    return docs.select(
         F.concat(F.lit("2024도"), F.col("doc_id").cast("string")).alias("case_number"),
         F.col("source").alias("case_name"),
         F.col("lang").alias("subject"),
-        F.substring(text, 1, 200).alias("issue_summary"),
-        F.substring(text, 201, 200).alias("holding_summary"),
-        F.substring(text, 401, 200).alias("exam_points"),
+        F.substring(text, F.lit(1), third + OVERLAP).alias("issue_summary"),
+        F.substring(text, third + 1, third + OVERLAP).alias("holding_summary"),
+        F.substring(text, 2 * third + 1, third).alias("exam_points"),
         F.timestamp_seconds("doc_id").alias("updated_at"),
     )
 
@@ -171,7 +177,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for intent in ("summary", "compare", "qa", "quiz"):
-        one = answers.answer(_cases(spark, d), "2024도7", intent).withColumn("intent", F.lit(intent))
+        one = answers.answer(_cases(table(spark, d, "documents")), "2024도7", intent).withColumn("intent", F.lit(intent))
         out = one if out is None else out.unionByName(one)
     return out
 

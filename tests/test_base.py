@@ -295,3 +295,14 @@ def test_blended_against_brute_force(spark):
     got = {r.item_id: r.score for r in _blended(b, b.orderBy("item_id").first()).collect()}
     assert got.keys() == want.keys() and 1 < len(want) < len(texts)
     assert all(abs(got[i] - want[i]) < 2e-6 for i in want)
+
+
+def test_cases_hold_the_whole_text(spark):
+    from quillspark.plans.answers import retrieve
+    from quillspark.plans.text import _cases
+
+    asked = "needle phrase"
+    places = (10, 393, 650, 795, 1187)  # two of them across the borders of the thirds
+    rows = [(n, "x" * at + asked + "y" * (1200 - at - len(asked)), "s", "en") for n, at in enumerate(places)]
+    docs = spark.createDataFrame([*rows, (9, "z" * 1200, "s", "en"), (10, None, "s", "en")], "doc_id long, text string, source string, lang string")
+    assert {r.case_number for r in retrieve(_cases(docs), asked, 10).collect()} == {f"2024도{n}" for n in range(len(places))}
