@@ -1,7 +1,7 @@
 """Byte-pair merging in numpy, shared by the token operators.
 
-Nothing here knows about Spark: these are the per-task helpers that the
-Arrow functions in ``tokens.py`` and ``token_files.py`` call.
+Nothing here knows about Spark: these are the per-task helpers that the Arrow
+functions in ``tokens.py``, ``token_files.py`` and ``packing.py`` call.
 
 Rows of equal length bucket form one padded matrix.  In each round every row
 merges its leftmost pair of minimum rank; pair ranks come from an open-addressed
@@ -13,20 +13,20 @@ by one column a round.
 from __future__ import annotations
 
 import base64
-import contextlib
-import gc
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-NONE = np.int64(2**31 - 1)  # rank of a pair that does not merge
-LONG_ROW = 256  # symbols; longer rows merge all equal minimum pairs in one round
-KEEP_CHARS = 64  # longer pieces are encoded each time and never cached
+NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
+CELLS = 1 << 18  # of one matrix: longer rows have fewer rows beside them
+WIDE = 256  # columns from which a round merges every occurrence of a row's pair
 
-# --- fixed values: the split pattern of the public rank files -----------------
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?O+|S+(?!\S)|S+"""
 # --- fixed values: letters and numbers of newer Unicode versions, which the
 # tokenizer libraries still treat as neither (first and last code point) ---------
 NEWER = """
@@ -37,18 +37,64 @@ a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a
 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e
 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
+MARKS = ".,;:!?"  # a run of these after a word is one piece
+LATIN = "^[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+$"  # letters to every library, and in lower case as well
 
 
 def split_pattern() -> regex.Pattern:
     """The public split pattern with the classes that the tokenizer libraries use."""
     newer = "".join("\\U{:0>8}-\\U{:0>8}".format(*r.split("-")) for r in NEWER.split())
     classes = {
-        "L": f"[\\p{{L}}--[{newer}]]",
-        "N": f"[\\p{{N}}--[{newer}]]",
-        "O": f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]",
-        "S": r"\s",
+        r"\p{L}": f"[\\p{{L}}--[{newer}]]",
+        r"\p{N}": f"[\\p{{N}}--[{newer}]]",
+        r"[^\s\p{L}\p{N}]": f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]",
     }
-    return regex.compile(regex.sub(r"([LNOS])\+", lambda m: classes[m[1]] + "+", SPLIT), regex.V1)
+    names = "|".join(regex.escape(c) for c in sorted(classes, key=len, reverse=True))
+    return regex.compile(regex.sub(names, lambda m: classes[m[0]], public_tokenizers.PATTERN), regex.V1)
+
+
+@dataclass
+class Ragged:
+    """Rows of different lengths: row i is values[starts[i]:starts[i + 1]]."""
+
+    values: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, values: np.ndarray, counts: Iterable[int] | np.ndarray) -> Ragged:
+        counts = np.asarray(counts, np.int64)
+        return cls(values, np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        n = self.counts[rows]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self.starts[rows] - (ends - n), n)
+        return Ragged.of(self.values[at], n)
+
+    def through(self, other: Ragged) -> Ragged:
+        """Each value replaced by the row of ``other`` that it numbers."""
+        taken = other.take(self.values)
+        return Ragged(taken.values, taken.starts[self.starts])
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum of the weights that its values number."""
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(weights[self.values], dtype=np.int64)])
+        return total[self.starts[1:]] - total[self.starts[:-1]]
+
+
+def bytes_of(texts: pa.Array) -> Ragged:
+    """The UTF-8 bytes of each text."""
+    if not len(texts):
+        return Ragged(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    _, offsets, data = texts.cast(pa.large_string()).buffers()
+    starts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    flat = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)
+    return Ragged(flat[starts[0] : starts[-1]], starts - starts[0])
 
 
 class PairTable:
@@ -61,9 +107,9 @@ class PairTable:
         self.shift = np.uint64(64 - bits)
         self.mask = (1 << bits) - 1
         self.keys = np.full(1 << bits, np.uint64(2**64 - 1))
-        self.rank = np.full(1 << bits, NONE)
-        self.merged = np.zeros(1 << bits, np.int64)
-        rank, merged = np.asarray(rank, np.int64), np.asarray(merged, np.int64)
+        self.rank = np.full(1 << bits, NONE, np.int32)
+        self.merged = np.zeros(1 << bits, np.int32)
+        rank, merged = np.asarray(rank, np.int32), np.asarray(merged, np.int32)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = self.keys[slot] == np.uint64(2**64 - 1)
@@ -85,9 +131,9 @@ class PairTable:
         found = self.keys[slot]
         open_ = np.flatnonzero((found != keys) & (found != np.uint64(2**64 - 1)))
         while len(open_):
-            slot.flat[open_] = (slot.flat[open_] + 1) & self.mask
-            found = self.keys[slot.flat[open_]]
-            open_ = open_[(found != keys.flat[open_]) & (found != np.uint64(2**64 - 1))]
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.keys[slot[open_]]
+            open_ = open_[(found != keys[open_]) & (found != np.uint64(2**64 - 1))]
         hit = self.keys[slot] == keys
         return np.where(hit, self.rank[slot], NONE), self.merged[slot]
 
@@ -98,9 +144,17 @@ class Merger:
     def __init__(self, byte_ids: np.ndarray, pairs: PairTable, token_bytes: list[bytes], in_rank_order: bool):
         self.byte_ids, self.pairs, self.token_bytes = byte_ids, pairs, token_bytes
         self.in_rank_order = in_rank_order  # every merge only makes pairs of higher rank
-        self.table = decode_table(token_bytes)
+        self.table = Ragged.of(np.frombuffer(b"".join(token_bytes), np.uint8), [len(t) for t in token_bytes])
+        self.joined = np.zeros((256, 256), bool)  # bytes that some token has side by side
+        for t in token_bytes:
+            b = np.frombuffer(t, np.uint8)
+            self.joined[b[:-1], b[1:]] = True
 
     # ---- vocabularies --------------------------------------------------------
+    @classmethod
+    def from_file(cls, path: str) -> Merger:
+        return cls.from_json(path) if path.endswith(".json") else cls.from_ranks(path)
+
     @classmethod
     def from_ranks(cls, path: str) -> Merger:
         """A rank file: one base64 token and its rank on each line."""
@@ -115,7 +169,7 @@ class Merger:
         by_id = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             by_id[r] = t
-        byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         ordered = all(r > (a if len(by_id[a]) > 1 else -1) and r > (b if len(by_id[b]) > 1 else -1) for a, b, r, _ in rows)
         return cls(byte_ids, PairTable(*zip(*rows, strict=True)), by_id, ordered)
 
@@ -131,7 +185,7 @@ class Merger:
         for t, i in vocab.items():
             by_id[i] = bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode()
         char = {b: c for c, b in to_byte.items()}
-        byte_ids = np.array([vocab[char[i]] for i in range(256)], np.int64)
+        byte_ids = np.array([vocab[char[i]] for i in range(256)], np.int32)
         made: dict[int, int] = {}
         for _, _, i, m in rows:
             made.setdefault(m, i)
@@ -139,88 +193,125 @@ class Merger:
         return cls(byte_ids, PairTable(*zip(*rows, strict=True)), by_id, ordered)
 
     # ---- merging -------------------------------------------------------------
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        out = [b""] * len(pieces)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        single = [self.byte_ids[i].astype("<u4").tobytes() for i in range(256)]
-        for i in np.flatnonzero(lengths == 1).tolist():
-            out[i] = single[pieces[i][0]]
-        for i in np.flatnonzero(lengths > LONG_ROW).tolist():
-            out[i] = self._long(pieces[i]).astype("<u4").tobytes()
+    def encode(self, pieces: pa.Array) -> Ragged:
+        """Ids of each piece."""
+        whole = bytes_of(pieces)
+        # no merge joins two bytes that no token has side by side, so long pieces are cut there
+        long_ = np.repeat(whole.counts >= WIDE, whole.counts)
+        cut = np.zeros(len(whole.values) + 1, bool)
+        cut[1:-1] = long_[1:] & ~self.joined[whole.values[:-1], whole.values[1:]]
+        cut[whole.starts] = True
+        rows = Ragged(whole.values, np.flatnonzero(cut))
+        ids = self._rows(rows)
+        return Ragged(ids.values, ids.starts[np.searchsorted(rows.starts, whole.starts)])
+
+    def _rows(self, raw: Ragged) -> Ragged:
+        """Ids of rows of bytes, none of them empty."""
+        lengths = raw.counts
+        single = np.flatnonzero(lengths == 1)
+        done = [(single, np.ones(len(single), np.int64), self.byte_ids[raw.values[raw.starts[single]]])]
         low = 2
-        while low <= LONG_ROW:  # buckets 2-3, 4-7, 8-15, ...
-            rows = np.flatnonzero((lengths >= low) & (lengths < 2 * low) & (lengths <= LONG_ROW))
-            for k in range(0, len(rows), 16384):
-                self._bucket(pieces, lengths, rows[k : k + 16384], out)
+        while low <= lengths.max(initial=0):  # buckets 2-3, 4-7, 8-15, ...
+            rows = np.flatnonzero((lengths >= low) & (lengths < 2 * low))
+            step = max(1, CELLS // (2 * low))
+            for k in range(0, len(rows), step):
+                self._bucket(raw, rows[k : k + step], low >= WIDE, done)
             low *= 2
-        return out
-
-    def _bucket(self, pieces, lengths, rows, out) -> None:
-        n, width = len(rows), int(lengths[rows].max())
-        raw = np.frombuffer(b"".join([pieces[i] for i in rows.tolist()]), np.uint8)
-        inside = np.arange(width) < lengths[rows][:, None]
-        sym = np.full((n, width), -1, np.int64)
-        sym[inside] = self.byte_ids[raw]
-        rank = np.full((n, width - 1), NONE)
+        rows, counts, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return Ragged.of(ids, counts).take(np.argsort(rows))
+
+    def _bucket(self, raw: Ragged, rows: np.ndarray, wide: bool, done: list) -> None:
+        mine = raw.take(rows)
+        n, width = len(rows), int(mine.counts.max())
+        inside = np.arange(width) < mine.counts[:, None]
+        sym = np.full((n, width), -1, np.int32)
+        sym[inside] = self.byte_ids[mine.values]
+        rank = np.full((n, width - 1), NONE, np.int32)
         both = inside[:, 1:]
         rank[both] = self.pairs(sym[:, :-1][both], sym[:, 1:][both])[0]
+        step = self._every if wide else self._leftmost
         while len(rows):
-            line = np.arange(len(rows))
-            width = sym.shape[1]
-            at = rank.argmin(axis=1) if width > 1 else line * 0  # leftmost of the smallest
-            live = rank[line, at] < NONE if width > 1 else np.zeros(len(rows), bool)
+            live = rank.min(axis=1, initial=NONE) < NONE
             if not live.all():
-                self._finish(rows[~live], sym[~live], out)
-                rows, sym, rank, at = rows[live], sym[live], rank[live], at[live]
-                line = np.arange(len(rows))
-            if not len(rows):
-                return
-            _, new = self.pairs(sym[line, at], sym[line, at + 1])
-            cols = np.arange(width - 1)
-            sym = np.take_along_axis(sym, cols + (cols > at[:, None]), axis=1)
-            sym[line, at] = new
-            cols = np.arange(width - 2)
-            rank = np.take_along_axis(rank, cols + (cols >= at[:, None]), axis=1)
-            for side in (at - 1, at):  # the two pairs that hold the new symbol
-                ok = (side >= 0) & (side < width - 2)
-                i, j = line[ok], side[ok]
-                right = sym[i, j + 1]
-                real = right >= 0
-                rank[i, j] = NONE
-                rank[i[real], j[real]] = self.pairs(sym[i[real], j[real]], right[real])[0]
+                self._finish(rows[~live], sym[~live], done)
+                rows, sym, rank = rows[live], sym[live], rank[live]
+            if len(rows):
+                sym, rank = step(sym, rank)
+
+    def _leftmost(self, sym, rank):
+        """Merges the leftmost pair of minimum rank of every row."""
+        line, width = np.arange(len(sym)), sym.shape[1]
+        at = rank.argmin(axis=1)  # leftmost of the smallest
+        _, new = self.pairs(sym[line, at], sym[line, at + 1])
+        cols = np.arange(width - 1)
+        sym = np.take_along_axis(sym, cols + (cols > at[:, None]), axis=1)
+        sym[line, at] = new
+        cols = np.arange(width - 2)
+        rank = np.take_along_axis(rank, cols + (cols >= at[:, None]), axis=1)
+        for side in (at - 1, at):  # the two pairs that hold the new symbol
+            ok = (side >= 0) & (side < width - 2)
+            self._rank(sym, rank, line[ok], side[ok])
+        return sym, rank
+
+    def _every(self, sym, rank):
+        """Merges the pairs of minimum rank of every row from the left, all that don't
+        overlap: where no merge makes a pair of so low a rank, that is what as many rounds
+        of leftmost merges do; other rows merge their leftmost pair. Rows stay in the matrix;
+        long ones take fewer rounds."""
+        n, width = sym.shape
+        cols = np.arange(width - 1)
+        hit = rank == rank.min(axis=1)[:, None]
+        run = hit & ~np.pad(hit, ((0, 0), (1, 0)))[:, :-1]
+        first = np.maximum.accumulate(np.where(run, cols, 0), axis=1)
+        hit &= (cols - first) % 2 == 0  # every second of pairs that overlap
+        i, j = np.nonzero(hit)
+        made = self.pairs(sym[i, j], sym[i, j + 1])[1]
+        if not self.in_rank_order:  # rows in which a merge makes a pair of so low a rank
+            before = np.where(j > 0, sym[i, np.maximum(j - 1, 0)], -1)
+            after = np.where(j + 2 < width, sym[i, np.minimum(j + 2, width - 1)], -1)
+            low = np.full(len(i), NONE)
+            for left, right in ((before, made), (made, after), (made, made)):
+                real = (left >= 0) & (right >= 0)
+                low[real] = np.minimum(low[real], self.pairs(left[real], right[real])[0])
+            strict = np.zeros(n, bool)
+            strict[i[low <= rank[i, j]]] = True
+            hit[strict] = False  # merge their leftmost pair alone
+            hit[strict, rank[strict].argmin(axis=1)] = True
+            i, j = np.nonzero(hit)
+            made = self.pairs(sym[i, j], sym[i, j + 1])[1]
+        sym[i, j] = made
+        keep = sym >= 0
+        keep[i, j + 1] = False
+        to = np.cumsum(keep, axis=1) - 1
+        left = int(to[:, -1].max()) + 1
+        line, col = np.nonzero(keep)
+        new = np.full((n, left), -1, np.int32)
+        new[line, to[line, col]] = sym[line, col]
+        ranks = np.full((n, max(left - 1, 0)), NONE, np.int32)
+        inner = col < width - 1
+        line, col = line[inner], col[inner]
+        ok = to[line, col] < left - 1
+        ranks[line[ok], to[line[ok], col[ok]]] = rank[line[ok], col[ok]]
+        at = to[i, j]
+        for side in (at - 1, at):
+            ok = (side >= 0) & (side < left - 1)
+            self._rank(new, ranks, i[ok], side[ok])
+        return new, ranks
+
+    def _rank(self, sym, rank, i, j) -> None:
+        right = sym[i, j + 1]
+        real = right >= 0
+        rank[i, j] = NONE
+        rank[i[real], j[real]] = self.pairs(sym[i[real], j[real]], right[real])[0]
 
     @staticmethod
-    def _finish(rows, sym, out) -> None:
+    def _finish(rows, sym, done) -> None:
         keep = sym >= 0
-        blob = sym[keep].astype("<u4").tobytes()
-        at = 0
-        for i, end in zip(rows.tolist(), (np.cumsum(keep.sum(axis=1)) * 4).tolist(), strict=True):
-            out[i] = blob[at:end]
-            at = end
-
-    def _long(self, piece: bytes) -> np.ndarray:
-        """One long row. All pairs of the minimum rank merge in one round, left to
-        right, where no pair that this makes has a rank as low; else the leftmost."""
-        sym = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        while len(sym) > 1:
-            rank, new = self.pairs(sym[:-1], sym[1:])
-            low = rank.min()
-            if low == NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            start = np.flatnonzero(np.diff(at, prepend=-9) != 1)  # of overlapping pairs, every second of a run
-            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 0]
-            made = np.full(1, new[at[0]])
-            if len(at) > 1 and not self.in_rank_order:
-                before, after = sym[at[at > 0] - 1], sym[at[at + 2 < len(sym)] + 2]
-                both = [(before, made[0]), (made[0], after), (made, made[0])]
-                if min(int(self.pairs(*np.broadcast_arrays(x, y))[0].min(initial=NONE)) for x, y in both) <= low:
-                    at = at[:1]
-            sym = sym.copy()
-            sym[at] = made[0]
-            sym = np.delete(sym, at + 1)
-        return sym
+        done.append((rows, keep.sum(axis=1), sym[keep]))
+
+    def decode(self, ids: Ragged) -> Ragged:
+        """The bytes of each row's ids, gathered in one step."""
+        return ids.through(self.table)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -231,126 +322,113 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def decode_table(token_bytes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' bytes in one array, with each token's offset and length."""
-    length = np.array([len(t) for t in token_bytes], np.int64)
-    return np.frombuffer(b"".join(token_bytes), np.uint8), np.concatenate([[0], np.cumsum(length)[:-1]]), length
-
-
-def decode(ids: np.ndarray, table) -> bytes:
-    """Bytes of the tokens, one after another, gathered in one step."""
-    flat, offset, length = table
-    n = length[ids]
-    ends = np.cumsum(n)
-    if not len(ends):
-        return b""
-    pos = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(offset[ids], n)
-    return flat[pos].tobytes()
-
-
-@contextlib.contextmanager
-def no_gc():
-    """Large caches of strings hold no cycles; scanning them over and over is waste."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
-class Chunks:
-    """Turns texts into per-text values through bounded caches of shorter pieces.
-
-    A text splits at single spaces into chunks that keep the space in front.  As
-    long as no space touches other white space, no match of the split pattern
-    crosses a chunk's end, so a chunk's value never depends on its neighbours.
-    Texts in which one does are split by the pattern as a whole.
-
-    ``encode`` gives a value for each distinct piece (one match of the pattern);
-    ``join`` puts values of consecutive pieces together.  A cache that holds
-    ``room`` entries becomes the old one, from which entries still in use move to
-    the next; memory stays bounded.
+class Names:
+    """Numbers strings in the order in which they come."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+
+    def __call__(self, s: str) -> int:
+        return self.index.setdefault(s, len(self.index))
+
+
+def chunks(parts: pa.ListArray) -> tuple[Ragged, pa.Array]:
+    """Lists of strings as numbers into the distinct ones."""
+    coded = parts.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return Ragged.of(codes, pc.list_value_length(parts).to_numpy(zero_copy_only=False)), coded.dictionary
+
+
+class Pieces:
+    """What distinct strings fall apart into: one row of piece numbers a string. ``words``
+    are the distinct words of Latin letters, perhaps with marks after them (a piece of their
+    own); they have the lowest numbers. All other pieces are in ``others``."""
+
+    def __init__(self, strings: pa.Array, cut: Callable[[str], list[str]], fold: Callable[[pa.Array], pa.Array] = lambda a: a):
+        core = pc.utf8_rtrim(strings, characters=MARKS)
+        word = pc.match_substring_regex(core, LATIN)
+        coded = fold(core.filter(word)).dictionary_encode()
+        self.words, self.name = coded.dictionary, Names()
+        sized, whole = (pc.utf8_length(x.filter(word)).to_numpy(zero_copy_only=False) for x in (core, strings))
+        marked = whole > sized
+        tails = [s[n:] for s, n in zip(strings.filter(word).filter(pa.array(marked)).to_pylist(), sized[marked].tolist(), strict=True)]
+        rest = [cut(s) for s in strings.filter(pc.invert(word)).to_pylist()]
+        is_word = word.to_numpy(zero_copy_only=False)
+        counts = np.ones(len(strings), np.int64)
+        counts[is_word] += marked
+        counts[~is_word] = list(map(len, rest))
+        self.table = Ragged.of(np.zeros(int(counts.sum()), np.int64), counts)
+        flat, at = self.table.values, self.table.starts[:-1]
+        flat[at[is_word]] = coded.indices.to_numpy(zero_copy_only=False)
+        flat[at[is_word][marked] + 1] = self.number(tails)
+        flat[np.repeat(~is_word, counts)] = self.number([p for found in rest for p in found])
+
+    def number(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.name, pieces), np.int64, len(pieces)) + len(self.words)
+
+    def add(self, rows: list[list[str]]) -> int:
+        """More rows at the end of the table; gives the number of the first."""
+        first = len(self.table.starts) - 1
+        values = np.concatenate([self.table.values, self.number([p for r in rows for p in r])])
+        self.table = Ragged.of(values, np.concatenate([self.table.counts, np.array(list(map(len, rows)), np.int64)]))
+        return first
+
+    @property
+    def others(self) -> list[str]:
+        return list(self.name.index)
+
+
+def pieces(texts: pa.Array, pattern: regex.Pattern, special: regex.Pattern | None = None) -> tuple[Ragged, Pieces]:
+    """Splits texts into pieces, the matches of the pattern: rows of chunk numbers (one row a
+    text), and the pieces of each chunk. Words have a space in front that isn't written.
+
+    A text splits at single spaces into chunks that keep the space in front.  As long as no
+    space touches other white space, no match of the pattern crosses a chunk's end, so a
+    chunk's pieces never depend on its neighbours, and each distinct chunk is split once.
+    Texts in which one does, or with special strings (pieces of their own), are split by
+    the pattern as a whole and are one chunk.
     """
-
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable[[Iterable], object], room: int = 450_000):
-        self.encode, self.join, self.room = encode, join, room
-        self.pattern = split_pattern()
-        self.cache: dict[str, object] = {}  # of chunks, without their space
-        self.old: dict[str, object] = {}
-        self.pieces: dict[str, object] = {}  # of pieces that don't start with a space
-
-    def _learn(self, parts: set[str]) -> set[str]:
-        """Fills the cache for chunks; returns those that white space touches."""
-        cache, old, odd = self.cache, self.old, set()
-        words: set[str] = set()
-        pairs: list[tuple[str, str, str]] = []
-        cut: dict[str, list[str]] = {}
-        for part in parts.difference(cache):
-            value = old.get(part)
-            if value is not None:
-                cache[part] = value
-            elif part.isalpha():
-                words.add(part)
-            elif not part or part[0].isspace() or part[-1].isspace():
-                odd.add(part)
-            else:
-                core = part.rstrip(".,;:!?")  # letters and then such marks: two pieces
-                if core.isalpha():
-                    pairs.append((part, core, part[len(core) :]))
-                    if core not in cache:
-                        words.add(core)
-                else:
-                    cut[part] = self.pattern.findall(" " + part)
-        other = {x for c in cut.values() for x in c} | {tail for _, _, tail in pairs}
-        other.difference_update(self.pieces)
-        new_words, new_other = sorted(words, key=len), sorted(other, key=len)
-        values = self.encode([" " + w for w in new_words] + new_other)
-        cache.update(zip(new_words, values[: len(new_words)], strict=True))
-        self.pieces.update(zip(new_other, values[len(new_words) :], strict=True))
-        for part, core, tail in pairs:
-            cache[part] = self.join((cache[core], self.pieces[tail]))
-        for part, c in cut.items():
-            cache[part] = self.join(map(self.pieces.__getitem__, c))
-        self.long = [p for p in (*words, *cut, *(p for p, _, _ in pairs)) if len(p) > KEEP_CHARS]
-        return odd
-
-    def values(self, texts: list[str]) -> list:
-        """One joined value for each text."""
-        with no_gc():
-            return self._values(texts)
-
-    def _values(self, texts: list[str]) -> list:
-        if len(self.cache) > self.room:
-            self.cache, self.old = {}, self.cache
-        if len(self.pieces) > self.room:
-            self.pieces = {}
-        split = [t.split(" ") for t in texts]
-        firsts = [parts[0] for parts in split]
-        for parts in split:
-            parts[0] = ""
-        need: set[str] = set()
-        for parts in split:
-            need.update(parts[1:])
-        odd = self._learn(need)
-        cuts: list[list[str]] = []  # of whole texts, or of what comes before the first space
-        for i, (first, parts) in enumerate(zip(firsts, split, strict=True)):
-            if len(parts) > 1 and (not first or first[-1].isspace()) or (odd and not odd.isdisjoint(parts[1:])):
-                cuts.append(self.pattern.findall(texts[i]))
-                split[i] = []
-            else:
-                cuts.append(self.pattern.findall(first))
-        new = list({x for c in cuts for x in c}.difference(self.pieces))
-        self.pieces.update(zip(new, self.encode(new), strict=True))
-        piece, chunk = self.pieces.__getitem__, self.cache.__getitem__
-        out = [
-            self.join((self.join(map(piece, c)), self.join(map(chunk, parts[1:]))))
-            for c, parts in zip(cuts, split, strict=True)
-        ]
-        for p in new:  # long pieces are few but large: they don't stay
-            if len(p) > KEEP_CHARS:
-                del self.pieces[p]
-        for p in self.long:
-            self.cache.pop(p, None)
-        return out
+    rows, strings = chunks(pc.split_pattern(texts, " "))
+    found = Pieces(strings, lambda c: pattern.findall(" " + c))
+    first, last = rows.starts[:-1], rows.starts[1:] - 1  # a text has one chunk at least
+    front = pc.match_substring_regex(strings, r"^(\s|[\p{Z}\x0b\x1c-\x1f\x85]|$)").to_numpy(zero_copy_only=False)
+    back = pc.match_substring_regex(strings, r"(\s|[\p{Z}\x0b\x1c-\x1f\x85])$").to_numpy(zero_copy_only=False)
+    touched, after, codes = front[rows.values], back[rows.values], rows.values.copy()
+    touched[first] = after[last] = False
+    whole = set((np.searchsorted(rows.starts, np.flatnonzero(touched | after), "right") - 1).tolist())
+    if special is not None:
+        whole |= set(np.flatnonzero(pc.match_substring_regex(texts, special.pattern)).tolist())
+    # the first chunk of a text has no space in front
+    start, where = np.unique(codes[first], return_inverse=True)
+    codes[first] = found.add([pattern.findall(c) for c in strings.take(pa.array(start)).to_pylist()]) + where
+    if not whole:
+        return Ragged(codes, rows.starts), found
+    order = np.array(sorted(whole))
+    size = rows.counts
+    inside = np.ones(len(size), bool)
+    inside[order] = False
+    kept = codes[np.repeat(inside, size)]
+    size[order] = 1
+    out = Ragged.of(np.zeros(int(size.sum()), np.int64), size)
+    out.values[np.repeat(inside, size)] = kept
+    out.values[out.starts[order]] = found.add([split_whole(texts[i].as_py(), pattern, special) for i in order.tolist()]) + np.arange(len(order))
+    return out, found
+
+
+def split_whole(text: str, pattern: regex.Pattern, special: regex.Pattern | None) -> list[str]:
+    out, at = [], 0
+    for m in special.finditer(text) if special is not None else ():
+        out += [*pattern.findall(text[at : m.start()]), m[0]]
+        at = m.end()
+    return out + pattern.findall(text[at:])
+
+
+def strings_of(found: Pieces) -> pa.Array:
+    """The pieces by their numbers, words with their space."""
+    return pa.concat_arrays([pc.binary_join_element_wise("", found.words, " "), pa.array(found.others, pa.string())])
+
+
+def encode_texts(texts: pa.Array, merger: Merger, pattern: regex.Pattern) -> Ragged:
+    """Ids of whole texts; each distinct piece is merged once."""
+    rows, found = pieces(texts, pattern)
+    return rows.through(found.table.through(merger.encode(strings_of(found))))

@@ -6,12 +6,16 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS = 512  # rows that one step of a task works on
+from .bpe import Ragged
+
+STEP_BYTES = 32 << 20  # of texts that one step of a task works on, if there is more than one
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,18 +29,27 @@ def vocabulary(name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share;
-    where that is unset (a local session, as in tests), below a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir (or what setCheckpointDir has set), which
+    driver and executors share. Where neither is set, a local session (as in tests) gets
+    a local one; a cluster is refused, since each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
 
 
 _scopes: list[list[str]] = []  # folders written inside each open scratch()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table in the shared folder and reads it again: cuts lineage, and
-    what is read back survives the loss of executors."""
+    """Writes a table in the shared folder and reads it again: cuts lineage, and what is
+    read back survives the loss of executors. Inside ``scratch`` the table goes when the
+    block ends, by ``drop_stored`` at once; else when the driver ends."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     if _scopes:
@@ -82,16 +95,39 @@ def with_columns(schema: T.StructType, fields: list[T.StructField]) -> T.StructT
     return T.StructType([f for f in schema.fields if f.name.lower() not in taken] + fields)
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """A column name near ``name`` that none of the taken ones equals."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def slices(batch: pa.RecordBatch, column: str, scale: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values in a column (of strings, or of lists of ``scale`` bytes
+    an element) take about STEP_BYTES, or one row."""
+    values = batch.column(batch.schema.get_field_index(column))
+    measure = pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length
+    ends = np.cumsum(pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64) * scale
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + STEP_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     fields: list[T.StructField],
-    make: Callable[[], Callable[[list[str]], list[pa.Array]]],
+    make: Callable[[], Callable[[pa.Array], list]],
 ) -> DataFrame:
-    """Adds columns computed from whole texts, a few hundred rows at a time.
+    """Adds columns computed from whole texts, some megabytes of them at a time.
 
-    ``make`` runs once in a task and returns the function from texts (null: empty)
-    to one Arrow array for each field.  All other columns pass through.
+    ``make`` runs once in a task and returns the function from an Arrow array of texts
+    (null: empty) to one Arrow array or list for each field; what it holds goes with the
+    task. All other columns pass through.
     """
     schema = with_columns(df.schema, fields)
     names = [f.name for f in schema.fields[: len(schema.fields) - len(fields)]]
@@ -100,25 +136,32 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
-                texts = [t or "" for t in b.column(text_col).to_pylist()]
+            for b in slices(whole, text_col):
+                texts = pc.fill_null(b.column(text_col), "")
                 made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(f(texts), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], schema=None, names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def list_array(rows: Ragged) -> pa.ListArray:
+    """Rows of numbers as an Arrow array of lists."""
+    if rows.starts[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("too many values for one Arrow batch")
+    return pa.ListArray.from_arrays(pa.array(rows.starts.astype(np.int32)), pa.array(rows.values))
+
+
+def with_end(ids: Ragged, end_id: int) -> Ragged:
+    """Rows of ids as little-endian unsigned 32-bit integers, each with ``end_id`` at its end."""
+    return Ragged(np.insert(ids.values.astype("<u4"), ids.starts[1:], end_id), ids.starts + np.arange(len(ids.starts)))
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
 
 
-def crc32_of(column: str) -> Column:
-    return F.crc32(F.col(column))
-
-
 SMALL_BYTES = 16 << 20  # a side up to this measured size is broadcast; beyond it, a shuffle join
 
 

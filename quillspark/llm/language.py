@@ -221,7 +221,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
 
         def run(texts):
-            total, count, letter = scorer(texts)
+            total, count, letter = scorer(texts.to_pylist())
             p = scorer.model.probabilities(total, count)
             best = p.argmax(axis=1)
             score = np.where(letter, p[np.arange(len(best)), best], 0.0)

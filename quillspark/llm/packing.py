@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe
-from .common import ROWS, documents, vocabulary
+from .common import documents, slices, spare, stored, vocabulary, with_end
+from .library import library
 
 WINDOW = 2048
 GROUP_WINDOWS = 128  # windows that are balanced together
@@ -33,74 +31,6 @@ PIECES = T.StructType(
 )
 
 
-# ---- tokens of a word-level vocabulary, through the tokenizers library ----------
-class Words:
-    """Ids of whole texts as the tokenizers library gives them, where the vocabulary
-    drops white space: a text is the sequence of its white-space separated chunks, so
-    each distinct chunk goes through the library once, in a cache of bounded size."""
-
-    def __init__(self, path: str, room: int = 450_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.room = room
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def values(self, texts: list[str]) -> list[bytes]:
-        with bpe.no_gc():
-            return self._values(texts)
-
-    def _values(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.room:
-            self.cache, self.old = {}, self.cache
-        # str.split() also splits at the four separators that the library keeps
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        need: set[str] = set()
-        for parts in split:
-            need.update(parts or ())
-        cache, words, pairs, same = self.cache, set(), [], []
-        for part in need.difference(cache):
-            value = self.old.get(part)
-            if value is not None:
-                cache[part] = value
-                continue
-            core = part.rstrip(".,;:!?")
-            if core.isalpha():  # a word, perhaps with a run of marks after it
-                low = core.lower() if core.isascii() else core  # the library lowers it as well
-                if low not in cache:
-                    words.add(low)
-                if len(core) < len(part):
-                    marks = part[len(core) :]
-                    pairs.append((part, low, marks))
-                    if marks not in cache:
-                        words.add(marks)
-                elif low != part:
-                    same.append((part, low))
-            else:
-                words.add(part)
-        todo = sorted(words, key=len)
-        cache.update(zip(todo, self.encode(todo), strict=True))
-        for part, low in same:
-            cache[part] = cache[low]
-        for part, low, marks in pairs:
-            cache[part] = cache[low] + cache[marks]
-        get = cache.__getitem__
-        out = [self.encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for p in (*need, *words):
-            if len(p) > bpe.KEEP_CHARS:
-                cache.pop(p, None)
-        return out
-
-
-@functools.lru_cache(2)
-def _words(path: str) -> Words:
-    return Words(path)
-
-
 # ---- differencing ---------------------------------------------------------------
 def karmarkar_karp(sizes: list[int], ways: int) -> list[list[int]]:
     """Splits items into so many sets of nearly equal sums; gives item numbers by set.
@@ -169,59 +99,91 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     are balanced together by Karmarkar-Karp differencing. One row for each piece:
     the id column, start (ids of the document before it), length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id (unique) and offset (gapless from 0).
-    A task packs what it reads, with no shuffle; it holds one group at a time. Repeated rows
-    are packed each; null ids pass through; an empty table gives none; other columns
-    are dropped.
+    A task balances what it reads, one group at a time; what is too little for a group is
+    passed on and balanced with that of other tasks, so that the padding doesn't depend on
+    the partitioning. Repeated rows are packed each; null ids pass through; an empty table
+    gives none; other columns are dropped.
     """
     id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), *PIECES.fields])
-    end = np.array([end_id], "<u4").tobytes()
-    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField(id_col, id_type), *PIECES.fields, T.StructField(spare("loose", [id_col]), T.BooleanType())])
+    loose = schema.fields[-1].name
+    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(spare("text", [id_col])))
 
     def run(batches):
-        words, sequence = _words(path), itertools.count(TaskContext.get().partitionId() << 33)
-        rows: list[tuple] = []
-        rest: list[tuple] = []  # (id, start, ids, doc_tokens)
-        waiting = 0
-
-        def balance():
-            nonlocal waiting
-            for items in windows_of([len(r[2]) // 4 for r in rest], window):
-                number, at = next(sequence), 0
-                for i in items:
-                    doc, start, ids, total = rest[i]
-                    rows.append((doc, start, len(ids) // 4, ids, total, number, at))
-                    at += len(ids) // 4
-            rest.clear()
-            waiting = 0
-
-        def flush():
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=schema.names)
-
-        arrow = None
+        out = Sequences(schema, window, 0)
         for whole in batches:
-            arrow = arrow or [whole.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
-                for doc, ids in zip(b.column(0).to_pylist(), words.values(b.column(1).to_pylist()), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    full = total - total % window
-                    for start in range(0, full, window):
-                        rows.append((doc, start, window, ids[start * 4 : (start + window) * 4], total, next(sequence), 0))
-                    for start in range(full, total, CUT):
-                        rest.append((doc, start, ids[start * 4 : (start + CUT) * 4], total))
-                    waiting += total - full
-                    if waiting >= GROUP_WINDOWS * window:
-                        balance()
-                yield flush()
-        if rest:
-            balance()
-            yield flush()
-
-    return docs.mapInArrow(run, schema)
+            for b in slices(whole, whole.schema.names[1]):
+                ids = with_end(library(path)(b.column(1)), end_id)
+                blob, starts = ids.values.tobytes(), (ids.starts * 4).tolist()
+                for doc, lo, hi in zip(b.column(0).to_pylist(), starts, starts[1:], strict=False):
+                    out.add(doc, blob[lo:hi])
+                yield out.flush(b.schema.field(0).type)
+        if out.rest:
+            out.pass_on()
+            yield out.flush(b.schema.field(0).type)
+
+    def again(batches):
+        out = Sequences(schema, window, 1)
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                out.hold(*row)
+            yield out.flush(b.schema.field(0).type)
+        if out.rest:
+            out.balance()
+            yield out.flush(b.schema.field(0).type)
+
+    first = stored(docs.mapInArrow(run, schema))
+    left = first.filter(loose)
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-tokens // (GROUP_WINDOWS * window * 16)))  # sixteen groups a task
+    both = first.filter(~F.col(loose)).unionByName(left.repartition(parts).mapInArrow(again, schema))
+    return both.drop(loose)
+
+
+class Sequences:
+    """Pieces of documents as rows, and those that wait for their group."""
+
+    def __init__(self, schema: T.StructType, window: int, turn: int):
+        self.schema, self.window = schema, window
+        self.numbers = itertools.count((2 * TaskContext.get().partitionId() + turn) << 33)
+        self.rows: list[tuple] = []
+        self.rest: list[tuple] = []  # (id, start, ids, doc_tokens)
+        self.waiting = 0
+
+    def add(self, doc, ids: bytes) -> None:
+        """A document: its full windows, and pieces of what is left."""
+        total = len(ids) // 4
+        full = total - total % self.window
+        for start in range(0, full, self.window):
+            self.rows.append((doc, start, self.window, ids[start * 4 : (start + self.window) * 4], total, next(self.numbers), 0, False))
+        for start in range(full, total, CUT):
+            self.hold(doc, start, ids[start * 4 : (start + CUT) * 4], total)
+
+    def hold(self, doc, start: int, ids: bytes, total: int) -> None:
+        self.rest.append((doc, start, ids, total))
+        self.waiting += len(ids) // 4
+        if self.waiting >= GROUP_WINDOWS * self.window:
+            self.balance()
+
+    def balance(self) -> None:
+        for items in windows_of([len(r[2]) // 4 for r in self.rest], self.window):
+            number, at = next(self.numbers), 0
+            for i in items:
+                doc, start, ids, total = self.rest[i]
+                self.rows.append((doc, start, len(ids) // 4, ids, total, number, at, False))
+                at += len(ids) // 4
+        self.rest, self.waiting = [], 0
+
+    def pass_on(self) -> None:
+        """What waits is for another task to balance."""
+        self.rows += ((doc, start, len(ids) // 4, ids, total, None, None, True) for doc, start, ids, total in self.rest)
+        self.rest, self.waiting = [], 0
+
+    def flush(self, id_type: pa.DataType) -> pa.RecordBatch:
+        types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 8
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=self.schema.names)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,7 +372,7 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
     weights = trained()
 
     def make():
-        return lambda texts: [[find_spans(t, weights) for t in texts]]
+        return lambda texts: [[find_spans(t, weights) for t in texts.to_pylist()]]
 
     return map_texts(df, text_col, [T.StructField(spans_col, SPANS)], make)
 
@@ -390,7 +390,7 @@ def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
             at = max(at, s["end"])
         return "".join([*out, text[at:]])
 
-    made = map_texts(df, text_col, [T.StructField("__masked", T.StringType())], lambda: lambda texts: [[masked(t) for t in texts]])
+    made = map_texts(df, text_col, [T.StructField("__masked", T.StringType())], lambda: lambda texts: [[masked(t) for t in texts.to_pylist()]])
     whole = F.when(F.col(text_col).isNotNull(), F.col("__masked"))
     return made.withColumn(text_col, whole).drop("__masked").select(*df.columns)
 

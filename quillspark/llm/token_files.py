@@ -15,12 +15,10 @@ decompresses only the frames of the documents asked for.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,9 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe
-from .common import ROWS, documents, shared_folder, vocabulary
-from .tokens import by_segments, specials
+from .common import documents, shared_folder, slices, spare, vocabulary, with_end
+from .library import library
 
 # --- fixed values: numbers of the seekable zstandard format -----------------------
 SKIPPABLE = 0x184D2A5E
@@ -44,7 +41,8 @@ HAS_CHECKSUM = 0x80
 
 DIRECTORY = 0x184D2A50  # skippable frame that holds the directory
 ENTRY = np.dtype([("stored", "<u4"), ("size", "<u4"), ("check", "<u4")])
-MANIFEST = "file string, first_id {id}, docs long, ids long"
+ROWS = 512  # documents that a reader unpacks at a time
+FILES = 1024  # files whose starts are summed in one group
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -113,39 +111,25 @@ class FrameReader:
         return (self.read(i) for i, d in enumerate(self.docs) if d == doc)
 
 
-@functools.lru_cache(2)
-def _library(path: str) -> bpe.Chunks:
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    return bpe.Chunks(lambda pieces: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)], b"".join)
-
-
-def library_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of byte-level vocabularies as the tokenizers library gives them: each distinct
-    piece goes through it once (see ``bpe.Chunks``)."""
-    special = specials(path)
-    chunks = _library(path)
-    return by_segments(texts, special, chunks.values, lambda s: chunks.encode([s])[0], b"".join)
-
-
 def write_token_files(df: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all documents, each with ``end_id`` at its end, in ascending
     order of their id; gives the manifest: one row a file, in the order of ``file``.
 
     Null texts count as empty (only ``end_id``); null ids come first; rows of equal id
-    are ordered by text; an empty table writes no file; other columns are ignored. Range
-    partitioning deals the rows out, so no task depends on one source. A file takes its
-    final name only when complete, so a task may be repeated at any time.
+    are ordered by text, repeated rows stay; an empty table writes no file; other columns are
+    ignored. Range partitioning by id (and how the text begins, so that one id may fill
+    several files) deals the rows out; only those are sampled for it, never whole texts. A file takes its final name only when complete, so a task may be repeated at any
+    time. Files belong to the caller.
     """
     id_type = df.schema[id_col].dataType
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text, mark = spare("text", [id_col]), spare("begins", [id_col])
     ordered = (
-        df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(parts, id_col, "text")
-        .sortWithinPartitions(id_col, "text")
+        df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text), F.coalesce(F.substring(text_col, 1, 24), F.lit("")).alias(mark))
+        .repartitionByRange(parts, id_col, mark)
+        .sortWithinPartitions(id_col, text)
+        .drop(mark)
     )
-    end = np.array([end_id], "<u4").tobytes()
     schema = T.StructType(
         [T.StructField("file", T.StringType()), T.StructField("first_id", id_type), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())]
     )
@@ -155,13 +139,14 @@ def write_token_files(df: DataFrame, path: str, end_id: int, folder: str, id_col
         uri = f"{folder}/{task.partitionId():08d}.tok"
         out, total, kind = None, 0, None
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
+            for b in slices(whole, whole.schema.names[1]):
                 kind = b.schema.field(0).type
                 out = out or FrameWriter(uri, f"{task.taskAttemptId()}.{os.getpid()}")
-                for doc, ids in zip(b.column(0).to_pylist(), library_ids(b.column(1).to_pylist(), path), strict=True):
-                    out.add(doc, ids + end)
-                    total += len(ids) // 4 + 1
+                ids = with_end(library(path)(b.column(1)), end_id)
+                blob, starts = ids.values.tobytes(), (ids.starts * 4).tolist()
+                for doc, lo, hi in zip(b.column(0).to_pylist(), starts, starts[1:], strict=False):
+                    out.add(doc, blob[lo:hi])
+                total += len(ids.values)
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays(
@@ -176,9 +161,17 @@ def write_token_files(df: DataFrame, path: str, end_id: int, folder: str, id_col
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", docs: list | None = None) -> DataFrame:
     """The documents in the files of a manifest: id, start (ids of all documents
     before it, in the order of the files), n_tokens and ids (little-endian unsigned
-    32-bit). With ``docs``, frames of other documents are neither read nor unpacked."""
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", "first_id", before.alias("base"), "docs")  # one row a file
+    32-bit). With ``docs``, frames of other documents are neither read nor unpacked. An
+    empty manifest gives none; rows of equal id all come.
+
+    Starts are summed over the files of each group of FILES, and the groups' sums (a row for
+    so many files) before them."""
+    numbered = manifest.withColumn("group", F.floor(F.regexp_extract("file", r"([0-9]+)\.tok$", 1).cast("long") / FILES))
+    sums = numbered.groupBy("group").agg(F.sum("ids").alias("sum"))
+    ahead = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("group", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
+    within = F.coalesce(F.sum("ids").over(Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = numbered.withColumn("within", within).join(bases, "group").select("file", "first_id", (F.col("ahead") + F.col("within")).alias("base"), "docs")
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = manifest.schema["first_id"].dataType
     schema = T.StructType(

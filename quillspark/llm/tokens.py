@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import functools
 import json
-import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import documents, map_texts, vocabulary
+from .common import documents, list_array, map_texts, slices, vocabulary, with_columns
 
 
-@functools.lru_cache(2)
-def _merger(path: str) -> bpe.Merger:
-    return bpe.Merger.from_json(path) if path.endswith(".json") else bpe.Merger.from_ranks(path)
-
-
-@functools.lru_cache(2)
-def _encoder(path: str) -> bpe.Chunks:
-    merger = _merger(path)
-    return bpe.Chunks(lambda pieces: merger.encode([p.encode() for p in pieces]), b"".join)
+def _shipped(df: DataFrame, path: str) -> Broadcast:
+    """The vocabulary for all tasks: its size doesn't depend on the input."""
+    return df.sparkSession.sparkContext.broadcast(bpe.Merger.from_file(path))
 
 
 def encode_bpe(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -34,41 +27,36 @@ def encode_bpe(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     Every match of the split pattern is encoded separately by the ranks, without
     special tokens: rows of padded matrices merge their leftmost minimum-rank pair
     each round.  Empty texts give an empty array, very long ones all of their ids;
-    repeated rows stay; other columns pass through, one named ``ids_col`` is replaced.
+    repeated rows stay; an empty table gives none; other columns pass through, one
+    named ``ids_col`` is replaced.
     """
+    merger = _shipped(df, path)
 
     def make():
-        chunks = _encoder(path)
-
-        def run(texts):
-            blobs = chunks.values(texts)
-            ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
-            ids = np.frombuffer(b"".join(blobs), "<i4")
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
-
-        return run
+        pattern = bpe.split_pattern()
+        return lambda texts: [list_array(bpe.encode_texts(texts, merger.value, pattern))]
 
     return map_texts(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode_bpe(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Adds the bytes of each row's ids; null or empty ids give empty bytes."""
-    fields = [f for f in df.schema.fields if f.name.lower() != bytes_col.lower()]
-    schema = T.StructType([*fields, T.StructField(bytes_col, T.BinaryType())])
-    names = [f.name for f in fields]
+    """Adds the bytes of each row's ids; null or empty ids give empty bytes.  Repeated rows
+    stay; an empty table gives none; other columns pass through, one named ``bytes_col``
+    is replaced."""
+    schema = with_columns(df.schema, [T.StructField(bytes_col, T.BinaryType())])
+    names = [f.name for f in schema.fields[:-1]]
+    merger = _shipped(df, path)
 
     def run(batches):
-        table = _merger(path).table
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
+            for b in slices(whole, ids_col, 4):
                 ids = b.column(ids_col)
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0), np.int64)
-                blob = bpe.decode(flat, table)
-                sizes = np.concatenate([[0], np.cumsum(table[2][flat])])[np.concatenate([[0], np.cumsum(counts)])]
-                made = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(blob)])
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, bytes_col])
+                counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                rows = bpe.Ragged.of(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                made = merger.value.decode(rows)
+                sizes = made.starts.astype(np.int32)  # a slice is far below 2 GB
+                column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(sizes.tobytes()), pa.py_buffer(made.values.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, bytes_col])
 
     return df.mapInArrow(run, schema)
 
@@ -85,62 +73,45 @@ def single_tokens(merger: bpe.Merger, pattern) -> frozenset[str]:
             continue
         if text and pattern.fullmatch(text) and pattern.findall(text) == [text]:
             texts.append(text)
-    sizes = map(len, merger.encode([t.encode() for t in texts]))
-    return frozenset(t for t, n in zip(texts, sizes, strict=True) if n == 4)
-
+    return frozenset(t for t, n in zip(texts, merger.encode(pa.array(texts)).counts.tolist(), strict=True) if n == 1)
 
-@functools.lru_cache(2)
-def _counter(path: str) -> bpe.Chunks:
-    merger = _merger(path)
-    chunks = bpe.Chunks(lambda pieces: [], sum)
-    known = single_tokens(merger, chunks.pattern)
 
-    def encode(pieces: list[str]) -> list[int]:
-        rest = [i for i, p in enumerate(pieces) if p not in known]
-        counts = [1] * len(pieces)
-        for i, ids in zip(rest, merger.encode([pieces[i].encode() for i in rest]), strict=True):
-            counts[i] = len(ids) // 4
-        return counts
-
-    chunks.encode = encode
-    return chunks
+def special_strings(path: str) -> list[str]:
+    """The strings inside texts that the library takes as one special token each."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
 
 
-@functools.lru_cache(4)
-def specials(path: str) -> re.Pattern | None:
-    """The strings inside texts that the library takes as one special token."""
-    with open(path, encoding="utf-8") as f:
-        found = [t["content"] for t in json.load(f).get("added_tokens", [])]
-    return re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True)))) if found else None
-
-
-def by_segments(texts: list[str], special: re.Pattern | None, values: Callable[[list[str]], list], of_special, join) -> list:
-    """Values of texts in which special strings stand for themselves: what lies
-    between them is handled apart."""
-    if special is None or not any(map(special.search, texts)):
-        return values(texts)
-    cut = [(special.split(t), special.findall(t)) for t in texts]
-    flat = iter(values([s for parts, _ in cut for s in parts]))
-    out = []
-    for parts, marks in cut:
-        mine = [next(flat) for _ in parts]
-        both = [mine[0]]
-        for mark, value in zip(marks, mine[1:], strict=True):
-            both += [of_special(mark), value]
-        out.append(join(both))
-    return out
+def specials(path: str) -> regex.Pattern | None:
+    found = sorted(special_strings(path), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, found))) if found else None
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of each whole text, as the library for ``path``
     counts them: special strings inside texts are one token; null counts as empty
     (0).  Pre-tokens proven to be one token are counted directly, only the rest is
-    merged.  Other columns pass through, one named ``count_col`` is replaced.
+    merged; the proof is made once, by the driver.  Repeated rows stay; an empty table
+    gives none; other columns pass through, one named ``count_col`` is replaced.
     """
+    merger = bpe.Merger.from_file(path)
+    special = specials(path)
+    known = pa.array(sorted(single_tokens(merger, bpe.split_pattern()) | set(special_strings(path))), pa.string())
+    shared = df.sparkSession.sparkContext.broadcast((merger, known))  # as large as the vocabulary
 
     def make():
-        chunks, special = _counter(path), specials(path)
-        return lambda texts: [by_segments(texts, special, chunks.values, lambda _: 1, sum)]
+        pattern = bpe.split_pattern()
+        merger, known = shared.value
+
+        def run(texts):
+            rows, found = bpe.pieces(texts, pattern, special)
+            pieces = bpe.strings_of(found)
+            size = np.ones(len(pieces), np.int64)
+            rest = pa.compute.invert(pa.compute.is_in(pieces, known))
+            size[rest.to_numpy(zero_copy_only=False)] = merger.encode(pieces.filter(rest)).counts
+            return [pa.array(rows.sums(found.table.sums(size)))]
+
+        return run
 
     return map_texts(df, text_col, [T.StructField(count_col, T.LongType())], make)
 

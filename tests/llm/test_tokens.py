@@ -1,15 +1,19 @@
 import base64
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import bpe, packing, token_files, tokens
+from quillspark.llm import bpe, common, packing, token_files, tokens
+from quillspark.llm.library import Library
 
 from .fixtures import SCHEMA, documents, texts
 
@@ -39,12 +43,38 @@ def test_encode_and_decode_as_the_library(spark, library):
     assert tokens.decode_bpe(tokens.encode_bpe(empty, MULTI), MULTI).count() == 0
 
 
+def mixed_texts():
+    rng = random.Random(3)
+    bits = ["a", "b", " ", "  ", "\n", "\t", ".", ",", "é", "1", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "İ", "日本", "\u0301", "\x1c", "\x85", "\u180e", "\u00a0", "Σας", "ΣΑΣ", "\u2003"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    return [*(t or "" for t in texts()), *made]
+
+
 def test_long_rows_merge_as_the_library(library):
-    chunks = bpe.Chunks(lambda ps, m=bpe.Merger.from_ranks(MULTI): m.encode([p.encode() for p in ps]), b"".join, room=3)
-    cases = ["a" * 3000, "ab" * 2000, "é" * 1500, "abcabd" * 500, *[t or "" for t in texts()]]
-    for got, text in zip(chunks.values(cases), cases, strict=True):
-        assert got == le(library.encode_ordinary(text))
-    assert chunks.values(cases) == chunks.values(cases)  # with caches emptied in between
+    rng = random.Random(5)
+    merger = bpe.Merger.from_ranks(MULTI)
+    cases = ["a" * 3000, "ab" * 2000, "é" * 1500, "abcabd" * 500, "日本語" * 400, "acgt" * 700, "".join(rng.choice("abcdefghijklmnop") for _ in range(9000)), *mixed_texts()]
+    got = bpe.encode_texts(pa.array(cases), merger, bpe.split_pattern())
+    for i, text in enumerate(cases):
+        assert got.values[got.starts[i] : got.starts[i + 1]].tolist() == library.encode_ordinary(text), text[:80]
+    back = merger.decode(got)
+    assert all(back.values[back.starts[i] : back.starts[i + 1]].tobytes() == t.encode() for i, t in enumerate(cases))
+
+
+@pytest.mark.parametrize("path", [JSON, WORDS])
+def test_pieces_through_the_library_as_whole_texts(path):
+    whole = Tokenizer.from_file(path)
+    cases = mixed_texts()
+    got = Library(path)(pa.array(cases))
+    for i, text in enumerate(cases):
+        assert got.values[got.starts[i] : got.starts[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "STEP_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "", "x" * 30, "abcdef", "abcd", "a"])], names=["t"])
+    parts = [b.column(0).to_pylist() for b in common.slices(batch, "t")]
+    assert parts == [["abc", None, ""], ["x" * 30], ["abcdef", "abcd"], ["a"]]
 
 
 def test_counts_as_the_library(spark):
@@ -98,6 +128,16 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 32, 200])
+def test_padding_does_not_depend_on_the_partitioning(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["word"] * int(rng.integers(1, 900)))) for i in range(1200)]
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), WORDS)
+    fill = made.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("ids"), F.count("*").alias("windows")).first()
+    assert fill.ids == sum(len(t.split()) + 1 for _, t in rows)
+    assert fill.ids / fill.windows > 0.97 * 2048
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 513, 600).tolist()
