@@ -9,13 +9,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Ragged
 
-STEP_BYTES = 32 << 20  # of texts that one step of a task works on, if there is more than one
+STEP_BYTES = 16 << 20  # of texts that one step of a task works on, if there is more than one
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +162,31 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def bounded_sample(df: DataFrame, columns: list[str], key: Column, rows: int) -> list[Row]:
+    """At most ``rows`` rows, those whose key hashes lowest, and of equal hashes any: a bounded
+    sample that doesn't depend on the partitioning. Only hashes are compared at first, about
+    twice as many as rows, whatever the size of the table; then only the chosen rows are sent."""
+    taken = spare("hash", df.columns)
+    hashed = df.withColumn(taken, F.xxhash64(key))
+    total = hashed.count()
+    share = 2.0 * rows / max(total, 1)
+    while True:
+        below = hashed if share >= 1 else hashed.filter(F.col(taken) < F.lit(int(-(2**63) + share * 2**64)))
+        counts = [(r[0], r[1]) for r in below.groupBy(taken).count().orderBy(taken).limit(rows).collect()]
+        if share >= 1 or sum(n for _, n in counts) >= rows:
+            break
+        share *= 4  # some keys have many rows
+    last, found = None, 0
+    for last, n in counts:
+        found += n
+        if found >= rows:
+            break
+    if last is None:
+        return []
+    chosen = hashed.filter(F.col(taken) <= last).select(*columns, F.col(taken).alias(taken)).limit(rows).collect()
+    return sorted(chosen, key=lambda r: (r[-1], repr(r)))
+
+
 SMALL_BYTES = 16 << 20  # a side up to this measured size is broadcast; beyond it, a shuffle join
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts
+from .common import bounded_sample, documents, map_texts
 
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4)  # lengths of the hashed subwords, in bytes, of a word between two marks
@@ -203,9 +203,9 @@ class Scorer:
 
 def sample_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> list[tuple[str, str]]:
     """At most ``rows`` labelled rows, those whose id hashes lowest: the bounded sample
-    that the model is fitted on."""
-    found = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col, F.xxhash64(id_col).alias("h"))
-    return [(r[0], r[1]) for r in found.orderBy("h", text_col).limit(rows).collect()]
+    that the model is fitted on. Null texts among them teach nothing."""
+    found = bounded_sample(df.filter(F.col(lang_col).isNotNull()), [text_col, lang_col], F.col(id_col), rows)
+    return [(r[0], r[1]) for r in found if r[0] is not None]
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
