@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_sample, stored, with_columns
+
 CENTRES = 16  # four bits
 SAMPLE_ROWS = 8192  # bound of the sample that the code books are fitted on
 ETA = 4.0  # weight of the residual parallel to the vector against the rest of it
 CHUNK = 4096  # vectors scanned together
-BLOCK = 1024  # queries scanned together
+QUERIES = 16  # queries scanned together
 RERANK = 128  # candidates of a chunk that are measured first, for each query
+KNOWN = 1024  # vectors of the sample that tell how far the nearest can be
+BLOCK_BYTES = 64 << 20  # of the queries that one pass over the index serves
 
 
 class Codebooks:
@@ -25,6 +29,7 @@ class Codebooks:
     def __init__(self, sample: np.ndarray, sub: int = 2, rounds: int = 12, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.sub = sub
+        self.known = sample[:KNOWN]
         self.dims = sample.shape[1] if len(sample) else 0
         x = self.split(sample)  # rows x subspaces x sub
         n, m, _ = x.shape
@@ -96,22 +101,27 @@ class Codebooks:
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(queries), -1, 256)
 
 
-def usable(df: DataFrame, vec_col: str) -> DataFrame:
-    """Rows whose vector is not null, not zero and has only finite components."""
+def usable(df: DataFrame, vec_col: str, id_col: str = "vec_id") -> DataFrame:
+    """Rows that take part: id and vector not null, the vector not zero, with finite
+    components only and as long as most of those are (of equally many, the longest)."""
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.filter(F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vec_col, lambda x: x != 0))
+    good = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(vec_col, lambda x: x != 0))
+    length = good.groupBy(F.size(vec_col).alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    return good.filter(F.size(vec_col) == (length[0] if length else 0))
 
 
 def fit(df: DataFrame, vec_col: str, rows: int = SAMPLE_ROWS) -> Codebooks:
-    """Code books of the rows whose vector hashes lowest, at most ``rows``."""
-    found = df.select(vec_col, F.xxhash64(vec_col).alias("h")).orderBy("h").limit(rows).collect()
+    """Code books of the rows whose vector hashes lowest, at most ``rows``; of no rows, empty
+    ones."""
+    found = bounded_sample(df, [vec_col], F.col(vec_col), rows)
     return Codebooks(np.array([r[0] for r in found], np.float64).reshape(len(found), len(found[0][0]) if found else 0))
 
 
 def build_index(df: DataFrame, books: Codebooks, vec_col: str, code_col: str = "code") -> DataFrame:
-    """Adds every row's packed four-bit codes; all other columns pass through."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != code_col), T.StructField(code_col, T.BinaryType())])
-    shared = df.sparkSession.sparkContext.broadcast(books)  # 16 x dimensions numbers
+    """Adds every row's packed four-bit codes; repeated rows stay, an empty table gives none,
+    all other columns pass through, one named ``code_col`` is replaced."""
+    schema = with_columns(df.schema, [T.StructField(code_col, T.BinaryType())])
+    shared = df.sparkSession.sparkContext.broadcast(books)  # 16 x dimensions numbers and some vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,104 +138,113 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(index: DataFrame, queries: DataFrame, books: Codebooks, id_col: str, vec_col: str, k: int = 10) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, books: Codebooks, id_col: str, vec_col: str, k: int = 10, code_col: str = "code", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` nearest rows of each query by Euclidean distance, its own row left out:
     query_id, rank, vec_id, score; ties go to the smaller id.
 
-    Queries are gathered into blocks of BLOCK rows; every part of the index meets each
-    block once (an equi-join on the block's number). In a task, a scan of code tables
-    gives the distance of query and quantised vector; less the vector's own distance to
-    its quantised form it is never above the true one. The RERANK rows of each chunk with
-    the lowest bound are measured on the vectors themselves, then all others whose bound
-    isn't above the ``k``-th distance found: the result is that of brute force. Only ``k``
-    rows a chunk leave the task.
+    The index stays where it is stored; only queries move, in blocks of at most
+    ``block_bytes``, each scanned by one pass over the index. Of equal vectors only the k + 1
+    smallest ids can be near any query, so no more are scanned. A scan of code tables gives
+    the distance of query and quantised vector; less the vector's own distance to its
+    quantised form it is never above the true one. Rows whose bound is above the k-th distance
+    known so far (at first from the sample of the code books) are out; the RERANK
+    likeliest of the others are measured on the vectors themselves, which lowers that distance,
+    and then what is still in. So the result is that of brute force, and only ``k`` rows a
+    query leave a task. Empty tables give none; of queries of equal id the one of
+    least vector is searched.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query"))
-    size = max(1, -(-q.count() // BLOCK))
-    blocks = (
-        q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(size)).cast("int"))
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("queries"))
-        .select("block", F.col("queries.query_id").alias("query_ids"), F.flatten("queries.query").alias("query_vectors"))
-    )
-    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    chunks = (
-        index.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vector"), "code")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        .withColumn("piece", F.floor(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) * pieces_of(index, parts) / (1 << 20)))
-        .groupBy("chunk", "piece")
-        .agg(F.sort_array(F.collect_list(F.struct("vec_id", "code", "vector"))).alias("rows"))
-        .select(F.col("rows.vec_id").alias("vec_ids"), F.col("rows.code").alias("codes"), F.flatten("rows.vector").alias("vectors"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    )
-    pairs = chunks.join(blocks, "block")
-    schema = "query_id long, vec_id long, score double"
-    shared = index.sparkSession.sparkContext.broadcast(books)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                qi, qv, vi, v, codes = (b.column(c)[r] for c in ("query_ids", "query_vectors", "vec_ids", "vectors", "codes"))
-                qi, vi = (x.values.to_numpy(zero_copy_only=False) for x in (qi, vi))
-                qv = qv.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(qi), -1)
-                v = v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vi), -1)
-                c = np.frombuffer(b"".join(codes.values.to_pylist()), np.uint8).reshape(len(vi), -1)
-                yield _scan(qi, qv, vi, v, c, shared.value, k)
-
-    found = pairs.select("query_ids", "query_vectors", "vec_ids", "vectors", "codes").mapInArrow(run, schema)
+    spark = index.sparkSession
+    rows = index.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vector"), F.col(code_col).alias("code"))
+    copies = Window.partitionBy("vector").orderBy("vec_id")
+    rows = stored(rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query")).groupBy("query_id").agg(F.min("query").alias("query"))
+    size = asked.agg(F.sum(F.size("query") * 8 + 32 * k + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    found = None
+    for block in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        part = mine.sort("query_id").collect()  # a block: at most about block_bytes
+        ids = np.array([r[0] for r in part], np.int64)
+        vectors = np.array([r[1] for r in part], np.float64).reshape(len(part), books.dims)
+        shared = spark.sparkContext.broadcast((books, ids, vectors))
+        scanned = rows.mapInArrow(_scanner(shared, k), "query_id long, vec_id long, score double")
+        found = scanned if found is None else found.unionAll(scanned)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pieces_of(index: DataFrame, parts: int) -> int:
-    """How many pieces a partition's rows make, so that none is much over CHUNK rows."""
-    return max(1, -(-index.count() // (parts * CHUNK)))
-
-
-def _scan(qi, qv, vi, v, codes, books: Codebooks, k: int) -> pa.RecordBatch:
-    decoded = books.decode(codes)
-    far = np.sqrt(((books.split(v) - decoded) ** 2).sum((1, 2)))  # of each vector from its quantised form
-    square = (decoded**2).sum((1, 2))
-    out: list[tuple] = []
-    for lo in range(0, len(qi), 16):
-        q = qv[lo : lo + 16]
-        tables = books.tables(q)
-        inner = np.zeros((len(q), len(vi)))
-        for j in range(codes.shape[1]):
-            inner += tables[:, j, codes[:, j]]
-        sums = (q**2).sum(1)[:, None] + square
-        # a little less than the bound, for the rounding of the sums
-        lower = np.sqrt(np.maximum(sums * (1 - 1e-12) - 2 * inner, 0)) - far * (1 + 1e-9) - 1e-9 * np.sqrt(sums)
-        for i in range(len(q)):
-            lower[i, vi == qi[lo + i]] = np.inf
-            near, distance = _nearest(q[i], v, lower[i], k)
-            order = np.lexsort((vi[near], distance))[:k]
-            out.append((np.full(len(order), qi[lo + i]), vi[near][order], distance[order]))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-
-def _nearest(q: np.ndarray, v: np.ndarray, lower: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hold the ``k`` nearest and all that tie with them, and their distances:
-    every row whose lower bound doesn't exclude it is measured (infinite: never)."""
-    measure = lambda rows: np.sqrt(((v[rows] - q) ** 2).sum(1))
-    first = np.arange(len(v)) if len(v) <= RERANK else np.argpartition(lower, RERANK)[:RERANK]
-    first = first[lower[first] < np.inf]
-    distance = measure(first)
-    if len(v) <= RERANK:
-        return first, distance
-    reach = np.partition(distance, k - 1)[k - 1] if len(first) >= k else np.finfo(float).max
-    more = lower <= reach
-    more[first] = False
-    rest = np.flatnonzero(more)
-    return np.concatenate([first, rest]), np.concatenate([distance, measure(rest)])
+def _scanner(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, ids, vectors = shared.value
+        if not len(ids):
+            return
+        scan = Scan(books, ids, vectors, k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                scan.add(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)), codes)
+        yield scan.found()
+
+    return run
+
+
+class Scan:
+    """The nearest rows so far of each query of a block."""
+
+    def __init__(self, books: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.books, self.ids, self.queries, self.k = books, ids, queries, k
+        self.distance = np.full((len(ids), k), np.inf)
+        self.nearest = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.radius = np.full(len(ids), np.inf)  # at least the k-th distance of the whole table
+        if len(books.known) > k:
+            for i, q in enumerate(queries):  # one more, as the query itself may be among them
+                self.radius[i] = np.partition(_distances(books.known, q), k)[k]
+        self.measured = 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> None:
+        decoded = self.books.decode(codes)
+        far = np.sqrt(((self.books.split(vectors) - decoded) ** 2).sum((1, 2)))  # of each vector from its quantised form
+        square = (decoded**2).sum((1, 2))
+        for lo in range(0, len(self.ids), QUERIES):
+            q = self.queries[lo : lo + QUERIES]
+            tables = self.books.tables(q)
+            inner = np.zeros((len(q), len(ids)))
+            for j in range(codes.shape[1]):
+                inner += tables[:, j, codes[:, j]]
+            sums = (q**2).sum(1)[:, None] + square
+            # a little less than the bound, for the rounding of the sums
+            lower = np.sqrt(np.maximum(sums * (1 - 1e-12) - 2 * inner, 0)) - far * (1 + 1e-9) - 1e-9 * np.sqrt(sums)
+            lower[ids == self.ids[lo : lo + QUERIES, None]] = np.inf
+            inside = (lower <= self.radius[lo : lo + QUERIES, None]) & (lower < np.inf)
+            for i in np.flatnonzero(inside.any(axis=1)).tolist():
+                self._measure(lo + i, np.flatnonzero(inside[i]), lower[i], ids, vectors)
+
+    def _measure(self, i: int, rows: np.ndarray, lower: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Measures the likeliest rows, and then those that their distances don't exclude."""
+        rows = rows[np.argsort(lower[rows], kind="stable")]
+        for part in (rows[:RERANK], rows[RERANK:]):
+            part = part[lower[part] <= self.radius[i]]
+            if not len(part):
+                return
+            self.measured += len(part)
+            d = np.concatenate([self.distance[i], _distances(vectors[part], self.queries[i])])
+            n = np.concatenate([self.nearest[i], ids[part]])
+            best = np.lexsort((n, d))[: self.k]
+            self.distance[i], self.nearest[i] = d[best], n[best]
+            self.radius[i] = min(self.radius[i], self.distance[i, -1])
+
+    def found(self) -> pa.RecordBatch:
+        q, r = np.nonzero(self.distance < np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.nearest[q, r]), pa.array(self.distance[q, r])], names=["query_id", "vec_id", "score"])
+
+
+def _distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((vectors - q) ** 2).sum(1))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "embedding")
     books = fit(vectors, "embedding")
-    index = build_index(vectors, books, "embedding")
+    index = stored(build_index(vectors, books, "embedding"))
     return search(index, vectors.filter("vec_id % 100 = 0"), books, "vec_id", "embedding")
-
-
-ORACLE = {}
