@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, scratch, stored
 
 FIRST_DIGIT, GROWTH = 64, 16  # bytes of the first digit; each next digit is so many times wider
 
@@ -30,6 +30,11 @@ def exact_dedup(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> Da
     stays. An empty table gives none. ``df`` must be a stable table, read more than
     once. Columns not in ``keep`` are dropped, so clashing names can't occur.
     """
+    with scratch(df.sparkSession) as keep_table:
+        return keep_table(_split(df, id_col, text, keep))
+
+
+def _split(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> DataFrame:
     row = F.struct(F.col(id_col).isNull(), F.col(id_col), F.monotonically_increasing_id().alias("at"))
     todo = df.select(
         F.struct(*keep).alias("kept_columns"), row.alias("row"), F.lit(0).cast("long").alias("node"), F.encode(text, "utf-8").alias("rest")

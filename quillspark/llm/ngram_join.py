@@ -6,19 +6,24 @@
    A set's signatures are hashes of its h + 1 fullest parts; linked sets share one of
    them. Unlike a single shingle, the shingles of a whole part are seldom shared by chance.
 2. A task passes on one row for each signature and links the other rows that have it to
-   that one, so no signature is hot.
+   that one; across tasks the smallest row of a signature, found by a partial
+   aggregation, stands for it. So no signature is hot.
 3. Connected rows form blocks: a superset of the groups.
 4. Within blocks a T-occurrence search finds the links exactly: of the inverted lists of
-   a query's shingles, the short ones are merged and counted, the long ones are probed by
-   binary search for what can still reach the overlap (DivideSkip).
+   a query's shingles, the short ones are merged by a heap that skips what can't reach
+   its share of the overlap, the long ones are probed by binary search for the rest
+   (DivideSkip). Every document is a query once; what a query has found is in its group and
+   leaves the index, so that a group of near copies is searched by its first one alone.
 5. Blocks too large for one task are first compared with one of their documents; what is
-   linked with it is one group already, and only the others are searched for, in
-   every part of the block. The others are dealt out too: a task holds one part of the
-   block and one of the others.
+   linked with it is one group already, and only the others are searched for, in every
+   part of the block. The others are dealt out too: a task indexes one part of the block
+   and asks for one share of the others.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, join_small, scratch, stored
+from .common import documents, drop_stored, join_small, scratch, spare, stored
 from .components import components
 
 FLUSH_ROWS = 4096  # rows whose signatures a task compares before it passes them on
 DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
-BLOCK_SHINGLES = 2_000_000  # shingles of a block that one task searches (16 MB)
+BLOCK_SHINGLES = 200_000  # shingles of a block that one task indexes (1.6 MB)
+SHORT = 64  # documents of an inverted list that is merged rather than probed
 
 
 # ---- sets --------------------------------------------------------------------------
@@ -127,42 +133,121 @@ class Signatures:
 
 
 # ---- search within a block -----------------------------------------------------------
-def occurrences(query: np.ndarray, tokens: np.ndarray, starts: np.ndarray, docs: np.ndarray, n_docs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that at least ``least`` of the query's inverted lists hold, and in how many
-    they are. ``docs[starts[i]:starts[i+1]]`` is the sorted list of ``tokens[i]``."""
-    at = np.searchsorted(tokens, query)
-    at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == query)]
-    if len(at) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    length = starts[at + 1] - starts[at]
-    at = at[np.argsort(length, kind="stable")]
-    length = np.sort(length)
-    n_long = min(int(least / (0.01 * np.log2(length[-1] + 1) + 1)), least - 1)
-    # probing pays where lists are longer than the documents left to probe for
-    n_long = min(n_long, int((length > 64).sum()))
-    short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-    if len(short):
-        size = starts[short + 1] - starts[short]
-        where = np.repeat(starts[short] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        count = np.bincount(docs[where], minlength=n_docs)
-    else:
-        count = np.zeros(n_docs, np.int64)
-    left = np.flatnonzero(count >= max(1, least - n_long))
-    found = count[left]
-    for done, i in enumerate(long_):
-        postings = docs[starts[i] : starts[i + 1]]
-        p = np.minimum(np.searchsorted(postings, left), len(postings) - 1)
-        found = found + (postings[p] == left)
-        keep = found >= least - (n_long - done - 1)  # what the lists still to come can make up
+def merge_skip(lists: list[list[int]], need: int) -> tuple[list[int], list[int]]:
+    """Documents that at least ``need`` of some ascending lists hold, and how many do: a heap
+    of the lists' heads; where too few have the least document, all lists that could not
+    make up for it jump ahead together."""
+    heap = [(x[0], i) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    docs, counts = [], []
+    while len(heap) >= need:
+        least = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == least:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= need:
+            docs.append(least)
+            counts.append(len(popped))
+            bound = least + 1
+        else:
+            while len(popped) < need - 1:  # as many lists remain, by the loop's condition
+                popped.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            bound = heap[0][0]
+        for i in popped:
+            at[i] = bisect_left(lists[i], bound, at[i])
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+    return docs, counts
+
+
+class Index:
+    """Inverted lists of some sets, for searches with a least overlap. Documents may leave; the
+    lists are made anew when half have left."""
+
+    def __init__(self, sets: list[np.ndarray], members: list[int]):
+        self.sets = sets
+        self._make(np.array(members, np.int64))
+
+    def _make(self, members: np.ndarray) -> None:
+        self.left = np.zeros(len(self.sets), bool)
+        self.gone, self.size = 0, len(members)
+        sets = [self.sets[m] for m in members.tolist()]
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(members, np.array([len(x) for x in sets], np.int64))
+        order = np.argsort(flat, kind="stable")  # owners ascend within a token
+        flat, self.docs = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.tokens, self.starts, self.members = flat[first], np.append(first, len(flat)), members
+
+    def leave(self, docs: np.ndarray) -> None:
+        self.left[docs] = True
+        self.gone += len(docs)
+        if self.gone * 2 > self.size:
+            self._make(self.members[~self.left[self.members]])
+
+    def occurrences(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that at least ``least`` of the query's lists hold, and how many do."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.tokens):
+            return none
+        at = np.searchsorted(self.tokens, query)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query]
+        if len(at) < least:
+            return none
+        length = self.starts[at + 1] - self.starts[at]
+        order = np.argsort(length, kind="stable")
+        at, length = at[order], length[order]
+        n_long = min(int(least / (0.01 * np.log2(length[-1] + 1) + 1)), least - 1, int((length > SHORT).sum()))
+        cut = len(at) - n_long
+        lists = [self.docs[self.starts[i] : self.starts[i + 1]] for i in at.tolist()]
+        docs, counts = merge_skip([x.tolist() for x in lists[:cut]], least - n_long)
+        left, found = np.array(docs, np.int64), np.array(counts, np.int64)
+        keep = ~self.left[left]
         left, found = left[keep], found[keep]
-    return left, found
+        for done, postings in enumerate(lists[cut:]):
+            if not len(left):
+                break
+            p = np.minimum(np.searchsorted(postings, left), len(postings) - 1)
+            found = found + (postings[p] == left)
+            keep = found >= least - (n_long - done - 1)  # what the lists still to come can make up
+            left, found = left[keep], found[keep]
+        return left, found
+
+    def linked(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Documents of the index whose sets are similar to the query's."""
+        found, overlap = self.occurrences(query, max(1, -(-percent * len(query) // 100)))
+        sizes = np.array([len(self.sets[d]) for d in found.tolist()], np.int64)
+        return found[100 * overlap >= percent * (sizes + len(query) - overlap)]
+
+
+def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets of a block."""
+    index = Index(sets, list(range(len(sets))))
+    reached = np.zeros(len(sets), bool)
+    out = []
+    for first in range(len(sets)):
+        if reached[first]:
+            continue
+        reached[first] = True
+        index.leave(np.array([first]))
+        todo = [first]
+        while todo:
+            q = todo.pop()
+            found = index.linked(sets[q], percent)
+            reached[found] = True
+            index.leave(found)
+            out += ((ids[q], ids[d]) for d in found.tolist())
+            todo += found.tolist()
+    return out
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], queries: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between the query positions and all sets of a block, as far as they join
-    parts not yet joined (a spanning forest of the links)."""
-    n = len(sets)
-    root = list(range(n))
+def cell_links(ids: list[int], sets: list[np.ndarray], members: list[int], queries: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between the query positions and the members of an index, as far as they join what
+    isn't joined yet (a spanning forest of the links)."""
+    root = list(range(len(sets)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -170,19 +255,9 @@ def block_links(ids: list[int], sets: list[np.ndarray], queries: list[int], perc
             x = root[x]
         return x
 
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")  # owners ascend within a token
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    tokens, starts = flat[first], np.append(first, len(flat))
-    out = []
+    index, out = Index(sets, members), []
     for q in queries:
-        least = max(1, -(-percent * int(sizes[q]) // 100))
-        found, overlap = occurrences(sets[q], tokens, starts, owner, n, least)
-        linked = found[100 * overlap >= percent * (sizes[found] + sizes[q] - overlap)]
-        for d in linked.tolist():
+        for d in index.linked(sets[q], percent).tolist():
             a, b = find(q), find(d)
             if a != b:
                 root[a] = b
@@ -201,19 +276,24 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     100 * intersection >= percent * union.  Null, empty and blank texts have no
     shingles and link with nothing. Equal sets are searched once; null ids come last.
     Repeated rows are copies of one another. An empty table gives none. Other columns
-    are ignored. ``df`` must be a stable table, scanned more than once in the same way.
+    are ignored; where the id column has the name of another of these, that one gets a
+    longer one. ``df`` must be a stable table, scanned more than once in the same way.
     """
+    with scratch(df.sparkSession) as keep:
+        return keep(_groups(df, id_col, text_col, n, percent, block_shingles))
+
+
+def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block_shingles: int) -> DataFrame:
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scan = stored(_signed(docs.select("row", "text"), n, percent))
     copies = scan.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stored(copies.select("k1", "k2", "first"))
     # blocks: rows that share a signature in a task, and rows that stand for a signature in several
     over = scan.select("row", F.explode("signatures").alias("signature"))
-    shared = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    between = over.select("row", F.min("row").over(shared).alias("b")).filter("row > b").distinct()
+    shared = stored(over.groupBy("signature").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    between = join_small(over, shared, ["signature"], "inner", 32).filter("row > b").select("row", "b").distinct()
     within = scan.select("row", F.explode("firsts").alias("b"))
-    with scratch(df.sparkSession) as keep:
-        block = keep(components(between.unionByName(within).select(F.col("row").alias("a"), "b")))
+    block = components(between.unionByName(within).select(F.col("row").alias("a"), "b"))
     block = stored(block.unionByName(block.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
     fat, scan = scan, stored(scan.select("row", "n_shingles", "k1", "k2"))
     drop_stored(fat)  # the signatures are most of it
@@ -224,7 +304,8 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     members = join_small(sized.select("row", "block", "n_shingles"), sizes.select("block", "parts", "pivot"), ["block"], "inner", 64)
     members = stored(members)
     texts = stored(join_small(docs.select("row", "text"), members, ["row"], "inner", 72))
-    links = _search(texts.filter("parts = 1").withColumns({"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}), n, percent)
+    whole = {"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}
+    links = _search(texts.filter("parts = 1").withColumns(whole), n, percent)
     big = texts.filter("parts > 1")
     if not big.isEmpty():
         everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -233,8 +314,7 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
         pivot = big.filter("row = pivot").withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
         star = stored(_search(index.unionByName(pivot), n, percent))
         known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
-        others = join_small(big.filter("row != pivot"), stored(known), ["row"], "left_anti", 24)
-        others = stored(others)
+        others = stored(join_small(big.filter("row != pivot"), stored(known), ["row"], "left_anti", 24))
         shares = stored(others.groupBy("block").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("shares")))
         # cells of one part of the block and one share of the others
         every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
@@ -243,23 +323,21 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
         asked = asked.withColumn("part", everywhere).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).cast("int"))
         cells = held.unionByName(asked).withColumn("part", F.col("part").cast("long") * F.col("shares") + F.col("share"))
         links = links.unionByName(star).unionByName(_search(cells, n, percent))
-    with scratch(df.sparkSession) as keep:
-        groups = keep(components(links))
-    drop_stored(texts)
+    groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
     mine = mine.select("row", "n_shingles", F.coalesce("first", "row").alias("id"))
     mine = join_small(mine, groups, ["id"], "left", 48)
-    rooted = mine.select("row", "n_shingles", F.coalesce("root", "id").alias("root"))
-    rooted = rooted.join(docs.select("row", F.col("id").alias(id_col)), "row")
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "row")).alias("best"), F.count("*").alias("size")).filter("size > 1")
+    rooted = mine.select("row", "n_shingles", F.coalesce("root", "id").alias("root")).join(docs.select("row", "id"), "row")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.count("*").alias("size")).filter("size > 1")
     out = join_small(rooted, stored(best), ["root"], "left", 72)
+    names = spare("row", [id_col]), spare("n_shingles", [id_col]), spare("component", [id_col]), spare("stays", [id_col])
     return out.select(
-        "row",
-        id_col,
-        "n_shingles",
-        F.when(F.col("best").isNull(), F.col(id_col)).otherwise(F.col(f"best.{id_col}")).alias("component"),
-        (F.col("best").isNull() | (F.col("best.row") == F.col("row"))).alias("stays"),
+        F.col("row").alias(names[0]),
+        F.col("id").alias(id_col),
+        F.col("n_shingles").alias(names[1]),
+        F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias(names[2]),
+        (F.col("best").isNull() | (F.col("best.row") == F.col("row"))).alias(names[3]),
     )
 
 
@@ -326,11 +404,17 @@ def _search(rows: DataFrame, n: int, percent: int) -> DataFrame:
         shingles, key = Shingles(n), None
         ids: list[int] = []
         sets: list[np.ndarray] = []
+        members: list[int] = []
         queries: list[int] = []
 
         def links() -> pa.RecordBatch:
-            found = block_links(ids, sets, queries, percent) if queries and len(sets) > 1 else []
-            ids.clear(), sets.clear(), queries.clear()
+            found: list[tuple[int, int]] = []
+            if len(members) == len(queries) == len(ids) > 1:
+                found = block_links(ids, sets, percent)
+            elif members and queries:
+                found = cell_links(ids, sets, members, queries, percent)
+            for x in (ids, sets, members, queries):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
@@ -339,11 +423,11 @@ def _search(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 if (block, part) != key and ids:
                     yield links()
                 key = block, part
-                if ids and ids[-1] == row:  # a query that is in the index too
-                    queries.append(len(ids) - 1)
-                    continue
-                ids.append(row)
-                sets.append(shingles(text.as_py()))
+                if not ids or ids[-1] != row:  # else a query that is in the index too
+                    ids.append(row)
+                    sets.append(shingles(text.as_py()))
+                if index:
+                    members.append(len(ids) - 1)
                 if query:
                     queries.append(len(ids) - 1)
         if ids:
