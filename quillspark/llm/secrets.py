@@ -2,18 +2,27 @@
 
 Base patterns give exact spans. Other tokens that could hide a secret go through a
 battery of randomness tests on the symbols of their inferred encoding: chi-squared
-uniformity over the alphabet, runs about its middle, and serial correlation. The
-hypothesis under test is "this token is random"; within each class of lengths the
-Benjamini-Hochberg rule decides which tokens are ordinary after all, and tokens
-that it leaves are reported.
+uniformity over the alphabet, runs about its middle, and serial correlation. Within each
+class of lengths, false discoveries are controlled on both sides:
+
+* "this token is random" is tested first; tokens for which the Benjamini-Hochberg rule
+  rejects it are ordinary (of random ones, at most RATE are among them);
+* "this token is ordinary" is tested for the others against a model of the tokens found
+  ordinary (their changes between classes of symbols, and symbols within a class). The
+  likelihood ratio of random to ordinary is an e-value: under the model it exceeds t with a
+  chance of 1 / t at most. The Benjamini-Hochberg rule for e-values, which holds however
+  tokens depend on each other, reports tokens of which at most FALSE are ordinary.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, spare, stored
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -30,28 +39,71 @@ HEX_LONG = r"[0-9a-f]{16,}"
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 RATE = 0.01  # of random tokens that may be taken for ordinary ones, by class of lengths
+FALSE = 0.05  # of reported tokens that may be ordinary, by class of lengths
+STAY = 0.85  # prior chance that a symbol of a name is of the class of the one before
+BLOCK = 128  # matches whose places are summed up together
 STEPS = 4  # bins of p-values for each unit of their natural logarithm
 LAST_BIN = 160
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(numbers: Column, first: Column) -> Column:
+    return F.aggregate(numbers, first, lambda a, v: a + v)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it: first over blocks, then inside
+    them, so that a long array costs little more than a short one per element."""
+
+    def of_blocks(blocks: Column, sums: Column) -> Column:
+        inside = lambda x, ahead: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i), ahead))
+        return F.flatten(F.transform(blocks, lambda x, b: let(total(F.slice(sums, F.lit(1), b), F.lit(0)), lambda ahead: inside(x, ahead))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)))
+    return let(blocks, lambda x: let(F.transform(x, lambda y: total(y, F.lit(0))), lambda sums: of_blocks(x, sums)))
+
+
 def spans(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0) -> Column:
     """Matches of a pattern as (start, kind_no, end, kind, value), in code points. Values
     are what ``group`` matched; shorter ones than ``least`` are dropped."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)  # what lies before, between and after the matches
     number = KINDS.index(kind)
     empty = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>)")
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(
+        whole.alias("found"),
+        (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("values"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),  # what lies before, between and after the matches
+    )
+
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p["found"], F.length)
+        steps = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), sizes, lambda g, m: g + m)
+        rows = F.arrays_zip(sums_before(steps).alias("before"), p["gaps"].alias("gap"), sizes.alias("size"), p["values"].alias("value"))
+        kept = F.filter(rows, lambda r: r["value"].isNotNull() & (F.length(r["value"]) >= least))
+        return F.transform(
+            kept,
+            lambda r: F.struct(
+                (r["before"] + r["gap"]).alias("start"),
+                F.lit(number).alias("kind_no"),
+                (r["before"] + r["gap"] + r["size"]).alias("end"),
+                F.lit(kind).alias("kind"),
+                r["value"].alias("value"),
+            ),
+        )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(empty)
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+
+def blanked(text: Column, pattern: str) -> Column:
+    """The text with spaces in place of each match."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+    woven = F.zip_with(F.split(text, pattern, -1), matches, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
 
 
 # ---- randomness tests ---------------------------------------------------------------------
@@ -126,14 +178,16 @@ def randomness(token: Column) -> Column:
     return F.when(name.isNotNull(), F.get(one, F.lit(0)))
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans", rate: float = RATE, columns: list[str] | None = None) -> DataFrame:
+def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans", rate: float = RATE, false: float = FALSE, columns: list[str] | None = None) -> DataFrame:
     """Adds the spans of secrets in each whole text: (start, kind_no, end, kind, base), by
     start and then kind; positions in code points, end exclusive.
 
-    Null and empty texts have none (an empty array); repeated rows stay; other columns pass
-    through, one named ``spans_col`` is replaced. The scan's spans and p-values are
-    written once to the shared folder, since the decision needs all of them; ``columns``
-    names those to pass through, if not all are needed: what is not named isn't written.
+    Null and empty texts have none (an empty array); repeated rows stay; an empty table gives
+    none; other columns pass through whatever their names, one named ``spans_col`` is
+    replaced. Tokens are what assignments leave, without those that hold another base span.
+    The scan's spans, tokens and p-values are written once to the shared folder, since the
+    decisions need all of them; ``columns`` names those to pass through, if not all are
+    needed: what is not named isn't written.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(
@@ -144,26 +198,94 @@ def find_secrets(df: DataFrame, text_col: str = "text", spans_col: str = "spans"
         )
     )
     rest = [c for c in (df.columns if columns is None else columns) if c.lower() != spans_col.lower()]
-    scanned = df.select(*rest, base.alias("__base"), spans(text, TOKEN, "random").alias("__tokens"))
-    free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(free, lambda t: F.struct(t["start"], t["kind_no"], t["end"], t["kind"], randomness(t["value"]).alias("p")))
+    base_col, token_col = spare("base", [*rest, spans_col]), spare("tokens", [*rest, spans_col])
+    keep_base = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(True).alias("base")))
+    free = F.filter(spans(blanked(text, ASSIGN), TOKEN, "random"), lambda t: ~t["value"].rlike(f"{ACCESS_LONG}|{HEX_LONG}"))
+    tested = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), randomness(t["value"]).alias("p")))
     binned = F.transform(
         F.filter(tested, lambda t: t["p"].isNotNull()),
         lambda t: F.struct(
             t["start"].alias("start"),
-            t["kind_no"].alias("kind_no"),
             t["end"].alias("end"),
-            t["kind"].alias("kind"),
+            t["value"].alias("value"),
             F.floor(F.log2((t["end"] - t["start"]).cast("double")) * 2).cast("int").alias("lengths"),
             F.least(F.lit(LAST_BIN), F.ceil(-F.log(F.greatest(t["p"], F.lit(1e-30))) * STEPS)).cast("int").alias("bin"),
         ),
     )
-    keep_base = F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(True).alias("base")))
-    table = stored(scanned.select(*rest, keep_base.alias("__base"), binned.alias("__tokens")))
-    limits = ordinary_from(table.select(F.explode("__tokens").alias("t")).select("t.lengths", "t.bin"), rate)
-    chosen = F.filter("__tokens", lambda t: ~_rejected(t, limits))
-    added = F.transform(chosen, lambda t: F.struct(t["start"], t["kind_no"], t["end"], t["kind"], F.lit(False).alias("base")))
-    return table.select(*rest, F.array_sort(F.concat("__base", added)).alias(spans_col))
+    table = stored(df.select(*rest, keep_base.alias(base_col), binned.alias(token_col)))
+    tokens = table.select(F.explode(token_col).alias("t")).select("t.lengths", "t.bin", "t.value")
+    limits = ordinary_from(tokens.select("lengths", "bin"), rate)
+    evidence = surprise(ordinary_model(tokens.filter(_rejected(F.struct("lengths", "bin"), limits)).select("value")))
+    least = reported_from(tokens.filter(~_rejected(F.struct("lengths", "bin"), limits)).select("lengths", evidence(F.col("value")).alias("nats")), false)
+    chosen = F.filter(token_col, lambda t: ~_rejected(t, limits) & _reported(t, evidence, least))
+    added = F.transform(chosen, lambda t: F.struct(t["start"], F.lit(KINDS.index("random")).alias("kind_no"), t["end"], F.lit("random").alias("kind"), F.lit(False).alias("base")))
+    return table.select(*rest, F.array_sort(F.concat(base_col, added)).alias(spans_col))
+
+
+# ---- ordinary tokens ------------------------------------------------------------------------
+def symbol_class(c: Column) -> Column:
+    """0 lower case, 1 upper case, 2 digit, 3 mark."""
+    return F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
+
+
+def ordinary_model(values: DataFrame) -> tuple[dict[tuple[int, int], float], dict[str, float]]:
+    """Probabilities of the class that follows a class, and of a symbol within its class, from
+    all tokens found ordinary; with few of them, what is usual in names counts for more. The
+    counts are a table of pairs of classes and symbols, whatever the input."""
+    symbols = values.select(F.posexplode(F.split("value", "")).alias("at", "symbol"), "value")
+    pairs = symbols.filter("at > 0").select(symbol_class(F.substring("value", F.col("at"), F.lit(1))).alias("before"), symbol_class(F.col("symbol")).alias("after"), "symbol")
+    counted = [(r["before"], r["after"], r["symbol"], r["n"]) for r in pairs.groupBy("before", "after", "symbol").agg(F.count("*").alias("n")).collect()]
+    # --- fixed values: prior weights, letters by their frequency in English ---
+    follow = {(a, b): 100.0 * (STAY if a == b else (1 - STAY) / 3) for a in range(4) for b in range(4)}
+    within = {c: 2.0 * (26 - i) for i, c in enumerate("etaoinshrdlcumwfgypbvkjxqz")}
+    within |= {c.upper(): n for c, n in within.items()} | dict.fromkeys("0123456789", 10.0) | dict.fromkeys("+/_-=", 10.0)
+    for before, after, symbol, n in counted:
+        follow[before, after] += n
+        if symbol in within:
+            within[symbol] += n
+    kind = {c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in within}
+    rows = [sum(follow[a, b] for b in range(4)) for a in range(4)]
+    sums = [sum(n for c, n in within.items() if kind[c] == k) for k in range(4)]
+    return {p: n / rows[p[0]] for p, n in follow.items()}, {c: n / sums[kind[c]] for c, n in within.items()}
+
+
+def surprise(model: tuple[dict[tuple[int, int], float], dict[str, float]]) -> Callable[[Column], Column]:
+    """Of a token, the logarithm of the likelihood ratio of random (all symbols of its encoding
+    alike) to ordinary, from its second symbol on."""
+    follow, within = model
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    table = F.create_map(*(x for a in "aA0+" for c, p in within.items() for x in (F.lit(a + c), F.lit(math.log(follow[kind(a), kind(c)] * p)))))
+    stand_in = lambda c: F.element_at(F.array(*map(F.lit, "aA0+")), symbol_class(c) + 1)
+
+    def of(value: Column) -> Column:
+        name = encoding(value)
+        size = F
+        for n, a in ALPHABETS.items():
+            size = size.when(name == n, F.lit(math.log(len(a))))
+        chars = F.split(value, "")
+        pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(stand_in(a), b))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc - size - F.coalesce(F.element_at(table, p), F.lit(0.0)))
+
+    return of
+
+
+def reported_from(tokens: DataFrame, false: float) -> dict[int, float]:
+    """For each class of lengths, the evidence from which on tokens are reported: the least e
+    with  tokens <= false * e * tokens as strong.  The counts are a table of classes and bins."""
+    bins = F.least(F.lit(LAST_BIN), F.greatest(F.lit(0), F.floor(F.col("nats") * STEPS))).cast("int")
+    counts = tokens.select("lengths", bins.alias("bin")).groupBy("lengths", "bin").count()
+    whole = Window.partitionBy("lengths")
+    strong = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"all": F.sum("count").over(whole), "strong": F.sum("count").over(strong)})
+    enough = ranked.filter(F.col("all") <= F.col("strong") * F.exp(F.col("bin") / F.lit(float(STEPS))) * false)
+    return {r["lengths"]: r["first"] / STEPS for r in enough.groupBy("lengths").agg(F.min("bin").alias("first")).collect()}
+
+
+def _reported(token: Column, evidence: Callable[[Column], Column], least: dict[int, float]) -> Column:
+    bound = F
+    for lengths, nats in sorted(least.items()):
+        bound = bound.when(token["lengths"] == lengths, F.lit(nats))
+    return F.coalesce(evidence(token["value"]) >= bound, F.lit(False)) if least else F.lit(False)
 
 
 def _rejected(token: Column, limits: dict[int, int]) -> Column:
