@@ -119,3 +119,48 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 200: 150, 300: 150}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_merge_skip_against_counting():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lists = [sorted(rng.choice(40, rng.integers(1, 20), replace=False).tolist()) for _ in range(rng.integers(1, 9))]
+        need = int(rng.integers(1, len(lists) + 2))
+        want = Counter(x for one in lists for x in one)
+        docs, counts = ngram_join.merge_skip(lists, need)
+        assert dict(zip(docs, counts, strict=True)) == {d: n for d, n in want.items() if n >= need}
+
+
+def test_an_index_holds_its_members_alone():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.where(rng.random(len(base)) < 0.02, rng.integers(0, 2**63, len(base)).astype(np.uint64), base)) for _ in range(120)]
+    index = ngram_join.Index(sets, list(range(0, 120, 3)))
+    assert index.size == 40 and set(index.docs.tolist()) == set(range(0, 120, 3))
+    found = index.linked(sets[1], 80)
+    assert set(found.tolist()) == {d for d in range(0, 120, 3) if 100 * len(np.intersect1d(sets[1], sets[d])) >= 80 * len(np.union1d(sets[1], sets[d]))}
+    index.leave(np.arange(0, 90, 3))  # lists are made anew
+    assert set(index.docs.tolist()) == set(range(90, 120, 3))
+    assert set(index.linked(sets[1], 80).tolist()) == set(found[found >= 90].tolist())
+
+
+def test_a_group_of_near_copies_is_searched_once():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.where(rng.random(len(base)) < 0.005, rng.integers(0, 2**63, len(base)).astype(np.uint64), base)) for _ in range(400)]
+    links = ngram_join.block_links(list(range(400)), sets, 80)
+    assert len(links) == 399 and len({b for _, b in links}) == 399
+
+
+def test_an_id_column_of_any_name(spark, tmp_path):
+    docs = stable(spark, tmp_path, documents(spark).select(F.col("doc_id").alias("Component"), "text", F.lit(1).alias("row")))
+    got = ngram_join.ngram_groups(docs, "Component")
+    assert got.columns == ["row", "Component", "n_shingles", "component_", "stays"] and got.count() == docs.count()
+
+
+def test_op2_as_the_contract_says(spark, tmp_path):
+    docs = stable(spark, tmp_path, documents(spark))
+    want, _ = brute(docs.collect(), 3, 90)
+    got = ngram_join.op2_ngram_join(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert Counter((r.doc_id, r.component_id, r.n_shingles) for r in got.collect()) == want

@@ -1,12 +1,13 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, neighbours, pii, secrets
+from quillspark.llm import common, language, neighbours, pii, secrets
 
 from .fixtures import SCHEMA, documents
 
@@ -164,7 +165,9 @@ def test_neighbours_of_a_full_chunk_with_a_hot_cluster(dims):
     books = neighbours.Codebooks(v[rng.permutation(len(v))[:1000]])
     codes = books.pack(books.encode(v))
     asked = np.r_[0:1400:100, 1400:2800:100, 2800:4096:100]
-    got = neighbours._scan(ids[asked], v[asked], ids, v, codes, books, 10).to_pandas()
+    scan = neighbours.Scan(books, ids[asked], v[asked], 10)
+    scan.add(ids, v, codes)
+    got = scan.found().to_pandas()
     for a in asked:
         d = np.sqrt(((v - v[a]) ** 2).sum(1))
         d[a] = np.inf
@@ -178,3 +181,134 @@ def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     books = neighbours.fit(none, "embedding")
     assert neighbours.search(neighbours.build_index(none, books, "embedding"), none, books, "vec_id", "embedding").count() == 0
+
+
+def test_neighbours_of_the_embeddings_as_brute_force(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got = {(r.query_id, r["rank"]): r for r in neighbours.op6_nearest(spark, folder).collect()}
+    asked = np.flatnonzero(ids % 100 == 0)
+    assert len(got) == 10 * len(asked)
+    for i in asked:
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        d[i] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        assert [got[ids[i], k + 1].vec_id for k in range(10)] == ids[want].tolist()
+        assert [got[ids[i], k + 1].score for k in range(10)] == d[want].tolist()
+
+
+def test_the_scan_excludes_most_rows():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 4
+    v = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
+    books = neighbours.Codebooks(v[:2000])
+    scan = neighbours.Scan(books, np.arange(20), v[:20], 10)
+    for k in range(0, 6000, 500):  # small batches go through the scan as well
+        scan.add(np.arange(k, k + 500), v[k : k + 500], books.pack(books.encode(v[k : k + 500])))
+    assert scan.measured < 0.25 * 20 * 6000
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (None, [1.0, 0.1]), (3, [1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (100, [1.0, 0.2]), (100, [1.0, 0.0])]
+    df = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding")
+    assert df.count() == 6
+    books = neighbours.fit(df, "embedding")
+    index = neighbours.build_index(df.withColumn("CODE", F.lit(1)), books, "embedding")
+    assert index.columns == ["vec_id", "embedding", "code"]
+    got = neighbours.search(index, df.filter("vec_id = 100"), books, "vec_id", "embedding", block_bytes=1).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0.0), (4, 0.0), (4, 0.0), (2, 0.5)]
+
+
+@pytest.mark.parametrize("text", ["mail a@b.c 1.2.3.\u00b2 x", "call 12345678 v10.0.0.\u00b2 ok", "see 555-123-456 and 1.2.3.\u00b2", "\u0663\u0663 at \u00b2 dot com", "+\u00b2 (1234567"])
+def test_pii_of_other_digits(text):
+    assert isinstance(pii.find_spans(text, pii.trained()), list)
+
+
+def test_pii_of_long_runs_in_linear_time():
+    weights = pii.trained()
+    for text in ("7" * 1_000_000, "1." * 50_000, "a@" * 50_000, "at " * 50_000, "4111 1111 1111 1111 " * 5_000, "+1 (" * 50_000):
+        started = time.process_time()
+        pii.find_spans(text, weights)
+        assert time.process_time() - started < 15, text[:10]
+
+
+def test_pii_of_a_long_name():
+    name = "a" * 44
+    assert [s["kind"] for s in pii.find_spans(f"write to ana at {name} dot com today", pii.trained()) if not s["base"]] == ["email"]
+
+
+def test_pii_recall_and_precision_on_unseen_sentences():
+    rng, weights = random.Random(77), pii.trained()
+    hits = found = wanted = 0
+    for _ in range(600):
+        text, spans = pii._example(rng)
+        got = {(s["start"], s["end"], s["kind"]) for s in pii.find_spans(text, weights)}
+        want = {(s, e, pii.KINDS[k]) for k, s, e in spans}
+        hits, found, wanted = hits + len(got & want), found + len(got), wanted + len(want)
+    assert hits / wanted > 0.9 and hits / found > 0.85, (hits / wanted, hits / found)
+
+
+def test_pii_transitions_are_learned():
+    weights = pii.trained()
+    assert np.diag(weights[:, pii.BEFORE_KIND :]).min() > 0  # lists hold entities of one kind
+
+
+def test_masking_stands_any_columns(spark):
+    df = spark.createDataFrame([(1, "to bob@x.org now", "a"), (1, "to bob@x.org now", "a"), (None, None, None)], "doc_id long, text string, masked string")
+    assert sorted(pii.mask_pii(df).collect(), key=str) == sorted([(1, "to [EMAIL] now", "a")] * 2 + [(None, None, None)], key=str)
+    assert pii.mask_pii(df.limit(0)).count() == 0
+
+
+def test_secrets_both_error_rates(spark):
+    rng = random.Random(6)
+    bag = "user account settings value index count handler request response session factory builder config default render update create delete parse format string buffer stream reader writer manager service client".split()
+    alphabets = {"hex": "0123456789ABCDEF", "base32": secrets.ALPHABETS["base32"], "base36": secrets.ALPHABETS["base36"], "base64": secrets.ALPHABETS["base64"]}
+    noise = {"".join(rng.choice(alphabets[k]) for _ in range(n)) for k in alphabets for n in (24, 32, 48, 64) for _ in range(40)}
+    camel = {"".join(w.title() for w in rng.choices(bag, k=rng.randint(4, 7))) + rng.choice(("", "2", "V3", "Id")) for _ in range(600)}
+    paths = {"/".join(rng.choices(bag, k=rng.randint(4, 7))) + f"/v{rng.randint(1, 9)}/{rng.choice(bag).title()}" for _ in range(600)}
+    rows = [(i, f"see {t} here") for i, t in enumerate([*sorted(noise), *sorted(camel), *sorted(paths)])]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    said = {t for r in got for t in [r.text[s.start : s.end] for s in r.spans if not s.base]}
+    assert len(said & noise) > 0.9 * len(noise), len(said & noise) / len(noise)
+    assert len(said - noise) <= 0.05 * len(said), sorted(said - noise)[:10]
+
+
+def test_secrets_of_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(40_000))
+    started = time.time()
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), columns=["doc_id"]).first()
+    assert [(s.start, s.end) for s in got.spans] == [(17 * i, 17 * i + 16) for i in range(40_000)]
+    assert time.time() - started < 60
+
+
+def test_secrets_stand_any_columns(spark):
+    df = spark.createDataFrame([(1, "password=b7db7aa4a5fcc78305", 2, 3)], "doc_id long, text string, base int, Tokens int")
+    got = secrets.find_secrets(df).first()
+    assert (got.base, got.Tokens, [s.kind for s in got.spans]) == (2, 3, ["assign", "hex"])
+
+
+def test_op5_as_the_contract_says(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = language.op5_language_id(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    learned = {d.lang for d in docs.values() if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 3 != 1}
+    right = []
+    for r in got:
+        text = docs[r.doc_id].text or ""
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, text))) and r.lang_pred in learned | {"und"}
+        if r.held_out and docs[r.doc_id].lang is not None and r.lang_pred != "und":
+            right.append(r.lang_pred == docs[r.doc_id].lang)
+    assert np.mean(right) > 0.95
+
+
+def test_bounded_sample_with_a_hot_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), "id")
+    for rows in (1, 50, 2500, 5000):
+        got = common.bounded_sample(df, ["id"], F.col("k"), rows)
+        assert len(got) == min(rows, 3000)
+    assert common.bounded_sample(df.limit(0), ["id"], F.col("k"), 5) == []
+    plain = spark.range(1000)
+    assert [r.id for r in common.bounded_sample(plain.repartition(7), ["id"], F.col("id"), 20)] == [r.id for r in common.bounded_sample(plain, ["id"], F.col("id"), 20)]
