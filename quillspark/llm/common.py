@@ -140,6 +140,8 @@ def map_texts(
                 texts = pc.fill_null(b.column(text_col), "")
                 made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(f(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=schema.names)
+                del texts, made
+        pa.default_memory_pool().release_unused()  # workers live on after a task
 
     return df.mapInArrow(run, schema)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import chunks
 from .common import bounded_sample, documents, map_texts
 
 BUCKETS = 1 << 17
@@ -159,45 +159,35 @@ def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate:
 
 
 # ---- prediction -----------------------------------------------------------------------------
-class Scorer:
-    """Sums of class scores over a text's words, through a cache of words of bounded size."""
+WORDS = 40_000  # distinct words whose subwords are hashed at a time
 
-    def __init__(self, model: Model, room: int = 200_000):
-        self.model, self.room = model, room
-        self._clear()
 
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, self.model.scores.shape[1] + 2), np.float32)
+class Scorer:
+    """Sums of class scores over texts' words; each distinct word of some megabytes of text is
+    scored once, and nothing is kept for the next."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """For each word: class score sums, number of subwords, whether there is a letter."""
+        out = np.zeros((len(words), self.model.scores.shape[1] + 2), np.float32)
+        some = [i for i, w in enumerate(words) if has_letter(w)]
+        for k in range(0, len(some), WORDS):
+            at = some[k : k + WORDS]
+            buckets, count = subwords([words[i].lower() for i in at])
+            ends = np.cumsum(count)
+            out[at, :-2] = np.add.reduceat(self.model.scores[buckets], ends - count, axis=0)
+            out[at, -2], out[at, -1] = count, 1
+        return out
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class score sums, numbers of subwords, and whether there is a letter."""
-        split = [t.lower().split() for t in texts]
-        if len(self.index) > self.room:
-            self._clear()
-        new = sorted({w for words in split for w in words}.difference(self.index), key=len)
-        if new:
-            buckets, count = subwords(new)
-            ends = np.cumsum(count)
-            sums = np.add.reduceat(self.model.scores[buckets], ends - count, axis=0)
-            start, size = len(self.index), len(self.index) + len(new)
-            if size > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(size, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-            letter = np.fromiter(map(has_letter, new), bool, len(new))
-            self.table[start:size, :-2] = sums * letter[:, None]
-            self.table[start:size, -2] = count * letter
-            self.table[start:size, -1] = letter
-            self.index.update(zip(new, range(start, size), strict=True))
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        total = np.zeros((len(texts), self.table.shape[1]))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            starts = np.cumsum(sizes)[some] - sizes[some]
-            total[some] = np.add.reduceat(self.table[flat], starts, axis=0, dtype=np.float64)
-        for w in new:
-            if len(w) > 64:  # not worth a place
-                self.index.pop(w)
+        rows, words = chunks(pc.utf8_split_whitespace(texts))
+        table = self.table(words.to_pylist())
+        total = np.zeros((len(texts), table.shape[1]))
+        for c in range(table.shape[1] if len(texts) else 0):
+            total[:, c] = np.add.reduceat(table[:, c][rows.values], rows.starts[:-1], dtype=np.float64)
         return total[:, :-2], total[:, -2], total[:, -1] > 0
 
 
@@ -221,7 +211,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
 
         def run(texts):
-            total, count, letter = scorer(texts.to_pylist())
+            total, count, letter = scorer(texts)
             p = scorer.model.probabilities(total, count)
             best = p.argmax(axis=1)
             score = np.where(letter, p[np.arange(len(best)), best], 0.0)
