@@ -15,9 +15,12 @@
    (DivideSkip). Every document is a query once; what a query has found is in its group and
    leaves the index, so that a group of near copies is searched by its first one alone.
 5. Blocks too large for one task are first compared with one of their documents; what is
-   linked with it is one group already, and only the others are searched for, in every
-   part of the block. The others are dealt out too: a task indexes one part of the block
-   and asks for one share of the others.
+   linked with it is one group already. The others, and what they may link with, fall apart
+   by prefixes: of linked sets, each has one of the other's rarest shingles among its own
+   rarest (so many that fewer could not be all that differ), by one order of all shingles. A
+   passage that many documents share is never rare. Groups by such a shingle are searched
+   as blocks are; where one is too large still, a task indexes one part of it and asks for
+   one share of the others.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from .components import components
 
 FLUSH_ROWS = 4096  # rows whose signatures a task compares before it passes them on
 DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
-BLOCK_SHINGLES = 200_000  # shingles of a block that one task indexes (1.6 MB)
+BLOCK_SHINGLES = 400_000  # shingles of a block that one task indexes (3.2 MB)
+SKETCH = 1 << 18  # counters that tell rare shingles from common ones; any counts give the same links
 SHORT = 64  # documents of an inverted list that is merged rather than probed
 
 
@@ -173,6 +177,8 @@ class Index:
 
     def _make(self, members: np.ndarray) -> None:
         self.left = np.zeros(len(self.sets), bool)
+        self.inside = np.zeros(len(self.sets), bool)
+        self.inside[members] = True
         self.gone, self.size = 0, len(members)
         sets = [self.sets[m] for m in members.tolist()]
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -188,13 +194,16 @@ class Index:
         if self.gone * 2 > self.size:
             self._make(self.members[~self.left[self.members]])
 
-    def occurrences(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that at least ``least`` of the query's lists hold, and how many do."""
+    def occurrences(self, query: np.ndarray, least: int, alone: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that at least ``least`` of the query's lists hold, and how many do; lists of
+        no more than ``alone`` documents (the query itself) are left out."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.tokens):
             return none
         at = np.searchsorted(self.tokens, query)
-        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query]
+        at = np.minimum(at, len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        at = at[self.starts[at + 1] - self.starts[at] > alone]
         if len(at) < least:
             return none
         length = self.starts[at + 1] - self.starts[at]
@@ -216,9 +225,9 @@ class Index:
             left, found = left[keep], found[keep]
         return left, found
 
-    def linked(self, query: np.ndarray, percent: int) -> np.ndarray:
+    def linked(self, query: np.ndarray, percent: int, alone: int = 0) -> np.ndarray:
         """Documents of the index whose sets are similar to the query's."""
-        found, overlap = self.occurrences(query, max(1, -(-percent * len(query) // 100)))
+        found, overlap = self.occurrences(query, max(1, -(-percent * len(query) // 100)), alone)
         sizes = np.array([len(self.sets[d]) for d in found.tolist()], np.int64)
         return found[100 * overlap >= percent * (sizes + len(query) - overlap)]
 
@@ -236,7 +245,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
         todo = [first]
         while todo:
             q = todo.pop()
-            found = index.linked(sets[q], percent)
+            found = index.linked(sets[q], percent, int(index.inside[q]))
             reached[found] = True
             index.leave(found)
             out += ((ids[q], ids[d]) for d in found.tolist())
@@ -257,7 +266,7 @@ def cell_links(ids: list[int], sets: list[np.ndarray], members: list[int], queri
 
     index, out = Index(sets, members), []
     for q in queries:
-        for d in index.linked(sets[q], percent).tolist():
+        for d in index.linked(sets[q], percent, int(index.inside[q])).tolist():
             a, b = find(q), find(d)
             if a != b:
                 root[a] = b
@@ -308,21 +317,15 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     links = _search(texts.filter("parts = 1").withColumns(whole), n, percent)
     big = texts.filter("parts > 1")
     if not big.isEmpty():
-        everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+        everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         index = big.withColumns({"part": own, "query": F.lit(False), "index": F.lit(True)})
         pivot = big.filter("row = pivot").withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
         star = stored(_search(index.unionByName(pivot), n, percent))
         known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
-        others = stored(join_small(big.filter("row != pivot"), stored(known), ["row"], "left_anti", 24))
-        shares = stored(others.groupBy("block").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("shares")))
-        # cells of one part of the block and one share of the others
-        every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-        held = join_small(index, shares, ["block"], "inner", 16).withColumn("share", every_share)
-        asked = join_small(others, shares, ["block"], "inner", 16).withColumns({"query": F.lit(True), "index": F.lit(False)})
-        asked = asked.withColumn("part", everywhere).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).cast("int"))
-        cells = held.unionByName(asked).withColumn("part", F.col("part").cast("long") * F.col("shares") + F.col("share"))
-        links = links.unionByName(star).unionByName(_search(cells, n, percent))
+        known = stored(known.withColumn("known", F.lit(True)))
+        big = join_small(big.drop("parts"), known, ["row"], "left", 32).withColumn("other", F.col("known").isNull() & (F.col("row") != F.col("pivot"))).drop("known")
+        links = links.unionByName(star).unionByName(_search(_cells(stored(big), n, percent, block_shingles), n, percent))
     groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
@@ -341,6 +344,57 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     )
 
 
+def _cells(big: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
+    """Rows of large blocks by the rare shingles that a row and another have in common: in
+    each group the other rows are asked for among all. Groups of the same rows count once."""
+    spark = big.sparkSession
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, counts = Shingles(n), np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for text in b.column(0):
+                np.add.at(counts, (shingles(text.as_py()) % np.uint64(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    counts = np.zeros(SKETCH, np.int64)
+    for r in big.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]  # SKETCH numbers, whatever the input
+    shared = spark.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
+        for b in batches:
+            prefixes = []
+            for text in b.column(4):
+                s = shingles(text.as_py())
+                order = np.lexsort((s, shared.value[(s % np.uint64(SKETCH)).astype(np.int64)]))
+                prefixes.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+            size = [len(x) for x in prefixes]
+            at = pa.array(np.repeat(np.arange(len(size)), size))
+            columns = [b.column(i).take(at) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "n_shingles", "other", "rare"])
+
+    prefixes = stored(big.select("block", "row", "n_shingles", "other", "text").mapInArrow(rare, "block long, row long, n_shingles long, other boolean, rare long"))
+    asked = F.when(F.col("other"), F.col("n_shingles"))
+    groups = prefixes.groupBy("block", "rare").agg(
+        F.count("*").alias("rows"), F.count_if("other").alias("others"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("who"), F.sum("n_shingles").alias("total"), F.sum(asked).alias("asked")
+    )
+    groups = groups.filter("rows > 1 and others > 0").groupBy("block", "who", "rows", "others").agg(F.min("rare").alias("rare"), F.first("total").alias("total"), F.first("asked").alias("asked"))
+    groups = stored(groups.select("block", "rare", *(F.ceil(F.col(c) / block_shingles).cast("int").alias(to) for c, to in (("total", "parts"), ("asked", "shares")))))
+    members = join_small(prefixes, groups, ["block", "rare"], "inner", 40)
+    texts = big.select("row", "text").join(members, "row")
+    whole, own = F.col("parts") == 1, F.pmod(F.xxhash64("row"), F.col("parts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    together = texts.filter(whole).withColumns({"index": F.lit(True), "query": F.col("other"), "cell": F.lit(0).cast("long")})
+    held = texts.filter(~whole).withColumns({"index": F.lit(True), "query": F.lit(False), "share": every("shares")})
+    held = held.withColumn("cell", own.cast("long") * F.col("shares") + F.col("share")).drop("share")
+    asking = texts.filter(~whole & F.col("other")).withColumns({"index": F.lit(False), "query": F.lit(True), "part": every("parts")})
+    asking = asking.withColumn("cell", F.col("part").cast("long") * F.col("shares") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).drop("part")
+    cells = together.unionByName(held).unionByName(asking)
+    return cells.select(F.xxhash64("block", "rare").alias("block"), F.col("cell").alias("part"), "row", "query", "index", "text", "n_shingles")
+
+
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """For each row: size and key of its set, the signatures it stands for (the first in its
     part of a task to have them) and the rows that stand for its others."""
