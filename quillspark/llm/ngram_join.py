@@ -5,9 +5,9 @@
    m, so if hashing deals the shingles into p > h parts, they agree in p - h parts or more.
    A set's signatures are hashes of its h + 1 fullest parts; linked sets share one of
    them. Unlike a single shingle, the shingles of a whole part are seldom shared by chance.
-2. A task passes on one row for each signature and links the other rows that have it to
-   that one; across tasks the smallest row of a signature, found by a partial
-   aggregation, stands for it. So no signature is hot.
+2. A task passes on one row for each signature and FLUSH_ROWS rows, and links the others that
+   have it to that one; so of a signature that all rows have, one in FLUSH_ROWS reaches
+   the shuffle, where the smallest row of a signature stands for it.
 3. Connected rows form blocks: a superset of the groups.
 4. Within blocks a T-occurrence search finds the links exactly: of the inverted lists of
    a query's shingles, the short ones are merged by a heap that skips what can't reach
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import documents, drop_stored, join_small, scratch, spare, stored
 from .components import components
 
-FLUSH_ROWS = 4096  # rows whose signatures a task compares before it passes them on
+FLUSH_ROWS = 16384  # rows whose signatures a task compares before it passes them on
 DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
 BLOCK_SHINGLES = 400_000  # shingles of a block that one task indexes (3.2 MB)
 SKETCH = 1 << 18  # counters that tell rare shingles from common ones; any counts give the same links
@@ -299,8 +299,8 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     copies = stored(copies.select("k1", "k2", "first"))
     # blocks: rows that share a signature in a task, and rows that stand for a signature in several
     over = scan.select("row", F.explode("signatures").alias("signature"))
-    shared = stored(over.groupBy("signature").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    between = join_small(over, shared, ["signature"], "inner", 32).filter("row > b").select("row", "b").distinct()
+    before = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    between = over.select("row", F.min("row").over(before).alias("b")).filter("row > b").distinct()
     within = scan.select("row", F.explode("firsts").alias("b"))
     block = components(between.unionByName(within).select(F.col("row").alias("a"), "b"))
     block = stored(block.unionByName(block.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
