@@ -16,12 +16,16 @@ def study_domain(text: Column, keywords: Column | None = None) -> Column:
     """The domain with the most hints in text and keywords; of equals the first in priority;
     below two hints the general one."""
     words = F.array_join(keywords, " ") if keywords is not None else F.lit("")
-    corpus = F.lower(F.concat(X.normalize_legal(text), F.lit(" "), words))
-    scores = F.array(*[X.count_hints(corpus, hints) for hints in vocab.DOMAIN_HINTS.values()])
-    pick = F.transform(
-        F.array(scores), lambda s: F.when(F.array_max(s) < 2, F.lit(vocab.GENERAL_DOMAIN)).otherwise(F.get(F.array(*map(F.lit, vocab.DOMAIN_HINTS)), F.array_position(s, F.array_max(s)) - 1))
-    )
-    return F.get(pick, F.lit(0))
+    names = F.array(*map(F.lit, vocab.DOMAIN_HINTS))
+
+    def scores(corpus: Column) -> Column:
+        return F.array(*[X.count_hints(corpus, hints) for hints in vocab.DOMAIN_HINTS.values()])
+
+    def pick(s: Column) -> Column:
+        return F.when(F.array_max(s) < 2, F.lit(vocab.GENERAL_DOMAIN)).otherwise(F.get(names, F.array_position(s, F.array_max(s)) - 1))
+
+    corpus = X.let(X.normalize_legal(text), lambda clean: F.lower(F.concat(clean, F.lit(" "), words)))
+    return X.let(X.let(corpus, scores), pick)
 
 
 def study_focus(domain: Column, keywords: Column, key_sentences: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # --- fixed values: lines that are noise of a scan ------------------------------------------
 NOISE_PATTERNS = (
     r"^https?://",
@@ -64,14 +66,17 @@ def line_key(line: Column) -> Column:
 
 def clean_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Each document without noise lines and without lines it had before (shorter ones than
-    KEY_LENGTH may repeat); a document of which nothing is left has the empty text."""
-    lines = docs.select(F.col(doc), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)).alias("at", "line"))
-    kept = lines.filter(~is_noise(F.col("line"))).withColumn("key", line_key(F.col("line")))
-    seen = F.row_number().over(Window.partitionBy(doc, "key").orderBy("at"))
-    kept = kept.withColumn("seen", seen).filter((F.col("seen") == 1) | (F.length("key") < KEY_LENGTH))
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.trim("line").alias("line"))))
-    joined = kept.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("__clean"))
-    return docs.select(doc).join(joined, doc, "left").select(doc, F.coalesce("__clean", F.lit("")).alias(text))
+    KEY_LENGTH may repeat); a document of which nothing is left has the empty text. Lines of a
+    document are sorted by key and back again, so nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END), F.trim)
+    keyed = F.transform(F.filter(lines, lambda x: ~is_noise(x)), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("at"), x.alias("line")))
+
+    def first_ones(sorted_lines: Column) -> Column:
+        new = lambda x, i: (F.length(x["key"]) < KEY_LENGTH) | (i == 0) | (x["key"] != F.get(sorted_lines, i - 1)["key"])
+        kept = F.transform(F.filter(sorted_lines, new), lambda x: F.struct(x["at"], x["line"]))
+        return F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), "\n")
+
+    return docs.select(doc, let(F.array_sort(keyed), first_ones).alias(text))
 
 
 def collapse_repeats(lines: DataFrame, doc: str, at: str, line: str) -> DataFrame:

@@ -22,13 +22,13 @@ def direct_issues(text: Column) -> Column:
 def related_issues(direct: Column) -> Column:
     """Keywords one step from the direct ones that aren't direct themselves, each once, in
     the order of the dictionary and of its lists."""
-    steps = F.create_map(*[x for k, _, _, related in ISSUES for x in (F.lit(k), _words(related))])
+    steps = F.create_map(*[x for k, _, related, _ in ISSUES for x in (F.lit(k), _words(related))])
     return F.array_except(F.array_distinct(F.flatten(F.transform(direct, lambda d: steps[d]))), direct)
 
 
 def category(keywords: Column) -> Column:
     """The category of the largest summed importance; of equals the first in priority."""
-    importance = lambda name: F.create_map(*[x for k, c, w, _ in ISSUES for x in (F.lit(k), F.lit(w if c == name else 0))])
+    importance = lambda name: F.create_map(*[x for k, c, _, w in ISSUES for x in (F.lit(k), F.lit(w if c == name else 0))])
     total = lambda name: F.aggregate(keywords, F.lit(0), lambda s, k: s + F.coalesce(F.try_element_at(importance(name), k), F.lit(0)))
     sums = F.array(*[total(c) for c in CATEGORIES])
     pick = F.transform(F.array(sums), lambda s: F.when(F.array_max(s) > 0, F.get(_words(CATEGORIES), F.array_position(s, F.array_max(s)) - 1)).otherwise(F.lit(NO_CATEGORY)))
@@ -49,7 +49,7 @@ def weighted_search(rows: DataFrame, query: str, title: Column, subject: Column,
     if not query:
         return rows.orderBy(key).limit(k).withColumn("score", F.lit(0.0))
     direct = [i for i in KEYWORDS if i in query]
-    related = [r for i, _, _, rs in ISSUES if i in direct for r in rs]
+    related = [r for i, _, rs, _ in ISSUES if i in direct for r in rs]
     tokens = sorted({t.lower() for t in [*query.split(), *direct, *related] if len(t) >= 2})
     title, subject, body = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, subject, body))
 

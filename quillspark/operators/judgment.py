@@ -18,8 +18,8 @@ SCHEMA = (
 )
 # --- fixed values: names of sections, brackets around them, names of acts --------------------
 SECTIONS = (
-    "판시사항 판결요지 결정요지 요지 참조조문 참조판례 판결내용 상세내용 사건 전문 피고인 상고인 원심판결 주문 이유"
-).split()
+    "판시사항", "판결요지", "결정요지", "요지", "참조조문", "참조판례", "판결내용", "상세내용", "사건", "전문", "피고인", "상고인", "원심판결", "주문", "이유",
+)
 SPACED = {"요지", "판결내용", "상세내용", "사건", "전문", "피고인", "상고인", "주문", "이유"}  # may be written with spaces
 BRACKETS = ("【】", "[]", "〔〕", "<>")
 ACTS = (

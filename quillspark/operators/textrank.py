@@ -13,31 +13,38 @@ from ..functions import text as X
 from ..functions import vocab
 
 DAMPING, ROUNDS = 0.85, 30
+PAIRS = 4_000_000  # similarities of a document that are held; beyond, they are made anew each round
 
 
 def ranks(token_sets: list[set[str]]) -> np.ndarray:
-    """Scores of sentences from their Jaccard similarities. The similarities come from a
-    sparse incidence of sentences and tokens, so only pairs with a common token are
-    held; rounds stop once scores barely change, with the scores before that change."""
+    """Scores of sentences from their Jaccard similarities; rounds stop once scores barely
+    change, with the scores before that change. A row of similarities at a time is counted
+    from the tokens' lists of sentences and used at once, so what is held is the incidence of
+    sentences and tokens and never a table of pairs; rows are held only where they are few."""
     n = len(token_sets)
-    by_token: dict[str, list[int]] = {}
-    for i, tokens in enumerate(token_sets):
-        for t in tokens:
-            by_token.setdefault(t, []).append(i)
-    rows = [np.repeat(m, len(m)) for m in map(np.array, by_token.values()) if len(m) > 1]
-    cols = [np.tile(m, len(m)) for m in map(np.array, by_token.values()) if len(m) > 1]
+    number: dict[str, int] = {}
+    rows = [np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens)) for tokens in token_sets]
+    size = np.array([len(r) for r in rows], float)
+    flat, owner = np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(np.arange(n), size.astype(np.int64))
+    order = np.argsort(flat, kind="stable")
+    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(number)))])
     scores = np.ones(n) / n
-    if not rows:
-        pair, common = np.zeros(0, np.int64), np.zeros(0)
-    else:
-        pair, common = np.unique(np.concatenate(rows) * n + np.concatenate(cols), return_counts=True)
-    i, j = pair // n, pair % n
-    keep = i != j
-    i, j, common = i[keep], j[keep], common[keep]
-    size = np.array([len(t) for t in token_sets], float)
-    value = common / (size[i] + size[j] - common)
+
+    def similar(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Other sentences with a common token, and how similar they are."""
+        common = np.zeros(n)
+        for t in rows[i].tolist():
+            common[holders[starts[t] : starts[t + 1]]] += 1
+        common[i] = 0
+        j = np.flatnonzero(common)
+        return j, common[j] / (size[i] + size[j] - common[j])
+
+    kept = list(map(similar, range(n))) if n * n <= PAIRS else None
     for _ in range(ROUNDS):
-        fresh = (1 - DAMPING) / n + DAMPING * np.bincount(i, value * scores[j], minlength=n)
+        fresh = np.full(n, (1 - DAMPING) / n)
+        for i in range(n):
+            j, value = kept[i] if kept is not None else similar(i)
+            fresh[i] += DAMPING * (value @ scores[j])
         if np.allclose(scores, fresh, atol=1e-6):
             break
         scores = fresh

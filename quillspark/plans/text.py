@@ -10,13 +10,39 @@ from ..operators import classify, clean, grounding, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
 from ..sources.html import html_text
 from ..sources.tables import table
-from . import answers
+from . import answers, text_sql
+
+
+# Korean lines put in front of the driver's texts, which have none, one by number modulo their count.
+LINES = (
+    "피고인이 타인의 지갑을 절도한 사건이다.",
+    "수사기관이 영장 없이 압수한 것의 효력.",
+    "표현의 자유 제한은 위헌이다.",
+    "재산범죄 가운데 절도의 미수.",
+    "대법원 2020. 5. 14. 선고 2019도12345 판결은 형법 제250조 제1항과 제2항을 적용한다.",
+    "자백의 보강증거와 증거능력, 위법수집증거에 관한 형사소송법 제308조의2의 판단이다.",
+    "국가경찰위원회와 징계위원회의 정보공개 및 소청심사의 기한.",
+    "구성요건과 위법성, 책임과 고의를 판단한 형법의 사건이다.",
+    "헌법재판소는 기본권의 과잉금지원칙과 최소침해, 법익균형을 심사하여 헌법불합치로 결정하였다.",
+    "사법경찰관의 체포와 구속, 재수사 및 수사준칙을 검사가 판단하였다.",
+    "공범의 고의와 공동정범, 정당방위와 긴급피난을 구별한다.",
+    "징계",
+)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang")
 
 
+def _planted(rows: DataFrame, key: str) -> DataFrame:
+    line = F.get(F.array(*map(F.lit, LINES)), (F.col(key) % len(LINES)).cast("int"))
+    return rows.withColumn("text", F.concat(line, F.lit("\n"), F.col("text")))
+
+
+def _korean(spark: SparkSession, d: str) -> DataFrame:
+    return _planted(_docs(spark, d), "doc_id")
+
+
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.token_counts(_docs(spark, d), "doc_id", X.tokenize(F.col("text")))
 
@@ -72,24 +98,25 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
-    """Items like the first one: 0.65 cosine of tf-idf weights + 0.25 token overlap + 0.10
+    """Documents like the first one: 0.65 cosine of tf-idf weights + 0.25 token overlap + 0.10
     share of the first one's issues, kept above 0.30."""
-    b = table(spark, d, "benchmark")
-    return _blended(b, b.orderBy("item_id").first())
+    docs = _korean(spark, d)
+    return _blended(docs, docs.orderBy("doc_id").first(), "doc_id")
 
 
-def _blended(b: DataFrame, first: Row | None) -> DataFrame:
-    own, text = (first["item_id"], first["text"]) if first else (None, None)
-    postings = tfidf.weights(b, "item_id", "text")
-    scored = tfidf.dots(postings, postings.filter(F.col("doc") == F.lit(own))).withColumnRenamed("doc", "item_id")
-    norm = postings.filter(F.col("doc") == F.lit(own)).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).first()[0] or 0.0
+def _blended(docs: DataFrame, first: Row | None, key: str = "item_id") -> DataFrame:
+    own, text = (first[key], first["text"]) if first else (None, None)
+    postings = tfidf.kept(tfidf.weights(docs, key, "text"))
+    mine = postings.filter(F.col("doc") == F.lit(own))
+    scored = tfidf.dots(postings, mine).withColumnRenamed("doc", key)
+    norm = mine.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).first()[0] or 0.0
     cos = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.lit(norm)), F.lit(0.0))
     jac = tfidf.jaccard(F.array_distinct(X.tokenize(F.col("text"))), F.array_distinct(X.tokenize(F.lit(text))))
     asked = issues.direct_issues(F.lit(text))
     hits = F.size(F.array_intersect(issues.direct_issues(F.col("text")), asked))
     issue = F.coalesce(F.try_divide(hits.cast("double"), F.size(asked).cast("double")), F.lit(0.0))
     score = F.round(tfidf.steady(tfidf.blend(cos, jac, issue)), 6)
-    return b.join(scored, "item_id", "left").select("item_id", score.alias("score")).filter("score > 0.30")
+    return docs.join(scored, key, "left").select(key, score.alias("score")).filter("score > 0.30")
 
 
 def smart_truncated(spark: SparkSession, d: str) -> DataFrame:
@@ -105,15 +132,16 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def study_domains(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", classify.study_domain(F.col("text")).alias("domain"))
+    return _korean(spark, d).select("doc_id", classify.study_domain(F.col("text")).alias("domain"))
 
 
 def legal_signals(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", X.count_legal_signals(F.col("text")).cast("long").alias("signals"))
+    return _korean(spark, d).select("doc_id", X.count_legal_signals(F.col("text")).cast("long").alias("signals"))
 
 
 def keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    return classify.keyphrases(_docs(spark, d), "doc_id", "text", 10)
+    found = classify.keyphrases(_korean(spark, d), "doc_id", "text", 10)
+    return found.select("doc", F.array_join("phrases", ",").alias("phrases"))
 
 
 def textrank_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +169,8 @@ def device_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def issue_graph(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" 영장 자백")).otherwise(F.lit(" 고의"))))
     direct = issues.direct_issues(F.col("text"))
-    return docs.select("doc_id", F.array_join(direct, ",").alias("direct"), F.array_join(issues.related_issues(direct), ",").alias("related"), issues.category(direct).alias("category"))
+    return _korean(spark, d).select("doc_id", F.array_join(direct, ",").alias("direct"), F.array_join(issues.related_issues(direct), ",").alias("related"), issues.category(direct).alias("category"))
 
 
 def merged_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -190,12 +217,6 @@ def signal_retention(spark: SparkSession, d: str) -> DataFrame:
     return answers.retention(table(spark, d, "benchmark"), "item_id", "text")
 
 
-def _korean(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a Korean line in front, by doc_id: the driver's texts have none."""
-    lines = ("피고인이 타인의 지갑을 절도한 사건이다.", "수사기관이 영장 없이 압수한 것의 효력.", "표현의 자유 제한은 위헌이다.", "재산범죄 가운데 절도의 미수.")
-    return _docs(spark, d).withColumn("text", F.concat(F.get(F.array(*map(F.lit, lines)), (F.col("doc_id") % len(lines)).cast("int")), F.lit("\n"), F.col("text")))
-
-
 def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
     return _korean(spark, d).select("doc_id", classify.taxonomy_path(F.col("text")).alias("path"))
 
@@ -232,13 +253,15 @@ HITS = " + ".join(
 )
 SQL = {
     "device_search": f"WITH s AS (SELECT doc_id, ({HITS})::DOUBLE AS score FROM documents) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20",
-    "issue_graph": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '영장,자백' ELSE '고의' END AS direct,
-        CASE WHEN doc_id % 2 = 0 THEN '압수수색,체포,사후영장,보강증거,임의성,증거능력' ELSE '과실,구성요건' END AS related,
-        CASE WHEN doc_id % 2 = 0 THEN '형사소송법' ELSE '형법' END AS category FROM documents""",
-    "taxonomy_paths": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '형법' WHEN 1 THEN '형사소송법 > 압수·수색 > 영장집행'
-        WHEN 2 THEN '헌법 > 위헌심사 > 위헌' ELSE '형법 > 재산범죄 > 절도' END AS path FROM documents""",
-    "legal_signals": r"""SELECT doc_id, (len(regexp_extract_all(text, '\d{2,4}\s*[가-힣]{1,3}\s*\d+')) + len(regexp_extract_all(text, '\d{4}\s*[.년]\s*\d{1,2}\s*[.월]\s*\d{1,2}\s*[.일]?'))
-        + len(regexp_extract_all(text, '제\s*\d+\s*조')) + len(regexp_extract_all(text, '대법원|헌법재판소|고등법원|지방법원|가정법원|행정법원|특허법원')))::BIGINT AS signals FROM documents""",
+    "issue_graph": text_sql.issue_graph(LINES),
+    "taxonomy_paths": text_sql.taxonomy_paths(LINES),
+    "legal_signals": text_sql.legal_signals(LINES),
+    "study_domains": text_sql.study_domains(LINES),
+    "study_classes": text_sql.study_classes(LINES),
+    "keyphrases": text_sql.keyphrases(LINES),
+    "smart_truncated": text_sql.smart_truncated(),
+    "clean_lines": text_sql.clean_lines(clean.NOISE_PATTERNS, clean.NOISE_LINES, clean.KEY_LENGTH),
+    "blended": text_sql.blended(LINES),
     "token_counts": f"WITH {TOKENS} SELECT doc, term, n FROM c",
     "doc_frequency": f"WITH {TOKENS} SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM f",
     "tfidf_weights": f"WITH {TOKENS} SELECT doc, term, round(weight, 6) AS weight FROM w",
@@ -247,6 +270,18 @@ SQL = {
         r AS (SELECT doc_id AS doc, round(coalesce(dot / (norm * (SELECT sqrt(sum(weight * weight)) FROM q)), 0.0), 9) AS sim
               FROM documents LEFT JOIN s ON s.doc = doc_id LEFT JOIN m ON m.doc = doc_id WHERE doc_id <> 0)
         SELECT doc, round(sim, 4) AS similarity, row_number() OVER (ORDER BY sim DESC, doc) AS rank FROM r ORDER BY sim DESC, doc LIMIT 10""",
+    "similar_reranked": f"""WITH {TOKENS}, q AS (SELECT term, weight FROM w WHERE doc = 0),
+        s AS (SELECT w.doc, sum(w.weight * q.weight) AS dot FROM w JOIN q USING (term) GROUP BY w.doc),
+        r AS (SELECT doc_id AS doc, lang, round(coalesce(dot / (norm * (SELECT sqrt(sum(weight * weight)) FROM q)), 0.0), 9) AS sim
+              FROM documents LEFT JOIN s ON s.doc = doc_id LEFT JOIN m ON m.doc = doc_id WHERE doc_id <> 0),
+        o AS (SELECT doc, lang, round(sim, 4) AS sim FROM r ORDER BY r.sim DESC, doc LIMIT 20),
+        b AS (SELECT doc, round(sim + CASE WHEN lang IS NOT DISTINCT FROM (SELECT lang FROM documents WHERE doc_id = 0) THEN 0.03::DOUBLE ELSE 0 END, 4) AS similarity FROM o)
+        SELECT doc, similarity, row_number() OVER (ORDER BY similarity DESC, doc) AS rank FROM b ORDER BY similarity DESC, doc LIMIT 10""",
+    "doc_keywords": f"""WITH {TOKENS}, bt AS (SELECT item_id AS doc, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1) AS ws FROM benchmark),
+        bk AS (SELECT doc, len(ws) AS len, unnest(ws) AS term FROM bt), bc AS (SELECT doc, len, term, count(*) AS n FROM bk GROUP BY ALL),
+        x AS (SELECT doc, term, n / len * coalesce(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, ln(2.0::DOUBLE) + 1) AS score FROM bc LEFT JOIN f USING (term)),
+        o AS (SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY score DESC, term) AS rank FROM x)
+        SELECT doc, term, rank FROM o WHERE rank <= 5""",
     "search_by_query": f"""WITH {TOKENS}, {ASKED},
         r AS (SELECT w.doc, round(sum(w.weight * q.weight) / (any_value(norm) * (SELECT sqrt(sum(weight * weight)) FROM q)), 9) AS sim FROM w JOIN q USING (term) JOIN m ON m.doc = w.doc GROUP BY w.doc)
         SELECT doc, round(sim, 4) AS similarity FROM r ORDER BY sim DESC, doc LIMIT 10""",
