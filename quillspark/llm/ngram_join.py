@@ -18,9 +18,9 @@
    linked with it is one group already. The others, and what they may link with, fall apart
    by prefixes: of linked sets, each has one of the other's rarest shingles among its own
    rarest (so many that fewer could not be all that differ), by one order of all shingles. A
-   passage that many documents share is never rare. Groups by such a shingle are searched
-   as blocks are; where one is too large still, a task indexes one part of it and asks for
-   one share of the others.
+   passage that many documents share is never rare. What such shingles connect is
+   searched as blocks are; where that is too large still, a task indexes one part of it
+   and asks for one share of the others.
 """
 
 from __future__ import annotations
@@ -345,8 +345,8 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
 
 
 def _cells(big: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
-    """Rows of large blocks by the rare shingles that a row and another have in common: in
-    each group the other rows are asked for among all. Groups of the same rows count once."""
+    """Rows of large blocks by what rare shingles connect: in each part the other rows are asked
+    for among all."""
     spark = big.sparkSession
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,33 +366,34 @@ def _cells(big: DataFrame, n: int, percent: int, block_shingles: int) -> DataFra
         shingles = Shingles(n)
         for b in batches:
             prefixes = []
-            for text in b.column(4):
+            for text in b.column(2):
                 s = shingles(text.as_py())
                 order = np.lexsort((s, shared.value[(s % np.uint64(SKETCH)).astype(np.int64)]))
                 prefixes.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
             size = [len(x) for x in prefixes]
             at = pa.array(np.repeat(np.arange(len(size)), size))
-            columns = [b.column(i).take(at) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "n_shingles", "other", "rare"])
-
-    prefixes = stored(big.select("block", "row", "n_shingles", "other", "text").mapInArrow(rare, "block long, row long, n_shingles long, other boolean, rare long"))
+            columns = [b.column(i).take(at) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "rare"])
+
+    prefixes = stored(big.select("block", "row", "text").mapInArrow(rare, "block long, row long, rare long"))
+    least = stored(prefixes.groupBy("block", "rare").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    links = join_small(prefixes, least, ["block", "rare"], "inner", 48).select(F.col("row").alias("a"), "b").distinct()
+    cell = components(links)
+    cell = stored(cell.unionByName(cell.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("cell")))
+    members = join_small(big.select("row", "n_shingles", "other", "text"), cell, ["row"], "inner", 48)
     asked = F.when(F.col("other"), F.col("n_shingles"))
-    groups = prefixes.groupBy("block", "rare").agg(
-        F.count("*").alias("rows"), F.count_if("other").alias("others"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("who"), F.sum("n_shingles").alias("total"), F.sum(asked).alias("asked")
-    )
-    groups = groups.filter("rows > 1 and others > 0").groupBy("block", "who", "rows", "others").agg(F.min("rare").alias("rare"), F.first("total").alias("total"), F.first("asked").alias("asked"))
-    groups = stored(groups.select("block", "rare", *(F.ceil(F.col(c) / block_shingles).cast("int").alias(to) for c, to in (("total", "parts"), ("asked", "shares")))))
-    members = join_small(prefixes, groups, ["block", "rare"], "inner", 40)
-    texts = big.select("row", "text").join(members, "row")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("other").alias("others"), F.sum("n_shingles").alias("total"), F.sum(asked).alias("asked")).filter("rows > 1 and others > 0")
+    sizes = stored(sizes.select("cell", *(F.ceil(F.col(c) / block_shingles).cast("int").alias(to) for c, to in (("total", "parts"), ("asked", "shares")))))
+    texts = stored(join_small(members, sizes, ["cell"], "inner", 48))
     whole, own = F.col("parts") == 1, F.pmod(F.xxhash64("row"), F.col("parts"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    together = texts.filter(whole).withColumns({"index": F.lit(True), "query": F.col("other"), "cell": F.lit(0).cast("long")})
+    together = texts.filter(whole).withColumns({"index": F.lit(True), "query": F.col("other"), "part": F.lit(0).cast("long")})
     held = texts.filter(~whole).withColumns({"index": F.lit(True), "query": F.lit(False), "share": every("shares")})
-    held = held.withColumn("cell", own.cast("long") * F.col("shares") + F.col("share")).drop("share")
-    asking = texts.filter(~whole & F.col("other")).withColumns({"index": F.lit(False), "query": F.lit(True), "part": every("parts")})
-    asking = asking.withColumn("cell", F.col("part").cast("long") * F.col("shares") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).drop("part")
+    held = held.withColumn("part", own.cast("long") * F.col("shares") + F.col("share")).drop("share")
+    asking = texts.filter(~whole & F.col("other")).withColumns({"index": F.lit(False), "query": F.lit(True), "of": every("parts")})
+    asking = asking.withColumn("part", F.col("of").cast("long") * F.col("shares") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).drop("of")
     cells = together.unionByName(held).unionByName(asking)
-    return cells.select(F.xxhash64("block", "rare").alias("block"), F.col("cell").alias("part"), "row", "query", "index", "text", "n_shingles")
+    return cells.select(F.col("cell").alias("block"), "part", "row", "query", "index", "text", "n_shingles")
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
