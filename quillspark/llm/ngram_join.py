@@ -14,13 +14,13 @@
    its share of the overlap, the long ones are probed by binary search for the rest
    (DivideSkip). Every document is a query once; what a query has found is in its group and
    leaves the index, so that a group of near copies is searched by its first one alone.
-5. Blocks too large for one task are first compared with one of their documents; what is
-   linked with it is one group already. The others, and what they may link with, fall apart
-   by prefixes: of linked sets, each has one of the other's rarest shingles among its own
-   rarest (so many that fewer could not be all that differ), by one order of all shingles. A
-   passage that many documents share is never rare. What such shingles connect is
-   searched as blocks are; where that is too large still, a task indexes one part of it
-   and asks for one share of the others.
+5. Blocks too large for one task fall apart by prefixes: of linked sets, each has one of the
+   other's rarest shingles among its own rarest (so many that fewer could not be all that
+   differ), by one order of all shingles. A passage that many documents share is never
+   rare. What such shingles connect is searched as blocks are. Where that is too large still
+   (a huge group of near copies), it is first compared with one of its documents; what is
+   linked with it is one group already, and only the others are searched for: a task
+   indexes one part of the block and asks for one share of the others.
 """
 
 from __future__ import annotations
@@ -312,20 +312,18 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("total") / block_shingles).cast("int")))
     members = join_small(sized.select("row", "block", "n_shingles"), sizes.select("block", "parts", "pivot"), ["block"], "inner", 64)
     members = stored(members)
-    texts = stored(join_small(docs.select("row", "text"), members, ["row"], "inner", 72))
-    whole = {"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}
-    links = _search(texts.filter("parts = 1").withColumns(whole), n, percent)
-    big = texts.filter("parts > 1")
-    if not big.isEmpty():
-        own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-        everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        index = big.withColumns({"part": own, "query": F.lit(False), "index": F.lit(True)})
-        pivot = big.filter("row = pivot").withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
-        star = stored(_search(index.unionByName(pivot), n, percent))
-        known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
-        known = stored(known.withColumn("known", F.lit(True)))
-        big = join_small(big.drop("parts"), known, ["row"], "left", 32).withColumn("other", F.col("known").isNull() & (F.col("row") != F.col("pivot"))).drop("known")
-        links = links.unionByName(star).unionByName(_search(_cells(stored(big), n, percent, block_shingles), n, percent))
+    texts = lambda rows: join_small(docs.select("row", "text"), rows, ["row"], "inner", 72)
+    links = _whole(texts(members.filter("parts = 1")), n, percent)
+    if not members.filter("parts > 1").isEmpty():
+        # large blocks fall apart by rare shingles
+        cell = _connected(texts(members.filter("parts > 1").select("row", "block")), n, percent)
+        again = join_small(members.select("row", "n_shingles"), cell, ["row"], "inner", 48)
+        sizes = again.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
+        sizes = stored(sizes.select("block", "pivot", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")))
+        again = stored(join_small(again, sizes, ["block"], "inner", 64))
+        links = links.unionByName(_whole(texts(again.filter("parts = 1")), n, percent))
+        if not again.filter("parts > 1").isEmpty():
+            links = links.unionByName(_large(stored(texts(again.filter("parts > 1"))), n, percent, block_shingles))
     groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
@@ -344,9 +342,33 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     )
 
 
-def _cells(big: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
-    """Rows of large blocks by what rare shingles connect: in each part the other rows are asked
-    for among all."""
+def _whole(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links within blocks that one task searches each."""
+    return _search(rows.withColumns({"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}), n, percent)
+
+
+def _large(rows: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
+    """Links within blocks too large for one task, as far as they join what isn't joined: first
+    with one row of each, in every part of the block; then of the rows that aren't linked with
+    it, in cells of one part of the block and one share of them."""
+    everywhere, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    index = rows.withColumns({"part": own, "query": F.lit(False), "index": F.lit(True)})
+    pivot = rows.filter("row = pivot").withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
+    star = stored(_search(index.unionByName(pivot), n, percent))
+    known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
+    others = stored(join_small(rows.filter("row != pivot"), stored(known), ["row"], "left_anti", 24))
+    shares = stored(others.groupBy("block").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("shares")))
+    every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    held = join_small(index, shares, ["block"], "inner", 16).withColumn("share", every_share)
+    asked = join_small(others, shares, ["block"], "inner", 16).withColumns({"query": F.lit(True), "index": F.lit(False)})
+    asked = asked.withColumn("part", everywhere).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).cast("int"))
+    cells = held.unionByName(asked).withColumn("part", F.col("part").cast("long") * F.col("shares") + F.col("share"))
+    return star.unionByName(_search(cells, n, percent))
+
+
+def _connected(big: DataFrame, n: int, percent: int) -> DataFrame:
+    """(row, block): rows (row, text, block) of large blocks by what rare shingles connect; rows
+    without a rare shingle in common with another are left out."""
     spark = big.sparkSession
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,21 +401,7 @@ def _cells(big: DataFrame, n: int, percent: int, block_shingles: int) -> DataFra
     least = stored(prefixes.groupBy("block", "rare").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     links = join_small(prefixes, least, ["block", "rare"], "inner", 48).select(F.col("row").alias("a"), "b").distinct()
     cell = components(links)
-    cell = stored(cell.unionByName(cell.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("cell")))
-    members = join_small(big.select("row", "n_shingles", "other", "text"), cell, ["row"], "inner", 48)
-    asked = F.when(F.col("other"), F.col("n_shingles"))
-    sizes = members.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("other").alias("others"), F.sum("n_shingles").alias("total"), F.sum(asked).alias("asked")).filter("rows > 1 and others > 0")
-    sizes = stored(sizes.select("cell", *(F.ceil(F.col(c) / block_shingles).cast("int").alias(to) for c, to in (("total", "parts"), ("asked", "shares")))))
-    texts = stored(join_small(members, sizes, ["cell"], "inner", 48))
-    whole, own = F.col("parts") == 1, F.pmod(F.xxhash64("row"), F.col("parts"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    together = texts.filter(whole).withColumns({"index": F.lit(True), "query": F.col("other"), "part": F.lit(0).cast("long")})
-    held = texts.filter(~whole).withColumns({"index": F.lit(True), "query": F.lit(False), "share": every("shares")})
-    held = held.withColumn("part", own.cast("long") * F.col("shares") + F.col("share")).drop("share")
-    asking = texts.filter(~whole & F.col("other")).withColumns({"index": F.lit(False), "query": F.lit(True), "of": every("parts")})
-    asking = asking.withColumn("part", F.col("of").cast("long") * F.col("shares") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).drop("of")
-    cells = together.unionByName(held).unionByName(asking)
-    return cells.select(F.col("cell").alias("block"), "part", "row", "query", "index", "text", "n_shingles")
+    return stored(cell.unionByName(cell.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
