@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs.  All but the last return the columns of docs.
+
+Null texts and texts without a letter go in the first stage; null ids come last where the
+smallest id stays; of rows that agree in id and text the one earliest in the scan stays; an empty
+table gives an empty one; columns beside doc_id, text, lang pass through, whatever their
+names. Rows are numbered by their place in the scan, so docs that are no files are stored first.
 """
 
 from __future__ import annotations
@@ -12,38 +17,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language, ngram_join, packing, pii
-from quillspark.llm.common import join_small, scratch, stored, vocabulary
+from quillspark.llm.common import drop_stored, join_small, scratch, spare, stored, vocabulary
+
 
-ROW = "__row"
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with their number in the scan, and the name of that column."""
+    docs = docs if docs.inputFiles() else stored(docs)
+    name = spare("row_number", docs.columns)
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose number in the scan is not among the dropped ones."""
-    return join_small(docs.withColumn(ROW, F.monotonically_increasing_id()), gone, [ROW], "left_anti", 24).drop(ROW)
+def _without(rows: DataFrame, gone: DataFrame, number: str) -> DataFrame:
+    """The rows whose number is not among the dropped ones."""
+    return join_small(rows, gone, [number], "left_anti", 24).drop(number)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; those without a letter go."""
-    columns = docs.columns
-    return language.identify(docs, language.fitted(docs)).filter("accepted").select(*columns)
+    model = language.fitted(docs)
+    added = {"lang_pred", "score", "accepted"}
+    names = {c: spare(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in added}  # step aside for what is added
+    found = language.identify(docs.withColumnsRenamed(names), model).filter("accepted")
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one of smallest doc_id."""
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows, number = _numbered(docs)
     with scratch(spark) as keep:
-        found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", ROW])
-        gone = keep(found.filter("not kept").select(ROW))
-    return _without(docs, gone)
+        found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", number])
+        gone = keep(found.filter("not kept").select(number))
+    return _without(rows, gone, number)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked by five-word shingles at a similarity
     of 0.8 or more: the one of smallest doc_id."""
+    rows, number = _numbered(docs)
     with scratch(spark) as keep:
-        found = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80)
-        gone = keep(found.filter("not stays").select(F.col("row").alias(ROW)))
-    return _without(docs, gone)
+        found = ngram_join.ngram_groups(rows.drop(number), "doc_id", n=5, percent=80)
+        gone = keep(found.filter("not stays").select(F.col("row").alias(number)))
+    return _without(rows, gone, number)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +86,10 @@ ORACLE_SQL = None  # SQL cannot express the language model or the tokenizer
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each gives is written to the shared folder and read
     again, so no stage is computed twice and lost executors cost one stage at most."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_stored(before)  # a stage's input goes once its output is there
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, text
+from .plans import legal, relational, text
 
-PLANS = (relational, text)
+PLANS = (relational, text, legal)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
