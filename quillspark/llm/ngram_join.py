@@ -41,7 +41,8 @@ from .components import components
 FLUSH_ROWS = 16384  # rows whose signatures a task compares before it passes them on
 DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
 BLOCK_SHINGLES = 400_000  # shingles of a block that one task indexes (3.2 MB)
-SKETCH = 1 << 18  # counters that tell rare shingles from common ones; any counts give the same links
+RARE = 32  # occurrences up to which all shingles of large blocks count as equally rare
+COMMON = 1_000_000  # shingles at most whose occurrences are told to all tasks (16 MB)
 SHORT = 64  # documents of an inverted list that is merged rather than probed
 
 
@@ -371,26 +372,29 @@ def _connected(big: DataFrame, n: int, percent: int) -> DataFrame:
     without a rare shingle in common with another are left out."""
     spark = big.sparkSession
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingles(n), np.zeros(SKETCH, np.int64)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
         for b in batches:
             for text in b.column(0):
-                np.add.at(counts, (shingles(text.as_py()) % np.uint64(SKETCH)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["shingle"])
 
-    counts = np.zeros(SKETCH, np.int64)
-    for r in big.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]  # SKETCH numbers, whatever the input
-    shared = spark.sparkContext.broadcast(counts)
+    counts = stored(big.select("text").mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > RARE))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(RARE, total // COMMON)  # at most COMMON shingles occur more often
+    often = counts.filter(F.col("n") > least).toPandas()
+    common, rank = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], rank[order]))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
+        shingles, (common, rank) = Shingles(n), shared.value
         for b in batches:
             prefixes = []
             for text in b.column(2):
                 s = shingles(text.as_py())
-                order = np.lexsort((s, shared.value[(s % np.uint64(SKETCH)).astype(np.int64)]))
+                at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+                times = np.where(common[at] == s, rank[at], 0) if len(common) else np.zeros(len(s), np.int64)
+                order = np.lexsort((s, times))
                 prefixes.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
             size = [len(x) for x in prefixes]
             at = pa.array(np.repeat(np.arange(len(size)), size))
