@@ -19,8 +19,9 @@
    differ), by one order of all shingles. A passage that many documents share is never
    rare. What such shingles connect is searched as blocks are. Where that is too large still
    (a huge group of near copies), it is first compared with one of its documents; what is
-   linked with it is one group already, and only the others are searched for: a task
-   indexes one part of the block and asks for one share of the others.
+   linked with it is one group already, and only the others are searched for, within the
+   groups that share one rare shingle; in one too large still, a task indexes one part of
+   it and asks for one share of the others.
 """
 
 from __future__ import annotations
@@ -317,14 +318,15 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     links = _whole(texts(members.filter("parts = 1")), n, percent)
     if not members.filter("parts > 1").isEmpty():
         # large blocks fall apart by rare shingles
-        cell = _connected(texts(members.filter("parts > 1").select("row", "block")), n, percent)
+        rare = _prefixes(texts(members.filter("parts > 1").select("row", "block")), n, percent)
+        cell = _connected(rare)
         again = join_small(members.select("row", "n_shingles"), cell, ["row"], "inner", 48)
         sizes = again.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
         sizes = stored(sizes.select("block", "pivot", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")))
         again = stored(join_small(again, sizes, ["block"], "inner", 64))
         links = links.unionByName(_whole(texts(again.filter("parts = 1")), n, percent))
         if not again.filter("parts > 1").isEmpty():
-            links = links.unionByName(_large(stored(texts(again.filter("parts > 1"))), n, percent, block_shingles))
+            links = links.unionByName(_large(stored(texts(again.filter("parts > 1"))), rare, n, percent, block_shingles))
     groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
@@ -348,28 +350,39 @@ def _whole(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return _search(rows.withColumns({"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}), n, percent)
 
 
-def _large(rows: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
+def _large(rows: DataFrame, rare: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
     """Links within blocks too large for one task, as far as they join what isn't joined: first
     with one row of each, in every part of the block; then of the rows that aren't linked with
-    it, in cells of one part of the block and one share of them."""
-    everywhere, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    index = rows.withColumns({"part": own, "query": F.lit(False), "index": F.lit(True)})
-    pivot = rows.filter("row = pivot").withColumns({"part": everywhere, "query": F.lit(True), "index": F.lit(False)})
+    it, within the groups that share one rare shingle (groups of the same rows count once). A
+    group too large still is searched in cells of one part of it and one share of those rows."""
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = F.pmod(F.xxhash64("row"), F.col("parts"))
+    index = rows.withColumns({"part": own.cast("int"), "query": F.lit(False), "index": F.lit(True)})
+    pivot = rows.filter("row = pivot").withColumns({"part": every("parts"), "query": F.lit(True), "index": F.lit(False)})
     star = stored(_search(index.unionByName(pivot), n, percent))
     known = star.select(F.col("b").alias("row")).unionByName(star.select(F.col("a").alias("row"))).distinct()
-    others = stored(join_small(rows.filter("row != pivot"), stored(known), ["row"], "left_anti", 24))
-    shares = stored(others.groupBy("block").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("shares")))
-    every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    held = join_small(index, shares, ["block"], "inner", 16).withColumn("share", every_share)
-    asked = join_small(others, shares, ["block"], "inner", 16).withColumns({"query": F.lit(True), "index": F.lit(False)})
-    asked = asked.withColumn("part", everywhere).withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares")).cast("int"))
-    cells = held.unionByName(asked).withColumn("part", F.col("part").cast("long") * F.col("shares") + F.col("share"))
+    marked = join_small(rows.select("row", "block", "pivot", "n_shingles"), stored(known.withColumn("known", F.lit(True))), ["row"], "left", 32)
+    marked = stored(marked.select("row", "block", "n_shingles", (F.col("known").isNull() & (F.col("row") != F.col("pivot"))).alias("other")))
+    mine = join_small(rare.select("row", "rare"), marked, ["row"], "inner", 56)
+    asked = F.when(F.col("other"), F.col("n_shingles"))
+    groups = mine.groupBy("block", "rare").agg(
+        F.count("*").alias("rows"), F.count_if("other").alias("others"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("who"), F.sum("n_shingles").alias("total"), F.sum(asked).alias("asked")
+    )
+    groups = groups.filter("rows > 1 and others > 0").groupBy("block", "who", "rows", "others").agg(F.min("rare").alias("rare"), F.first("total").alias("total"), F.first("asked").alias("asked"))
+    groups = stored(groups.select("block", "rare", *(F.ceil(F.col(c) / block_shingles).cast("int").alias(to) for c, to in (("total", "parts"), ("asked", "shares")))))
+    texts = rows.select("row", "text").join(join_small(mine, groups, ["block", "rare"], "inner", 40), "row")
+    whole = F.col("parts") == 1
+    together = texts.filter(whole).withColumns({"index": F.lit(True), "query": F.col("other"), "part": F.lit(0).cast("long")})
+    held = texts.filter(~whole).withColumns({"index": F.lit(True), "query": F.lit(False), "share": every("shares")})
+    held = held.withColumn("part", own.cast("long") * F.col("shares") + F.col("share")).drop("share")
+    asking = texts.filter(~whole & F.col("other")).withColumns({"index": F.lit(False), "query": F.lit(True), "of": every("parts")})
+    asking = asking.withColumn("part", F.col("of").cast("long") * F.col("shares") + F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).drop("of")
+    cells = together.unionByName(held).unionByName(asking).withColumn("block", F.xxhash64("block", "rare"))
     return star.unionByName(_search(cells, n, percent))
 
 
-def _connected(big: DataFrame, n: int, percent: int) -> DataFrame:
-    """(row, block): rows (row, text, block) of large blocks by what rare shingles connect; rows
-    without a rare shingle in common with another are left out."""
+def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
+    """(block, row, rare): the rarest shingles of rows (row, text, block) of large blocks."""
     spark = big.sparkSession
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +414,12 @@ def _connected(big: DataFrame, n: int, percent: int) -> DataFrame:
             columns = [b.column(i).take(at) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "rare"])
 
-    prefixes = stored(big.select("block", "row", "text").mapInArrow(rare, "block long, row long, rare long"))
+    return stored(big.select("block", "row", "text").mapInArrow(rare, "block long, row long, rare long"))
+
+
+def _connected(prefixes: DataFrame) -> DataFrame:
+    """(row, block): rows by what rare shingles connect; rows without a rare shingle in common
+    with another are left out."""
     least = stored(prefixes.groupBy("block", "rare").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     links = join_small(prefixes, least, ["block", "rare"], "inner", 48).select(F.col("row").alias("a"), "b").distinct()
     cell = components(links)
