@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, neighbours, ngram_join, packing, pii, secrets, token_files, tokens
+from . import exact_dedup, infill, language, line_dedup, neighbours, ngram_join, packing, pii, secrets, token_files, tokens, turns
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             exact_dedup.op8_exact_dedup,
             tokens.op9_token_counts,
             token_files.op10_token_files,
+            turns.op11_conversation_repair,
+            line_dedup.op12_line_dedup,
+            infill.op13_fill_in_middle,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**exact_dedup.ORACLE}
+    return {**exact_dedup.ORACLE, **line_dedup.ORACLE, **infill.ORACLE}
