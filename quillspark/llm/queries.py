@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**exact_dedup.ORACLE, **line_dedup.ORACLE, **infill.ORACLE}
+    return {**exact_dedup.ORACLE, **turns.ORACLE, **line_dedup.ORACLE, **infill.ORACLE}

@@ -333,3 +333,79 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("conv_id", "turn", "role", "text")
     rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*names), *names)
     return repair_summary(rows, *names, present=F.col("present"))
+
+
+# crc32 byte by byte, then the least (cost, audit) row after row: e, o, q, a are Empty, Opened, Asked, Answered.
+ORACLE = {
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE polynomial AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                WITH RECURSIVE bit AS (
+                    SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i)
+                    UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8
+                ) SELECT i, c FROM bit WHERE k = 8)
+        ), keyed AS (
+            SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+        ), crc AS (
+            SELECT k, 1 AS i, 4294967295::BIGINT AS c FROM keyed
+            UNION ALL
+            SELECT k, i + 1, xor(c >> 8, t[(xor(c, ascii(k[i])) & 255) + 1]) FROM crc, polynomial WHERE i <= length(k)
+        ), kinds AS (
+            SELECT k, xor(c, 4294967295) % 20 AS kind FROM crc WHERE i = length(k) + 1
+        ), hurt AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+                   unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM conversations JOIN kinds ON k = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')
+        ), m AS (
+            SELECT coalesce(conv_id::VARCHAR, 'none') AS conv, turn, role, text, left(role, 1) AS ini,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                   right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS closed
+            FROM hurt
+        ), f AS (
+            SELECT *, CASE WHEN closed = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN closed NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(ini) OVER (PARTITION BY conv ORDER BY n) AS before
+            FROM m
+        ), parse AS (
+            SELECT DISTINCT conv, 0::BIGINT AS n, {'c': 0::BIGINT, 's': ''} AS e, {'c': NULL::BIGINT, 's': NULL::VARCHAR} AS o,
+                   {'c': 3::BIGINT, 's': 'I'} AS q, {'c': 6::BIGINT, 's': 'II'} AS a FROM f
+            UNION ALL
+            SELECT conv, n, e, o, q, list_min([a, {'c': q.c + 3, 's': q.s || 'I'}]) FROM (
+                SELECT conv, n, e, o, a, list_min([q, {'c': e.c + 3, 's': e.s || 'I'}, {'c': o.c + 3, 's': o.s || 'I'}, {'c': a.c + 3, 's': a.s || 'I'}]) AS q FROM (
+                    SELECT conv, n, {'c': e.c + 4, 's': e.s || 'D'} AS e,
+                           list_min([{'c': o.c + 4, 's': o.s || 'D'}, CASE WHEN stays AND ini = 's' THEN {'c': e.c + more, 's': e.s || 'K'} END]) AS o,
+                           list_min([{'c': q.c + 4, 's': q.s || 'D'}, CASE WHEN stays AND ini = 'u' THEN {'c': p.c + more, 's': p.s || 'K'} END,
+                                     CASE WHEN stays THEN {'c': p.c + 3 + more, 's': p.s || 'R'} END]) AS q,
+                           list_min([{'c': a.c + 4, 's': a.s || 'D'}, CASE WHEN stays AND ini = 'a' THEN {'c': q.c + more, 's': q.s || 'K'} END,
+                                     CASE WHEN stays THEN {'c': q.c + 3 + more, 's': q.s || 'R'} END]) AS a
+                    FROM (
+                        SELECT parse.conv, f.n, e, o, q, a, list_min([e, o, a]) AS p, ini,
+                               fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more
+                        FROM parse JOIN f ON f.conv = parse.conv AND f.n = parse.n + 1)))
+        ), best AS (
+            SELECT conv, list_min([e, a]) AS v FROM parse QUALIFY row_number() OVER (PARTITION BY conv ORDER BY n DESC) = 1
+        ), letters AS (
+            SELECT conv, v.c AS cost, v.s AS audit, unnest(range(1, length(v.s) + 1)) AS k FROM best
+        ), edits AS (
+            SELECT conv, audit, audit[k] AS edit, sum((audit[k] <> 'I')::INT) OVER w AS n, sum((audit[k] <> 'D')::INT) OVER w AS place
+            FROM letters WINDOW w AS (PARTITION BY conv ORDER BY k)
+        ), out AS (
+            SELECT edits.conv, place, edit, f.role, coalesce(CASE WHEN edit <> 'I' THEN f.text END, '') AS text,
+                   max((edit = 'K' AND f.ini = 's')::INT) OVER (PARTITION BY edits.conv) AS opened
+            FROM edits LEFT JOIN f ON f.conv = edits.conv AND f.n = edits.n WHERE edit <> 'D'
+        ), repaired AS (
+            SELECT conv, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place)) AS h
+            FROM out GROUP BY conv
+        ), counts AS (
+            SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM f GROUP BY conv
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost,
+               coalesce(v.s, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS conv FROM conversations)
+        LEFT JOIN counts USING (conv) LEFT JOIN best USING (conv) LEFT JOIN repaired USING (conv)"""
+}
