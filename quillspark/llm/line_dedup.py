@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,10 @@ def drop_repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: in
     ``df`` must be deterministic, since it is read three times. Columns named like an added one are dropped.
     """
     with scratch(df.sparkSession) as keep:
-        return keep(_without_repeats(df, id_col, text_col, min_chars, min_docs))
+        return _without_repeats(df, id_col, text_col, min_chars, min_docs, keep)
 
 
-def _without_repeats(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+def _without_repeats(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     own = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     d1, d2 = _hashes(F.col(id_col), text)
@@ -58,7 +60,7 @@ def _without_repeats(df: DataFrame, id_col: str, text_col: str, min_chars: int,
     held = hits.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
     shared = stored(held.filter(F.col("n") >= min_docs).select("h1", "h2", "last"))
     gone = join_small(hits, shared, ["h1", "h2"], "inner", ROW_BYTES).filter(~F.col("id").eqNullSafe(F.col("last")))
-    places = stored(gone.groupBy("d1", "d2").agg(F.collect_set("at").alias("gone")))
+    places = keep(gone.groupBy("d1", "d2").agg(F.collect_set("at").alias("gone")))
 
     back = join_small(rows, places, ["d1", "d2"], "left", ROW_BYTES + 4 * F.size("gone"))
     back = back.withColumn("lines", F.split("text", "\n", -1)).withColumn("n_lines", F.size("lines").cast("long"))
