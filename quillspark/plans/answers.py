@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classify, grounding, quiz
+from ..operators import classify, grams, grounding, quiz
 from ..operators.relational import any_contains, relevance
 from ..operators.textrank import key_sentences
 
@@ -22,10 +22,11 @@ def question_parts(spark: SparkSession, question: str) -> tuple[str, list[str]]:
     return clean, classify.keyphrases(docs, "id", "text", 6).first()["phrases"]
 
 
-def retrieve(cases: DataFrame, question: str, top_k: int) -> DataFrame:
+def retrieve(cases: DataFrame, question: str, top_k: int, index: grams.Grams | None = None) -> DataFrame:
     """Published cases that contain the question, or the first of its keyphrases with a digit
     as case number, by weighted relevance and then the newest. Keyphrases add to the score
-    of what is found, they don't find more."""
+    of what is found, they don't find more. With an index of the cases' fields by case number only
+    the cases that it gives are looked at."""
     clean, phrases = question_parts(cases.sparkSession, question)
     if len(clean) < 2:
         return cases.limit(0).withColumn("relevance", F.lit(0))
@@ -36,6 +37,10 @@ def retrieve(cases: DataFrame, question: str, top_k: int) -> DataFrame:
     tests += [(X.contains_any_case(c(s), q), w) for s, w in zip(SUMMARIES, (3, 3, 2), strict=True)]
     tests += [(any_contains([c(s) for s in SUMMARIES], p), w) for p, w in zip(phrases[:3], (2, 1, 1), strict=False)]
     hit = any_contains([c("case_name"), *[c(s) for s in SUMMARIES]], q) | by_number
+    if index is not None:
+        found = grams.containing(index, q, ["case_name", *SUMMARIES]).select("doc")
+        found = found.unionByName(grams.containing(index, number, ["case_number"]).select("doc")) if number else found
+        cases = cases.join(found.distinct().withColumnRenamed("doc", "case_number"), "case_number", "left_semi")
     scored = cases.filter(hit).withColumn("relevance", relevance(tests))
     return scored.orderBy(F.desc("relevance"), F.desc("updated_at"), "case_number").limit(max(1, min(top_k, 10)))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classify, clean, grounding, issues, judgment, tfidf
+from ..operators import classify, clean, grounding, inverted, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
+from ..sources import shared
 from ..sources.html import html_text
 from ..sources.tables import table
 from . import answers, text_sql
@@ -58,35 +59,81 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.weights(_docs(spark, d), "doc_id", "text").select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
+def text_index(spark: SparkSession, d: str, name: str, docs: DataFrame, text: Column, stamp: Column | None = None, parts: list[Column] | None = None) -> inverted.Index:
+    """The index of a session over texts of ``documents``: written when first asked for, and anew when the
+    table's files have changed. ``parts`` are conditions, one for each segment."""
+    key = (spark.sparkContext.applicationId, name, shared.state_of(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES or not shared.exists(spark, _INDEXES[key]):
+        path = shared.new_folder(spark)
+        for part in parts or [F.lit(True)]:
+            inverted.add(path, docs.filter(part), "doc_id", text, stamp)
+        _INDEXES[key] = path
+    return inverted.open_index(spark, _INDEXES[key])
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}  # folders of the indexes that sessions have written
+
+
+def _plain_index(spark: SparkSession, d: str) -> inverted.Index:
+    return text_index(spark, d, "plain", _docs(spark, d), F.col("text"))
+
+
 def similar_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return tfidf.similar(docs, "doc_id", tfidf.weights(docs, "doc_id", "text"), 0, 10)
+    return inverted.similar(_plain_index(spark, d), 0, 10)
 
 
 def similar_reranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    found = tfidf.similar(docs, "doc_id", tfidf.weights(docs, "doc_id", "text"), 0, 20)
-    return tfidf.rerank_same(found.select("doc", "similarity"), docs, "doc_id", "lang", 0, 10)
+    found = inverted.similar(_plain_index(spark, d), 0, 20)
+    return tfidf.rerank_same(found.select("doc", "similarity"), _docs(spark, d), "doc_id", "lang", 0, 10)
 
 
 QUERY = "the of and thation ering unknownword"
 
 
 def search_by_query(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return tfidf.search(docs, tfidf.weights(docs, "doc_id", "text"), QUERY, 10)
+    return inverted.search(_plain_index(spark, d), QUERY, 10)
 
 
 def euclid_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return tfidf.euclidean(docs, "doc_id", tfidf.weights(docs, "doc_id", "text"), QUERY, 10)
+    return inverted.nearest(_plain_index(spark, d), QUERY, 10)
+
+
+def _grown_index(spark: SparkSession, d: str) -> inverted.Index:
+    """Documents that came in three segments, by language."""
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    some = F.coalesce(F.col("lang").isin("de", "fr"), F.lit(False))
+    return text_index(spark, d, "grown", _docs(spark, d), F.col("text"), parts=[english, some, F.lit(True)])
+
+
+def grown_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search after segments were added: the rows of an index written at once."""
+    return inverted.search(_grown_index(spark, d), QUERY, 10)
+
+
+def grown_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies that are added up over the segments."""
+    return inverted.idf_table(_grown_index(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+NEWEST = 700  # cases that similar ones are sought among
+
+
+def similar_cases(spark: SparkSession, d: str, case_number: str | None = None, top_k: int = 5) -> DataFrame:
+    """Cases like one of the newest (by default the newest): fetched threefold, 0.03 more for the same
+    subject, ``top_k`` (1 to 20) of them. A case that isn't among the newest gives none."""
+    k = min(max(top_k, 1), 20)
+    cases = _cases(table(spark, d, "documents")).withColumn("doc_id", F.col("case_number"))
+    whole = X.normalize_legal(X.join_present("case_name", "subject", "issue_summary", "holding_summary", "exam_points"))
+    index = text_index(spark, d, "cases", cases.filter("issue_summary is not null"), whole, F.col("updated_at"))
+    last = inverted.newest(index, NEWEST)
+    if case_number is None:
+        case_number = cases.agg(F.max_by("case_number", "updated_at")).first()[0]
+    found = inverted.similar_among(last, case_number, min(3 * k, 20))
+    return tfidf.rerank_same(found.select("doc", "similarity"), cases, "case_number", "subject", case_number, k)
 
 
 def doc_keywords(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    counts = tfidf.token_counts(docs, "doc_id", X.tokenize(F.col("text")))
-    n = docs.count()
-    idf = tfidf.document_frequency(counts).select("term", tfidf.smooth_idf(F.col("df"), F.lit(n)).alias("idf"))
+    idf = inverted.idf_table(_plain_index(spark, d)).select("term", "idf")
     return tfidf.keywords(table(spark, d, "benchmark"), "item_id", "text", idf, 5).select("doc", "term", "rank")
 
 
@@ -101,16 +148,15 @@ def blended(spark: SparkSession, d: str) -> DataFrame:
     """Documents like the first one: 0.65 cosine of tf-idf weights + 0.25 token overlap + 0.10
     share of the first one's issues, kept above 0.30."""
     docs = _korean(spark, d)
-    return _blended(docs, docs.orderBy("doc_id").first(), "doc_id")
+    return _blended(docs, docs.orderBy("doc_id").first(), "doc_id", text_index(spark, d, "korean", docs, F.col("text")))
 
 
-def _blended(docs: DataFrame, first: Row | None, key: str = "item_id") -> DataFrame:
+def _blended(docs: DataFrame, first: Row | None, key: str = "item_id", index: inverted.Index | None = None) -> DataFrame:
     own, text = (first[key], first["text"]) if first else (None, None)
-    postings = tfidf.kept(tfidf.weights(docs, key, "text"))
-    mine = postings.filter(F.col("doc") == F.lit(own))
-    scored = tfidf.dots(postings, mine).withColumnRenamed("doc", key)
-    norm = mine.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).first()[0] or 0.0
-    cos = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.lit(norm)), F.lit(0.0))
+    index = index or inverted.add(shared.new_folder(docs.sparkSession), docs, key, F.col("text"))
+    query = inverted.document_query(index, own) or inverted.Query([], [])
+    scored = inverted.norms(index).join(inverted.dots(index, query), "doc", "left").withColumnRenamed("doc", key)
+    cos = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.lit(query.norm)), F.lit(0.0))
     jac = tfidf.jaccard(F.array_distinct(X.tokenize(F.col("text"))), F.array_distinct(X.tokenize(F.lit(text))))
     asked = issues.direct_issues(F.lit(text))
     hits = F.size(F.array_intersect(issues.direct_issues(F.col("text")), asked))
@@ -289,12 +335,27 @@ SQL = {
         r AS (SELECT doc_id AS doc, round(sqrt(greatest(coalesce(norm * norm, 0) + (SELECT sum(weight * weight) FROM q) - 2 * coalesce(dot, 0), 0)), 9) AS x
               FROM documents LEFT JOIN m ON m.doc = doc_id LEFT JOIN s ON s.doc = doc_id)
         SELECT doc, round(x, 6) AS distance FROM r ORDER BY x, doc LIMIT 10""",
+    "similar_cases": f"""WITH {text_sql.cases(OVERLAP)},
+        last AS (SELECT * FROM cases WHERE issue IS NOT NULL ORDER BY doc_id DESC LIMIT {NEWEST}),
+        t AS (SELECT number AS doc, doc_id, subject, list_filter(string_split_regex(whole, '\\s+'), lambda w: length(w) > 1) AS ws FROM last),
+        k AS (SELECT doc, len(ws) AS len, unnest(ws) AS term FROM t), c AS (SELECT doc, len, term, count(*) AS n FROM k GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+        w AS (SELECT doc, term, n / len * (ln(((SELECT count(*) FROM last) + 1) / (df + 1)) + 1) AS weight FROM c JOIN f USING (term)),
+        m AS (SELECT doc, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY doc),
+        target AS (SELECT number AS doc, subject FROM cases WHERE doc_id = (SELECT max(doc_id) FROM documents)),
+        q AS (SELECT term, weight FROM w JOIN target USING (doc)), s AS (SELECT w.doc, sum(w.weight * q.weight) AS dot FROM w JOIN q USING (term) GROUP BY w.doc),
+        r AS (SELECT t.doc, subject, round(coalesce(dot / (norm * (SELECT sqrt(sum(weight * weight)) FROM q)), 0.0), 9) AS sim FROM t LEFT JOIN s USING (doc) LEFT JOIN m USING (doc)
+              WHERE t.doc <> (SELECT doc FROM target) AND (SELECT doc FROM target) IN (SELECT doc FROM t)),
+        o AS (SELECT doc, subject, round(sim, 4) AS sim FROM r ORDER BY r.sim DESC, doc LIMIT 15),
+        b AS (SELECT doc, round(sim + CASE WHEN subject IS NOT DISTINCT FROM (SELECT subject FROM target) THEN 0.03::DOUBLE ELSE 0 END, 4) AS similarity FROM o)
+        SELECT doc, similarity, row_number() OVER (ORDER BY similarity DESC, doc) AS rank FROM b ORDER BY similarity DESC, doc LIMIT 5""",
     "embedding_cosine": """
         WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
         SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS similarity FROM embeddings WHERE vec_id <> 0""",
     "previews": "SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 20), ' ') || '...' AS preview FROM documents",
 }
+SQL["grown_search"], SQL["grown_terms"] = SQL["search_by_query"], SQL["doc_frequency"]
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, taxonomy_paths, study_classes, judgment_structure)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, taxonomy_paths, study_classes, judgment_structure)
 }

@@ -65,6 +65,14 @@ NORMAL = (
 )
 
 
+def cases(overlap: int) -> str:
+    """Documents as cases, and all their fields normalised."""
+    return f"""case_fields AS (SELECT doc_id, '2024도' || doc_id AS number, source AS name, lang AS subject, substr(text, 1, ceil(length(text) / 3)::INT + {overlap}) AS issue,
+          substr(text, ceil(length(text) / 3)::INT + 1, ceil(length(text) / 3)::INT + {overlap}) AS holding, substr(text, 2 * ceil(length(text) / 3)::INT + 1, ceil(length(text) / 3)::INT) AS points FROM documents),
+        case_texts AS (SELECT *, concat_ws(' ', nullif(name, ''), nullif(subject, ''), nullif(issue, ''), nullif(holding, ''), nullif(points, '')) AS text FROM case_fields),
+        cases AS (SELECT *, {NORMAL} AS whole FROM case_texts)"""
+
+
 def study_domains(lines) -> str:
     hints = [(n, d, h) for n, (d, hs) in enumerate(vocab.DOMAIN_HINTS.items()) for h in hs]
     return f"""WITH {planted(lines)}, {rows("hint", "n, domain, h", hints)}, x AS (SELECT doc_id, lower({URLS}) AS t FROM kd),

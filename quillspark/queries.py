@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import legal, relational, text
+from .plans import legal, relational, storage, text
 
-PLANS = (relational, text, legal)
+PLANS = (relational, text, legal, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

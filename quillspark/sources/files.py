@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbering import numbered_lines
+
 SAMPLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
 POSTS = "_Id long, _PostTypeId int, _ParentId long, _Title string, _Body string"
 MANIFEST = (
@@ -16,12 +18,9 @@ MANIFEST = (
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with an id and a text: blank lines are skipped, a missing id becomes
-    row-{line}, a missing text is an error that names the line. Files are read in splits, and
-    lines numbered within each file by the split's offset and the order in it."""
-    meta = ("_metadata.file_path", "_metadata.file_block_start")
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col(meta[0]).alias("file"), F.col(meta[1]).alias("start"), F.monotonically_increasing_id().alias("n"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("start", "n"))
-    parsed = lines.withColumn("line_no", number).filter(F.trim("line") != "").select("line_no", F.from_json("line", SAMPLE).alias("row"))
+    row-{line}, a missing text is an error that names the line, counted within its file."""
+    lines = numbered_lines(spark, path)
+    parsed = lines.filter(F.trim("line") != "").select("line_no", F.from_json("line", SAMPLE).alias("row"))
     bad = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": text is missing"))).cast("string")
     return parsed.select(
         F.coalesce("row.id", F.concat(F.lit("row-"), F.col("line_no").cast("string"))).alias("id"),
@@ -41,7 +40,8 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(MANIFEST).csv(path)
+    """The manifest of a collection; quotes inside quoted fields are doubled."""
+    return spark.read.option("header", True).option("escape", '"').schema(MANIFEST).csv(path)
 
 
 def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
