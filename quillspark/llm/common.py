@@ -189,6 +189,33 @@ def bounded_sample(df: DataFrame, columns: list[str], key: Column, rows: int) ->
     return sorted(chosen, key=lambda r: (r[-1], repr(r)))
 
 
+MOST_FILES = 500_000  # whose hashes and places are broadcast, some 16 MB; tables of more files are stored with numbers
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether rows come from files one by one, only columns and rows being chosen."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().fileFormat().toString().lower().startswith("parquet")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a number of its own to each row, the same whenever and in whatever splits the table is read:
+    the place of its file among the files, by a hash of the path, and its place in the file. What is no
+    scan of Parquet files is stored first, with its numbers."""
+    if _is_scan(df):
+        found = df.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path")).distinct()
+        files = sorted(r["file"] for r in found.select("file").limit(MOST_FILES + 1).collect())
+        if len(files) <= MOST_FILES and len(set(files)) == len(files):
+            file, place = spare("file", [*df.columns, name]), spare("place", [*df.columns, name])
+            places = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{file} long, {place} long")
+            rows = df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+            rows = rows.join(F.broadcast(places), file)
+            return rows.select(*[F.col(c) for c in df.columns], (F.shiftleft(place, 40) + F.col(name)).alias(name))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 SMALL_BYTES = 16 << 20  # a side up to this measured size is broadcast; beyond it, a shuffle join
 
 

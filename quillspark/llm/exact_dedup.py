@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, stored
+from .common import documents, numbered, scratch, spare, stored
 
 FIRST_DIGIT, GROWTH = 64, 16  # bytes of the first digit; each next digit is so many times wider
 
@@ -15,7 +15,7 @@ def normal_text(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(""))
 
 
-def exact_dedup(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str, text: Column, keep: list[str], number: str | None = None) -> DataFrame:
     """One row for each row of ``df``: the columns ``keep`` (``id_col`` among them), and
     keep_id (id of the row that stays), group_size (rows with an equal text) and kept.
 
@@ -26,16 +26,20 @@ def exact_dedup(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> Da
     on to the next digit. No digest decides; bytes do.
 
     Null texts count as empty; null ids come last (keep_id is null only if all of the
-    group are); of rows that agree in both id and text the one earliest in the scan
-    stays. An empty table gives none. ``df`` must be a stable table, read more than
-    once. Columns not in ``keep`` are dropped, so clashing names can't occur.
+    group are); of rows that agree in both id and text the one of the smallest ``number``
+    stays, a column of row numbers that are the same in every scan (without it, those of ``numbered``).
+    Texts of any length are compared whole. An empty table gives none.
+    Columns not in ``keep`` are dropped, so clashing names can't occur.
     """
     with scratch(df.sparkSession) as keep_table:
-        return keep_table(_split(df, id_col, text, keep))
+        if number is None:
+            number = spare("at", df.columns)
+            df = numbered(df, number)
+        return keep_table(_split(df, id_col, text, keep, number))
 
 
-def _split(df: DataFrame, id_col: str, text: Column, keep: list[str]) -> DataFrame:
-    row = F.struct(F.col(id_col).isNull(), F.col(id_col), F.monotonically_increasing_id().alias("at"))
+def _split(df: DataFrame, id_col: str, text: Column, keep: list[str], number: str) -> DataFrame:
+    row = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(number).alias("at"))
     todo = df.select(
         F.struct(*keep).alias("kept_columns"), row.alias("row"), F.lit(0).cast("long").alias("node"), F.encode(text, "utf-8").alias("rest")
     )

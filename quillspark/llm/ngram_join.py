@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, join_small, scratch, spare, stored
+from .common import documents, drop_stored, join_small, numbered, scratch, spare, stored
 from .components import components
 
 FLUSH_ROWS = 16384  # rows whose signatures a task compares before it passes them on
@@ -277,10 +277,10 @@ def cell_links(ids: list[int], sets: list[np.ndarray], members: list[int], queri
 
 
 # ---- the join ---------------------------------------------------------------------------
-def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row for each row of ``df``: row (its number in the scan), the id column,
+def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, number: str | None = None) -> DataFrame:
+    """One row for each row of ``df``: row (its ``number``), the id column,
     n_shingles, component (smallest id reachable by links) and stays (true for one row of
-    each component: the one of smallest id, of equal ids the earliest).
+    each component: the one of smallest id, of equal ids the one of smallest number).
 
     Words are runs of other than ASCII white space, A-Z in lower case; a set has the
     distinct ``n``-word shingles, or the whole sequence if shorter. Rows link when
@@ -288,14 +288,18 @@ def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5,
     shingles and link with nothing. Equal sets are searched once; null ids come last.
     Repeated rows are copies of one another. An empty table gives none. Other columns
     are ignored; where the id column has the name of another of these, that one gets a
-    longer one. ``df`` must be a stable table, scanned more than once in the same way.
+    longer one. Texts of any length are taken whole. ``number`` is a column of row numbers that are the same in
+    every scan (without it, those of ``numbered``); ``df`` is scanned more than once.
     """
     with scratch(df.sparkSession) as keep:
-        return keep(_groups(df, id_col, text_col, n, percent, block_shingles))
+        if number is None:
+            number = spare("row", df.columns)
+            df = numbered(df, number)
+        return keep(_groups(df, id_col, text_col, n, percent, block_shingles, number))
 
 
-def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block_shingles: int) -> DataFrame:
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block_shingles: int, number: str) -> DataFrame:
+    docs = df.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scan = stored(_signed(docs.select("row", "text"), n, percent))
     copies = scan.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stored(copies.select("k1", "k2", "first"))

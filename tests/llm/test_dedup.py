@@ -164,3 +164,43 @@ def test_op2_as_the_contract_says(spark, tmp_path):
     got = ngram_join.op2_ngram_join(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     assert Counter((r.doc_id, r.component_id, r.n_shingles) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("changing", [False, True])
+def test_rows_don_t_depend_on_the_splits(spark, tmp_path, monkeypatch, changing):
+    """The splits of a scan follow the cores that a cluster has at that moment."""
+    from pyspark.sql import DataFrame
+
+    docs = documents(spark)
+    for k in range(3):
+        docs.filter(F.xxhash64("text") % 3 == k if k else F.coalesce(F.xxhash64("text") % 3, F.lit(0)).isin(0, -1, -2)).coalesce(1).write.option("parquet.block.size", 2000).mode("append").parquet(str(tmp_path / "d.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "d.parquet"))
+    text = exact_dedup.normal_text(F.col("text"))
+    runs = {
+        "dedup": lambda: exact_dedup.exact_dedup(docs, "doc_id", text, ["doc_id", "text"]),
+        "join": lambda: ngram_join.ngram_groups(docs, "doc_id", n=3, percent=50, block_shingles=600),
+    }
+    sizes, keys = iter(range(10**9)), ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+    def turn() -> None:
+        k = next(sizes)
+        for key, value in zip(keys, ((2, 8, 16, 3)[k % 4], (500, 10_000, 3000, 10**7)[k % 4], 1), strict=True):
+            spark.conf.set(key, value)
+
+    want = {name: Counter(map(tuple, run().collect())) for name, run in runs.items()}
+    try:
+        if changing:  # at each action
+            write = spark.range(1).write.__class__.parquet
+            monkeypatch.setattr(spark.range(1).write.__class__, "parquet", lambda self, *a, **k: (turn(), write(self, *a, **k))[1])
+            for name in ("collect", "count", "first", "isEmpty"):
+                monkeypatch.setattr(type(docs), name, lambda self, *a, f=getattr(type(docs), name), **k: (turn(), f(self, *a, **k))[1])
+        turn()
+        got = {}
+        for name, run in runs.items():
+            made = run()
+            turn()
+            got[name] = Counter(map(tuple, made.collect()))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == want and isinstance(docs, DataFrame)
