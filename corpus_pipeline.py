@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next stage's docs.  All but the last return the columns of docs.
 
 Null texts and texts without a letter go in the first stage; null ids come last where the
-smallest id stays; of rows that agree in id and text the one earliest in the scan stays; an empty
-table gives an empty one; columns beside doc_id, text, lang pass through, whatever their
-names. Rows are numbered by their place in the scan, so docs that are no files are stored first.
+smallest id stays; of rows that agree in id and text one stays; an empty table gives an empty one;
+columns beside doc_id, text, lang pass through, whatever their names. Rows are numbered by their
+place in their file, however it is split; docs that are no files are stored first.
 """
 
 from __future__ import annotations
@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language, ngram_join, packing, pii
-from quillspark.llm.common import drop_stored, join_small, scratch, spare, stored, vocabulary
+from quillspark.llm.common import drop_stored, join_small, numbered, scratch, spare, stored, vocabulary
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Rows with their number in the scan, and the name of that column."""
-    docs = docs if docs.inputFiles() else stored(docs)
+    """Rows with a number that is the same in every scan, and the name of that column."""
     name = spare("row_number", docs.columns)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return numbered(docs, name), name
 
 
 def _without(rows: DataFrame, gone: DataFrame, number: str) -> DataFrame:
@@ -45,7 +44,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one of smallest doc_id."""
     rows, number = _numbered(docs)
     with scratch(spark) as keep:
-        found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", number])
+        found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", number], number)
         gone = keep(found.filter("not kept").select(number))
     return _without(rows, gone, number)
 
@@ -55,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of 0.8 or more: the one of smallest doc_id."""
     rows, number = _numbered(docs)
     with scratch(spark) as keep:
-        found = ngram_join.ngram_groups(rows.drop(number), "doc_id", n=5, percent=80)
+        found = ngram_join.ngram_groups(rows, "doc_id", n=5, percent=80, number=number)
         gone = keep(found.filter("not stays").select(F.col("row").alias(number)))
     return _without(rows, gone, number)
 
