@@ -75,7 +75,10 @@ def count_hints(text: Column, hints: list[str]) -> Column:
 
 
 def has_hint(text: Column, hints: list[str]) -> Column:
-    return text.rlike("|".join(map(re.escape, hints)))
+    out = F.lit(False)
+    for hint in hints:
+        out = out | F.contains(text, F.lit(hint))
+    return out
 
 
 def last_end(text: Column, endings: tuple[str, ...]) -> Column:
@@ -156,7 +159,15 @@ def sentences(text: Column, least: int = 12) -> Column:
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 
-def count_legal_signals(text: Column) -> Column:
-    """Matches of the four legal patterns in a text: our definition of the signals that a
+SIGNALS = ("articles", "case_numbers", "dates", "courts")  # our names of the four legal patterns, in their order
+
+
+def legal_signals(text: Column) -> Column:
+    """Matches of each of the four legal patterns in a text: our definition of the signals that a
     summary should retain."""
+    return F.struct(*(F.regexp_count(text, F.lit("(?U)" + p)).alias(name) for name, p in zip(SIGNALS, vocab.LEGAL_PATTERNS, strict=True)))
+
+
+def count_legal_signals(text: Column) -> Column:
+    """Matches of all four together."""
     return sum((F.regexp_count(text, F.lit("(?U)" + p)) for p in vocab.LEGAL_PATTERNS), F.lit(0))

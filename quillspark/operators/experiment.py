@@ -5,16 +5,21 @@ from __future__ import annotations
 
 import string
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stems
+from ..sources import shared
+
 # --- fixed values: what is no letter of a word --------------------------------------------------
 PUNCTUATION = string.punctuation + "‘’“”"
 
 
 def clean_words(text: Column) -> Column:
-    """Words in lower case without punctuation. Words are not reduced to their stems: no
-    dictionary for that is available."""
+    """Words in lower case without punctuation. They are reduced, where asked for, by their endings: no
+    dictionary of base forms is available."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
     return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
@@ -29,16 +34,22 @@ def postings(posts: DataFrame, ident: str, kind: str, parent: str, title: str, b
     return questions.join(answers, "id").select("id", F.concat_ws(" ", "asked", "answers").alias("posting"))
 
 
-def query_frequencies(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
+BROADCAST_WORDS = 100_000  # words of all queries up to which they are broadcast
+
+
+def query_frequencies(docs: DataFrame, doc: str, text: str, queries: DataFrame, reduced: bool = False) -> DataFrame:
     """(query, doc, n, length, by_word) of all documents with a word of a query (id, query): how
-    often its words occur, and each of them. Repeated words of a query count as often. The
-    few words of all queries are broadcast; documents are read once."""
-    asked = queries.select("query", F.explode(clean_words(F.col("query"))).alias("word")).groupBy("query", "word").agg(F.count("*").alias("times"))
-    words = docs.select(F.col(doc).alias("doc"), clean_words(F.col(text)).alias("ws"))
-    counts = words.select("doc", F.size("ws").alias("length"), F.explode("ws").alias("word")).groupBy("doc", "length", "word").agg(F.count("*").alias("c"))
-    hit = counts.join(F.broadcast(asked), "word")
+    often its words occur, and each of them. Repeated words of a query count as often. Words of documents meet
+    the words asked for where they are read, and only what is asked for is counted and moved. With ``reduced`` words
+    on both sides are their stems."""
+    of = lambda c: stems(clean_words(c)) if reduced else clean_words(c)
+    asked = shared.stored(queries.select("query", of(F.col("query")).alias("ws")).select("query", F.explode("ws").alias("word")).groupBy("query", "word").agg(F.count("*").alias("times")))
+    few = asked.count() <= BROADCAST_WORDS
+    words = docs.select(F.col(doc).alias("doc"), of(F.col(text)).alias("ws")).select("doc", F.size("ws").alias("length"), F.explode("ws").alias("word"))
+    hit = words.join(F.broadcast(asked) if few else asked, "word")
+    counts = hit.groupBy("query", "doc", "length", "word").agg(F.count("*").alias("c"), F.first("times").alias("times"))
     by_word = F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "c"))))
-    return hit.groupBy("query", "doc", "length").agg(F.sum(F.col("c") * F.col("times")).alias("n"), by_word.alias("by_word"))
+    return counts.groupBy("query", "doc", "length").agg(F.sum(F.col("c") * F.col("times")).alias("n"), by_word.alias("by_word"))
 
 
 def query_idf(frequencies: DataFrame, n_docs: int) -> DataFrame:
@@ -57,8 +68,9 @@ def by_frequency(frequencies: DataFrame, k: int = 5) -> DataFrame:
 
 
 def by_weight(frequencies: DataFrame, n_docs: int, k: int = 5) -> DataFrame:
-    """By share of query words in the document times the query's idf."""
-    weighted = frequencies.join(F.broadcast(query_idf(frequencies, n_docs)), "query")
+    """By share of query words in the document times the query's idf; frequencies are counted once."""
+    frequencies = shared.stored(frequencies.select("query", "doc", "n", "length"))
+    weighted = frequencies.join(query_idf(frequencies, n_docs), "query")
     score = F.round(F.col("n") / F.col("length") * F.col("idf"), 9)
     return ranked(weighted.select("query", "doc", score.alias("weight")), "weight", k)
 
@@ -80,11 +92,10 @@ def bag_distances(docs: DataFrame, doc: str, text: str, query: str, k: int = 5)
 def pooled_vectors(docs: DataFrame, doc: str, text: str, vectors: DataFrame) -> DataFrame:
     """(doc, vector): the mean of the vectors (word, vector) of a document's words, of length 1.
     Words of one character or of digits and marks alone don't count; documents without a
-    known word have no row. Dimensions are averaged by (doc, position), so no list grows."""
+    known word have no row. Vectors are added up where they meet their words: one sum a document leaves a task."""
     words = docs.select(F.col(doc).alias("doc"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+")).alias("word"))
     counted = words.filter((F.length("word") >= 2) & ~F.col("word").rlike(r"(?U)^[\d\p{Punct}]+$")).groupBy("doc", "word").agg(F.count("*").alias("n"))
-    spread = counted.join(vectors.select("word", F.posexplode("vector").alias("at", "x")), "word")
-    means = spread.groupBy("doc", "at").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x"))
-    lists = means.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v"))
+    known = vectors.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    means = counted.join(known, "word").groupBy("doc").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("n").cast("double"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return lists.withColumn("norm", norm).filter("norm > 0").select("doc", F.transform("v", lambda x: x / F.col("norm")).alias("vector"))
+    return means.withColumn("norm", norm).filter("norm > 0").select("doc", F.transform("v", lambda x: x / F.col("norm")).alias("vector"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.issues import CATEGORIES, ISSUES, NO_CATEGORY
+from ..functions.patterns import scan
 
 KEYWORDS = [k for k, *_ in ISSUES]
 
@@ -19,6 +20,11 @@ def direct_issues(text: Column) -> Column:
     return F.filter(_words(KEYWORDS), lambda k: F.contains(F.coalesce(text, F.lit("")), k))
 
 
+def named(found: Column) -> Column:
+    """The issues of numbers in the dictionary that were found, in its order."""
+    return F.transform(found, lambda n: F.get(_words(KEYWORDS), n))
+
+
 def related_issues(direct: Column) -> Column:
     """Keywords one step from the direct ones that aren't direct themselves, each once, in
     the order of the dictionary and of its lists."""
@@ -37,7 +43,7 @@ def category(keywords: Column) -> Column:
 
 def weak_keywords(records: DataFrame, text: Column, k: int) -> DataFrame:
     """Issues by the number of records that mention them: a record counts an issue once."""
-    found = records.select(F.explode(direct_issues(text)).alias("term"))
+    found = records.select(F.explode(named(scan(text, KEYWORDS))).alias("term"))
     return found.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 

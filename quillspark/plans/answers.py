@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.rounding import round_exact
 from ..operators import classify, grams, grounding, quiz
 from ..operators.relational import any_contains, relevance
-from ..operators.textrank import key_sentences
+from ..operators.textrank import best_sentences
+from ..sources.files import write_lines
 
 # --- fixed values: texts of answers ------------------------------------------------------------
 NO_EVIDENCE = "근거 데이터가 부족하여 단정하기 어렵습니다. 사건번호 또는 핵심 쟁점 키워드로 다시 검색해 주세요."
@@ -106,27 +110,40 @@ def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3) -> Data
 
 
 def extract(docs: DataFrame, doc: str, text: str, phrases: int = 10, sentences: int = 5) -> DataFrame:
-    """Keyphrases, key sentences, domain and study focus of each document."""
-    words = classify.keyphrases(docs, doc, text, phrases)
-    best = key_sentences(docs, doc, text, sentences)
-    domain = docs.select(F.col(doc).alias("doc"), F.col(text).alias("__text"))
-    joined = words.join(best, "doc").join(domain, "doc").withColumn("domain", classify.study_domain(F.col("__text"), F.col("phrases")))
-    return joined.select("doc", "phrases", "sentences", "domain", classify.study_focus(F.col("domain"), F.col("phrases"), F.col("sentences")).alias("focus"))
-
-
-def retention(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Averages over documents: legal signals kept by the key sentences, keyphrases, length of
-    the summary; zeros for no documents."""
-    made = extract(docs, doc, text).join(docs.select(F.col(doc).alias("doc"), F.col(text).alias("__text")), "doc")
-    before, after = X.count_legal_signals(X.normalize_legal(F.col("__text"))), X.count_legal_signals(F.col("sentences"))
-    kept = F.coalesce(F.try_divide(after.cast("double"), before.cast("double")), F.lit(0.0))
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
-    return made.agg(
-        F.count("*").alias("samples"),
-        zero(F.avg(kept)).alias("signal_retention"),
-        zero(F.avg(F.size("phrases"))).alias("keywords"),
-        zero(F.avg(F.length("sentences"))).alias("summary_length"),
-    )
+    """Keyphrases, key sentences, domain and study focus of each document: all of them functions of its
+    text, in one pass and without a shuffle."""
+    clean = docs.select(F.col(doc).alias("doc"), F.col(text).alias("__text"), X.normalize_legal(F.col(text)).alias("clean"))
+    made = clean.select("doc", "__text", classify.phrases(F.col("clean"), phrases).alias("phrases"), best_sentences(F.col("clean"), sentences).alias("sentences"))
+    named = made.withColumn("domain", classify.study_domain(F.col("__text"), F.col("phrases")))
+    return named.select("doc", "phrases", "sentences", "domain", classify.study_focus(F.col("domain"), F.col("phrases"), F.col("sentences")).alias("focus"))
+
+
+def evaluated(docs: DataFrame, doc: str, text: str, keywords: int = 10, sentences: int = 5) -> DataFrame:
+    """One row for each sample: id, keywords, key_sentences, the legal signals of the normalised text and of
+    its key sentences by pattern, and the share that is retained (0 without signals), to four digits."""
+    clean = docs.select(F.col(doc).cast("string").alias("id"), X.normalize_legal(F.col(text)).alias("clean"))
+    made = clean.select("id", "clean", classify.phrases(F.col("clean"), keywords).alias("keywords"), best_sentences(F.col("clean"), sentences).alias("key_sentences"))
+    rows = made.select("id", "keywords", "key_sentences", X.legal_signals(F.col("clean")).alias("original_signals"), X.legal_signals(F.col("key_sentences")).alias("summary_signals"))
+    total = lambda c: sum((F.col(f"{c}.{s}") for s in X.SIGNALS), F.lit(0)).cast("double")
+    share = F.coalesce(F.try_divide(total("summary_signals"), total("original_signals")), F.lit(0.0))
+    return rows.withColumn("signal_retention", round_exact(share, 4))
+
+
+def evaluation(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes the samples as JSON lines, if a path is given, and sums them up in the same pass: their number
+    and the means of retention (four digits), of the number of keywords and of the length of the key sentences (two). One row; zeros
+    without samples."""
+    seen = Observation()
+    exact = F.sum(F.col("signal_retention").cast("decimal(38,4)"))  # rounded values: their sum doesn't depend on the order
+    watched = rows.observe(seen, F.count("*").alias("n"), exact.alias("retention"), F.sum(F.size("keywords")).alias("keywords"), F.sum(F.length("key_sentences")).alias("length"))
+    if path is None:
+        watched.write.format("noop").mode("overwrite").save()
+    else:
+        write_lines(watched, path)
+    n = seen.get["n"]
+    mean = lambda name, digits: round(float(Fraction(seen.get[name] or 0) / n), digits) if n else 0.0
+    row = (n, mean("retention", 4), mean("keywords", 2), mean("length", 2))
+    return rows.sparkSession.createDataFrame([row], "samples long, avg_signal_retention double, avg_keyword_count double, avg_key_sentence_length double")
 
 
 def summarize(docs: DataFrame, doc: str, name: Column, sentences: str, keywords: str, count: int = 3) -> DataFrame:

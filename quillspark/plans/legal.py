@@ -290,6 +290,12 @@ def _frequencies(spark: SparkSession, d: str) -> DataFrame:
     return experiment.query_frequencies(table(spark, d, "documents"), "doc_id", "text", queries)
 
 
+def stemmed_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the words of queries whose words, on both sides, are reduced by their endings."""
+    queries = spark.createDataFrame([(q,) for q in ASKED], "query string")
+    return experiment.by_frequency(experiment.query_frequencies(table(spark, d, "documents"), "doc_id", "text", queries, reduced=True))
+
+
 def query_frequency(spark: SparkSession, d: str) -> DataFrame:
     return experiment.by_frequency(_frequencies(spark, d))
 
@@ -413,6 +419,6 @@ QUERIES = {
     for f in (
         device_keyphrases, device_sentences, device_domains, device_extraction, sentence_roles, case_digests, section_flags, case_facts, scan_keywords, verdicts, particles, text_predicates,
         near_equal, shrunk_texts, issue_statements, card_texts, truth_items, evidence_lines, scanned_rows, summary_blocks, review_list, shown_cases, found_case, renamed_cases, stamped_updates,
-        stage_log, daily_confidence, remaining_time, merged_daily, seeded_sample, collapsed_turns, first_pages, joined_names, normal_texts, joined_corpora, query_frequency, query_weight, query_idf, bag_ranks, question_postings, pooled_vectors,
+        stage_log, daily_confidence, remaining_time, merged_daily, seeded_sample, collapsed_turns, first_pages, joined_names, normal_texts, joined_corpora, query_frequency, query_weight, query_idf, stemmed_ranks, bag_ranks, question_postings, pooled_vectors,
     )
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import statements as S
 from ..functions import text as X
-from ..operators import classify, clean, grounding, inverted, issues, judgment, tfidf
+from ..operators import classify, clean, digest, grounding, inverted, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
 from ..sources import shared
 from ..sources.html import html_text
@@ -74,16 +75,16 @@ def text_index(spark: SparkSession, d: str, name: str, docs: DataFrame, text: Co
 _INDEXES: dict[tuple[str, str, str], str] = {}  # folders of the indexes that sessions have written
 
 
-def _plain_index(spark: SparkSession, d: str) -> inverted.Index:
+def plain_index(spark: SparkSession, d: str) -> inverted.Index:
     return text_index(spark, d, "plain", _docs(spark, d), F.col("text"))
 
 
 def similar_docs(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.similar(_plain_index(spark, d), 0, 10)
+    return inverted.similar(plain_index(spark, d), 0, 10)
 
 
 def similar_reranked(spark: SparkSession, d: str) -> DataFrame:
-    found = inverted.similar(_plain_index(spark, d), 0, 20)
+    found = inverted.similar(plain_index(spark, d), 0, 20)
     return tfidf.rerank_same(found.select("doc", "similarity"), _docs(spark, d), "doc_id", "lang", 0, 10)
 
 
@@ -91,11 +92,11 @@ QUERY = "the of and thation ering unknownword"
 
 
 def search_by_query(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.search(_plain_index(spark, d), QUERY, 10)
+    return inverted.search(plain_index(spark, d), QUERY, 10)
 
 
 def euclid_rank(spark: SparkSession, d: str) -> DataFrame:
-    return inverted.nearest(_plain_index(spark, d), QUERY, 10)
+    return inverted.nearest(plain_index(spark, d), QUERY, 10)
 
 
 def _grown_index(spark: SparkSession, d: str) -> inverted.Index:
@@ -133,7 +134,7 @@ def similar_cases(spark: SparkSession, d: str, case_number: str | None = None, t
 
 
 def doc_keywords(spark: SparkSession, d: str) -> DataFrame:
-    idf = inverted.idf_table(_plain_index(spark, d)).select("term", "idf")
+    idf = inverted.idf_table(plain_index(spark, d)).select("term", "idf")
     return tfidf.keywords(table(spark, d, "benchmark"), "item_id", "text", idf, 5).select("doc", "term", "rank")
 
 
@@ -260,7 +261,52 @@ def extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_retention(spark: SparkSession, d: str) -> DataFrame:
-    return answers.retention(table(spark, d, "benchmark"), "item_id", "text")
+    """Benchmark items evaluated: their five key sentences against the whole text."""
+    return answers.evaluation(answers.evaluated(table(spark, d, "benchmark"), "item_id", "text"))
+
+
+def _composed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with three lines in front, each chosen by another modulus."""
+    line = lambda k: F.get(F.array(*map(F.lit, LINES)), (k % len(LINES)).cast("int"))
+    k = F.col("doc_id")
+    lines = [line(k), line(F.floor(k / 7)), line(F.floor(k / 3) + 5), F.coalesce("text", F.lit(""))]
+    return _docs(spark, d).withColumn("text", F.concat_ws("\n", *lines))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return answers.evaluated(_composed(spark, d), "doc_id", "text", 10, 10**6)  # so many that all sentences are key sentences
+
+
+CARD_ENDINGS = ("다.", "다 ", "요.", "임.", "니다.", "였다.", "한다.", "된다.", "이다.")
+
+
+def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts shortened as on cards, and as sentences that are shown."""
+    return _composed(spark, d).select("doc_id", S.card_truncate(F.col("text"), 90, CARD_ENDINGS).alias("card"), digest.display_sentence(F.col("text"), 90).alias("display"))
+
+
+def text_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Domain, class and issues of each text from one pass over all dictionaries."""
+    found = classify.labelled(_korean(spark, d), "doc_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), "domain", F.col("class.name").alias("class"), F.round("class.confidence", 4).alias("confidence"), F.col("class.runner_up").alias("runner_up"), F.array_join("direct", ",").alias("direct"))
+
+
+def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that an evaluation writes, read back."""
+    folder = shared.new_folder(spark)
+    rows = _samples(spark, d)
+    answers.evaluation(rows, folder)
+    said = spark.read.schema(rows.schema).json(folder)
+    signals = lambda c: F.concat_ws(",", *(F.col(f"{c}.{s}").cast("string") for s in X.SIGNALS))
+    return said.select(
+        "id", F.array_join("keywords", ",").alias("keywords"), F.md5("key_sentences").alias("digest"), F.length("key_sentences").cast("long").alias("n"),
+        signals("original_signals").alias("original"), signals("summary_signals").alias("summary"), "signal_retention",
+    )
+
+
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of an evaluation, taken in the pass that writes its lines."""
+    return answers.evaluation(_samples(spark, d), shared.new_folder(spark))
 
 
 def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -354,8 +400,13 @@ SQL = {
         SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS similarity FROM embeddings WHERE vec_id <> 0""",
     "previews": "SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 20), ' ') || '...' AS preview FROM documents",
 }
+SQL["truncated_texts"] = text_sql.truncated(LINES, 90, CARD_ENDINGS, digest.DISPLAY_ENDINGS, S.CUT_MARK)
+SQL["text_labels"] = text_sql.labels(LINES)
+SQL["evaluation_rows"] = f"{text_sql.evaluation(LINES)} SELECT * FROM samples"
+SQL["evaluation_summary"] = f"""{text_sql.evaluation(LINES)} SELECT count(*) AS samples, round(avg(signal_retention::DECIMAL(18,4)), 4) AS avg_signal_retention,
+    round(avg(CASE WHEN keywords = '' THEN 0 ELSE len(string_split(keywords, ',')) END), 2) AS avg_keyword_count, round(avg(n), 2) AS avg_key_sentence_length FROM samples"""
 SQL["grown_search"], SQL["grown_terms"] = SQL["search_by_query"], SQL["doc_frequency"]
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, taxonomy_paths, study_classes, judgment_structure)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, evaluation_rows, evaluation_summary, truncated_texts, text_labels, taxonomy_paths, study_classes, judgment_structure)
 }

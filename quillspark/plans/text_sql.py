@@ -65,6 +65,29 @@ NORMAL = (
 )
 
 
+def last_end(head: str, endings) -> str:
+    """Where the last of the endings stops (0: none)."""
+    back = lambda e: f"strpos(reverse({head}), {quoted(e[::-1])})"
+    return "greatest(" + ", ".join(f"CASE WHEN {back(e)} > 0 THEN length({head}) - {back(e)} + 1 ELSE 0 END" for e in endings) + ")"
+
+
+def truncated(lines, limit: int, card, display, mark: str) -> str:
+    """Composed documents shortened as cards and as sentences to show."""
+    least, space = max(20, limit // 3), "(length(h) - strpos(reverse(h), ' '))"
+    at_space = f"regexp_replace(CASE WHEN strpos(h, ' ') > 0 AND {space} >= {least} THEN left(h, {space}) ELSE h END, '^\\s+|\\s+$', '', 'g') || {quoted(mark)}"
+    cut = lambda end: f"CASE WHEN {end} >= {least} THEN trim(left(h, {end})) ELSE {at_space} END"
+    return f"""WITH {composed(lines)}, q AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM kd),
+        p AS (SELECT doc_id, t, left(t, {limit}) AS h FROM q), e AS (SELECT *, {last_end("h", card)} AS c, {last_end("h", display)} AS d FROM p)
+        SELECT doc_id, CASE WHEN length(t) <= {limit} THEN t ELSE {cut("c")} END AS card,
+          CASE WHEN length(t) <= {limit} THEN CASE WHEN NOT (t LIKE '%.' OR t LIKE '%…') AND (t LIKE '%다' OR t LIKE '%요') THEN t || '.' ELSE t END
+               WHEN d < {least} AND length(t) <= {2 * limit} THEN t ELSE {cut("d")} END AS display FROM e"""
+
+
+def labels(lines) -> str:
+    return f"""SELECT doc_id, domain, class, confidence, runner_up, direct
+        FROM ({study_domains(lines)}) JOIN ({study_classes(lines)}) USING (doc_id) JOIN ({issue_graph(lines)}) USING (doc_id)"""
+
+
 def cases(overlap: int) -> str:
     """Documents as cases, and all their fields normalised."""
     return f"""case_fields AS (SELECT doc_id, '2024도' || doc_id AS number, source AS name, lang AS subject, substr(text, 1, ceil(length(text) / 3)::INT + {overlap}) AS issue,
@@ -93,13 +116,32 @@ def study_classes(lines) -> str:
           CASE WHEN best >= 2 AND sure < 0.7 THEN names[2] END AS runner_up FROM r"""
 
 
-def keyphrases(lines) -> str:
+def composed(lines) -> str:
+    """Documents with three lines in front, each chosen by another modulus."""
+    at = lambda k: f"list_extract({texts(lines)}, ({k}) % {len(lines)} + 1)"
+    return f"kd AS (SELECT doc_id, {at('doc_id')} || chr(10) || {at('doc_id // 7')} || chr(10) || {at('doc_id // 3 + 5')} || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
+def evaluation(lines) -> str:
+    """Samples whose key sentences are all their sentences."""
+    count = lambda t: "[" + ", ".join(f"len(regexp_extract_all({t}, {quoted(p)}))" for p in vocab.LEGAL_PATTERNS) + "]"
+    cut = "t"
+    for pattern in (r"([다요죠음임])[.。]\s+([가-힣\[0-9])", r"([다요죠음임])\s+(\[)", r"([.!?])\s+([가-힣\[0-9])"):
+        cut = f"regexp_replace({cut}, {quoted(pattern)}, '\\1' || chr(1) || '\\2', 'g')"
+    return rf"""{keyphrases(lines, composed(lines), last="words AS (SELECT doc_id, coalesce(phrases, '') AS phrases FROM n LEFT JOIN said USING (doc_id))")},
+        s AS (SELECT doc_id, t, array_to_string(list_filter(list_transform(string_split(regexp_replace({cut}, '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 12), chr(10)) AS said FROM n),
+        c AS (SELECT doc_id, phrases, said, {count("t")} AS o, {count("said")} AS k FROM s JOIN words USING (doc_id)),
+        samples AS (SELECT doc_id::VARCHAR AS id, phrases AS keywords, md5(said) AS digest, length(said) AS n, array_to_string(o, ',') AS original, array_to_string(k, ',') AS summary,
+          coalesce(round(list_sum(k) / nullif(list_sum(o), 0), 4), 0.0::DOUBLE) AS signal_retention FROM c)"""
+
+
+def keyphrases(lines, source: str | None = None, last: str | None = None) -> str:
     endings = "|".join(sorted(set(vocab.ENDINGS), key=len, reverse=True))
     hints = "|".join(map(re.escape, vocab.TERM_HINTS))
     patterns = [p.replace("(대법원", "(?:대법원") for p in vocab.LEGAL_PATTERNS]
     found = " || ".join(f"regexp_extract_all(t, {quoted(p)})" for p in patterns)
     first = lambda source: f"SELECT doc_id, x, min(pos_) AS pos_ FROM (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS pos_ FROM {source}) GROUP BY doc_id, x"
-    return f"""WITH {planted(lines)}, n AS (SELECT doc_id, {NORMAL} AS t FROM kd),
+    return f"""WITH {source or planted(lines)}, n AS (SELECT doc_id, {NORMAL} AS t FROM kd),
         h0 AS (SELECT doc_id, list_filter(list_transform({found}, lambda m: regexp_replace(m, '\\s+', '', 'g')), lambda m: length(m) > 1) AS xs FROM n),
         w0 AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[가-힣]{{2,14}}'), lambda w: CASE WHEN length(w) >= 3 THEN regexp_replace(w, '^(.{{2,}}?)(?:{endings})$', '\\1') ELSE w END) AS xs FROM n),
         w1 AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS pos_ FROM w0),
@@ -109,8 +151,9 @@ def keyphrases(lines) -> str:
         w4 AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos_) AS pos_ FROM w3),
         every AS (SELECT doc_id, x, pos_ FROM ({first("h0")}) UNION ALL SELECT doc_id, x, 1000000 + pos_ FROM w4 WHERE pos_ <= 20),
         one AS (SELECT doc_id, x, min(pos_) AS pos_ FROM every GROUP BY doc_id, x), cut AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos_) AS rank FROM one),
-        said AS (SELECT doc_id, string_agg(x, ',' ORDER BY pos_) AS phrases FROM cut WHERE rank <= 10 GROUP BY doc_id)
-        SELECT doc_id AS doc, coalesce(phrases, '') AS phrases FROM n LEFT JOIN said USING (doc_id)"""
+        said AS (SELECT doc_id, string_agg(x, ',' ORDER BY pos_) AS phrases FROM cut WHERE rank <= 10 GROUP BY doc_id)""" + (
+        f", {last}" if last else " SELECT doc_id AS doc, coalesce(phrases, '') AS phrases FROM n LEFT JOIN said USING (doc_id)"
+    )
 
 
 def legal_signals(lines) -> str:
