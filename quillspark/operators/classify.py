@@ -130,7 +130,7 @@ def criminal_code(corpus: Column) -> Column:
 
 
 def class_of(has: Has, special: Column) -> Column:
-    return weighted_class(has, WEIGHTS, {"형법": special})
+    return best_class(has, WEIGHTS, {"형법": special})
 
 
 def study_class(text: Column, keywords: Column | None = None) -> Column:
@@ -139,7 +139,12 @@ def study_class(text: Column, keywords: Column | None = None) -> Column:
     return X.let(parts, lambda x: class_of(contains_in(x["text"]), x["special"]))
 
 
-def weighted_class(has: Has, weights: dict[str, dict[str, float]], only_if: dict[str, Column] | None = None) -> Column:
+def weighted_class(text: Column, weights: dict[str, dict[str, float]], only_if: dict[str, Column] | None = None) -> Column:
+    """``best_class`` of the hints that a text contains."""
+    return best_class(contains_in(text), weights, only_if)
+
+
+def best_class(has: Has, weights: dict[str, dict[str, float]], only_if: dict[str, Column] | None = None) -> Column:
     """Class of the largest sum of weights of the hints that are there, with the confidence
     best / (best + second + 0.1) and the runner-up where that is below 0.7; below a sum of
     2 the general class. Ties go to the name first in the alphabet. Hints in ``only_if``
