@@ -72,9 +72,8 @@ def _split(df: DataFrame, id_col: str, text: Column, keep: list[str], number: st
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = normal_text(F.col("text"))
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.sha2(text, 256).alias("text_sha256"))
-    return exact_dedup(docs, "doc_id", text, ["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs = documents(spark, sf_dir).select("doc_id", normal_text(F.col("text")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
+    return exact_dedup(docs, "doc_id", F.col("text"), ["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = {
