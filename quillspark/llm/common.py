@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,12 +54,29 @@ def stored(df: DataFrame) -> DataFrame:
     read back survives the loss of executors. Inside ``scratch`` the table goes when the
     block ends, by ``drop_stored`` at once; else when the driver ends."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with _short_batches(df.sparkSession):
+        df.write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000  # rows that a step's Python functions get at a time: texts of some megabytes on both sides
+
+
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, rows go to Python in batches of BATCH_ROWS, unless the session has shorter ones."""
+    old = spark.conf.get(BATCH)
+    if not 0 < int(old) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, old)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
@@ -103,27 +123,43 @@ def spare(name: str, taken: list[str]) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, scale: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, scale: int = 1, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values in a column (of strings, or of lists of ``scale`` bytes
-    an element) take about STEP_BYTES, or one row."""
+    an element) take about ``step`` bytes, or one row."""
     values = batch.column(batch.schema.get_field_index(column))
     measure = pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length
     ends = np.cumsum(pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64) * scale
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + STEP_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + step, "right")))
         yield batch.slice(at, to - at)
         at = to
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end: workers live on."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.Array], list]],
+    step: int = STEP_BYTES,
 ) -> DataFrame:
-    """Adds columns computed from whole texts, some megabytes of them at a time.
+    """Adds columns computed from whole texts, some megabytes of them (``step`` bytes) at a time.
 
     ``make`` runs once in a task and returns the function from an Arrow array of texts
     (null: empty) to one Arrow array or list for each field; what it holds goes with the
@@ -136,14 +172,13 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, step=step):
                 texts = pc.fill_null(b.column(text_col), "")
                 made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(f(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=schema.names)
                 del texts, made
-        pa.default_memory_pool().release_unused()  # workers live on after a task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def list_array(rows: Ragged) -> pa.ListArray:

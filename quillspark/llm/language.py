@@ -159,7 +159,8 @@ def train(rows: list[tuple[str, str]], segment: int = 40, rounds: int = 2, rate:
 
 
 # ---- prediction -----------------------------------------------------------------------------
-WORDS = 40_000  # distinct words whose subwords are hashed at a time
+WORDS = 10_000  # distinct words whose subwords are hashed at a time
+STEP = 4 << 20  # bytes of text whose distinct words are scored at a time
 
 
 class Scorer:
@@ -220,7 +221,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return run
 
-    return map_texts(df, text_col, fields, make)
+    return map_texts(df, text_col, fields, make, STEP)
 
 
 TRAIN_ROWS = 1500  # bound of the labelled sample

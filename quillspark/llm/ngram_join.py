@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stored, join_small, numbered, scratch, spare, stored
+from .common import documents, drop_stored, join_small, numbered, released, scratch, spare, stored
 from .components import components
 
 FLUSH_ROWS = 16384  # rows whose signatures a task compares before it passes them on
@@ -395,7 +395,7 @@ def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
             for text in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["shingle"])
 
-    counts = stored(big.select("text").mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > RARE))
+    counts = stored(big.select("text").mapInArrow(released(listed), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > RARE))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(RARE, total // COMMON)  # at most COMMON shingles occur more often
     often = counts.filter(F.col("n") > least).toPandas()
@@ -418,7 +418,7 @@ def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
             columns = [b.column(i).take(at) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "rare"])
 
-    return stored(big.select("block", "row", "text").mapInArrow(rare, "block long, row long, rare long"))
+    return stored(big.select("block", "row", "text").mapInArrow(released(rare), "block long, row long, rare long"))
 
 
 def _connected(prefixes: DataFrame) -> DataFrame:
@@ -472,7 +472,7 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if facts:
             yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -522,7 +522,7 @@ def _search(rows: DataFrame, n: int, percent: int) -> DataFrame:
         if ids:
             yield links()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(released(run), "a long, b long")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
