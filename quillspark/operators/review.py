@@ -79,8 +79,9 @@ def remaining(now: Column, target: Column) -> Column:
 
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """At most n rows, drawn at random by a seed: the same ones in every run, however the rows
-    are partitioned, since each row's draw is a hash of it and the seed."""
-    return rows.withColumn("__draw", F.xxhash64(F.lit(seed), *rows.columns)).orderBy("__draw", *rows.columns).limit(n).drop("__draw")
+    are partitioned, since each row's draw is the md5 of the seed and its columns as text."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in rows.columns)))
+    return rows.withColumn("__draw", draw).orderBy("__draw", *rows.columns).limit(n).drop("__draw")
 
 
 # --- fixed values: stages of a source file and where each may lead ---------------------------------

@@ -82,11 +82,12 @@ def _bonus(sentence: str) -> float:
 
 
 def chosen(sentences: list[str], top: int) -> list[str]:
-    """The best sentences in their order: a score is the rank plus the bonus; ties go to the later one."""
+    """The best sentences in their order: a score is the rank plus the bonus; scores that agree to nine
+    digits are ties, and go to the later one."""
     if len(sentences) <= top:
         return list(sentences)
     score = ranks([{w for w in _WORDS.split(s) if len(w) > 1 and w not in _STOP} for s in sentences]) + np.array([_bonus(s) for s in sentences])
-    return [sentences[i] for i in sorted(np.argsort(score, kind="stable")[-top:].tolist())]
+    return [sentences[i] for i in sorted(np.argsort(np.round(np.log(score), 9), kind="stable")[-top:].tolist())]
 
 
 def best_sentences(clean: Column, top: int) -> Column:

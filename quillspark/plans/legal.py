@@ -3,6 +3,8 @@ cards, statements, reviews and experiments over the other tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import vocab
 from ..operators import clean, device, digest, experiment, judgment, quiz, review
 from ..sources.files import concat_corpora
 from ..sources.tables import table
-from .text_sql import NORMAL, quoted, rows, texts
+from .text_sql import NORMAL, quoted, rows, study_classes, texts
 
 # Judgments put in front of the driver's texts, one by doc_id modulo their count.
 JUDGMENTS = (
@@ -59,9 +61,60 @@ def device_sentences(spark: SparkSession, d: str) -> DataFrame:
     return clean.select("doc_id", device.key_sentences(F.col("text"), 4).alias("sentences"))
 
 
+# Parts of judgments, each chosen by another modulus of the document's number.
+KINDS = ("도", "다", "누", "헌마", "모")
+LAWS = ("형법", "형사소송법", "민법", "행정소송법", "헌법재판소법", "마약류 관리에 관한 법률", "도로교통법")
+ASPECTS = ("고의와 과실", "영장 없는 압수", "손해배상의 범위", "처분의 취소", "과잉금지원칙", "증거능력", "기본권의 제한", "보이스피싱", "구성요건")
+ENDS = ("적극", "소극", "한정 적극")
+PARTS = ("f", "k", "m", "p", "q")
+TEMPLATE = "사 건\n{year}{kind}{number}\n【판시사항】\n[1] {law} 제{article}조에서 정한 {aspect}의 의미({end})\n【판결요지】\n[1] {other}에 관한 판단은 정당하다.\n【참조조문】 {law} 제{article}조\n이 유\n"
+
+
+def composed_judgments(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments put together from parts in front of the documents' texts."""
+    k = F.col("doc_id")
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    parts = {
+        "year": (F.lit(1990) + k % 31).cast("string"), "kind": of(KINDS, F.floor(k / 2)), "number": (k * 37 % 9973).cast("string"), "law": of(LAWS, k), "article": (k * 11 % 400 + 1).cast("string"),
+        "aspect": of(ASPECTS, F.floor(k / 3)), "end": of(ENDS, F.floor(k / 5)), "other": of(ASPECTS, F.floor(k / 7) + 4),
+    }
+    pieces = [parts[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", TEMPLATE)]
+    return table(spark, d, "documents").select("doc_id", F.concat(*pieces, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _composed_sql() -> str:
+    of = lambda values, by: f"list_extract({texts(values)}, (({by}) % {len(values)} + 1)::BIGINT)"
+    parts = {
+        "year": "(1990 + doc_id % 31)::VARCHAR", "kind": of(KINDS, "doc_id // 2"), "number": "(doc_id * 37 % 9973)::VARCHAR", "law": of(LAWS, "doc_id"), "article": "(doc_id * 11 % 400 + 1)::VARCHAR",
+        "aspect": of(ASPECTS, "doc_id // 3"), "end": of(ENDS, "doc_id // 5"), "other": of(ASPECTS, "doc_id // 7 + 4"),
+    }
+    pieces = [parts[p[1:-1]] if p.startswith("{") else quoted(p) for p in re.split(r"(\{\w+\})", TEMPLATE)]
+    return f"kd AS (SELECT doc_id, {' || '.join(pieces)} || coalesce(text, '') AS text FROM documents)"
+
+
 def device_domains(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return judgments(spark, d).select("doc_id", device.domain_of_hints(F.col("text"), none).alias("by_hints"), device.domain_of_laws(F.col("text")).alias("by_laws"), digest.digest_domain(none, F.col("text")).alias("for_digest"))
+    found = composed_judgments(spark, d)
+    return found.select("doc_id", device.domain_of_hints(F.col("text"), none).alias("by_hints"), device.domain_of_laws(F.col("text")).alias("by_laws"), digest.digest_domain(none, F.col("text")).alias("for_digest"))
+
+
+def _domains_sql() -> str:
+    """By hints, else the weighted class; by the laws that a text names; for a digest."""
+    laws = [(n, name, law) for n, (name, ls) in enumerate(device.NAMED_IN_TEXT) for law in ls]
+    hints = [(n, name, h) for n, (name, hs) in enumerate(device.DOMAIN_HINTS.items()) for h in hs]
+    special = " OR ".join(f"contains(rest, {quoted(x)})" for x in digest.SPECIAL_LAWS)
+    own = "(regexp_matches(t, '형법(제|상|총칙|각칙)') OR NOT contains(t, '형사소송법'))"
+    return f"""WITH {_composed_sql()}, {rows("law", "n, domain, l", laws)}, {rows("hint", "n, domain, h", hints)}, {rows("class_domain", "class, domain", list(device.CLASS_DOMAINS.items()))},
+        classes AS ({study_classes((), _composed_sql())}),
+        x AS (SELECT doc_id, replace(regexp_replace(replace(lower(text || ' '), '헌법재판소', chr(1)), '헌법상|헌법적', ' ', 'g'), chr(1), '헌법재판소') AS t, regexp_replace(text, '\\s+', '', 'g') AS bare FROM kd),
+        c AS (SELECT doc_id, domain, n, count(*) AS hits FROM x JOIN hint ON contains(t, h) AND (h <> '형법' OR {own}) GROUP BY ALL),
+        b AS (SELECT doc_id, arg_min(domain, n - 100 * hits) AS domain, max(hits) AS hits FROM c GROUP BY doc_id),
+        l AS (SELECT doc_id, arg_min(domain, n) AS domain FROM x JOIN law ON contains(bare, l) GROUP BY doc_id),
+        r AS (SELECT doc_id, bare, replace(bare, '형사소송법', '') AS rest FROM x),
+        g AS (SELECT doc_id, CASE WHEN NOT contains(bare, '형사소송법') THEN l.domain WHEN {special} OR regexp_matches(rest, '형법(제|상|총칙|각칙)') THEN 'criminal_law' ELSE 'criminal_procedure_evidence' END AS domain FROM r LEFT JOIN l USING (doc_id))
+        SELECT x.doc_id, coalesce(CASE WHEN hits >= 2 THEN b.domain END, CASE WHEN confidence >= 0.5 THEN d.domain END, {quoted(vocab.GENERAL_DOMAIN)}) AS by_hints, l.domain AS by_laws,
+          CASE WHEN g.domain = 'civil_law' THEN 'civil_procedure' ELSE g.domain END AS for_digest
+        FROM x LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN classes USING (doc_id) LEFT JOIN class_domain d USING (class)"""
 
 
 def device_extraction(spark: SparkSession, d: str) -> DataFrame:
@@ -178,11 +231,11 @@ def scanned_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of keys and values read back; every third lacks a key."""
-    t = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(40)), "[:\n-]", " ")
+    """Blocks of keys and values read back, with whole texts as values; every third lacks a key."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[:\s-]+", " ")
     block = F.concat(F.lit("- 요약: 한 줄 "), F.col("doc_id").cast("string"), F.lit("\n- key_issue: "), t, F.lit("\n이어서\n결론: 판단\n"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("- 시험 포인트: 암기"))
     found = table(spark, d, "documents").select("doc_id", review.parsed_block(block).alias("b"))
-    return found.select("doc_id", "b.one_line_summary", "b.key_issue", "b.ruling_point", "b.exam_takeaway")
+    return found.select("doc_id", "b.one_line_summary", F.md5("b.key_issue").alias("key_issue"), "b.ruling_point", "b.exam_takeaway")
 
 
 # ---- reviews -----------------------------------------------------------------------------------------------
@@ -322,13 +375,13 @@ def question_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Mean vectors of the benchmark's items, with the embeddings as vectors of words of as many
-    letters as their number modulo 12."""
+    """Mean vectors of the benchmark's items; each word has the embedding that its md5 chooses among all."""
     e = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
-    first = e.groupBy((F.col("vec_id") % 12).alias("n")).agg(F.min("vec_id").alias("vec_id")).join(e, "vec_id").select("n", "embedding")
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\b(\w)\w*", "$1$1").alias("text"))
-    letters = first.select(F.explode(F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])).alias("c"), "n", "embedding").filter(F.ascii("c") % 12 == F.col("n"))
-    made = experiment.pooled_vectors(b, "item_id", "text", letters.select(F.concat("c", "c").alias("word"), F.col("embedding").alias("vector")))
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    n = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    words = b.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+")).alias("word")).distinct()
+    chosen = words.withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % (n + 1))
+    made = experiment.pooled_vectors(b, "item_id", "text", chosen.join(e, "vec_id").select("word", F.col("embedding").alias("vector")))
     return made.select("doc", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
@@ -405,6 +458,25 @@ SQL = {
     "normal_texts": f"""WITH {_jd()}, w AS (SELECT doc_id, text, regexp_extract(text, '[가-힣]{{3,14}}') AS w FROM j)
         SELECT doc_id, sha256({NORMAL}) AS digest, CASE WHEN length(w) >= 3 THEN regexp_replace(w, '^(.{{2,}}?)(?:{ENDINGS})$', '\\1') ELSE w END AS stem FROM w""",
     "joined_corpora": "SELECT n_name AS name, 0::BIGINT AS source_no FROM nation UNION ALL SELECT r_name, 1::BIGINT FROM region",
+    "device_domains": _domains_sql(),
+    "seeded_sample": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat_ws(':', '7', p_partkey::VARCHAR, p_name)), p_partkey, p_name LIMIT 50",
+    "summary_blocks": rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[:\s-]+', ' ', 'g')) || ' 이어서' AS v FROM documents),
+        k AS (SELECT doc_id, trim(v) AS v, doc_id % 3 <> 0 AND NOT ({" OR ".join(f"contains(lower(v), {quoted(e)})" for e in review.ECHOES)}) AS good FROM t)
+        SELECT doc_id, CASE WHEN good THEN '한 줄 ' || doc_id END AS one_line_summary, CASE WHEN good THEN md5(v) END AS key_issue, CASE WHEN good THEN '판단' END AS ruling_point, CASE WHEN good THEN '암기' END AS exam_takeaway FROM k""",
+    "evidence_lines": """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3)
+        SELECT o_custkey, string_agg('- ' || o_orderkey || ' ' || o_orderstatus || ' [' || o_orderpriority || ']: 쟁점=' || day || ' / 결론= / 포인트=', chr(10) ORDER BY rank) AS evidence,
+          '질문: 비교' || chr(10) || '엔진: rules' || chr(10) || chr(10) || '공통/차이 비교 초안:' || chr(10) || string_agg('- ' || o_orderkey || ' ' || o_orderstatus || ': ' || day, chr(10) ORDER BY rank)
+          || chr(10) || chr(10) || '정리: 사건번호별 핵심 쟁점을 기준으로 공통점과 차이점을 확인하세요.' AS draft FROM o GROUP BY o_custkey""",
+    "bag_ranks": rf"""WITH d0 AS (SELECT doc_id AS doc, list_filter(string_split_regex(translate(lower(coalesce(text, '')), {quoted(experiment.PUNCTUATION)}, ''), '\s+'), lambda w: w <> '') AS ws FROM documents),
+        c AS (SELECT doc, word, count(*) AS c FROM (SELECT doc, unnest(ws) AS word FROM d0) GROUP BY ALL), q AS (SELECT * FROM (VALUES ('the', 2), ('of', 1), ('and', 1)) AS q(word, q)),
+        s AS (SELECT doc, coalesce(sum(c * q), 0) AS dot, sum(c * c) AS c2 FROM c LEFT JOIN q USING (word) GROUP BY doc),
+        r AS (SELECT doc, round(coalesce(dot / (sqrt(c2) * sqrt(6)), 0), 9) AS cosine, round(sqrt(c2 + 6 - 2 * dot), 9) AS euclid FROM s)
+        SELECT doc, round(cosine, 6) AS cosine, round(euclid, 6) AS euclid, row_number() OVER (ORDER BY cosine DESC, doc) AS rank FROM r ORDER BY r.cosine DESC, doc LIMIT 5""",
+    "pooled_vectors": r"""WITH w AS (SELECT item_id AS doc, unnest(string_split_regex(coalesce(text, ''), '\s+')) AS word FROM benchmark),
+        c AS (SELECT doc, word, count(*) AS n, ('0x' || left(md5(word), 6))::BIGINT % ((SELECT max(vec_id) FROM embeddings) + 1) AS vec_id FROM w WHERE length(word) >= 2 AND NOT regexp_full_match(word, '[\p{Nd}\pP]+') GROUP BY ALL),
+        x AS (SELECT doc, n, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS place FROM c JOIN embeddings USING (vec_id) WHERE embedding IS NOT NULL),
+        m AS (SELECT doc, place, sum(x * n) / sum(n) AS x FROM x GROUP BY ALL), v AS (SELECT doc, list(x ORDER BY place) AS v, sqrt(sum(x * x)) AS norm FROM m GROUP BY doc)
+        SELECT doc, round(list_sum(list_transform(v, lambda a: a / norm)), 6) AS total, round(v[1] / norm, 6) AS first FROM v WHERE norm > 0""",
     "query_frequency": f"WITH {_frequency_sql()}, r AS (SELECT query, doc, n, row_number() OVER (PARTITION BY query ORDER BY n DESC, doc) AS rank FROM f) SELECT * FROM r WHERE rank <= 5",
     "query_weight": f"WITH {_frequency_sql()}, w AS (SELECT query, doc, round(n / length * idf, 9) AS w FROM f JOIN i USING (query)), r AS (SELECT query, doc, w, row_number() OVER (PARTITION BY query ORDER BY w DESC, doc) AS rank FROM w) SELECT query, doc, round(w, 6) AS weight, rank FROM r WHERE rank <= 5 AND w > 0",
     "query_idf": f"WITH {_frequency_sql()} SELECT query, df, round(idf, 6) AS idf FROM i",

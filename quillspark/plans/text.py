@@ -257,7 +257,8 @@ def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extraction(spark: SparkSession, d: str) -> DataFrame:
-    return answers.extract(_docs(spark, d), "doc_id", "text")
+    found = answers.extract(_composed(spark, d), "doc_id", "text")
+    return found.select("doc", F.array_join("phrases", ",").alias("phrases"), F.md5("sentences").alias("sentences"), "domain", F.array_join("focus", "|").alias("focus"))
 
 
 def signal_retention(spark: SparkSession, d: str) -> DataFrame:
@@ -273,10 +274,6 @@ def _composed(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).withColumn("text", F.concat_ws("\n", *lines))
 
 
-def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return answers.evaluated(_composed(spark, d), "doc_id", "text", 10, 10**6)  # so many that all sentences are key sentences
-
-
 CARD_ENDINGS = ("다.", "다 ", "요.", "임.", "니다.", "였다.", "한다.", "된다.", "이다.")
 
 
@@ -294,7 +291,7 @@ def text_labels(spark: SparkSession, d: str) -> DataFrame:
 def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
     """The lines that an evaluation writes, read back."""
     folder = shared.new_folder(spark)
-    rows = _samples(spark, d)
+    rows = answers.evaluated(_composed(spark, d), "doc_id", "text", 10, 10**6)  # so many that all sentences are key sentences
     answers.evaluation(rows, folder)
     said = spark.read.schema(rows.schema).json(folder)
     signals = lambda c: F.concat_ws(",", *(F.col(f"{c}.{s}").cast("string") for s in X.SIGNALS))
@@ -306,7 +303,7 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     """The summary of an evaluation, taken in the pass that writes its lines."""
-    return answers.evaluation(_samples(spark, d), shared.new_folder(spark))
+    return answers.evaluation(answers.evaluated(_composed(spark, d), "doc_id", "text"), shared.new_folder(spark))
 
 
 def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -400,11 +397,17 @@ SQL = {
         SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS similarity FROM embeddings WHERE vec_id <> 0""",
     "previews": "SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 20), ' ') || '...' AS preview FROM documents",
 }
+SQL["grounding_flags"] = """WITH t AS (SELECT *, substr(text, 3, 12) AS quote FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 3 = 0 THEN 'must_have_citation' END, CASE WHEN turn % 3 <> 0 AND turn NOT IN (1, 2, 4) THEN 'citation_must_exist_in_retrieval' END,
+      CASE WHEN contains(lower(text), 'unknown') AND NOT contains(lower(text), 'insufficient') THEN 'uncertainty_on_missing_evidence' END,
+      CASE WHEN quote <> '' AND (length(trim(quote)) < 8 OR NOT contains(text, trim(quote))) THEN 'quote_must_match_snippet' END], lambda f: f IS NOT NULL), ',') AS flags FROM t"""
 SQL["truncated_texts"] = text_sql.truncated(LINES, 90, CARD_ENDINGS, digest.DISPLAY_ENDINGS, S.CUT_MARK)
 SQL["text_labels"] = text_sql.labels(LINES)
-SQL["evaluation_rows"] = f"{text_sql.evaluation(LINES)} SELECT * FROM samples"
-SQL["evaluation_summary"] = f"""{text_sql.evaluation(LINES)} SELECT count(*) AS samples, round(avg(signal_retention::DECIMAL(18,4)), 4) AS avg_signal_retention,
-    round(avg(CASE WHEN keywords = '' THEN 0 ELSE len(string_split(keywords, ',')) END), 2) AS avg_keyword_count, round(avg(n), 2) AS avg_key_sentence_length FROM samples"""
+SQL["textrank_sentences"] = text_sql.key_sentences("kd AS (SELECT doc_id, text FROM documents)", 5)
+SQL["extraction"] = text_sql.extraction(LINES, 5)
+SQL["evaluation_rows"] = f"{text_sql.evaluation(LINES, text_sql.composed(LINES), text_sql.every_sentence())} SELECT * FROM samples"
+SQL["evaluation_summary"] = f"{text_sql.evaluation(LINES, text_sql.composed(LINES), text_sql.best_sentences(5))} {text_sql.SUMMARY}"
+SQL["signal_retention"] = f"{text_sql.evaluation(LINES, 'kd AS (SELECT item_id AS doc_id, text FROM benchmark)', text_sql.best_sentences(5))} {text_sql.SUMMARY}"
 SQL["grown_search"], SQL["grown_terms"] = SQL["search_by_query"], SQL["doc_frequency"]
 QUERIES = {
     f.__name__: f

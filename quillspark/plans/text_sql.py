@@ -104,9 +104,9 @@ def study_domains(lines) -> str:
         SELECT doc_id, CASE WHEN hits >= 2 THEN domain ELSE '{vocab.GENERAL_DOMAIN}' END AS domain FROM x LEFT JOIN b USING (doc_id)"""
 
 
-def study_classes(lines) -> str:
+def study_classes(lines, source: str | None = None) -> str:
     weights = [(c, h, float(w)) for c in sorted(WEIGHTS) for h, w in WEIGHTS[c].items()]
-    return f"""WITH {planted(lines)}, {rows("weight", "name, h, w", weights)},
+    return f"""WITH {source or planted(lines)}, {rows("weight", "name, h, w", weights)},
         x AS (SELECT doc_id, replace(regexp_replace(replace(coalesce(text, '') || ' ', '헌법재판소', chr(1)), '헌법상|헌법적', ' ', 'g'), chr(1), '헌법재판소') AS t FROM kd),
         hit AS (SELECT doc_id, name, w FROM x JOIN weight ON contains(t, h) AND (h <> '형법' OR regexp_matches(t, '형법(제|상|총칙|각칙)') OR NOT contains(t, '형사소송법'))),
         total AS (SELECT doc_id, name, coalesce(sum(hit.w), 0.0)::DOUBLE AS n FROM (SELECT doc_id, name FROM x CROSS JOIN (SELECT DISTINCT name FROM weight)) LEFT JOIN hit USING (doc_id, name) GROUP BY ALL),
@@ -122,17 +122,80 @@ def composed(lines) -> str:
     return f"kd AS (SELECT doc_id, {at('doc_id')} || chr(10) || {at('doc_id // 7')} || chr(10) || {at('doc_id // 3 + 5')} || chr(10) || coalesce(text, '') AS text FROM documents)"
 
 
-def evaluation(lines) -> str:
-    """Samples whose key sentences are all their sentences."""
-    count = lambda t: "[" + ", ".join(f"len(regexp_extract_all({t}, {quoted(p)}))" for p in vocab.LEGAL_PATTERNS) + "]"
-    cut = "t"
+def sentences(text: str) -> str:
+    """The sentences of a normalised text as a list."""
     for pattern in (r"([다요죠음임])[.。]\s+([가-힣\[0-9])", r"([다요죠음임])\s+(\[)", r"([.!?])\s+([가-힣\[0-9])"):
-        cut = f"regexp_replace({cut}, {quoted(pattern)}, '\\1' || chr(1) || '\\2', 'g')"
-    return rf"""{keyphrases(lines, composed(lines), last="words AS (SELECT doc_id, coalesce(phrases, '') AS phrases FROM n LEFT JOIN said USING (doc_id))")},
-        s AS (SELECT doc_id, t, array_to_string(list_filter(list_transform(string_split(regexp_replace({cut}, '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 12), chr(10)) AS said FROM n),
-        c AS (SELECT doc_id, phrases, said, {count("t")} AS o, {count("said")} AS k FROM s JOIN words USING (doc_id)),
+        text = f"regexp_replace({text}, {quoted(pattern)}, '\\1' || chr(1) || '\\2', 'g')"
+    return rf"list_filter(list_transform(string_split(regexp_replace({text}, '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 12)"
+
+
+def signals(text: str) -> str:
+    return "[" + ", ".join(f"len(regexp_extract_all({text}, {quoted(p)}))" for p in vocab.LEGAL_PATTERNS) + "]"
+
+
+def best_sentences(top: int) -> str:
+    """Of the texts in n (doc_id, t), keys (doc_id, said): the ranks of sentences by Jaccard similarity, round after
+    round until they barely change, and the best ones of these and the bonus in their order."""
+    words = rf"list_distinct(list_filter(string_split_regex(s, '\s+'), lambda w: length(w) > 1 AND NOT list_contains({texts(vocab.STOPWORDS)}, w)))"
+    hint = "(" + " OR ".join(f"contains(s, {quoted(h)})" for h in vocab.TERM_HINTS) + ")"
+    return f"""cut_s AS (SELECT doc_id, {sentences("t")} AS ss FROM n),
+        sent AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM cut_s),
+        token AS (SELECT doc_id, i, unnest({words}) AS w FROM sent WHERE n > {top}),
+        tokens AS (SELECT doc_id, i, count(*) AS k FROM token GROUP BY doc_id, i),
+        common AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS c FROM token a JOIN token b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i <> b.i GROUP BY ALL),
+        edge AS (SELECT c.doc_id, c.i, c.j, c.c / (x.k + y.k - c.c) AS v FROM common c JOIN tokens x ON x.doc_id = c.doc_id AND x.i = c.i JOIN tokens y ON y.doc_id = c.doc_id AND y.i = c.j),
+        walk AS (
+            SELECT doc_id, i, n, 1.0::DOUBLE / n AS score, 0 AS turn FROM sent WHERE n > {top}
+            UNION ALL
+            SELECT doc_id, i, n, fresh, turn + 1 FROM (
+                SELECT doc_id, i, n, turn, fresh, bool_and(abs(score - fresh) <= 1e-6 + 1e-5 * abs(fresh)) OVER (PARTITION BY doc_id) AS done FROM (
+                    SELECT a.doc_id, a.i, a.n, a.turn, a.score, 0.15::DOUBLE / a.n + 0.85::DOUBLE * coalesce(sum(e.v * b.score), 0) AS fresh
+                    FROM walk a LEFT JOIN edge e ON e.doc_id = a.doc_id AND e.i = a.i LEFT JOIN walk b ON b.doc_id = e.doc_id AND b.i = e.j
+                    GROUP BY a.doc_id, a.i, a.n, a.turn, a.score))
+            WHERE NOT done AND turn < 30),
+        last AS (SELECT doc_id, i, score FROM walk QUALIFY turn = max(turn) OVER (PARTITION BY doc_id)),
+        scored AS (SELECT doc_id, i, s, round(ln(score + list_sum({signals("s")}) * 0.15::DOUBLE + CASE WHEN {hint} THEN 0.2::DOUBLE ELSE 0 END), 9) AS score FROM sent JOIN last USING (doc_id, i)),
+        top AS (SELECT doc_id, i, s FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i DESC) <= {top} UNION ALL SELECT doc_id, i, s FROM sent WHERE n <= {top}),
+        joined AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) AS said FROM top GROUP BY doc_id),
+        keys AS (SELECT doc_id, coalesce(said, '') AS said FROM n LEFT JOIN joined USING (doc_id))"""
+
+
+def key_sentences(source: str, top: int) -> str:
+    return f"""WITH RECURSIVE {source}, n AS (SELECT doc_id, {NORMAL} AS t FROM kd), {best_sentences(top)} SELECT doc_id AS doc, said AS sentences FROM keys"""
+
+
+WORDS = "words AS (SELECT doc_id, coalesce(phrases, '') AS phrases FROM n LEFT JOIN said USING (doc_id))"
+
+
+def extraction(lines, top: int) -> str:
+    """Phrases, sentences, domain and advice of composed documents."""
+    hints = [(n, d, h) for n, (d, hs) in enumerate(vocab.DOMAIN_HINTS.items()) for h in hs]
+    advice = [(d, list(ls)) for d, ls in vocab.STUDY_FOCUS.items()]
+    return f"""{keyphrases(lines, composed(lines), last=WORDS)}, {best_sentences(top)}, {rows("hint", "n, domain, h", hints)}, {rows("advice", "domain, lines", advice)},
+        x AS (SELECT doc_id, lower(t || ' ' || replace(phrases, ',', ' ')) AS t FROM n JOIN words USING (doc_id)),
+        c AS (SELECT doc_id, domain, n, count(*) AS hits FROM x JOIN hint ON contains(t, h) GROUP BY ALL),
+        b AS (SELECT doc_id, arg_min(domain, n - 100 * hits) AS domain, max(hits) AS hits FROM c GROUP BY doc_id),
+        d AS (SELECT doc_id, phrases, said, CASE WHEN hits >= 2 THEN domain ELSE {quoted(vocab.GENERAL_DOMAIN)} END AS domain FROM words JOIN keys USING (doc_id) LEFT JOIN b USING (doc_id)),
+        f AS (SELECT *, coalesce(nullif(array_to_string(string_split(phrases, ',')[1:4], ', '), ''), {quoted(vocab.NO_KEYWORDS)}) AS named,
+          left(coalesce(nullif(trim(string_split(said, chr(10))[1]), ''), {quoted(vocab.NO_SENTENCE)}), 90) AS first FROM d)
+        SELECT doc_id AS doc, phrases, md5(said) AS sentences, domain, array_to_string(list_transform(lines, lambda l: replace(replace(l, '{{0}}', first), '{{1}}', named)), '|') AS focus
+        FROM f JOIN advice USING (domain)""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def evaluation(lines, source: str, keys: str) -> str:
+    """Samples and their measures; keys are the sentences that are kept."""
+    return f"""{keyphrases(lines, source, last=WORDS)}, {keys},
+        c AS (SELECT doc_id, phrases, said, {signals("t")} AS o, {signals("said")} AS k FROM n JOIN keys USING (doc_id) JOIN words USING (doc_id)),
         samples AS (SELECT doc_id::VARCHAR AS id, phrases AS keywords, md5(said) AS digest, length(said) AS n, array_to_string(o, ',') AS original, array_to_string(k, ',') AS summary,
-          coalesce(round(list_sum(k) / nullif(list_sum(o), 0), 4), 0.0::DOUBLE) AS signal_retention FROM c)"""
+          coalesce(round(list_sum(k) / nullif(list_sum(o), 0), 4), 0.0::DOUBLE) AS signal_retention FROM c)""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def every_sentence() -> str:
+    return f"keys AS (SELECT doc_id, array_to_string({sentences('t')}, chr(10)) AS said FROM n)"
+
+
+SUMMARY = """SELECT count(*) AS samples, round(avg(signal_retention::DECIMAL(18,4)), 4) AS avg_signal_retention,
+    round(avg(CASE WHEN keywords = '' THEN 0 ELSE len(string_split(keywords, ',')) END), 2) AS avg_keyword_count, round(avg(n), 2) AS avg_key_sentence_length FROM samples"""
 
 
 def keyphrases(lines, source: str | None = None, last: str | None = None) -> str:
