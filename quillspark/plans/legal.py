@@ -92,6 +92,86 @@ def _composed_sql() -> str:
     return f"kd AS (SELECT doc_id, {' || '.join(pieces)} || coalesce(text, '') AS text FROM documents)"
 
 
+OPEN, CLOSE = ("【", "[", "〔", "<"), ("】", "]", "〕", ">")
+# Sections of judgments: each piece stands where its condition on the document's number holds.
+PIECES = (
+    ("true", "사 건\n{year}{kind}{number}\n"),
+    ("doc_id % 7 <> 3", "{open}판시사항{close}\n[1] {aspect}의 의미({end}) / {other}에 관한 판단 기준(한정 소극)\n"),
+    ("doc_id % 7 <> 3 and doc_id % 3 > 0", "[ 2 ] {other}의  성립 여부\n"),
+    ("doc_id % 7 = 3", "{open}요 지{close}\n○ (쟁점 ①) {aspect}이 문제되는지({end}) - {other}을 인정할 수 있다\n○ {other}의 성립 여부(소극)\n"),
+    ("doc_id % 5 < 3", "{open} 판결요지 {close}\n"),
+    ("doc_id % 5 >= 3", "{open}결정요지{close}\n"),
+    ("doc_id % 2 = 0", "[1] [다수의견] {aspect}을 인정한다. [대법관 {number}의 반대의견] {other}이 없다.\n"),
+    ("doc_id % 2 = 1", "[1] {aspect}에 관한 원심의 판단은 정당하다.\n"),
+    ("doc_id % 3 = 2", "[2] [ 별개의견 ] {other}도 살펴야 한다.\n"),
+    ("true", "{open}참조조문{close} {law} 제{article}조,  {law2} 제12조\n"),
+    ("doc_id % 4 < 3", "{open}참조판례{close} 대법원 {year}도 {number} 판결, {year}도{number}, {year}헌마{article}\n"),
+    ("doc_id % 6 > 0", "\n이 유\n"),
+)
+
+
+def _numbers(sql: bool) -> dict[str, str]:
+    """The parts of a document's judgment as expressions of either SQL."""
+    div = (lambda n: f"doc_id // {n}") if sql else (lambda n: f"doc_id div {n}")
+    pick = (lambda vs, by: f"list_extract({texts(vs)}, (({by}) % {len(vs)} + 1)::BIGINT)") if sql else (lambda vs, by: f"get(array({', '.join(map(quoted, vs))}), int(({by}) % {len(vs)}))")
+    return {
+        "year": "cast(1990 + doc_id % 31 as string)", "kind": pick(KINDS, div(2)), "number": "cast(doc_id * 37 % 9973 as string)", "law": pick(LAWS, "doc_id"), "law2": pick(LAWS, div(3)),
+        "article": "cast(doc_id * 11 % 400 + 1 as string)", "aspect": pick(ASPECTS, div(3)), "end": pick(ENDS, div(5)), "other": pick(ASPECTS, f"{div(7)} + 4"), "open": pick(OPEN, div(4)), "close": pick(CLOSE, div(4)),
+    }
+
+
+def _sectioned(sql: bool) -> str:
+    """The sectioned judgment of a document, its text at the end."""
+    parts = _numbers(sql)
+    quote = quoted if sql else (lambda v: quoted(v).replace("\n", "\\n"))
+    piece = lambda template: " || ".join(parts[p[1:-1]] if p.startswith("{") else quote(p) for p in re.split(r"(\{\w+\})", template) if p)
+    return " || ".join(f"case when {test} then {piece(template)} else '' end" for test, template in PIECES) + " || coalesce(text, '')"
+
+
+def judgment_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The structure of judgments whose sections vary with the document's number."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_sectioned(False)).alias("text"))
+    found = judgment.parse_judgments(docs, "doc_id", "text")
+    held = F.transform("holdings", lambda h: F.concat_ws(":", h["issue_no"].cast("string"), h["opinion"], h["text"]))
+    lists = {"issues": F.col("issues"), "polarities": F.col("polarities"), "holdings": held, "acts": F.col("acts"), "precedents": F.col("precedents")}
+    return found.select("doc_id", *(F.array_join(c, " | ").alias(n) for n, c in lists.items()), "statutes", F.col("has_reasoning").cast("long").alias("has_reasoning"), F.col("has_opinions").cast("long").alias("has_opinions"))
+
+
+def _judgment_sql() -> str:
+    strip_ = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    squeeze_ = lambda x: strip_(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+    first = lambda x, pairs: "CASE " + " ".join(f"WHEN contains({x}, {quoted(m)}) THEN {quoted(n)}" for m, n in pairs)
+    marker = judgment.MARKER.replace(r"\s*(?=\n)", r"\s*\n")  # what follows is stripped
+    body = lambda name: f"list_filter(ss, lambda s: s.name = {quoted(name)})[1].body"
+    items = lambda b: f"(SELECT CASE WHEN len(xs) > 0 THEN xs ELSE [{b}] END FROM (SELECT list_filter(list_transform(string_split_regex({b}, '\\[\\s*\\d+\\s*\\]')[2:], lambda i: {strip_('i')}), lambda i: i <> '') AS xs))"
+    known = f"{texts(sorted(judgment.ACTS, key=len, reverse=True))}"
+    cut = f"list_transform(string_split(regexp_replace(i, '([가-힣)])\\s*/\\s*([가-힣])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda c: {strip_('c')})"
+    return f"""WITH j AS (SELECT doc_id, {_sectioned(True)} AS t FROM documents),
+        m AS (SELECT doc_id, list_transform(regexp_extract_all(t, {quoted(marker)}), lambda x: regexp_replace(x, '[\\s:：【】\\[\\]〔〕<>]', '', 'g')) AS names, string_split_regex(t, {quoted(marker)})[2:] AS bodies FROM j),
+        s AS (SELECT doc_id, list_transform(list_zip(names, bodies), lambda z: {{'name': z[1], 'body': z[2]}}) AS ss FROM m),
+        b AS (SELECT doc_id, {body("판시사항")} AS asked, {body("요지")} AS digest, coalesce({body("판결요지")}, {body("결정요지")}) AS held, coalesce({body("참조조문")}, '') AS laws, coalesce({body("참조판례")}, '') AS cases,
+          (len(list_filter(ss, lambda s: s.name = '이유')) > 0)::BIGINT AS has_reasoning FROM s),
+        i0 AS (SELECT doc_id, unnest(xs) AS i, unnest(range(len(xs))) AS k FROM (SELECT doc_id, list_transform({items("asked")}, lambda i: {squeeze_("i")}) AS xs FROM b WHERE asked <> '')),
+        i1 AS (SELECT doc_id, k, unnest(xs) AS x, unnest(range(len(xs))) AS l FROM (SELECT doc_id, k, CASE WHEN len(list_filter({cut}, lambda c: length(c) >= 6)) > 0 THEN list_filter({cut}, lambda c: length(c) >= 6) ELSE [i] END AS xs FROM i0)),
+        i2 AS (SELECT doc_id, string_agg(x, ' | ' ORDER BY k, l) AS issues, string_agg({first("x", judgment.POLARITIES)} ELSE 'unknown' END, ' | ' ORDER BY k, l) AS polarities FROM i1 GROUP BY doc_id),
+        g0 AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS k FROM (SELECT doc_id, list_filter(string_split_regex(digest, '(?m)^\\s*○\\s*')[2:], lambda x: {strip_("x")} <> '') AS xs FROM b WHERE digest <> '')),
+        g1 AS (SELECT doc_id, k, string_split_regex(regexp_replace({squeeze_("x")}, '^\\(?\\s*쟁점\\s*[①-⑩0-9]+\\s*\\)?\\s*', ''), '\\s*[-–—]\\s*') AS p FROM g0),
+        g2 AS (SELECT doc_id, k, p[1] AS q, {strip_("coalesce(array_to_string(p[2:], '-'), '')")} AS a FROM g1),
+        g3 AS (SELECT doc_id, string_agg(CASE WHEN a <> '' THEN a ELSE {strip_("q")} END, ' | ' ORDER BY k) AS issues, string_agg({first("q", judgment.POLARITIES)} ELSE {first("a", judgment.POLARITIES)} ELSE 'unknown' END END, ' | ' ORDER BY k) AS polarities
+          FROM g2 WHERE length(CASE WHEN a <> '' THEN a ELSE {strip_("q")} END) >= 8 GROUP BY doc_id),
+        h0 AS (SELECT doc_id, unnest(xs) AS i, unnest(range(len(xs))) + 1 AS k FROM (SELECT doc_id, {items("held")} AS xs FROM b WHERE held <> '')),
+        h1 AS (SELECT doc_id, k, i, regexp_extract_all(i, {quoted(judgment.OPINION)}, 1) AS labels, string_split_regex(i, {quoted(judgment.OPINION)})[2:] AS told FROM h0),
+        h2 AS (SELECT doc_id, k, unnest(labels) AS label, unnest(told) AS x, unnest(range(len(labels))) AS l FROM h1 WHERE len(labels) > 0 UNION ALL SELECT doc_id, k, '', i, 0 FROM h1 WHERE len(labels) = 0),
+        h3 AS (SELECT doc_id, k, l, {first("label", judgment.OPINIONS)} ELSE 'unspecified' END AS opinion, {squeeze_("x")} AS x, label FROM h2),
+        h4 AS (SELECT doc_id, string_agg(k || ':' || opinion || ':' || x, ' | ' ORDER BY k, l) AS holdings, max((opinion <> 'unspecified')::BIGINT) AS has_opinions FROM h3 WHERE x <> '' OR label = '' GROUP BY doc_id),
+        c0 AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS k FROM (SELECT doc_id, list_transform(regexp_extract_all(cases, {quoted(judgment.PRECEDENT)}), lambda x: replace(x, ' ', '')) AS xs FROM b)),
+        c1 AS (SELECT doc_id, string_agg(x, ' | ' ORDER BY k) AS precedents FROM (SELECT doc_id, x, min(k) AS k FROM c0 GROUP BY doc_id, x) GROUP BY doc_id),
+        l AS (SELECT doc_id, {squeeze_("laws")} AS statutes, regexp_replace(laws, '\\s+', '', 'g') AS bare FROM b)
+        SELECT b.doc_id, coalesce(i2.issues, g3.issues, '') AS issues, coalesce(i2.polarities, g3.polarities, '') AS polarities, coalesce(holdings, '') AS holdings,
+          array_to_string(list_filter({known}, lambda a: contains(bare, replace(a, ' ', ''))), ' | ') AS acts, coalesce(precedents, '') AS precedents, statutes, has_reasoning, coalesce(has_opinions, 0) AS has_opinions
+        FROM b LEFT JOIN i2 USING (doc_id) LEFT JOIN g3 USING (doc_id) LEFT JOIN h4 USING (doc_id) LEFT JOIN c1 USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
 def device_domains(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
     found = composed_judgments(spark, d)
@@ -459,6 +539,7 @@ SQL = {
         SELECT doc_id, sha256({NORMAL}) AS digest, CASE WHEN length(w) >= 3 THEN regexp_replace(w, '^(.{{2,}}?)(?:{ENDINGS})$', '\\1') ELSE w END AS stem FROM w""",
     "joined_corpora": "SELECT n_name AS name, 0::BIGINT AS source_no FROM nation UNION ALL SELECT r_name, 1::BIGINT FROM region",
     "device_domains": _domains_sql(),
+    "judgment_parts": _judgment_sql(),
     "seeded_sample": "SELECT p_partkey, p_name FROM part ORDER BY md5(concat_ws(':', '7', p_partkey::VARCHAR, p_name)), p_partkey, p_name LIMIT 50",
     "summary_blocks": rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[:\s-]+', ' ', 'g')) || ' 이어서' AS v FROM documents),
         k AS (SELECT doc_id, trim(v) AS v, doc_id % 3 <> 0 AND NOT ({" OR ".join(f"contains(lower(v), {quoted(e)})" for e in review.ECHOES)}) AS good FROM t)
@@ -489,7 +570,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        device_keyphrases, device_sentences, device_domains, device_extraction, sentence_roles, case_digests, section_flags, case_facts, scan_keywords, verdicts, particles, text_predicates,
+        judgment_parts, device_keyphrases, device_sentences, device_domains, device_extraction, sentence_roles, case_digests, section_flags, case_facts, scan_keywords, verdicts, particles, text_predicates,
         near_equal, shrunk_texts, issue_statements, card_texts, truth_items, evidence_lines, scanned_rows, summary_blocks, review_list, shown_cases, found_case, renamed_cases, stamped_updates,
         stage_log, daily_confidence, remaining_time, merged_daily, seeded_sample, collapsed_turns, first_pages, joined_names, normal_texts, joined_corpora, query_frequency, query_weight, query_idf, stemmed_ranks, bag_ranks, question_postings, pooled_vectors,
     )
