@@ -88,6 +88,13 @@ def sentence_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.fillna("").map(cut_sentences)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def sentence_lists(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of an array of texts, the sentences of each."""
+    for t in texts:
+        yield t.map(lambda xs: [] if xs is None else [cut_sentences(x or "") for x in xs])
+
+
 def clamp(text: Column, limit: int) -> Column:
     """A sentence without pronouns: with its full stop, or cut with an ellipsis."""
     return X.let(S.resolve_pronouns(text), lambda t: F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("…"))).when(t.endswith("."), t).otherwise(F.concat(t, F.lit("."))))
@@ -137,19 +144,18 @@ def sentence_roles(parsed: DataFrame, doc: str, text: str) -> DataFrame:
     held = majority(F.col("holdings"))
     rows = parsed.select(doc, text, "issues", "polarities", F.transform(held, lambda h: F.struct(h["issue_no"].alias("no"), h["text"].alias("text"))).alias("held"))
     rows = rows.withColumn("terms", quoted_terms(F.array_join("issues", " ")))
-    # sentences of each holding need the quote-aware cut: one row each, gathered again by document
-    each = rows.select(doc, "terms", F.posexplode("held").alias("i", "h")).withColumn("cut", sentence_list(F.col("h.text")))
+    rows = rows.withColumns({"cuts": sentence_lists(F.col("held.text")), "whole": sentence_list(F.col(text))})  # the cut minds quotes, so it is a function of its own
     hits = lambda s: F.when(F.exists("terms", lambda t: F.contains(s, t)), 1).otherwise(0)
-    principle = X.let(first_sentence(F.col("h.text"), 220), lambda s: F.when(points(S.squeeze(s), PRINCIPLE) - F.when(is_scenario(s), 2).otherwise(0) + hits(s) >= 3, s))
 
-    def decisive(s: Column) -> Column:
-        extra = F.when(F.col("h.no") > 1, 2).otherwise(0) + F.when(is_scenario(s), 2).otherwise(0) - F.when(S.any_of(s, ("보호법익", "의미")), 1).otherwise(0)
-        return F.when(points(S.squeeze(s), HOLDING) + extra + hits(s) >= 3, s)
+    def judged(h: Column, cut: Column) -> Column:
+        principle = X.let(first_sentence(h["text"], 220), lambda s: F.when(points(S.squeeze(s), PRINCIPLE) - F.when(is_scenario(s), 2).otherwise(0) + hits(s) >= 3, s))
+        extra = lambda s: F.when(h["no"] > 1, 2).otherwise(0) + F.when(is_scenario(s), 2).otherwise(0) - F.when(S.any_of(s, ("보호법익", "의미")), 1).otherwise(0)
+        decisive = lambda s: F.when(points(S.squeeze(s), HOLDING) + extra(s) + hits(s) >= 3, s)
+        scenes = F.transform(F.filter(cut, is_scenario), lambda s: clamp(s, 180))
+        told = lambda s: F.struct(principle.alias("principle"), decisive(s).alias("decisive"), scenes.alias("scenes"), s.alias("ending"), h["no"].alias("no"))
+        return X.let(conclusion(h["text"], cut), told)
 
-    each = each.withColumns({"principle": principle, "ending": conclusion(F.col("h.text"), F.col("cut"))})
-    each = each.withColumns({"decisive": X.let(F.col("ending"), decisive), "scenes": F.transform(F.filter("cut", is_scenario), lambda s: clamp(s, 180))})
-    pick = F.array_sort(F.collect_list(F.struct("i", "principle", "decisive", "scenes", "ending", F.col("h.no").alias("no"))))
-    rows = rows.join(each.groupBy(doc).agg(pick.alias("h")), doc, "left").withColumn("whole", sentence_list(F.col(text)))
+    rows = rows.withColumn("h", F.zip_with("held", "cuts", judged))
     none = F.array().cast("array<string>")
     of = lambda name: F.coalesce(F.transform("h", lambda x: x[name]), none)
     present = lambda a: F.array_distinct(F.filter(a, lambda s: s.isNotNull() & (s != "")))
