@@ -17,8 +17,12 @@
 5. Blocks too large for one task fall apart by prefixes: of linked sets, each has one of the
    other's rarest shingles among its own rarest (so many that fewer could not be all that
    differ), by one order of all shingles. A passage that many documents share is never
-   rare. What such shingles connect is searched as blocks are. Where that is too large still
-   (a huge group of near copies), it is first compared with one of its documents; what is
+   rare. What such shingles connect is searched as blocks are. What is too large still
+   falls apart by counts: a set's shingles are counted in so many buckets that four fall into
+   one; the sum over the buckets of the smaller count is at least the overlap of two sets, and is
+   too small for a link if they share but a passage. Only these counts, a quarter of a byte a shingle, go to the
+   groups that share one rare shingle. What is too large even then
+   (a huge group of near copies), is first compared with one of its documents; what is
    linked with it is one group already, and only the others are searched for, within the
    groups that share one rare shingle; in one too large still, a task indexes one part of
    it and asks for one share of the others.
@@ -45,6 +49,8 @@ BLOCK_SHINGLES = 400_000  # shingles of a block that one task indexes (3.2 MB)
 RARE = 32  # occurrences up to which all shingles of large blocks count as equally rare
 COMMON = 1_000_000  # shingles at most whose occurrences are told to all tasks (16 MB)
 SHORT = 64  # documents of an inverted list that is merged rather than probed
+PER_BUCKET = 4  # shingles of a set that fall into one bucket of its counts, or half as many
+CELL_ROWS, CELL_SHINGLES = 4096, 1 << 25  # rows whose counts one task compares, and their shingles (16 MB of counts)
 
 
 # ---- sets --------------------------------------------------------------------------
@@ -276,6 +282,60 @@ def cell_links(ids: list[int], sets: list[np.ndarray], members: list[int], queri
     return out
 
 
+# ---- bounds of the overlap ---------------------------------------------------------------
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket, of which there is a power of two."""
+    buckets = 16
+    while buckets * PER_BUCKET < len(s):
+        buckets *= 2
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray) -> np.ndarray:
+    """The counts of half as many buckets."""
+    half = counts.shape[-1] // 2
+    return counts[..., :half].astype(np.uint16) + counts[..., half:]
+
+
+def possible_links(ids: list[int], sizes: list[int], counts: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A forest that joins all rows whose sets can be linked by their sizes and bucket counts."""
+    size = np.array(sizes, np.int64)
+    kinds: dict[int, np.ndarray] = {}  # number of buckets -> positions of the rows, by size
+    for k in np.argsort(size, kind="stable").tolist():
+        kinds.setdefault(len(counts[k]), []).append(k)
+    kinds = {b: np.array(rows) for b, rows in kinds.items()}
+    table = {b: np.frombuffer(b"".join(counts[k] for k in rows.tolist()), np.uint8).reshape(len(rows), b) for b, rows in kinds.items()}
+    below = {b: folded(t) for b, t in table.items()}
+    left, out = np.ones(len(ids), bool), []
+
+    def near(q: int) -> np.ndarray:
+        """Rows that are left and may be linked with a row."""
+        mine, found = np.frombuffer(counts[q], np.uint8), []
+        least, most = -(-percent * size[q] // 100), 100 * size[q] // percent
+        for b, held in ((len(mine) // 2, table), (len(mine), table), (2 * len(mine), below)):
+            if b not in kinds:
+                continue
+            rows = kinds[b]
+            a, z = np.searchsorted(size[rows], [least, most + 1])
+            at = np.arange(a, z)[left[rows[a:z]]]
+            own = folded(mine) if b < len(mine) else mine
+            if len(at):
+                bound = np.minimum(held[b][at], own).sum(axis=1, dtype=np.int64)
+                found.append(rows[at[bound * (100 + percent) >= percent * (size[q] + size[rows[at]])]])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    for first in range(len(ids)):
+        todo = [first] if left[first] else []
+        left[todo] = False
+        while todo:
+            q = todo.pop()
+            rows = near(q)
+            left[rows] = False
+            out += ((ids[q], ids[k]) for k in rows.tolist())
+            todo += rows.tolist()
+    return out
+
+
 # ---- the join ---------------------------------------------------------------------------
 def ngram_groups(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, number: str | None = None) -> DataFrame:
     """One row for each row of ``df``: row (its ``number``), the id column,
@@ -308,8 +368,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     before = Window.partitionBy("signature").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     between = over.select("row", F.min("row").over(before).alias("b")).filter("row > b").distinct()
     within = scan.select("row", F.explode("firsts").alias("b"))
-    block = components(between.unionByName(within).select(F.col("row").alias("a"), "b"))
-    block = stored(block.unionByName(block.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
+    block = _blocks(components(between.unionByName(within).select(F.col("row").alias("a"), "b")))
     fat, scan = scan, stored(scan.select("row", "n_shingles", "k1", "k2"))
     drop_stored(fat)  # the signatures are most of it
     sized = join_small(scan, block, ["row"], "inner", 48)
@@ -322,15 +381,16 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     links = _whole(texts(members.filter("parts = 1")), n, percent)
     if not members.filter("parts > 1").isEmpty():
         # large blocks fall apart by rare shingles
-        rare = _prefixes(texts(members.filter("parts > 1").select("row", "block")), n, percent)
-        cell = _connected(rare)
-        again = join_small(members.select("row", "n_shingles"), cell, ["row"], "inner", 48)
-        sizes = again.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
-        sizes = stored(sizes.select("block", "pivot", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")))
-        again = stored(join_small(again, sizes, ["block"], "inner", 64))
+        facts = _prefixes(texts(members.filter("parts > 1").select("row", "block")), n, percent)
+        rare = facts.select("block", "row", F.explode("rares").alias("rare"))
+        again = _sized(members, _connected(rare), block_shingles)
         links = links.unionByName(_whole(texts(again.filter("parts = 1")), n, percent))
         if not again.filter("parts > 1").isEmpty():
-            links = links.unionByName(_large(stored(texts(again.filter("parts > 1"))), rare, n, percent, block_shingles))
+            # what is large still, by what their counts allow
+            last = _sized(members, _blocks(components(_possible(again.filter("parts > 1"), facts, percent))), block_shingles)
+            links = links.unionByName(_whole(texts(last.filter("parts = 1")), n, percent))
+            if not last.filter("parts > 1").isEmpty():
+                links = links.unionByName(_large(stored(texts(last.filter("parts > 1"))), rare.drop("block"), n, percent, block_shingles))
     groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
@@ -349,6 +409,57 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     )
 
 
+def _blocks(found: DataFrame) -> DataFrame:
+    """(row, block) of all rows of components (id, root), the roots too."""
+    return stored(found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
+
+
+def _sized(members: DataFrame, block: DataFrame, block_shingles: int) -> DataFrame:
+    """(block, row, n_shingles, pivot, parts): rows of blocks of two or more, and into how many parts a block is cut."""
+    rows = join_small(members.select("row", "n_shingles"), block, ["row"], "inner", 48)
+    sizes = rows.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("row").alias("pivot")).filter("docs > 1")
+    sizes = stored(sizes.select("block", "pivot", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")))
+    return stored(join_small(rows, sizes, ["block"], "inner", 64))
+
+
+def _possible(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join, within blocks, all rows that share a rare shingle and whose sizes and
+    counts allow a link. Groups of the same rows count once; a group of more than CELL_ROWS rows or CELL_SHINGLES
+    shingles is compared part by part."""
+    mine = join_small(facts.select("row", "size", F.explode("rares").alias("rare")), rows.select("row", "block"), ["row"], "inner", 48)
+    who = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("who")
+    groups = mine.groupBy("block", "rare").agg(F.count("*").alias("rows"), who, F.min("row").alias("least"), F.sum("size").alias("total")).filter("rows > 1")
+    groups = groups.groupBy("block", "who", "rows", "least", "total").agg(F.min("rare").alias("rare"))
+    groups = stored(groups.select("block", "rare", F.ceil(F.greatest(F.col("rows") / CELL_ROWS, F.col("total") / CELL_SHINGLES)).cast("int").alias("parts")))
+    own, other = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = join_small(mine, groups, ["block", "rare"], "inner", 40).select("row", F.xxhash64("block", "rare").alias("cell"), own.alias("own"), other.alias("other"))
+    cells = cells.select("row", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = cells.join(facts.select("row", "size", "counts"), "row").select("cell", "i", "j", "row", "size", "counts")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+
+        def links() -> pa.RecordBatch:
+            found = possible_links(*held, percent)
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for cell, i, j, row, size, counts in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (cell, i, j) != key and held[0]:
+                    yield links()
+                key = cell, i, j
+                for x, value in zip(held, (row, size, counts), strict=True):
+                    x.append(value)
+        if held[0]:
+            yield links()
+
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
+
+
 def _whole(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Links within blocks that one task searches each."""
     return _search(rows.withColumns({"part": F.lit(0), "query": F.lit(True), "index": F.lit(True)}), n, percent)
@@ -386,7 +497,8 @@ def _large(rows: DataFrame, rare: DataFrame, n: int, percent: int, block_shingle
 
 
 def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
-    """(block, row, rare): the rarest shingles of rows (row, text, block) of large blocks."""
+    """(block, row, size, rares, counts) of rows (row, text, block) of large blocks: the size of their set, its rarest
+    shingles and its bucket counts."""
     spark = big.sparkSession
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,19 +518,19 @@ def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (common, rank) = Shingles(n), shared.value
         for b in batches:
-            prefixes = []
+            prefixes, sizes, counted = [], [], []
             for text in b.column(2):
                 s = shingles(text.as_py())
                 at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
                 times = np.where(common[at] == s, rank[at], 0) if len(common) else np.zeros(len(s), np.int64)
                 order = np.lexsort((s, times))
                 prefixes.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
-            size = [len(x) for x in prefixes]
-            at = pa.array(np.repeat(np.arange(len(size)), size))
-            columns = [b.column(i).take(at) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(prefixes))], names=["block", "row", "rare"])
+                sizes.append(len(s))
+                counted.append(bucket_counts(s))
+            rares = _lists(np.array([len(x) for x in prefixes], np.int64), np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), rares, pa.array(counted, pa.binary())], names=["block", "row", "size", "rares", "counts"])
 
-    return stored(big.select("block", "row", "text").mapInArrow(released(rare), "block long, row long, rare long"))
+    return stored(big.select("block", "row", "text").mapInArrow(released(rare), "block long, row long, size long, rares array<long>, counts binary"))
 
 
 def _connected(prefixes: DataFrame) -> DataFrame:
@@ -426,8 +538,7 @@ def _connected(prefixes: DataFrame) -> DataFrame:
     with another are left out."""
     least = stored(prefixes.groupBy("block", "rare").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     links = join_small(prefixes, least, ["block", "rare"], "inner", 48).select(F.col("row").alias("a"), "b").distinct()
-    cell = components(links)
-    return stored(cell.unionByName(cell.select(F.col("root").alias("id"), "root").distinct()).select(F.col("id").alias("row"), F.col("root").alias("block")))
+    return _blocks(components(links))
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:

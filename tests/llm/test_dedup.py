@@ -204,3 +204,49 @@ def test_rows_don_t_depend_on_the_splits(spark, tmp_path, monkeypatch, changing)
         for key in keys:
             spark.conf.unset(key)
     assert got == want and isinstance(docs, DataFrame)
+
+
+def test_bucket_counts_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 15, 40, 64, 65, 100, 130, 300, 1000, 5000)]
+    for s in list(sets):
+        for share in (0.5, 0.8, 0.9, 0.97, 1.0):
+            kept = rng.random(len(s)) < share
+            sets.append(np.unique(np.concatenate([s[kept], rng.integers(0, 2**63, int((~kept).sum() * rng.random())).astype(np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    ids = (100 + rng.permutation(len(sets))).tolist()
+    for percent in (50, 80, 90):
+        forest = ngram_join.possible_links(ids, [len(s) for s in sets], [ngram_join.bucket_counts(s) for s in sets], percent)
+        root = {i: i for i in ids}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in forest:
+            assert find(a) != find(b)
+            root[find(a)] = find(b)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                common = len(np.intersect1d(a, sets[j]))
+                if 100 * common >= percent * (len(a) + len(sets[j]) - common):
+                    assert find(ids[i]) == find(ids[j])
+        assert percent < 80 or len({find(i) for i in ids}) >= 10  # sets of other origins stay apart
+
+
+@pytest.mark.parametrize("cell", [4096, 3])
+def test_blocks_that_passages_chain_fall_apart(spark, tmp_path, monkeypatch, cell):
+    """Documents that share passages, each with a few others, are one block by rare shingles."""
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", cell)
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(40)]
+    texts = [" ".join(rng.choice(passages, 6, replace=False)) for _ in range(120)]
+    texts += [t.replace("w3", "x3", 1) for t in texts[:30]] + [t + " end" for t in texts[10:20]] + [None, "", "short"]
+    docs = stable(spark, tmp_path, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA))
+    asked = []
+    kept = ngram_join._possible
+    monkeypatch.setattr(ngram_join, "_possible", lambda *a: (asked.append(1), kept(*a))[1])
+    want, groups = brute(docs.collect(), 5, 80)
+    got = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80, block_shingles=500).collect()
+    assert Counter((r.doc_id, r.component, r.n_shingles) for r in got) == want and asked and sum(r.stays for r in got) == groups
