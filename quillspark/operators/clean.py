@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.statements import strip
 from ..functions.text import let
 
 # --- fixed values: lines that are noise of a scan ------------------------------------------
@@ -55,7 +56,7 @@ _NOISE = re.compile("|".join(NOISE_PATTERNS))
 
 
 def is_noise(line: Column) -> Column:
-    s = F.trim(line)
+    s = strip(line)
     return s.rlike("(?U)" + "|".join(NOISE_PATTERNS)) | s.isin(*NOISE_LINES)
 
 
@@ -68,7 +69,7 @@ def clean_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Each document without noise lines and without lines it had before (shorter ones than
     KEY_LENGTH may repeat); a document of which nothing is left has the empty text. Lines of a
     document are sorted by key and back again, so nothing is shuffled."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END), F.trim)
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END), strip)
     keyed = F.transform(F.filter(lines, lambda x: ~is_noise(x)), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("at"), x.alias("line")))
 
     def first_ones(sorted_lines: Column) -> Column:

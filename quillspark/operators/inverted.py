@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_exact
 from ..functions.text import tokenize
 from ..sources import shared
 from .tfidf import smooth_idf, steady
@@ -191,14 +192,14 @@ def similar(index: Index, target, k: int) -> DataFrame:
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     top = scored.orderBy(F.desc("sim"), "doc").limit(k)
-    return top.select("doc", F.round("sim", 4).alias("similarity"), F.row_number().over(Window.orderBy(F.desc("sim"), "doc")).cast("long").alias("rank"))
+    return top.select("doc", round_exact(F.col("sim"), 4).alias("similarity"), F.row_number().over(Window.orderBy(F.desc("sim"), "doc")).cast("long").alias("rank"))
 
 
 def search(index: Index, text: str, k: int) -> DataFrame:
     """Documents by cosine with a query text; of the best ``k`` those above 0."""
     query = text_query(index, text)
     scored = dots(index, query).join(norms(index), "doc").select("doc", steady(_cosine(query)).alias("sim"))
-    return scored.orderBy(F.desc("sim"), "doc").limit(k).filter("sim > 0").select("doc", F.round("sim", 4).alias("similarity"))
+    return scored.orderBy(F.desc("sim"), "doc").limit(k).filter("sim > 0").select("doc", round_exact(F.col("sim"), 4).alias("similarity"))
 
 
 def nearest(index: Index, text: str, k: int) -> DataFrame:

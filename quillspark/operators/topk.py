@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_exact
 from ..sources import shared
 from .tfidf import smooth_idf, steady
 
@@ -92,7 +93,7 @@ def _best(vectors: DataFrame, n_docs: int, k: int, step) -> DataFrame:
     best = step(found.withColumn("r", rank_in("c", F.desc("similarity"), "other")).filter(F.col("r") <= k + 1).select("c", "similarity", "other"))
     docs = named.join(classes.select("h1", "h2", "c"), ["h1", "h2"]).select("doc", "c")
     pairs = docs.join(best, "c").filter("doc <> other").withColumn("rank", rank_in("doc", F.desc("similarity"), "other"))
-    return pairs.filter(F.col("rank") <= k).select("doc", F.col("rank").cast("long").alias("rank"), "other", F.round("similarity", 4).alias("similarity"))
+    return pairs.filter(F.col("rank") <= k).select("doc", F.col("rank").cast("long").alias("rank"), "other", round_exact(F.col("similarity"), 4).alias("similarity"))
 
 
 def _kth(sums: DataFrame, k: int) -> DataFrame:

@@ -20,10 +20,10 @@ SUMMARIES = ("issue_summary", "holding_summary", "exam_points")
 
 
 def question_parts(spark: SparkSession, question: str) -> tuple[str, list[str]]:
-    """The normalised question and its keyphrases (one row, so collected)."""
-    docs = spark.createDataFrame([(0, question)], "id long, text string")
-    clean = docs.select(X.normalize_legal(F.col("text")).alias("t")).first()["t"]
-    return clean, classify.keyphrases(docs, "id", "text", 6).first()["phrases"]
+    """The normalised question and its keyphrases (one row of one job)."""
+    clean = spark.createDataFrame([(question,)], "text string").select(X.normalize_legal(F.col("text")).alias("clean"))
+    row = clean.select("clean", classify.phrases(F.col("clean"), 6).alias("phrases")).first()
+    return row["clean"], row["phrases"]
 
 
 def retrieve(cases: DataFrame, question: str, top_k: int, index: grams.Grams | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import vocab
 from ..operators import clean, device, digest, experiment, judgment, quiz, review
 from ..sources.files import concat_corpora
 from ..sources.tables import table
+from .text import word_vectors
 from .text_sql import NORMAL, quoted, rows, study_classes, texts
 
 # Judgments put in front of the driver's texts, one by doc_id modulo their count.
@@ -456,12 +457,9 @@ def question_postings(spark: SparkSession, d: str) -> DataFrame:
 
 def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Mean vectors of the benchmark's items; each word has the embedding that its md5 chooses among all."""
-    e = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
     b = table(spark, d, "benchmark").select("item_id", "text")
-    n = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0
-    words = b.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+")).alias("word")).distinct()
-    chosen = words.withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % (n + 1))
-    made = experiment.pooled_vectors(b, "item_id", "text", chosen.join(e, "vec_id").select("word", F.col("embedding").alias("vector")))
+    words = b.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+")).alias("word"))
+    made = experiment.pooled_vectors(b, "item_id", "text", word_vectors(spark, d, words))
     return made.select("doc", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 

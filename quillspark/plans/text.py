@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statements as S
 from ..functions import text as X
-from ..operators import classify, clean, digest, grounding, inverted, issues, judgment, tfidf
+from ..operators import classify, clean, digest, experiment, grounding, inverted, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
 from ..sources import shared
 from ..sources.html import html_text
@@ -166,6 +166,32 @@ def _blended(docs: DataFrame, first: Row | None, key: str = "item_id", index: in
     return docs.join(scored, key, "left").select(key, score.alias("score")).filter("score > 0.30")
 
 
+def word_vectors(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
+    """(word, vector): each word has the embedding that its md5 chooses among all."""
+    e = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
+    n = table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    chosen = words.select("word").distinct().withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % (n + 1))
+    return chosen.join(e, "vec_id").select("word", F.col("embedding").alias("vector"))
+
+
+def blended_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Documents like the first one by mean word vectors: 0.65 cosine + 0.25 token overlap + 0.10 share of the
+    first one's issues, kept above 0.30."""
+    docs = _korean(spark, d)
+    words = docs.select(F.explode(F.split("text", r"(?U)\s+")).alias("word"))
+    vectors = shared.stored(experiment.pooled_vectors(docs, "doc_id", "text", word_vectors(spark, d, words)))
+    first = docs.orderBy("doc_id").first()
+    own, text = (first["doc_id"], first["text"]) if first else (None, "")
+    mine = vectors.filter(F.col("doc") == F.lit(own)).first()  # one vector
+    cos = tfidf.dot(F.col("vector"), F.array(*map(F.lit, mine["vector"]))) if mine else F.lit(0.0)  # of length 1 both
+    jac = tfidf.jaccard(F.array_distinct(X.tokenize(F.col("text"))), F.array_distinct(X.tokenize(F.lit(text))))
+    asked = issues.direct_issues(F.lit(text))
+    issue = F.coalesce(F.try_divide(F.size(F.array_intersect(issues.direct_issues(F.col("text")), asked)).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
+    both = docs.join(vectors, F.col("doc") == F.col("doc_id"), "left")
+    score = F.round(tfidf.steady(tfidf.blend(F.coalesce(cos, F.lit(0.0)), jac, issue)), 6)
+    return both.select("doc_id", score.alias("score")).filter("score > 0.30")
+
+
 def smart_truncated(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.smart_truncate(F.col("text"), 120).alias("short"))
 
@@ -397,6 +423,7 @@ SQL = {
         SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS similarity FROM embeddings WHERE vec_id <> 0""",
     "previews": "SELECT doc_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 20), ' ') || '...' AS preview FROM documents",
 }
+SQL["blended_vectors"] = text_sql.blended_vectors(LINES)
 SQL["grounding_flags"] = """WITH t AS (SELECT *, substr(text, 3, 12) AS quote FROM conversations)
     SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 3 = 0 THEN 'must_have_citation' END, CASE WHEN turn % 3 <> 0 AND turn NOT IN (1, 2, 4) THEN 'citation_must_exist_in_retrieval' END,
       CASE WHEN contains(lower(text), 'unknown') AND NOT contains(lower(text), 'insufficient') THEN 'uncertainty_on_missing_evidence' END,
@@ -411,5 +438,5 @@ SQL["signal_retention"] = f"{text_sql.evaluation(LINES, 'kd AS (SELECT item_id A
 SQL["grown_search"], SQL["grown_terms"] = SQL["search_by_query"], SQL["doc_frequency"]
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, evaluation_rows, evaluation_summary, truncated_texts, text_labels, taxonomy_paths, study_classes, judgment_structure)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, blended_vectors, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, evaluation_rows, evaluation_summary, truncated_texts, text_labels, taxonomy_paths, study_classes, judgment_structure)
 }

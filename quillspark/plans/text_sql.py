@@ -242,6 +242,25 @@ def clean_lines(patterns, noise, key_length: int) -> str:
         SELECT doc_id, sha256(coalesce(j.text, '')) AS digest, length(coalesce(j.text, ''))::BIGINT AS n FROM documents LEFT JOIN j USING (doc_id)"""
 
 
+def blended_vectors(lines) -> str:
+    """As ``blended``, with the cosine of mean word vectors."""
+    return rf"""WITH {planted(lines)}, {ISSUE_ROWS},
+        t AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: length(w) > 1 AND NOT list_contains({texts(vocab.STOPWORDS)}, w)) AS ws FROM kd),
+        p0 AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM kd),
+        p1 AS (SELECT doc_id, word, count(*) AS n, ('0x' || left(md5(word), 6))::BIGINT % ((SELECT max(vec_id) FROM embeddings) + 1) AS vec_id FROM p0 WHERE length(word) >= 2 AND NOT regexp_full_match(word, '[\p{{Nd}}\pP]+') GROUP BY ALL),
+        p2 AS (SELECT doc_id, vec_id, sum(n) AS n FROM p1 GROUP BY ALL),
+        p3 AS (SELECT doc_id, n, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS place FROM p2 JOIN embeddings USING (vec_id) WHERE embedding IS NOT NULL),
+        p4 AS (SELECT doc_id, place, sum(x * n) AS x FROM p3 GROUP BY ALL), v AS (SELECT doc_id, list(x ORDER BY place) AS v FROM p4 GROUP BY doc_id HAVING sum(x * x) > 0),
+        g AS (SELECT doc_id, list(k) AS ks FROM kd JOIN issue ON contains(text, k) GROUP BY doc_id),
+        own AS (SELECT list_distinct(ws) AS ws, coalesce(ks, []) AS ks, v FROM t LEFT JOIN g USING (doc_id) LEFT JOIN v USING (doc_id) WHERE doc_id = (SELECT min(doc_id) FROM kd)),
+        s AS (SELECT t.doc_id, coalesce(list_cosine_similarity(v.v, own.v), 0) AS cos,
+                coalesce(len(list_intersect(list_distinct(t.ws), own.ws)) / nullif(len(list_distinct(t.ws || own.ws)), 0), 0) AS jac,
+                coalesce(len(list_intersect(coalesce(g.ks, []), own.ks)) / nullif(len(own.ks), 0), 0) AS issue
+              FROM t CROSS JOIN own LEFT JOIN v USING (doc_id) LEFT JOIN g USING (doc_id)),
+        r AS (SELECT doc_id, round(round(0.65::DOUBLE * cos + 0.25::DOUBLE * jac + 0.10::DOUBLE * issue, 9), 6) AS score FROM s)
+        SELECT doc_id, score FROM r WHERE score > 0.30"""
+
+
 def blended(lines) -> str:
     return f"""WITH {planted(lines)}, {ISSUE_ROWS},
         t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1 AND NOT list_contains({texts(vocab.STOPWORDS)}, w)) AS ws FROM kd),
