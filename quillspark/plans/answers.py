@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.params import clamped
 from ..functions.rounding import round_exact
 from ..operators import classify, grams, grounding, quiz
 from ..operators.relational import any_contains, relevance
@@ -46,7 +47,7 @@ def retrieve(cases: DataFrame, question: str, top_k: int, index: grams.Grams | N
         found = found.unionByName(grams.containing(index, number, ["case_number"]).select("doc")) if number else found
         cases = cases.join(found.distinct().withColumnRenamed("doc", "case_number"), "case_number", "left_semi")
     scored = cases.filter(hit).withColumn("relevance", relevance(tests))
-    return scored.orderBy(F.desc("relevance"), F.desc("updated_at"), "case_number").limit(max(1, min(top_k, 10)))
+    return scored.orderBy(F.desc("relevance"), F.desc("updated_at"), "case_number").limit(clamped(top_k, 1, 10))
 
 
 def _template(pattern: str, **parts: Column) -> Column:
@@ -95,7 +96,7 @@ def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3) -> Data
         said = F.when(F.size(r) >= 2, fill(compare)).otherwise(fill(plain))
     else:
         said = fill(plain)
-    cited = F.slice(r, 1, max(1, min(top_k, 4)))
+    cited = F.slice(r, 1, clamped(top_k, 1, 4))
     merged = F.array_join(F.transform(F.slice(r, 1, 3), lambda x: F.concat_ws(" ", *[F.coalesce(x[n], F.lit("")) for n in fields[1:-1]])), "\n")
     some = F.size(r) > 0
     out = one.withColumn("answer", F.when(some, said).otherwise(F.lit(NO_EVIDENCE)))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.params import limit_of
 from ..operators import relational as R
 from ..operators import study as S
 from ..sources.tables import table
 
 
-def wrong_answers(spark: SparkSession, d: str) -> DataFrame:
+def wrong_answers(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
     """A user's wrong answers, newest first, with the title of what they were about."""
     wrong = table(spark, d, "events").filter((F.col("user_id") == 14) & (F.col("event_type") == "error"))
     joined = wrong.join(table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey"))
     return (
         joined.orderBy(F.desc("ts"), F.desc("event_id"))
-        .limit(20)
+        .limit(limit_of("wrong_answers", limit))
         .select(
             "event_id",
             F.concat_ws(" ", "c_name", "c_mktsegment").alias("title"),
@@ -26,24 +27,24 @@ def wrong_answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def search_keyword(spark: SparkSession, d: str) -> DataFrame:
+def search_keyword(spark: SparkSession, d: str, word: str = "URGENT", limit: int = 50) -> DataFrame:
     """Customers whose name or segment, or one of whose orders' priority, contains a word."""
-    found = R.search(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["c_name", "c_mktsegment"], "o_orderpriority", "URGENT")
-    return found.orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_name", "c_mktsegment")
+    found = R.search(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", ["c_name", "c_mktsegment"], "o_orderpriority", word)
+    return found.orderBy(F.desc("c_acctbal"), "c_custkey").limit(limit_of("search", limit)).select("c_custkey", "c_name", "c_mktsegment")
 
 
-def list_recent(spark: SparkSession, d: str) -> DataFrame:
+def list_recent(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
     orders = table(spark, d, "orders").filter("o_orderstatus = 'F'")
-    return orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(limit_of("cases", limit)).select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 def case_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("doc_id = 7").limit(1).select("doc_id", F.col("doc_id").cast("string").alias("id_text"), "lang", "source", "n_chars")
 
 
-def recommended(spark: SparkSession, d: str) -> DataFrame:
+def recommended(spark: SparkSession, d: str, limit: int = 30) -> DataFrame:
     """The newest orders with a synthetic accuracy by their number."""
-    top = R.newest_numbered(table(spark, d, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 30)
+    top = R.newest_numbered(table(spark, d, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], limit_of("recommended", limit))
     return top.select("o_orderkey", "rn", (F.lit(35) + (F.col("rn") * 7) % 55).alias("accuracy"))
 
 

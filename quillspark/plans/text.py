@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statements as S
 from ..functions import text as X
+from ..functions.params import clamped, limit_of
 from ..operators import classify, clean, digest, experiment, grounding, inverted, issues, judgment, tfidf
 from ..operators.textrank import key_sentences
 from ..sources import shared
@@ -119,17 +120,17 @@ def grown_terms(spark: SparkSession, d: str) -> DataFrame:
 NEWEST = 700  # cases that similar ones are sought among
 
 
-def similar_cases(spark: SparkSession, d: str, case_number: str | None = None, top_k: int = 5) -> DataFrame:
+def similar_cases(spark: SparkSession, d: str, case_number: str | None = None, top_k: int | None = None) -> DataFrame:
     """Cases like one of the newest (by default the newest): fetched threefold, 0.03 more for the same
     subject, ``top_k`` (1 to 20) of them. A case that isn't among the newest gives none."""
-    k = min(max(top_k, 1), 20)
+    k = limit_of("similar", top_k)
     cases = _cases(table(spark, d, "documents")).withColumn("doc_id", F.col("case_number"))
     whole = X.normalize_legal(X.join_present("case_name", "subject", "issue_summary", "holding_summary", "exam_points"))
     index = text_index(spark, d, "cases", cases.filter("issue_summary is not null"), whole, F.col("updated_at"))
     last = inverted.newest(index, NEWEST)
     if case_number is None:
         case_number = cases.agg(F.max_by("case_number", "updated_at")).first()[0]
-    found = inverted.similar_among(last, case_number, min(3 * k, 20))
+    found = inverted.similar_among(last, case_number, clamped(3 * k, 1, 20))
     return tfidf.rerank_same(found.select("doc", "similarity"), cases, "case_number", "subject", case_number, k)
 
 

@@ -146,3 +146,38 @@ def test_files_and_views(spark, tmp_path):
     assert shared.exists(spark, folder) and shared.size_bytes(spark, folder) > 0 and shared.state_of(spark, folder)
     shared.delete(spark, folder)
     assert not shared.exists(spark, folder)
+
+
+def test_stages(spark, tmp_path):
+    from quillspark.sources import stages
+
+    path = str(tmp_path / "stages")
+    items = spark.createDataFrame([(k, f"n{k}") for k in range(6)], "id long, name string")
+    stages.collect_items(items, path)
+    at = lambda: {r.id: (r.stage, r.reason) for r in stages.read_items(spark, path, items.schema).collect()}
+    move = lambda *rows: {tuple(r) for r in stages.move_items(path, items.schema, "id", spark.createDataFrame(rows, "id long, to string, reason string")).collect()}
+    assert at() == {k: ("raw", None) for k in range(6)}
+    assert move((0, "normalized", ""), (1, "reviewed", ""), (2, "failed", " "), (3, "failed", "E2"), (9, "normalized", "")) == {(1, "raw", "reviewed"), (2, "raw", "failed")}
+    assert at() == {0: ("normalized", None), 1: ("raw", None), 2: ("raw", None), 3: ("failed", "E2"), 4: ("raw", None), 5: ("raw", None)}
+    assert move((0, "reviewed", ""), (3, "raw", "")) == set()
+    assert at()[0] == ("reviewed", None) and at()[3] == ("raw", None)
+    assert not (tmp_path / "stages" / "stage=failed").exists() and not (tmp_path / "stages" / "stage=normalized").exists()
+    assert [r.id for r in stages.read_items(spark, path, items.schema, "reviewed").collect()] == [0]
+    assert {r.collection_id: (r.normalized, r.review_status) for r in stages.manifest_of(stages.read_items(spark, path, items.schema), "id").collect()}["0"] == ("Y", "reviewed")
+
+
+def test_limits(spark):
+    from quillspark.functions.params import LIMITS, clamped, limit_of
+    from quillspark.plans import relational, text
+
+    for read, (default, least, most) in LIMITS.items():
+        assert limit_of(read) == default and limit_of(read, least) == least and limit_of(read, most) == most
+        for bad in (least - 1, most + 1):
+            with pytest.raises(ValueError, match=read):
+                limit_of(read, bad)
+    assert [clamped(x, 1, 10) for x in (-3, 1, 7, 99)] == [1, 1, 7, 10]
+    data = "/root/testdata/sf0.001"
+    assert relational.recommended(spark, data, 3).count() == 3 and relational.search_keyword(spark, data, limit=2).count() == 2
+    for call in (lambda: relational.list_recent(spark, data, 101), lambda: relational.wrong_answers(spark, data, 0), lambda: text.similar_cases(spark, data, top_k=21)):
+        with pytest.raises(ValueError):
+            call()
