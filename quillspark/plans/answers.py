@@ -18,6 +18,13 @@ from ..sources.files import write_lines
 # --- fixed values: texts of answers ------------------------------------------------------------
 NO_EVIDENCE = "근거 데이터가 부족하여 단정하기 어렵습니다. 사건번호 또는 핵심 쟁점 키워드로 다시 검색해 주세요."
 SUMMARIES = ("issue_summary", "holding_summary", "exam_points")
+# --- fixed values: templates of answers ---------------------------------------------------------
+PLAIN = "근거 기반 요약(강의 대체 아님):\n- 사건: [{number}] {name}\n- 쟁점: {issue}\n- 결론: {holding}\n- 복습: 헷갈리는 포인트는 유사판례 비교 또는 OX 반복으로 확인한다."
+COMPARE = "비교 요약(강의 대체 아님):\n- 공통점: {subject} 범위에서 쟁점 판단 구조가 유사하다.\n- 차이점: [{number}] {holding} / [{number2}] {holding2}\n- 복습 포인트: 결론만 외우지 말고 쟁점-근거-결론 순서로 암기한다."
+DRILL = "훈련용 체크포인트:\n- [{number}]에서 핵심 쟁점을 한 문장으로 정리한다.\n- 유사 판례와 결론이 달라지는 요건을 한 가지 찾는다.\n- 결론 문장의 한 글자만 바꾸어 OX 함정 지문을 만든다."
+BOTH = "[{number}] {name} 사건은 {issue_end} 쟁점에 대해 {holding_end} 라고 판단한 판례이다."
+ONLY = "[{number}] {name} 사건은 {holding_end} 라고 판단한 판례이다."
+NEITHER = "[{number}] {name} 판례 — 근거 문장이 부족하여 한 줄 요약이 어렵다."
 
 
 def question_parts(spark: SparkSession, question: str) -> tuple[str, list[str]]:
@@ -57,12 +64,12 @@ def _template(pattern: str, **parts: Column) -> Column:
     return out
 
 
-def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3) -> DataFrame:
+def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3, index: grams.Grams | None = None) -> DataFrame:
     """One row: answer, citations, domain and the names of the rules that it breaks."""
     if len(question.strip()) < 2:
         raise ValueError("the question needs two characters at least")
     spark = cases.sparkSession
-    found = retrieve(cases, question, top_k)
+    found = retrieve(cases, question, top_k, index)
     order = Window.orderBy(F.desc("relevance"), F.desc("updated_at"), "case_number")
     snippet = X.snippet(*[F.col(s) for s in SUMMARIES])
     rows = found.withColumns({"rank": F.row_number().over(order), "snippet": snippet})  # ten rows at most
@@ -80,22 +87,15 @@ def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3) -> Data
     )
     names = {"number": at(0, "case_number"), "name": at(0, "case_name"), "subject": at(0, "subject"), "number2": at(1, "case_number")}
     texts = {"issue": F.col("issue"), "holding": F.col("holding"), "holding2": F.col("holding2"), "issue_end": X.ensure_terminal(F.col("issue")), "holding_end": X.ensure_terminal(F.col("holding"))}
-    # --- fixed values: templates of answers ---
-    plain = "근거 기반 요약(강의 대체 아님):\n- 사건: [{number}] {name}\n- 쟁점: {issue}\n- 결론: {holding}\n- 복습: 헷갈리는 포인트는 유사판례 비교 또는 OX 반복으로 확인한다."
-    compare = "비교 요약(강의 대체 아님):\n- 공통점: {subject} 범위에서 쟁점 판단 구조가 유사하다.\n- 차이점: [{number}] {holding} / [{number2}] {holding2}\n- 복습 포인트: 결론만 외우지 말고 쟁점-근거-결론 순서로 암기한다."
-    drill = "훈련용 체크포인트:\n- [{number}]에서 핵심 쟁점을 한 문장으로 정리한다.\n- 유사 판례와 결론이 달라지는 요건을 한 가지 찾는다.\n- 결론 문장의 한 글자만 바꾸어 OX 함정 지문을 만든다."
-    both = "[{number}] {name} 사건은 {issue_end} 쟁점에 대해 {holding_end} 라고 판단한 판례이다."
-    only = "[{number}] {name} 사건은 {holding_end} 라고 판단한 판례이다."
-    none = "[{number}] {name} 판례 — 근거 문장이 부족하여 한 줄 요약이 어렵다."
     fill = lambda pattern: _template(pattern, **names, **texts)
     if intent == "summary":
-        said = F.when((F.col("issue") != "") & (F.col("holding") != ""), fill(both)).when(F.col("holding") != "", fill(only)).otherwise(fill(none))
+        said = F.when((F.col("issue") != "") & (F.col("holding") != ""), fill(BOTH)).when(F.col("holding") != "", fill(ONLY)).otherwise(fill(NEITHER))
     elif intent == "quiz":
-        said = fill(drill)
+        said = fill(DRILL)
     elif intent == "compare":
-        said = F.when(F.size(r) >= 2, fill(compare)).otherwise(fill(plain))
+        said = F.when(F.size(r) >= 2, fill(COMPARE)).otherwise(fill(PLAIN))
     else:
-        said = fill(plain)
+        said = fill(PLAIN)
     cited = F.slice(r, 1, clamped(top_k, 1, 4))
     merged = F.array_join(F.transform(F.slice(r, 1, 3), lambda x: F.concat_ws(" ", *[F.coalesce(x[n], F.lit("")) for n in fields[1:-1]])), "\n")
     some = F.size(r) > 0
