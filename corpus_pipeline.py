@@ -7,6 +7,8 @@ Null texts and texts without a letter go in the first stage; null ids come last
 smallest id stays; of rows that agree in id and text one stays; an empty table gives an empty one;
 columns beside doc_id, text, lang pass through, whatever their names. Rows are numbered by their
 place in their file, however it is split; docs that are no files are stored first.
+
+Every stage lets the session send texts to Python in batches of BATCH_ROWS rows, or fewer if it is set so.
 """
 
 from __future__ import annotations
@@ -17,7 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, language, ngram_join, packing, pii
-from quillspark.llm.common import drop_stored, join_small, numbered, scratch, spare, stored, vocabulary
+from quillspark.llm.common import BATCH, drop_stored, join_small, numbered, scratch, spare, stored, vocabulary
+
+
+BATCH_ROWS = 1000  # rows of an Arrow batch: some megabytes of texts in the executor and in its Python workers
+
+
+def _short_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -33,6 +43,7 @@ def _without(rows: DataFrame, gone: DataFrame, number: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; those without a letter go."""
+    _short_batches(spark)
     model = language.fitted(docs)
     added = {"lang_pred", "score", "accepted"}
     names = {c: spare(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in added}  # step aside for what is added
@@ -42,6 +53,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one of smallest doc_id."""
+    _short_batches(spark)
     rows, number = _numbered(docs)
     with scratch(spark) as keep:
         found = exact_dedup.exact_dedup(rows, "doc_id", exact_dedup.normal_text(F.col("text")), ["doc_id", number], number)
@@ -52,6 +64,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked by five-word shingles at a similarity
     of 0.8 or more: the one of smallest doc_id."""
+    _short_batches(spark)
     rows, number = _numbered(docs)
     with scratch(spark) as keep:
         found = ngram_join.ngram_groups(rows, "doc_id", n=5, percent=80, number=number)
@@ -61,12 +74,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind."""
+    _short_batches(spark)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
+    _short_batches(spark)
     pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
