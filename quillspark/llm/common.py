@@ -6,8 +6,10 @@ import contextlib
 import ctypes
 import functools
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-_scopes: list[list[str]] = []  # folders written inside each open scratch()
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())  # folders written inside each open scratch() of a thread
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -56,8 +58,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     with _short_batches(df.sparkSession):
         df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,16 +67,25 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000  # rows that a step's Python functions get at a time: texts of some megabytes on both sides
 
 
+_writing: list[str] = []  # the session's own setting, once for each step that is being stored
+_lock = threading.Lock()
+
+
 @contextlib.contextmanager
 def _short_batches(spark: SparkSession) -> Iterator[None]:
     """Inside, rows go to Python in batches of BATCH_ROWS, unless the session has shorter ones."""
-    old = spark.conf.get(BATCH)
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(BATCH, BATCH_ROWS)
+    with _lock:
+        own = _writing[0] if _writing else spark.conf.get(BATCH)
+        _writing.append(own)
+        if not 0 < int(own) <= BATCH_ROWS:
+            spark.conf.set(BATCH, BATCH_ROWS)
     try:
         yield
     finally:
-        spark.conf.set(BATCH, old)
+        with _lock:
+            own = _writing.pop()
+            if not _writing:
+                spark.conf.set(BATCH, own)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -92,21 +103,22 @@ def drop_stored(df: DataFrame) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Inside, tables may be stored freely; at the end all are deleted but those that
     ``keep`` has written, so that only results take room."""
-    _scopes.append([])
-    kept: list[str] = []
+    outer, written, kept = _scopes.get(), [], []
+    token = _scopes.set((*outer, written))
 
     def keep(df: DataFrame) -> DataFrame:
         out = stored(df)
-        kept.append(_scopes[-1].pop())
+        kept.append(written.pop())
         return out
 
     try:
         yield keep
     finally:
-        for folder in _scopes.pop():
+        _scopes.reset(token)
+        for folder in written:
             _delete(spark, folder)
-        if _scopes:
-            _scopes[-1] += kept
+        if outer:
+            outer[-1].extend(kept)
 
 
 def with_columns(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:

@@ -250,3 +250,23 @@ def test_blocks_that_passages_chain_fall_apart(spark, tmp_path, monkeypatch, cel
     want, groups = brute(docs.collect(), 5, 80)
     got = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80, block_shingles=500).collect()
     assert Counter((r.doc_id, r.component, r.n_shingles) for r in got) == want and asked and sum(r.stays for r in got) == groups
+
+
+def test_operators_in_threads_keep_their_tables(spark, tmp_path):
+    """What one operator deletes at its end isn't what another has stored."""
+    from threading import Thread
+
+    docs = stable(spark, tmp_path, documents(spark))
+    want, _ = brute(docs.collect(), 3, 90)
+    got = {}
+
+    def run(k: int) -> None:
+        found = ngram_join.ngram_groups(docs, "doc_id", n=3, percent=90).collect()
+        got[k] = Counter((r.doc_id, r.component, r.n_shingles) for r in found)
+
+    threads = [Thread(target=run, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == dict.fromkeys(range(3), want)
