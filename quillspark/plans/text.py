@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import statements as S
 from ..functions import text as X
 from ..functions.params import clamped, limit_of
-from ..operators import classify, clean, digest, experiment, grounding, inverted, issues, judgment, tfidf
+from ..operators import classify, clean, digest, experiment, grounding, inverted, issues, judgment, quiz, tfidf
 from ..operators.textrank import key_sentences
 from ..sources import shared
 from ..sources.html import html_text
@@ -256,6 +256,14 @@ def quiz_items(spark: SparkSession, d: str) -> DataFrame:
     return answers.summarize(docs, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "text", "words")
 
 
+def quiz_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries and statements of composed documents, with lists as texts."""
+    docs = _composed(spark, d).withColumn("words", F.slice(F.array_distinct(X.tokenize(F.col("text"))), 1, 5))
+    made = answers.summarize(docs, "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "text", "words")
+    told = F.transform("quiz", lambda q: F.concat(F.when(q["answer"], "O ").otherwise("X "), q["statement"]))
+    return made.select("doc", "one_line_summary", "key_issue", "ruling_point", "exam_takeaway", F.array_join(told, " | ").alias("quiz"), F.array_join("citations", " | ").alias("citations"))
+
+
 OVERLAP = 79  # characters; a question is searched by at most one more
 
 
@@ -429,6 +437,7 @@ SQL["grounding_flags"] = """WITH t AS (SELECT *, substr(text, 3, 12) AS quote FR
     SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 3 = 0 THEN 'must_have_citation' END, CASE WHEN turn % 3 <> 0 AND turn NOT IN (1, 2, 4) THEN 'citation_must_exist_in_retrieval' END,
       CASE WHEN contains(lower(text), 'unknown') AND NOT contains(lower(text), 'insufficient') THEN 'uncertainty_on_missing_evidence' END,
       CASE WHEN quote <> '' AND (length(trim(quote)) < 8 OR NOT contains(text, trim(quote))) THEN 'quote_must_match_snippet' END], lambda f: f IS NOT NULL), ',') AS flags FROM t"""
+SQL["quiz_lines"] = text_sql.quiz_lines(LINES, quiz.FLIPS)
 SQL["truncated_texts"] = text_sql.truncated(LINES, 90, CARD_ENDINGS, digest.DISPLAY_ENDINGS, S.CUT_MARK)
 SQL["text_labels"] = text_sql.labels(LINES)
 SQL["textrank_sentences"] = text_sql.key_sentences("kd AS (SELECT doc_id, text FROM documents)", 5)
@@ -439,5 +448,5 @@ SQL["signal_retention"] = f"{text_sql.evaluation(LINES, 'kd AS (SELECT item_id A
 SQL["grown_search"], SQL["grown_terms"] = SQL["search_by_query"], SQL["doc_frequency"]
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, blended_vectors, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, grounded_answer, extraction, signal_retention, evaluation_rows, evaluation_summary, truncated_texts, text_labels, taxonomy_paths, study_classes, judgment_structure)
+    for f in (token_counts, doc_frequency, tfidf_weights, similar_docs, similar_reranked, search_by_query, euclid_rank, grown_search, grown_terms, similar_cases, doc_keywords, embedding_cosine, blended, blended_vectors, smart_truncated, previews, clean_lines, study_domains, legal_signals, keyphrases, textrank_sentences, grounding_flags, page_text, device_search, issue_graph, merged_pages, quiz_items, quiz_lines, grounded_answer, extraction, signal_retention, evaluation_rows, evaluation_summary, truncated_texts, text_labels, taxonomy_paths, study_classes, judgment_structure)
 }

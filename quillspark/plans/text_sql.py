@@ -83,6 +83,32 @@ def truncated(lines, limit: int, card, display, mark: str) -> str:
                WHEN d < {least} AND length(t) <= {2 * limit} THEN t ELSE {cut("d")} END AS display FROM e"""
 
 
+def quiz_lines(lines, flips) -> str:
+    """Summaries of composed documents and three statements of their first lines."""
+    least, gap = 36, "(length(h) - strpos(reverse(h), ' '))"
+
+    def clipped(source: str, columns: str, x: str, to: str) -> str:
+        """A table with the column shortened to 110 characters and closed, in three steps."""
+        end = last_end("h", vocab.CUT_ENDINGS)
+        return f"""{to}0 AS (SELECT {columns}, trim(regexp_replace({x}, '\\s+', ' ', 'g')) AS t FROM {source}), {to}1 AS (SELECT {columns}, t, left(t, 110) AS h FROM {to}0), {to}2 AS (SELECT *, {end} AS stop FROM {to}1),
+        {to}3 AS (SELECT {columns}, CASE WHEN length(t) <= 110 THEN t WHEN stop >= {least} THEN trim(left(h, stop)) WHEN {gap} >= {least} AND {gap} < length(h) THEN rtrim(left(h, {gap})) || '…' ELSE rtrim(h) || '…' END AS v FROM {to}2),
+        {to} AS (SELECT {columns}, CASE WHEN v = '' OR regexp_matches(v, '({"|".join(map(re.escape, vocab.TERMINALS))})$') THEN v ELSE v || '…' END AS {to} FROM {to}3)"""
+
+    first = lambda p: f"strpos(clip, {quoted(p)})"
+    flip = "CASE " + " ".join(f"WHEN {first(p)} > 0 AND NOT contains(clip, {quoted(n)}) THEN left(clip, {first(p)} - 1) || {quoted(n)} || substr(clip, {first(p)} + {len(p)})" for p, n in flips) + " END"
+    return f"""WITH {composed(lines)}, l0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 14)[1:3] AS ls FROM kd),
+        l AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM l0), {clipped("l", "doc_id, i", "l", "clip")},
+        n AS (SELECT doc_id, i, clip, {flip} AS n FROM clip WHERE i = 1), {clipped("(SELECT * FROM n WHERE n IS NOT NULL)", "doc_id, i", "n", "no")},
+        k0 AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1 AND NOT list_contains({texts(vocab.STOPWORDS)}, w)) AS ws FROM kd)),
+        k1 AS (SELECT doc_id, w, min(p) AS p FROM k0 GROUP BY doc_id, w), k2 AS (SELECT doc_id, list(w ORDER BY p)[1:5] AS ks FROM k1 GROUP BY doc_id), k AS (SELECT doc_id, coalesce(ks, []) AS ks FROM kd LEFT JOIN k2 USING (doc_id)),
+        q AS (SELECT clip.doc_id, string_agg(CASE WHEN clip.i % 2 = 0 THEN 'O ' || clip ELSE 'X ' || coalesce(no, '본 판례는 ' || coalesce(ks[1], '핵심 쟁점') || ' 와 무관한 사안에 대한 판단이다.') END, ' | ' ORDER BY clip.i) AS quiz,
+          string_agg(clip, ' | ' ORDER BY clip.i) AS citations, max(clip) FILTER (clip.i = 0) AS ruling FROM clip JOIN k USING (doc_id) LEFT JOIN no ON no.doc_id = clip.doc_id AND no.i = clip.i GROUP BY clip.doc_id)
+        SELECT k.doc_id AS doc, CASE WHEN len(ks) > 0 THEN 'doc ' || k.doc_id || ' 판례는 ' || array_to_string(ks[1:3], ', ') || ' 등을 핵심 쟁점으로 다룬 판례이다.' ELSE 'doc ' || k.doc_id || ' 판례의 핵심 쟁점은 제공된 문장에서 직접 확인이 필요하다.' END AS one_line_summary,
+          coalesce(ks[1], '핵심 쟁점 확인 필요') AS key_issue, coalesce(ruling, '핵심 문장 정보가 부족합니다.') AS ruling_point, '시험 포인트: ' || array_to_string(ks, ', ') AS exam_takeaway,
+          coalesce(quiz, CASE WHEN len(ks) > 0 THEN 'O ' || ks[1] || ' 은(는) 본 판례의 핵심 쟁점이다.' END, '') AS quiz, coalesce(citations, '') AS citations
+        FROM k LEFT JOIN q USING (doc_id)"""
+
+
 def labels(lines) -> str:
     return f"""SELECT doc_id, domain, class, confidence, runner_up, direct
         FROM ({study_domains(lines)}) JOIN ({study_classes(lines)}) USING (doc_id) JOIN ({issue_graph(lines)}) USING (doc_id)"""
