@@ -17,11 +17,10 @@
 5. Blocks too large for one task fall apart by prefixes: of linked sets, each has one of the
    other's rarest shingles among its own rarest (so many that fewer could not be all that
    differ), by one order of all shingles. A passage that many documents share is never
-   rare. What such shingles connect is searched as blocks are. What is too large still
-   falls apart by counts: a set's shingles are counted in so many buckets that four fall into
+   rare. Of the rows that share one rare shingle those are linked that their counts allow: a set's shingles are counted in so many buckets that four fall into
    one; the sum over the buckets of the smaller count is at least the overlap of two sets, and is
    too small for a link if they share but a passage. Only these counts, a quarter of a byte a shingle, go to the
-   groups that share one rare shingle. What is too large even then
+   groups. What such links connect is searched as blocks are; what is too large even then
    (a huge group of near copies), is first compared with one of its documents; what is
    linked with it is one group already, and only the others are searched for, within the
    groups that share one rare shingle; in one too large still, a task indexes one part of
@@ -50,6 +49,7 @@ RARE = 32  # occurrences up to which all shingles of large blocks count as equal
 COMMON = 1_000_000  # shingles at most whose occurrences are told to all tasks (16 MB)
 SHORT = 64  # documents of an inverted list that is merged rather than probed
 PER_BUCKET = 4  # shingles of a set that fall into one bucket of its counts, or half as many
+FACT_SHINGLES = 200_000  # shingles of the rows whose rare ones one task lists
 CELL_ROWS, CELL_SHINGLES = 4096, 1 << 25  # rows whose counts one task compares, and their shingles (16 MB of counts)
 
 
@@ -380,17 +380,14 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     texts = lambda rows: join_small(docs.select("row", "text"), rows, ["row"], "inner", 72)
     links = _whole(texts(members.filter("parts = 1")), n, percent)
     if not members.filter("parts > 1").isEmpty():
-        # large blocks fall apart by rare shingles
-        facts = _prefixes(texts(members.filter("parts > 1").select("row", "block")), n, percent)
-        rare = facts.select("block", "row", F.explode("rares").alias("rare"))
-        again = _sized(members, _connected(rare), block_shingles)
-        links = links.unionByName(_whole(texts(again.filter("parts = 1")), n, percent))
-        if not again.filter("parts > 1").isEmpty():
-            # what is large still, by what their counts allow
-            last = _sized(members, _blocks(components(_possible(again.filter("parts > 1"), facts, percent))), block_shingles)
-            links = links.unionByName(_whole(texts(last.filter("parts = 1")), n, percent))
-            if not last.filter("parts > 1").isEmpty():
-                links = links.unionByName(_large(stored(texts(last.filter("parts > 1"))), rare.drop("block"), n, percent, block_shingles))
+        # large blocks fall apart by rare shingles and by what their counts allow
+        big = members.filter("parts > 1")
+        facts = _prefixes(texts(big.select("row", "block")), n, percent, big.agg(F.sum("n_shingles")).first()[0])
+        last = _sized(members, _blocks(components(_possible(facts, percent))), block_shingles)
+        links = links.unionByName(_whole(texts(last.filter("parts = 1")), n, percent))
+        if not last.filter("parts > 1").isEmpty():
+            rare = facts.select("row", F.explode("rares").alias("rare"))
+            links = links.unionByName(_large(stored(texts(last.filter("parts > 1"))), rare, n, percent, block_shingles))
     groups = components(links)
     # every row: its copies' first row, that row's group
     mine = join_small(scan, copies, ["k1", "k2"], "left", 64)
@@ -422,20 +419,21 @@ def _sized(members: DataFrame, block: DataFrame, block_shingles: int) -> DataFra
     return stored(join_small(rows, sizes, ["block"], "inner", 64))
 
 
-def _possible(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _possible(facts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join, within blocks, all rows that share a rare shingle and whose sizes and
-    counts allow a link. Groups of the same rows count once; a group of more than CELL_ROWS rows or CELL_SHINGLES
-    shingles is compared part by part."""
-    mine = join_small(facts.select("row", "size", F.explode("rares").alias("rare")), rows.select("row", "block"), ["row"], "inner", 48)
+    counts allow a link. Rare shingles of one row alone go at once; groups of the same rows count once; a group of more than CELL_ROWS rows or
+    CELL_SHINGLES shingles is compared part by part."""
+    mine = facts.select("row", F.col("size").cast("int").alias("size"), F.explode("rares").alias("rare"))
+    shared = stored(mine.withColumn("n", F.count("*").over(Window.partitionBy("rare"))).filter("n > 1").drop("n"))
     who = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("who")
-    groups = mine.groupBy("block", "rare").agg(F.count("*").alias("rows"), who, F.min("row").alias("least"), F.sum("size").alias("total")).filter("rows > 1")
-    groups = groups.groupBy("block", "who", "rows", "least", "total").agg(F.min("rare").alias("rare"))
-    groups = stored(groups.select("block", "rare", F.ceil(F.greatest(F.col("rows") / CELL_ROWS, F.col("total") / CELL_SHINGLES)).cast("int").alias("parts")))
+    groups = shared.groupBy("rare").agg(F.count("*").alias("rows"), who, F.min("row").alias("least"), F.sum("size").alias("total"))
+    groups = groups.groupBy("who", "rows", "least", "total").agg(F.min("rare").alias("rare"))
+    groups = stored(groups.select("rare", F.ceil(F.greatest(F.col("rows") / CELL_ROWS, F.col("total") / CELL_SHINGLES)).cast("int").alias("parts")))
     own, other = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = join_small(mine, groups, ["block", "rare"], "inner", 40).select("row", F.xxhash64("block", "rare").alias("cell"), own.alias("own"), other.alias("other"))
+    cells = join_small(shared, groups, ["rare"], "inner", 32).select("row", F.col("rare").alias("cell"), own.alias("own"), other.alias("other"))
     cells = cells.select("row", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = cells.join(facts.select("row", "size", "counts"), "row").select("cell", "i", "j", "row", "size", "counts")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +455,7 @@ def _possible(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         if held[0]:
             yield links()
 
-    return dealt.mapInArrow(released(run), "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long")
 
 
 def _whole(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -496,9 +494,10 @@ def _large(rows: DataFrame, rare: DataFrame, n: int, percent: int, block_shingle
     return star.unionByName(_search(cells, n, percent))
 
 
-def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
-    """(block, row, size, rares, counts) of rows (row, text, block) of large blocks: the size of their set, its rarest
-    shingles and its bucket counts."""
+def _prefixes(big: DataFrame, n: int, percent: int, total_shingles: int) -> DataFrame:
+    """(row, size, rares, counts) of rows (row, text, block) of large blocks: the size of their set, its rarest
+    shingles (those of one block have nothing in common with those of another) and its bucket counts, dealt out so
+    that a task gets FACT_SHINGLES shingles."""
     spark = big.sparkSession
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,26 +518,19 @@ def _prefixes(big: DataFrame, n: int, percent: int) -> DataFrame:
         shingles, (common, rank) = Shingles(n), shared.value
         for b in batches:
             prefixes, sizes, counted = [], [], []
-            for text in b.column(2):
-                s = shingles(text.as_py())
+            for block, text in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                s, mark = shingles(text.as_py()), mix(np.array([block], np.int64).view(np.uint64))
                 at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
                 times = np.where(common[at] == s, rank[at], 0) if len(common) else np.zeros(len(s), np.int64)
                 order = np.lexsort((s, times))
-                prefixes.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+                prefixes.append(mix(s[order[: len(s) - -(-percent * len(s) // 100) + 1]] ^ mark).view(np.int64))
                 sizes.append(len(s))
                 counted.append(bucket_counts(s))
             rares = _lists(np.array([len(x) for x in prefixes], np.int64), np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), rares, pa.array(counted, pa.binary())], names=["block", "row", "size", "rares", "counts"])
-
-    return stored(big.select("block", "row", "text").mapInArrow(released(rare), "block long, row long, size long, rares array<long>, counts binary"))
-
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64()), rares, pa.array(counted, pa.binary())], names=["row", "size", "rares", "counts"])
 
-def _connected(prefixes: DataFrame) -> DataFrame:
-    """(row, block): rows by what rare shingles connect; rows without a rare shingle in common
-    with another are left out."""
-    least = stored(prefixes.groupBy("block", "rare").agg(F.min("row").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    links = join_small(prefixes, least, ["block", "rare"], "inner", 48).select(F.col("row").alias("a"), "b").distinct()
-    return _blocks(components(links))
+    made = big.select("block", "row", "text").mapInArrow(released(rare), "row long, size long, rares array<long>, counts binary")
+    return stored(made.repartition(max(1, -(-total_shingles // FACT_SHINGLES))))
 
 
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
