@@ -135,16 +135,16 @@ def spare(name: str, taken: list[str]) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, scale: int = 1, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, scale: int = 1, step: int | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values in a column (of strings, or of lists of ``scale`` bytes
-    an element) take about ``step`` bytes, or one row."""
+    an element) take about ``step`` bytes (STEP_BYTES), or one row."""
     values = batch.column(batch.schema.get_field_index(column))
     measure = pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length
     ends = np.cumsum(pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64) * scale
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + step, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + (step or STEP_BYTES), "right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -169,7 +169,7 @@ def map_texts(
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.Array], list]],
-    step: int = STEP_BYTES,
+    step: int | None = None,
 ) -> DataFrame:
     """Adds columns computed from whole texts, some megabytes of them (``step`` bytes) at a time.
 
