@@ -1,8 +1,8 @@
 """A stored index of character triples: substring search that reads only the triples asked for.
 
-    postings/bucket=<b>   gram, doc, field     each once, sorted by gram
+    postings/bucket=<b>   gram, doc, field     once for each text of the document's field, sorted by gram
     counts/bucket=<b>     gram, n
-    texts                 doc, field, text     sorted by doc
+    texts                 doc, field, text     sorted by doc, or as they are read
 
 A text that contains a string has all of its triples, so the rarest of these, intersected by document and
 field, leave few candidates, whose texts are then looked at. Case is ignored throughout. Strings of
@@ -48,16 +48,33 @@ def grams(text: Column) -> Column:
     return let(F.split(F.lower(text), "", -1), of)
 
 
-def write(path: str, rows: DataFrame, doc: str, field: str, text: str, buckets: int = 64) -> Grams:
+def _dealt(found: Column, buckets: int) -> Column:
+    """(bucket, run) of distinct triples: those of a bucket as one string, one after the other, since each has ``SIZE``
+    characters. What is shuffled are the triples and a bucket's head, not a row for each triple."""
+    pairs = F.sort_array(F.transform(found, lambda g: F.struct(bucket_of(g, buckets).alias("bucket"), g.alias("gram"))))
+
+    def of(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda x, j: F.struct(x["bucket"].alias("bucket"), j.alias("j"))), lambda x: (x["j"] == 0) | (F.get(rows, x["j"] - 1)["bucket"] != x["bucket"]))
+        size = lambda s, x, k: F.coalesce(F.get(s, k + 1)["j"], F.size(rows)) - x["j"]
+        joined = lambda s, x, k: F.array_join(F.transform(F.slice(rows, x["j"] + 1, size(s, x, k)), lambda r: r["gram"]), "")
+        return let(starts, lambda s: F.transform(s, lambda x, k: F.struct(x["bucket"].alias("bucket"), joined(s, x, k).alias("run"))))
+
+    return let(pairs, of)
+
+
+def write(path: str, rows: DataFrame, doc: str, field: str, text: str, buckets: int = 64, unique: bool = False) -> Grams:
     """Writes the index of (doc, field, text); a document may have several texts of one field. Null
-    texts contain nothing, and null documents are left out."""
+    texts contain nothing, and null documents are left out. ``unique``: texts of one document and field are
+    mostly one, so that equal ones needn't be brought together; those that do repeat are kept and change no result."""
     index = Grams(rows.sparkSession, path, buckets, rows.schema[doc].dataType.simpleString())
     known = rows.filter(F.col(doc).isNotNull() & F.col(text).isNotNull())
-    texts = known.select(F.col(doc).alias("doc"), F.col(field).alias("field"), F.col(text).alias("text")).distinct()
-    texts.hint("rebalance", "doc").sortWithinPartitions("doc", "field").write.parquet(f"{path}/texts")
-    exploded = index.read("texts").select("doc", "field", F.explode(grams(F.col("text"))).alias("gram")).distinct()
-    placed = exploded.withColumn("bucket", bucket_of(F.col("gram"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "doc")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    texts = known.select(F.col(doc).alias("doc"), F.col(field).alias("field"), F.col(text).alias("text"))
+    texts = texts if unique else texts.distinct().hint("rebalance", "doc").sortWithinPartitions("doc", "field")
+    texts.write.parquet(f"{path}/texts")
+    dealt = index.read("texts").select("doc", "field", F.inline(_dealt(grams(F.col("text")), buckets))).hint("rebalance", "bucket")
+    places = F.sequence(F.lit(1), F.length("run"), F.lit(SIZE))
+    placed = dealt.select("doc", "field", "bucket", F.explode(F.transform(places, lambda i: F.substring(F.col("run"), i, F.lit(SIZE)))).alias("gram"))
+    placed.sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
     counted = index.read("postings").groupBy("bucket", "gram").agg(F.count("*").alias("n")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
     counted.write.partitionBy("bucket").parquet(f"{path}/counts")
     return index
@@ -74,7 +91,7 @@ def candidates(index: Grams, needle: str, fields: list[str] | None = None) -> Da
     postings = index.of("postings", [r["gram"] for r in rarest], [r["bucket"] for r in rarest])
     if fields is not None:
         postings = postings.filter(F.col("field").isin(fields))
-    return postings.groupBy("doc", "field").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("doc", "field")
+    return postings.groupBy("doc", "field").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(rarest)).select("doc", "field")
 
 
 def containing(index: Grams, needle: str, fields: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillspark.functions import vocab
-from quillspark.operators import grams, inverted
+from quillspark.operators import grams, inverted, tfidf
 
 SCHEMA = "id long, text string, at timestamp"
 WORDS = [f"w{k}" for k in range(40)] + ["표현의", "자유", "a"]
@@ -206,3 +206,20 @@ def test_texts_and_counts_of_a_document_are_not_shuffled(spark, tmp_path):
     index = inverted.add(str(tmp_path / "i"), docs, "doc_id", F.col("text"))
     rows = {r.doc: (r.len, [tuple(p) for p in r.vector] if r.vector else None) for r in index.read("documents").collect()}
     assert rows == {1: (3, [("aa", 2), ("bb", 1)]), 2: (0, None), 3: (2, [("aa", 1), ("cc", 1)])}
+
+
+def test_triples_are_dealt_by_bucket_and_repeated_texts_change_nothing(spark, tmp_path):
+    text = "Die 가나다 😀x😀y abcabcabd"
+    df = spark.createDataFrame([(text,)], "t string")
+    whole = df.select(F.explode(grams.grams(F.col("t"))).alias("g")).collect()
+    dealt = df.select(F.inline(grams._dealt(grams.grams(F.col("t")), 4))).collect()
+    assert len(dealt) == len({r.bucket for r in dealt}) <= 4  # a row for a bucket, not for a triple
+    assert sorted(r.run[i : i + 3] for r in dealt for i in range(0, len(r.run), 3)) == sorted(r.g for r in whole)
+    rows = spark.createDataFrame([("a", "t", "abcdef"), ("a", "t", "abcdef"), ("b", "t", "abc"), ("b", "t", "bcdef"), ("c", "u", "xx"), ("d", "u", text)], "doc string, field string, text string")
+    for unique in (False, True):
+        index = grams.write(str(tmp_path / f"g{unique}"), rows, "doc", "field", "text", unique=unique)
+        found = lambda needle: sorted(tuple(r) for r in grams.containing(index, needle).collect())  # noqa: B023, E731
+        assert found("abcdef") == [("a", "t")]
+        assert found("BCD") == [("a", "t"), ("b", "t")]
+        assert found("😀x😀") == [("d", "u")]
+        assert found("xx") == [("c", "u")]
