@@ -75,9 +75,9 @@ def clean_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     def first_ones(sorted_lines: Column) -> Column:
         new = lambda x, i: (F.length(x["key"]) < KEY_LENGTH) | (i == 0) | (x["key"] != F.get(sorted_lines, i - 1)["key"])
         kept = F.transform(F.filter(sorted_lines, new), lambda x: F.struct(x["at"], x["line"]))
-        return F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), "\n")
+        return F.array_join(F.transform(F.sort_array(kept), lambda x: x["line"]), "\n")
 
-    return docs.select(doc, let(F.array_sort(keyed), first_ones).alias(text))
+    return docs.select(doc, let(F.sort_array(keyed), first_ones).alias(text))
 
 
 def collapse_repeats(lines: DataFrame, doc: str, at: str, line: str) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,11 +140,11 @@ def quoted_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, S.strip), lambda t: F.length(t) >= 2))
 
 
-def sentence_roles(parsed: DataFrame, doc: str, text: str) -> DataFrame:
+def sentence_roles(parsed: DataFrame, doc: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """(doc, issues, principles, holdings, summaries): candidates of each role, the likeliest
-    first for issues, in their order for the others, each once."""
+    first for issues, in their order for the others, each once. The columns ``keep`` stay beside them."""
     held = majority(F.col("holdings"))
-    rows = parsed.select(doc, text, "issues", "polarities", F.transform(held, lambda h: F.struct(h["issue_no"].alias("no"), h["text"].alias("text"))).alias("held"))
+    rows = parsed.select(doc, *keep, text, "issues", "polarities", F.transform(held, lambda h: F.struct(h["issue_no"].alias("no"), h["text"].alias("text"))).alias("held"))
     rows = rows.withColumn("terms", quoted_terms(F.array_join("issues", " ")))
     rows = rows.withColumns({"cuts": sentence_lists(F.col("held.text")), "whole": sentence_list(F.col(text))})  # the cut minds quotes, so it is a function of its own
     hits = lambda s: F.when(F.exists("terms", lambda t: F.contains(s, t)), 1).otherwise(0)
@@ -174,6 +176,7 @@ def sentence_roles(parsed: DataFrame, doc: str, text: str) -> DataFrame:
     out = out.withColumn("preferred", preferred_holding(F.coalesce(F.transform("h", lambda x: F.struct(x["no"].alias("no"), x["ending"].alias("text"))), F.array().cast("array<struct<no:int,text:string>>")), F.coalesce(F.get("asked", F.lit(0)), F.lit(""))))
     return out.select(
         doc,
+        *keep,
         F.array_distinct("asked").alias("issues"),
         present(of("principle")).alias("principles"),
         F.when(F.size("decided") > 0, F.col("decided")).otherwise(present(F.array("preferred"))).alias("holdings"),
@@ -414,8 +417,8 @@ def digest(parsed: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, case_number, subject, court, date, domain, issue, holding) of parsed judgments: by the
     roles of sentences, else what the parts give, else what sentences of the text look like;
     notices where nothing can be read."""
-    roles = sentence_roles(parsed, doc, text).select(doc, F.col("issues").alias("role_issues"), F.col("holdings").alias("role_holdings"))
-    rows = parsed.join(roles, doc).withColumn("said", candidate_sentences(F.col(text), F.lit("")))
+    roles = sentence_roles(parsed.withColumn("__row", F.struct(*parsed.columns)), doc, text, ["__row"])
+    rows = roles.select("__row.*", F.col("issues").alias("role_issues"), F.col("holdings").alias("role_holdings")).withColumn("said", candidate_sentences(F.col(text), F.lit("")))
     trimmed = lambda s: first_sentence(s, 160)
     shown = X.let(display_issue(F.col("issues"), F.col("polarities")), lambda p: S.declarative(p["issue"], p["polarity"]))
     asked = F.coalesce(X.let(F.get("role_issues", F.lit(0)), lambda s: F.when(s.isNotNull(), trimmed(s))), F.nullif(shown, F.lit("")), pick_issue(F.col("said")), F.lit(ISSUE_NOTICE))

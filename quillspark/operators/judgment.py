@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,21 +126,22 @@ def acts(text: Column) -> Column:
     return let(F.regexp_replace(text, r"(?U)\s+", ""), lambda bare: F.filter(known, lambda a: F.contains(bare, F.replace(a, F.lit(" "), F.lit("")))))
 
 
-def parse_judgments(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, structure): a document in which no section is found has empty lists."""
-    cut = docs.select(doc, sections(F.coalesce(F.col(text), F.lit(""))).alias("found"))
+def parse_judgments(docs: DataFrame, doc: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc, structure): a document in which no section is found has empty lists. The columns ``keep`` of a
+    document stay beside its structure, so that nobody needs to join them again."""
+    cut = docs.select(doc, *keep, sections(F.coalesce(F.col(text), F.lit(""))).alias("found"))
     names = {"asked": "판시사항", "digest": "요지", "held": "판결요지", "decided": "결정요지", "laws": "참조조문", "cases": "참조판례"}
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    parts = cut.select(doc, F.exists("found", lambda s: s["name"] == "이유").alias("has_reasoning"), *(section(F.col("found"), n).alias(c) for c, n in names.items()))
+    parts = cut.select(doc, *keep, F.exists("found", lambda s: s["name"] == "이유").alias("has_reasoning"), *(section(F.col("found"), n).alias(c) for c, n in names.items()))
     no_issue, no_holding = (F.array().cast(t) for t in ("array<struct<text:string,polarity:string>>", "array<struct<issue_no:int,opinion:string,text:string>>"))
     ruled = F.coalesce(F.nullif("held", F.lit("")), F.nullif("decided", F.lit("")))
     made = parts.select(
-        doc, "has_reasoning", squeeze(F.col("laws")).alias("statutes"),
+        doc, *keep, "has_reasoning", squeeze(F.col("laws")).alias("statutes"),
         F.when(filled("asked"), listed_issues(F.col("asked"))).when(filled("digest"), digest_issues(F.col("digest"))).otherwise(no_issue).alias("issues"),
         F.when(ruled.isNotNull(), holdings(ruled)).otherwise(no_holding).alias("holdings"),
         F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("cases", F.lit("")), F.lit("(?U)" + PRECEDENT), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit("")))).alias("precedents"),
     )
     return made.select(
-        doc, F.col("issues.text").alias("issues"), F.col("issues.polarity").alias("polarities"), "holdings", "statutes", acts(F.col("statutes")).alias("acts"), "precedents", "has_reasoning",
+        doc, *keep, F.col("issues.text").alias("issues"), F.col("issues.polarity").alias("polarities"), "holdings", "statutes", acts(F.col("statutes")).alias("acts"), "precedents", "has_reasoning",
         F.exists("holdings", lambda h: h["opinion"] != "unspecified").alias("has_opinions"),
     )

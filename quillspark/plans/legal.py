@@ -43,8 +43,7 @@ def judgments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    docs = judgments(spark, d)
-    return judgment.parse_judgments(docs, "doc_id", "text").join(docs, "doc_id")
+    return judgment.parse_judgments(judgments(spark, d), "doc_id", "text", ["text"])
 
 
 def joined(values: str) -> Column:

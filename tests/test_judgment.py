@@ -114,3 +114,14 @@ def test_random_judgments(spark, seed):
         assert got == want, texts[r.id]
         filled += bool(r.issues) and bool(r.holdings)
     assert filled > 10
+
+
+def test_digests_and_roles_need_no_join(spark):
+    """A parsed judgment keeps its text, and a digest its judgment: nothing is shuffled, and rows without an id stay."""
+    from quillspark.operators import digest
+
+    docs = spark.createDataFrame([(1, "【판시사항】\n[1] 영장 없이 압수한 증거의 증거능력이 인정되는지 여부(소극)\n【판결요지】\n[1] 증거능력이 인정되지 않는다.\n"), (None, "사 건\n2024도4422 절도\n")], "id long, text string")
+    parsed = judgment.parse_judgments(docs, "id", "text", ["text"])
+    for made in (digest.sentence_roles(parsed, "id", "text"), digest.digest(parsed, "id", "text")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 2
