@@ -72,6 +72,23 @@ def test_no_pairs_of_what_cannot_be_best(spark, monkeypatch):
     assert sums and max(sums) < 300 * 30  # of 300 * 299 pairs
 
 
+@pytest.mark.parametrize(("entries", "dense", "at_once"), [(1 << 20, 2048, 1 << 22), (60, 3, 7), (200, 0, 50)])
+def test_pairs_of_blocks_are_no_rows(spark, monkeypatch, entries, dense, at_once):
+    """Every document shares words with every other: what is stored grows with the documents all the same."""
+    for name, value in (("ENTRIES", entries), ("DENSE", dense), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], k=rng.randint(4, 25)))) for i in range(150)]
+    index = inverted.add(new_folder(spark), spark.createDataFrame(rows, "id long, text string").coalesce(2), "id", F.col("text"))
+    made = []
+    stored = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: (stored(self, path, *a, **b), made.append((spark.read.parquet(path).columns, spark.read.parquet(path).count())))[0])
+    got = topk.top_similar(index.read("documents").select("doc", "len", "vector").coalesce(1), index.n_docs, 2)
+    sums = [n for columns, n in made if columns == ["c", "o", "s"]]
+    assert sums and max(sums) <= 150 * 2 * 4  # of 150 * 149 pairs
+    assert {tuple(r) for r in got.collect()} == most_similar(rows, 2)
+
+
 def plain_ranks(sets):
     n = len(sets)
     m = np.array([[0 if i == j or not (a | b) else len(a & b) / len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
