@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import last_end, let
+from .text import last_end, let, trimmed
 
 # --- fixed values: compounds that line breaks tear apart ------------------------------------
 COMPOUNDS = (
@@ -109,7 +109,7 @@ CASE_NUMBER = r"\d{2,4}\s*[가-힣]{1,3}\s*\d+"
 
 # ---- small things -----------------------------------------------------------------------------
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return trimmed(F.coalesce(text, F.lit("")))
 
 
 def squeeze(text: Column) -> Column:

@@ -17,6 +17,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # what (?U)\s matches
+LINE_ENDS = ("\n", "\r", "\x85", "\u2028", "\u2029")  # in front of which $ matches at the end of a text
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends; looks at the ends alone."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def escape_like(value: str) -> str:
     """A string whose LIKE wildcards stand for themselves."""
     return re.sub(r"([\\%_])", r"\\\1", value or "")
@@ -49,7 +58,7 @@ def normalize_legal(text: Column) -> Column:
     out = F.regexp_replace(out, r"[\t\r\f\x0B]", " ")
     out = F.regexp_replace(out, r"\n{2,}", "\n")
     out = F.regexp_replace(out, r" {2,}", " ")
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return trimmed(out)
 
 
 def tokenize(text: Column) -> Column:
@@ -73,7 +82,8 @@ def strip_ending(word: Column) -> Column:
     characters at least remain."""
     endings = "|".join(sorted(set(vocab.ENDINGS), key=len, reverse=True))
     word = F.trim(word)
-    return F.when(F.length(word) >= 3, F.regexp_replace(word, f"^(.{{2,}}?)(?:{endings})$", "$1")).otherwise(word)
+    last = {e[-1] for e in vocab.ENDINGS} | set(LINE_ENDS)  # others end in none
+    return F.when((F.length(word) >= 3) & F.right(word, F.lit(1)).isin(*sorted(last)), F.regexp_replace(word, f"^(.{{2,}}?)(?:{endings})$", "$1")).otherwise(word)
 
 
 def count_hints(text: Column, hints: list[str]) -> Column:
@@ -165,7 +175,7 @@ def sentences(text: Column, least: int = 12) -> Column:
         r"|(?<=[.!?])\s+(?=[가-힣\[\d])"
         r"|\n+"
     )
-    parts = F.transform(F.split(text, split_at), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, split_at), trimmed)
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 

@@ -145,7 +145,8 @@ def key_sentences(text: Column, k: int) -> Column:
     def best(x: Column) -> Column:
         def score(s: Column) -> Column:
             words = F.aggregate(x["words"], F.lit(0.0), lambda a, w: a + F.when(F.contains(s, w), F.lit(1.0) + importance(w) * 0.3).otherwise(0.0))
-            return words + X.count_hints(s, vocab.TERM_HINTS) * 0.2 + F.when(F.size(classify.legal_hits(s)) > 0, 0.3).otherwise(0.0)
+            full = words + X.count_hints(s, vocab.TERM_HINTS) * 0.2 + F.when(F.size(classify.legal_hits(s)) > 0, 0.3).otherwise(0.0)
+            return F.when(s.rlike(r"(?U)[가-힣\d]"), full).otherwise(0.0)  # every keyphrase, hint and signal has a syllable or digit
 
         order = F.array_sort(F.transform(x["sentences"], lambda s, i: F.struct((-F.round(score(s), 9)).alias("minus"), i.alias("i"))))
         top = F.array_sort(F.transform(F.slice(order, 1, k), lambda o: o["i"]))
