@@ -375,12 +375,23 @@ def repaired_issue(issues: Column, polarities: Column, sentences: Column) -> Col
     return S.first_good([shown, X.let(F.get(clean, F.lit(0)), lambda s: F.when(s.isNotNull(), display_sentence(s, 240)))], lambda s: ~is_fragment(s))
 
 
+FIRST_PIECES = 32  # pieces of a text among which four sentences are looked for before all are cleaned
+
+
 def refine_sentences(key: Column, text: Column) -> Column:
     """At most four sentences of ten characters or more, each once, cut at 140 characters."""
     raw = F.when(S.strip(key) == "", text).otherwise(key)
-    parts = F.filter(F.transform(F.split(raw, "[\n。.!?]"), S.strip), lambda s: (F.length(s) >= 12) & ~s.rlike(r"(?U)portal\.scourt|http|^[\d:\-]+$"))
-    clean = F.transform(parts, lambda s: S.strip(F.regexp_replace(F.regexp_replace(S.squeeze(s), r"(?U)^[\s\-•·]+", ""), r"(?U)\s*[-–—]\s*\d+\s*[-–—]\s*$", "")))
-    few = F.slice(F.array_distinct(F.filter(clean, lambda s: F.length(s) >= 10)), 1, 4)
+
+    def first_four(pieces: Column) -> Column:
+        parts = F.filter(F.transform(pieces, S.strip), lambda s: (F.length(s) >= 12) & ~s.rlike(r"(?U)portal\.scourt|http|^[\d:\-]+$"))
+        clean = F.transform(parts, lambda s: S.strip(F.regexp_replace(F.regexp_replace(S.squeeze(s), r"(?U)^[\s\-•·]+", ""), r"(?U)\s*[-–—]\s*\d+\s*[-–—]\s*$", "")))
+        return F.slice(F.array_distinct(F.filter(clean, lambda s: F.length(s) >= 10)), 1, 4)
+
+    def found(pieces: Column) -> Column:
+        """Those of the first pieces, if they are four: the rest adds none."""
+        return X.let(first_four(F.slice(pieces, 1, FIRST_PIECES)), lambda head: F.when(F.size(head) == 4, head).otherwise(first_four(pieces)))
+
+    few = X.let(F.split(raw, "[\n。.!?]"), found)
     ended = F.transform(F.transform(few, lambda s: F.left(s, F.lit(140))), lambda s: F.when(s.endswith("."), s).when(S.ends_with(s, ("다", "요")), F.concat(s, F.lit("."))).otherwise(F.concat(s, F.lit("…"))))
     return F.array_join(ended, " ")
 
@@ -395,7 +406,9 @@ def scan_keywords(text: Column, k: int = 10) -> Column:
     t = F.coalesce(text, F.lit(""))
     formal = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in (vocab.LEGAL_PATTERNS[0], vocab.LEGAL_PATTERNS[1], f"(?:{COURTS})")]))
     formal = F.array_distinct(F.transform(formal, lambda m: F.regexp_replace(m, " ", "")))
-    words = F.transform(F.split(t, r"[ \n\t.,()\[\]「」『』《》〈〉·:;]+"), X.strip_ending)
+    apart = r" \n\t.,()\[\]·:;〈-』"  # 〈〉《》「」『』
+    found = F.regexp_extract_all(t, F.lit(f"([^가-힣{apart}]*+[가-힣][^{apart}]*+)|(?:[^가-힣{apart}]*+[{apart}]++){{1,100}}+"), F.lit(1))  # words with a syllable; up to a hundred others at a time are empty
+    words = F.transform(F.filter(found, lambda w: w != ""), X.strip_ending)
     good = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.length(x["w"]).between(2, 14) & x["w"].rlike("[가-힣]") & ~x["w"].isin(*vocab.STOPWORDS) & ~is_time(x["w"]))
 
     def ranked(rows: Column) -> Column:
