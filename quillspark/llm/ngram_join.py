@@ -14,7 +14,8 @@
    its share of the overlap, the long ones are probed by binary search for the rest
    (DivideSkip). Every document is a query once; what a query has found is in its group and
    leaves the index, so that a group of near copies is searched by its first one alone.
-5. Blocks too large for one task fall apart by prefixes: of linked sets, each has one of the
+5. Blocks too large for one task, and all of them where parts have so few shingles (below FEW) that
+   passages chain the more documents the more there are, fall apart by prefixes: of linked sets, each has one of the
    other's rarest shingles among its own rarest (so many that fewer could not be all that
    differ), by one order of all shingles. A passage that many documents share is never
    rare. Of the rows that share one rare shingle those are linked that their counts allow: a set's shingles are counted in so many buckets that four fall into
@@ -44,6 +45,7 @@ from .components import components
 
 FLUSH_ROWS = 16384  # rows whose signatures a task compares before it passes them on
 DEALS = 4  # times that a set is dealt into parts before single shingles sign for it
+FEW = 8  # shingles of a part on average, below which a shared passage fills a part often
 BLOCK_SHINGLES = 400_000  # shingles of a block that one task indexes (3.2 MB)
 RARE = 32  # occurrences up to which all shingles of large blocks count as equally rare
 COMMON = 1_000_000  # shingles at most whose occurrences are told to all tasks (16 MB)
@@ -378,12 +380,14 @@ def _groups(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, blo
     members = join_small(sized.select("row", "block", "n_shingles"), sizes.select("block", "parts", "pivot"), ["block"], "inner", 64)
     members = stored(members)
     texts = lambda rows: join_small(docs.select("row", "text"), rows, ["row"], "inner", 72)
-    links = _whole(texts(members.filter("parts = 1")), n, percent)
-    if not members.filter("parts > 1").isEmpty():
-        # large blocks fall apart by rare shingles and by what their counts allow
-        big = members.filter("parts > 1")
+    # where passages chain documents, the share of these in large blocks grows with the table: then no block is searched as it is
+    chained = 100 + percent < 2 * FEW * (100 - percent)
+    links = _whole(texts(members.filter(F.lit(not chained) & (F.col("parts") == 1))), n, percent)
+    big = members if chained else members.filter("parts > 1")
+    if not big.isEmpty():
+        # these blocks fall apart by rare shingles and by what their counts allow
         facts = _prefixes(texts(big.select("row", "block")), n, percent, big.agg(F.sum("n_shingles")).first()[0])
-        last = _sized(members, _blocks(components(_possible(facts, percent))), block_shingles)
+        last = _sized(big, _blocks(components(_possible(facts, percent))), block_shingles)
         links = links.unionByName(_whole(texts(last.filter("parts = 1")), n, percent))
         if not last.filter("parts > 1").isEmpty():
             rare = facts.select("row", F.explode("rares").alias("rare"))
@@ -495,7 +499,7 @@ def _large(rows: DataFrame, rare: DataFrame, n: int, percent: int, block_shingle
 
 
 def _prefixes(big: DataFrame, n: int, percent: int, total_shingles: int) -> DataFrame:
-    """(row, size, rares, counts) of rows (row, text, block) of large blocks: the size of their set, its rarest
+    """(row, size, rares, counts) of rows (row, text, block) of blocks that fall apart: the size of their set, its rarest
     shingles (those of one block have nothing in common with those of another) and its bucket counts, dealt out so
     that a task gets FACT_SHINGLES shingles."""
     spark = big.sparkSession

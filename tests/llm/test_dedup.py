@@ -252,6 +252,29 @@ def test_blocks_that_passages_chain_fall_apart(spark, tmp_path, monkeypatch, cel
     assert Counter((r.doc_id, r.component, r.n_shingles) for r in got) == want and asked and sum(r.stays for r in got) == groups
 
 
+def test_what_is_counted_grows_with_the_table(spark, tmp_path, monkeypatch):
+    """Passages chain more and more documents to one block; the shingles that are counted are not suddenly many
+    where it gets large, and blocks of documents that their counts keep apart are not searched."""
+    passages = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(4)]
+    counted, searched, prefixes, search = [], [], ngram_join._prefixes, ngram_join._search
+    monkeypatch.setattr(ngram_join, "_prefixes", lambda *a: (counted.append(a[3]), prefixes(*a))[1])
+    monkeypatch.setattr(ngram_join, "_search", lambda rows, n, percent: (searched.append(rows.count()), search(rows, n, percent))[1])
+    made = {}
+    for size in (60, 300):
+        rng = np.random.default_rng(8)
+        texts = [" ".join([*(f"u{i}w{j}" for j in range(30)), *rng.choice(passages, 2, replace=False)]) for i in range(size)]
+        texts += [t.replace("w3 ", "x3 ", 1) for t in texts[: size // 10]]
+        docs = stable(spark, tmp_path / str(size), spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA))
+        counted.clear()
+        searched.clear()
+        got = ngram_join.ngram_groups(docs, "doc_id", n=5, percent=80, block_shingles=10_000).collect()
+        want, _ = brute(docs.collect(), 5, 80)
+        assert Counter((r.doc_id, r.component, r.n_shingles) for r in got) == want
+        made[size] = sum(counted)
+        assert sum(searched) <= size // 2
+    assert 0 < made[300] <= 12 * made[60]
+
+
 def test_operators_in_threads_keep_their_tables(spark, tmp_path):
     """What one operator deletes at its end isn't what another has stored."""
     from threading import Thread
