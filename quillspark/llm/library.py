@@ -1,11 +1,13 @@
-"""Ids through the tokenizers library, each distinct piece of a batch once."""
+"""Ids through the tokenizers library, each distinct piece of a batch once, and no piece that the task still knows."""
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,41 @@ from .bpe import Ragged
 from .tokens import special_strings, specials
 
 GROUP = 128  # words that go through the library in one text
+KNOWN = 200_000  # pieces whose ids a task holds, besides those of the batch
+KNOWN_BYTES = 64  # of a piece that it holds
 SEPARATORS = "[\x1c-\x1f]"  # white space to Arrow alone: such texts stay whole
 PLAIN = re.compile(r" ?\S+")
 
 
+class Known:
+    """Ids of the pieces that a task has met; where they get more than KNOWN, only the last batch's stay."""
+
+    def __init__(self):
+        self._hold(pa.array([], pa.string()), Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+
+    def _hold(self, pieces: pa.Array, ids: Ragged) -> None:
+        self.pieces, self.ids = pieces, ids
+
+    def __call__(self, pieces: pa.Array, encode: Callable[[list[str]], Ragged]) -> Ragged:
+        """Ids of distinct pieces; only new ones are encoded."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        fresh = found.is_null()
+        new = pieces.filter(fresh)
+        made = encode(new.to_pylist())
+        both = Ragged.of(np.concatenate([self.ids.values, made.values]), np.concatenate([self.ids.counts, made.counts]))
+        at, fresh = (x.to_numpy(zero_copy_only=False) for x in (found.fill_null(0), fresh))
+        at = at.astype(np.int64)
+        at[fresh] = len(self.pieces) + np.arange(len(new))
+        out = both.take(at)
+        short = pc.less_equal(pc.binary_length(new), KNOWN_BYTES)
+        new, made = new.filter(short), made.take(np.flatnonzero(short.to_numpy(zero_copy_only=False)))
+        if len(self.pieces) + len(new) > KNOWN:
+            self._hold(new, made)
+        elif len(new):
+            self._hold(pa.concat_arrays([self.pieces, new]), Ragged.of(np.concatenate([self.ids.values, made.values]), np.concatenate([self.ids.counts, made.counts])))
+        return out
+
+
 class Library:
     """A vocabulary of the tokenizers library. Plain words, of letters only, go through it many
     in one text and are told apart by the tokens that begin or end a word; all else one by
@@ -43,7 +76,7 @@ class Library:
     def _ids(self, texts: list[str]) -> Ragged:
         lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         counts = list(map(len, lists))
-        return Ragged.of(np.fromiter((i for ids in lists for i in ids), np.uint32, sum(counts)), counts)
+        return Ragged.of(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(counts)), counts)
 
     def words(self, words: list[str]) -> Ragged:
         """Ids of each word (with a space in front, where the vocabulary keeps it)."""
@@ -66,25 +99,24 @@ class Library:
         counts = np.diff(np.append(-1, ends)) - 1
         return Ragged.of(np.delete(found.values, ends), counts)
 
-    def pieces(self, found: bpe.Pieces) -> Ragged:
-        others = found.others
-        single = np.ones(len(others), bool)
+    def other(self, pieces: list[str]) -> Ragged:
+        """Ids of pieces that aren't words."""
+        single = np.ones(len(pieces), bool)
         if not self.suffix:
-            single = np.array([not PLAIN.fullmatch(p) or bool(self.special and self.special.search(p)) for p in others], bool)
-        parts = [
-            self.words(found.words.to_pylist()),
-            self.lines([p for p, s in zip(others, single, strict=True) if not s]),
-            self._ids([p for p, s in zip(others, single, strict=True) if s]),
-        ]
-        n = len(found.words)
-        at = np.concatenate([np.arange(n), n + np.flatnonzero(~single), n + np.flatnonzero(single)])
-        both = Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts]))
-        return both.take(np.argsort(at))
-
-    def __call__(self, texts: pa.Array) -> Ragged:
-        """Ids of whole texts, as the library gives them without adding special tokens."""
+            single = np.array([not PLAIN.fullmatch(p) or bool(self.special and self.special.search(p)) for p in pieces], bool)
+        parts = self.lines([p for p, s in zip(pieces, single, strict=True) if not s]), self._ids([p for p, s in zip(pieces, single, strict=True) if s])
+        at = np.concatenate([np.flatnonzero(~single), np.flatnonzero(single)])
+        return Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts])).take(np.argsort(at))
+
+    def pieces(self, found: bpe.Pieces, known: tuple[Known, Known]) -> Ragged:
+        parts = known[0](found.words.cast(pa.string()), self.words), known[1](pa.array(found.others, pa.string()), self.other)
+        return Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts]))
+
+    def __call__(self, texts: pa.Array, known: tuple[Known, Known] | None = None) -> Ragged:
+        """Ids of whole texts, as the library gives them without adding special tokens. ``known`` is
+        what the task knows of words and of other pieces."""
         rows, found = self._words(texts) if self.suffix else bpe.pieces(texts, self.pattern, self.special)
-        return rows.through(found.table.through(self.pieces(found)))
+        return rows.through(found.table.through(self.pieces(found, known or (Known(), Known()))))
 
     def _words(self, texts: pa.Array) -> tuple[Ragged, bpe.Pieces]:
         """The vocabulary drops white space, so a text is the sequence of what lies between."""

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, spare, stored, vocabulary, with_end
-from .library import library
+from .common import documents, released, slices, spare, stored, vocabulary, with_end
+from .library import Known, library
 
 WINDOW = 2048
 GROUP_WINDOWS = 128  # windows that are balanced together
@@ -110,10 +110,10 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(spare("text", [id_col])))
 
     def run(batches):
-        out = Sequences(schema, window, 0)
+        out, known = Sequences(schema, window, 0), (Known(), Known())
         for whole in batches:
             for b in slices(whole, whole.schema.names[1]):
-                ids = with_end(library(path)(b.column(1)), end_id)
+                ids = with_end(library(path)(b.column(1), known), end_id)
                 blob, starts = ids.values.tobytes(), (ids.starts * 4).tolist()
                 for doc, lo, hi in zip(b.column(0).to_pylist(), starts, starts[1:], strict=False):
                     out.add(doc, blob[lo:hi])
@@ -132,11 +132,11 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
             out.balance()
             yield out.flush(b.schema.field(0).type)
 
-    first = stored(docs.mapInArrow(run, schema))
+    first = stored(docs.mapInArrow(released(run), schema))
     left = first.filter(loose)
     tokens = left.agg(F.sum("length")).first()[0] or 0
     parts = max(1, -(-tokens // (GROUP_WINDOWS * window * 16)))  # sixteen groups a task
-    both = first.filter(~F.col(loose)).unionByName(left.repartition(parts).mapInArrow(again, schema))
+    both = first.filter(~F.col(loose)).unionByName(left.repartition(parts).mapInArrow(released(again), schema))
     return both.drop(loose)
 
 

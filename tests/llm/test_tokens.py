@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, common, packing, token_files, tokens
-from quillspark.llm.library import Library
+from quillspark.llm import library as lib
+from quillspark.llm.library import Known, Library
 
 from .fixtures import SCHEMA, documents, texts
 
@@ -70,6 +71,26 @@ def test_pieces_through_the_library_as_whole_texts(path):
         assert got.values[got.starts[i] : got.starts[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [JSON, WORDS])
+@pytest.mark.parametrize("room", [200_000, 40])
+def test_a_task_encodes_no_piece_that_it_knows(monkeypatch, path, room):
+    monkeypatch.setattr(lib, "KNOWN", room)
+    cases, known, seen = [*mixed_texts(), "w" * 500], (Known(), Known()), []
+    made = Library(path)
+    ids = made._ids
+    made._ids = lambda texts: (seen.extend(texts), ids(texts))[1]
+    want = Library(path)(pa.array(cases))
+    for turn in range(3):
+        for k in range(0, len(cases), 7):
+            seen.clear()
+            got, whole = made(pa.array(cases[k : k + 7]), known), want.take(np.arange(k, min(k + 7, len(cases))))
+            assert got.values.tolist() == whole.values.tolist() and got.starts.tolist() == whole.starts.tolist()
+            assert all(len(x.pieces) == len(x.ids.counts) and len(x.pieces) <= max(room, 400) for x in known)
+            if turn and room > 40:
+                assert all(len(t.encode()) > lib.KNOWN_BYTES for t in seen)
+    assert got.values.dtype == want.values.dtype
+
+
 def test_slices_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(common, "STEP_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "", "x" * 30, "abcdef", "abcd", "a"])], names=["t"])
