@@ -18,6 +18,7 @@ from .library import Known, library
 WINDOW = 2048
 GROUP_WINDOWS = 128  # windows that are balanced together
 CUT = 512  # a document's rest is cut into pieces of at most this many ids
+STEP_BYTES = 1 << 20  # of texts that go to the library at a time, as pieces are known from one step to the next
 
 PIECES = T.StructType(
     [
@@ -112,7 +113,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         out, known = Sequences(schema, window, 0), (Known(), Known())
         for whole in batches:
-            for b in slices(whole, whole.schema.names[1]):
+            for b in slices(whole, whole.schema.names[1], step=STEP_BYTES):
                 ids = with_end(library(path)(b.column(1), known), end_id)
                 blob, starts = ids.values.tobytes(), (ids.starts * 4).tolist()
                 for doc, lo, hi in zip(b.column(0).to_pylist(), starts, starts[1:], strict=False):
