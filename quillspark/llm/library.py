@@ -1,4 +1,4 @@
-"""Ids through the tokenizers library, each distinct piece of a batch once, and no piece that the task still knows."""
+"""Ids through the tokenizers library, each distinct piece of a batch once, and no piece that is still known."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -17,41 +18,54 @@ from . import bpe
 from .bpe import Ragged
 from .tokens import special_strings, specials
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 GROUP = 128  # words that go through the library in one text
-KNOWN = 200_000  # pieces whose ids a task holds, besides those of the batch
+KNOWN = 200_000  # pieces whose ids are held, besides those of the batch
 KNOWN_BYTES = 64  # of a piece that it holds
 SEPARATORS = "[\x1c-\x1f]"  # white space to Arrow alone: such texts stay whole
 PLAIN = re.compile(r" ?\S+")
 
 
 class Known:
-    """Ids of the pieces that a task has met; where they get more than KNOWN, only the last batch's stay."""
+    """Ids of the pieces that were met. Where they get more than KNOWN, those stay that came again, or if
+    these are too many, the last batch's."""
 
     def __init__(self):
-        self._hold(pa.array([], pa.string()), Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+        self._hold(pa.array([], pa.string()), Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64)), np.zeros(0, bool))
 
-    def _hold(self, pieces: pa.Array, ids: Ragged) -> None:
-        self.pieces, self.ids = pieces, ids
+    def _hold(self, pieces: pa.Array, ids: Ragged, again: np.ndarray) -> None:
+        self.pieces, self.ids, self.again = pieces, ids, again
 
-    def __call__(self, pieces: pa.Array, encode: Callable[[list[str]], Ragged]) -> Ragged:
+    def __call__(self, pieces: pa.Array, encode: Callable[[pa.Array], Ragged]) -> Ragged:
         """Ids of distinct pieces; only new ones are encoded."""
         found = pc.index_in(pieces, value_set=self.pieces)
         fresh = found.is_null()
         new = pieces.filter(fresh)
-        made = encode(new.to_pylist())
-        both = Ragged.of(np.concatenate([self.ids.values, made.values]), np.concatenate([self.ids.counts, made.counts]))
-        at, fresh = (x.to_numpy(zero_copy_only=False) for x in (found.fill_null(0), fresh))
-        at = at.astype(np.int64)
-        at[fresh] = len(self.pieces) + np.arange(len(new))
-        out = both.take(at)
+        made = encode(new)
+        fresh = fresh.to_numpy(zero_copy_only=False)
+        at = found.drop_null().to_numpy()
+        self.again[at] = True
+        old = self.ids.take(at)
+        counts = np.zeros(len(pieces), np.int64)
+        counts[fresh], counts[~fresh] = made.counts, old.counts
+        out = Ragged.of(np.zeros(int(counts.sum()), np.uint32), counts)
+        mine = np.repeat(fresh, counts)
+        out.values[mine], out.values[~mine] = made.values, old.values
         short = pc.less_equal(pc.binary_length(new), KNOWN_BYTES)
         new, made = new.filter(short), made.take(np.flatnonzero(short.to_numpy(zero_copy_only=False)))
-        if len(self.pieces) + len(new) > KNOWN:
-            self._hold(new, made)
-        elif len(new):
-            self._hold(pa.concat_arrays([self.pieces, new]), Ragged.of(np.concatenate([self.ids.values, made.values]), np.concatenate([self.ids.counts, made.counts])))
+        if len(new):
+            self._add(new, made)
         return out
 
+    def _add(self, new: pa.Array, made: Ragged) -> None:
+        pieces, ids, again = self.pieces, self.ids, self.again
+        if len(pieces) + len(new) > KNOWN:
+            kept = np.flatnonzero(again) if np.count_nonzero(again) + len(new) <= KNOWN else np.zeros(0, np.int64)
+            pieces, ids, again = pieces.take(pa.array(kept)), ids.take(kept), np.zeros(len(kept), bool)
+        self._hold(pa.concat_arrays([pieces, new]), joined(ids, made), np.append(again, np.zeros(len(new), bool)))
+
 
 class Library:
     """A vocabulary of the tokenizers library. Plain words, of letters only, go through it many
@@ -62,26 +76,56 @@ class Library:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run in parallel already
         from tokenizers import Tokenizer
 
-        self.pattern, self.special = bpe.split_pattern(), specials(path)
+        self.pattern, self.special, self.special_strings = bpe.split_pattern(), specials(path), special_strings(path)
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.suffix = model.get("end_of_word_suffix")
-        space = next(c for c, b in bpe.byte_alphabet().items() if b == 32)
+        self.space = space = next(c for c, b in bpe.byte_alphabet().items() if b == 32)
+        self.bytes = {b: c for c, b in bpe.byte_alphabet().items() if b != 32}
         self.line = model["vocab"].get(next(c for c, b in bpe.byte_alphabet().items() if b == 10))
-        self.edge = np.zeros(max(model["vocab"].values()) + len(special_strings(path)) + 1, bool)
+        self.edge = np.zeros(max(model["vocab"].values()) + len(self.special_strings) + 1, bool)
         for t, i in model["vocab"].items():
             self.edge[i] = t.endswith(self.suffix) if self.suffix else t.startswith(space)
 
+    @functools.cached_property
+    def plain(self) -> Tokenizer | None:
+        """The vocabulary's model behind a split at white space alone, as words of letters need no pattern; none
+        where a special string might be in them."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        if self.special and any(map(str.isalpha, self.special_strings)):
+            return None
+        plain = Tokenizer(self.library.model)
+        plain.pre_tokenizer = WhitespaceSplit()
+        return plain
+
+    def _written(self, words: list[str]) -> str:
+        """Words as the model has them, with spaces between."""
+        text = " ".join(words)
+        if self.suffix:
+            text = text.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.bytes)
+        return text if self.suffix else self.space + text.replace(" ", " " + self.space)
+
     def _ids(self, texts: list[str]) -> Ragged:
-        lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._through(self.library, texts)
+
+    @staticmethod
+    def _through(library: Tokenizer, texts: list[str]) -> Ragged:
+        lists = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
         counts = list(map(len, lists))
         return Ragged.of(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(counts)), counts)
 
     def words(self, words: list[str]) -> Ragged:
         """Ids of each word (with a space in front, where the vocabulary keeps it)."""
         groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
-        found = self._ids([("" if self.suffix else " ") + " ".join(g) for g in groups])
+        if self.plain is None:
+            found = self._ids([("" if self.suffix else " ") + " ".join(g) for g in groups])
+        else:
+            found = self._through(self.plain, list(map(self._written, groups)))
         edges = np.flatnonzero(self.edge[found.values])
         bounds = np.append(0, edges + 1) if self.suffix else np.append(edges, len(found.values))
         if len(bounds) != len(words) + 1 or bounds[0] != 0 or bounds[-1] != len(found.values):
@@ -106,29 +150,49 @@ class Library:
             single = np.array([not PLAIN.fullmatch(p) or bool(self.special and self.special.search(p)) for p in pieces], bool)
         parts = self.lines([p for p, s in zip(pieces, single, strict=True) if not s]), self._ids([p for p, s in zip(pieces, single, strict=True) if s])
         at = np.concatenate([np.flatnonzero(~single), np.flatnonzero(single)])
-        return Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts])).take(np.argsort(at))
+        return joined(*parts).take(np.argsort(at))
 
     def pieces(self, found: bpe.Pieces, known: tuple[Known, Known]) -> Ragged:
-        parts = known[0](found.words.cast(pa.string()), self.words), known[1](pa.array(found.others, pa.string()), self.other)
-        return Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts]))
+        words = known[0](found.words.cast(pa.string()), lambda new: self.words(new.to_pylist()))
+        return joined(words, known[1](pa.array(found.others, pa.string()), lambda new: self.other(new.to_pylist())))
 
-    def __call__(self, texts: pa.Array, known: tuple[Known, Known] | None = None) -> Ragged:
+    def __call__(self, texts: pa.Array, known: tuple[Known, Known] | None = None, strings: Known | None = None) -> Ragged:
         """Ids of whole texts, as the library gives them without adding special tokens. ``known`` is
-        what the task knows of words and of other pieces."""
-        rows, found = self._words(texts) if self.suffix else bpe.pieces(texts, self.pattern, self.special)
-        return rows.through(found.table.through(self.pieces(found, known or (Known(), Known()))))
-
-    def _words(self, texts: pa.Array) -> tuple[Ragged, bpe.Pieces]:
+        what is known of words and of other pieces, ``strings`` of what lies between white space."""
+        known = known or (Known(), Known())
+        if self.suffix:
+            return self._strings(texts, known, strings or Known())
+        rows, found = bpe.pieces(texts, self.pattern, self.special)
+        return rows.through(found.table.through(self.pieces(found, known)))
+
+    def _strings(self, texts: pa.Array, known: tuple[Known, Known], strings: Known) -> Ragged:
         """The vocabulary drops white space, so a text is the sequence of what lies between."""
+
+        def encode(new: pa.Array) -> Ragged:
+            found = bpe.Pieces(new, lambda c: [c], pc.ascii_lower)  # the library lowers it as well
+            return found.table.through(self.pieces(found, known))
+
         odd = pc.match_substring_regex(texts, SEPARATORS)
-        rows, strings = bpe.chunks(pc.utf8_split_whitespace(pc.if_else(odd, "", texts)))
-        found = bpe.Pieces(strings, lambda c: [c], pc.ascii_lower)  # the library lowers it as well
+        rows, between = bpe.chunks(pc.utf8_split_whitespace(pc.if_else(odd, "", texts)))
+        ids = strings(between, encode)
         whole = np.flatnonzero(odd)
         if len(whole):  # its one part, empty so far, becomes the text
-            rows.values[rows.starts[whole]] = found.add([[t] for t in texts.take(pa.array(whole)).to_pylist()]) + np.arange(len(whole))
-        return rows, found
+            coded = texts.filter(odd).dictionary_encode()
+            rows.values[rows.starts[whole]] = coded.indices.to_numpy() + len(between)
+            ids = joined(ids, known[1](coded.dictionary, lambda new: self.other(new.to_pylist())))
+        return rows.through(ids)
+
+
+def joined(*parts: Ragged) -> Ragged:
+    return Ragged.of(np.concatenate([p.values for p in parts]), np.concatenate([p.counts for p in parts]))
 
 
 @functools.lru_cache(1)  # a vocabulary, whatever the texts
 def library(path: str) -> Library:
     return Library(path)
+
+
+@functools.lru_cache(1)  # bounded by KNOWN and KNOWN_BYTES
+def memory(path: str) -> tuple[tuple[Known, Known], Known]:
+    """What a process knows of words, of other pieces, and of what lies between white space, from one task to the next."""
+    return (Known(), Known()), Known()

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, released, slices, spare, stored, vocabulary, with_end
-from .library import Known, library
+from .library import library, memory
 
 WINDOW = 2048
 GROUP_WINDOWS = 128  # windows that are balanced together
 CUT = 512  # a document's rest is cut into pieces of at most this many ids
-STEP_BYTES = 1 << 20  # of texts that go to the library at a time, as pieces are known from one step to the next
+STEP_BYTES = 2 << 20  # of texts that go to the library at a time, as pieces are known from one step to the next
 
 PIECES = T.StructType(
     [
@@ -111,10 +111,10 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(spare("text", [id_col])))
 
     def run(batches):
-        out, known = Sequences(schema, window, 0), (Known(), Known())
+        out = Sequences(schema, window, 0)
         for whole in batches:
             for b in slices(whole, whole.schema.names[1], step=STEP_BYTES):
-                ids = with_end(library(path)(b.column(1), known), end_id)
+                ids = with_end(library(path)(b.column(1), *memory(path)), end_id)
                 blob, starts = ids.values.tobytes(), (ids.starts * 4).tolist()
                 for doc, lo, hi in zip(b.column(0).to_pylist(), starts, starts[1:], strict=False):
                     out.add(doc, blob[lo:hi])

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -91,6 +92,47 @@ def test_a_task_encodes_no_piece_that_it_knows(monkeypatch, path, room):
     assert got.values.dtype == want.values.dtype
 
 
+@pytest.mark.parametrize("path", [JSON, WORDS])
+def test_words_skip_the_pattern(path):
+    made, whole = Library(path), Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(0x250)) if re.match(bpe.LATIN, c)]
+    words = [*letters, *(a + b for a, b in zip(letters, reversed(letters), strict=True)), "".join(letters), "Straße", "ÀÉÎ", "word", "WORD"]
+    got = made.words(words)
+    for i, w in enumerate(words):
+        assert got.values[got.starts[i] : got.starts[i + 1]].tolist() == whole.encode(w if made.suffix else " " + w).ids, w
+    assert made.plain is not None
+    made.library = None
+    assert made.words(words).values.tolist() == got.values.tolist()  # by the model alone
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(lib, "KNOWN", 10)
+    known, seen = Known(), []
+
+    def encode(new):
+        seen.extend(new.to_pylist())
+        return bpe.Ragged.of(np.array([len(p) for p in new.to_pylist()], np.uint32), np.ones(len(new), np.int64))
+
+    for k in range(20):
+        got = known(pa.array(["a", "bb", f"new {k}", "x" * 100]), encode)
+        assert got.values.tolist() == [1, 2, len(f"new {k}"), 100] and len(known.pieces) <= 10
+    assert seen.count("a") == seen.count("bb") == 1
+
+
+def test_a_process_encodes_no_string_of_an_earlier_task():
+    made, seen = Library(WORDS), []
+    through = made._through
+    made._through = lambda library, texts: (seen.extend(texts), through(library, texts))[1]
+    lib.memory.cache_clear()
+    want = made(pa.array(mixed_texts()))
+    for task in range(2):
+        seen.clear()
+        got = made(pa.array(mixed_texts()), *lib.memory(WORDS))
+        assert got.values.tolist() == want.values.tolist() and got.starts.tolist() == want.starts.tolist()
+        assert seen if not task else all(len(t.encode()) > lib.KNOWN_BYTES for t in seen)
+    lib.memory.cache_clear()
+
+
 def test_slices_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(common, "STEP_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "", "x" * 30, "abcdef", "abcd", "a"])], names=["t"])
