@@ -68,8 +68,11 @@ def answer(cases: DataFrame, question: str, intent: str, top_k: int = 3, index:
     """One row: answer, citations, domain and the names of the rules that it breaks."""
     if len(question.strip()) < 2:
         raise ValueError("the question needs two characters at least")
-    spark = cases.sparkSession
-    found = retrieve(cases, question, top_k, index)
+    return told(retrieve(cases, question, top_k, index), question, intent, top_k)
+
+
+def told(found: DataFrame, question: str, intent: str, top_k: int = 3) -> DataFrame:
+    """The answer from the cases that were retrieved; several intents of one question can share these."""
     order = Window.orderBy(F.desc("relevance"), F.desc("updated_at"), "case_number")
     snippet = X.snippet(*[F.col(s) for s in SUMMARIES])
     rows = found.withColumns({"rank": F.row_number().over(order), "snippet": snippet})  # ten rows at most

@@ -4,7 +4,8 @@ import random
 
 import duckdb
 
-from quillspark.plans import text
+from quillspark.operators import grams
+from quillspark.plans import answers, storage, text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,3 +24,12 @@ def test_the_oldest_case_is_found_as_well(spark, tmp_path):
     assert got == con.execute(text.SQL["similar_cases"]).fetchall()
     assert text.similar_cases(spark, str(tmp_path), "2024도901").count() == 0
     assert text.similar_cases(spark, str(tmp_path), "2024도6", 2).count() == 2  # has its name and language alone
+
+
+def test_one_question_writes_no_index_and_retrieves_once(spark, monkeypatch):
+    asked, retrieve = [], answers.retrieve
+    monkeypatch.setattr(grams, "write", lambda *a, **b: 1 / 0)
+    monkeypatch.setattr(answers, "retrieve", lambda *a, **b: (asked.append(a[1]), retrieve(*a, **b))[1])
+    monkeypatch.setattr(storage, "_GRAMS", {})
+    found = storage.grounded_texts(spark, "/root/testdata/sf0.001")
+    assert {r.intent for r in found.collect()} == set(storage.INTENTS) and asked == ["2024도7"]
