@@ -26,6 +26,16 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+REACH = r"(?s)^(.*[가-힣][^A-Za-z]*+[^\n]*+).{0,100}"
+
+
+def reach(text: Column) -> Column:
+    """(lines, more): a text up to its last Hangul syllable, what follows without a Latin letter and the rest of that line; and this
+    with a hundred characters more. A pattern that needs a syllable and goes on over no more than that finds here what it
+    finds in the whole text; texts without a syllable give empty ones."""
+    return let(F.regexp_extract(text, REACH, 0), lambda m: F.struct(F.regexp_extract(m, REACH, 1).alias("lines"), m.alias("more")))
+
+
 def escape_like(value: str) -> str:
     """A string whose LIKE wildcards stand for themselves."""
     return re.sub(r"([\\%_])", r"\\\1", value or "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statements import any_of, squeeze, strip
-from ..functions.text import let
+from ..functions.text import let, reach
 
 # --- fixed values: names of sections, brackets around them, names of acts --------------------
 SECTIONS = (
@@ -60,9 +60,18 @@ def after_first(text: Column, pattern: str) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """(name, body, place) of every section in order."""
-    names = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + MARKER), F.lit(0)), lambda m: F.regexp_replace(m, r"(?U)[\s:：【】\[\]〔〕<>]", ""))
-    return F.transform(F.arrays_zip(names.alias("name"), after_first(text, "(?U)" + MARKER).alias("body")), lambda p, at: F.struct(p["name"].alias("name"), p["body"].alias("body"), at.alias("place")))
+    """(name, body, place) of every section in order. Markers are looked for as far as there is Hangul; what comes after that belongs
+    to the last section."""
+
+    def found(head: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(head, F.lit("(?U)" + MARKER), F.lit(0)), lambda m: F.regexp_replace(m, r"(?U)[\s:：【】\[\]〔〕<>]", ""))
+        return F.struct(F.arrays_zip(names.alias("name"), after_first(head, "(?U)" + MARKER).alias("body")).alias("pairs"), F.length(head).alias("n"))
+
+    def whole(x: Column) -> Column:
+        body = lambda p, at: F.when(at == F.size(x["pairs"]) - 1, F.concat(p["body"], F.substr(text, x["n"] + 1))).otherwise(p["body"])
+        return F.transform(x["pairs"], lambda p, at: F.struct(p["name"].alias("name"), body(p, at).alias("body"), at.alias("place")))
+
+    return let(let(reach(text)["lines"], found), whole)
 
 
 def section(found: Column, name: str) -> Column:

@@ -1,10 +1,13 @@
 """Queries that look at all of their table."""
 
 import random
+import re
 
 import duckdb
+from pyspark.sql import functions as F
 
-from quillspark.operators import grams
+from quillspark.functions import text as X
+from quillspark.operators import digest, grams, judgment
 from quillspark.plans import answers, storage, text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,3 +36,21 @@ def test_one_question_writes_no_index_and_retrieves_once(spark, monkeypatch):
     monkeypatch.setattr(storage, "_GRAMS", {})
     found = storage.grounded_texts(spark, "/root/testdata/sf0.001")
     assert {r.intent for r in found.collect()} == set(storage.INTENTS) and asked == ["2024도7"]
+
+
+def test_patterns_of_hangul_stop_where_it_ends(spark):
+    """Sections, facts and sentences from the reach of Hangul are those of the whole text, and the reach doesn't grow with what follows."""
+    rng = random.Random(9)
+    parts = ["【판시사항】", "[이 유]", "\n주 문 :  \n", "\n사건\n", "사 건\n2024도12 절도", "2019 도 33", "〈가나가 문제된 사건〉", "영장이 위법하다. ", "<b é>", "[x y z]", "the of, 12. and\n", "on. 3 \n\n", " ", "\t", "é1 "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) + rng.choice(["", "   \n ", "]\n", "】 ", "7 8 9", " a"]) + "".join(rng.choices(parts[8:], k=rng.randint(0, 60))) for _ in range(300)]
+    texts += ["", "no syllable at all", "【판결요지】\n[1] 유죄" + " word [1] x\n" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t, more, lines = F.col("t"), X.reach(F.col("t"))["more"], X.reach(F.col("t"))["lines"]
+    same = lambda of: of(more).eqNullSafe(of(t))
+    hangul = lambda c: F.filter(digest.candidate_sentences(c, F.lit("")), lambda s: s.rlike("[가-힣]"))
+    checks = {"number": same(digest.case_number), "subject": same(digest.subject), "court": same(digest.court), "sentences": hangul(lines) == hangul(t)}
+    assert rows.filter(~F.array_min(F.array(*checks.values()))).count() == 0
+    for r in rows.select("t", judgment.sections(t).alias("s"), F.length(more).alias("n")).collect():
+        names = [re.sub(r"[\s:：【】\[\]〔〕<>]", "", m) for m in re.findall(judgment.MARKER, r.t)]
+        assert [(x.name, x.body) for x in r.s] == list(zip(names, re.split(judgment.MARKER, r.t)[1:], strict=True))
+        assert r.n < 1500
